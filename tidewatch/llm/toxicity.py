@@ -46,7 +46,7 @@ def fold(text: str) -> list[str]:
     if any(s in text for s in _SIGNS):
         out = []
         for w in words:
-            core = w.strip("!|$@")
+            core = w.rstrip("!|$@").lstrip("!|")
             for sign, letter in _SIGNS.items():
                 core = core.replace(sign, letter)
             if core:
