@@ -88,8 +88,8 @@ def owner_share(commits: DataFrame, path: str, who: str, declared: DataFrame | N
 
 def latest_state(log: DataFrame, key: str, ts: str, tie: str, columns: list[str]) -> DataFrame:
     """The newest row of each entity; an aggregation, so a hot entity is reduced before the shuffle."""
-    top = F.max(F.struct(ts, tie, *columns)).alias("s")
-    return log.groupBy(key).agg(top).select(key, *[F.col(f"s.{c}").alias(c) for c in (ts, tie, *columns)])
+    names = list(dict.fromkeys((ts, tie, *columns)))
+    return log.groupBy(key).agg(F.max(F.struct(*names)).alias("top")).select(key, *[F.col(f"top.{c}").alias(c) for c in names])
 
 
 def percentile_band(df: DataFrame, keys: list[str], value: str, tie: str, bands: int = 4) -> DataFrame:
