@@ -102,6 +102,16 @@ def test_tokens_odd_rows(spark):
     assert tokens.tokenise(cases.empty(spark), TOKENIZER).collect() == []
 
 
+def test_keyed_lookup(spark, tmp_path):
+    rows = sorted(sample(spark))
+    docs = spark.createDataFrame([(i * 3, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    manifest = tokens.write_tokens(docs, str(tmp_path), TOKENIZER)
+    encode = tokens.Encoder(TOKENIZER)
+    wanted = [3 * i for i, *_ in rows[::7]] + [1, -5, 10**9]
+    got = {r.key: r.ids for r in tokens.lookup(spark.createDataFrame([(k,) for k in [*wanted, None]], "doc_id long"), manifest, str(tmp_path)).collect()}
+    assert got == {3 * i: [*np.frombuffer(encode([t or ""])[0], "<u4").tolist(), 0] for i, t, _ in rows[::7]}
+
+
 def test_split_rule_matches_library():
     encode = tokens.Encoder(TOKENIZER)
     rng = random.Random(3)
@@ -376,6 +386,12 @@ def test_cascade_is_exact(spark):
     assert urls.build_cascade(df.where("not listed")) == []
 
 
+def test_listed_hosts_from_a_table(spark):
+    pages = spark.createDataFrame([(1, "http://a.test/x"), (2, "http://b.test"), (3, None)], "page_id long, url string")
+    hosts = spark.createDataFrame([("B.test", 1), ("c.test", 2), (None, 3)], "name string, key long")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, (), hosts).collect()} == {1: "allow", 2: "block", 3: "allow"}
+
+
 ODD_URLS = [(1, None), (2, "no scheme"), (3, "http://"), (4, "HTTP://WWW.Example.ORG"), (5, "http://a.example.org/es/x?y#z"), (6, "http://example.org/en/12"), (7, "x://notexample.org/es/"), (8, "http://ads.shop.test/p"), (8, "http://ads.shop.test/p"), (None, "http://b.com/de/"), (9, "a://b://c.com/fr/")]
 
 

@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +31,12 @@ from .common import materialise, pieces, scratch, take
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 LOAD = 2.0  # bits of a level for each key it gets
 NULL_KEY = -(1 << 63)  # stands for a null key in the files
-#: Splits a text as the byte-level tokenizers do before they merge: no token spans two parts (fixed value).
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LATIN = regex.compile(r"[\x00-ɏ]*")
-MOST_PARTS = 1 << 18  # parts whose ids a task remembers
+#: Letters, numbers and white space below U+0250 without the four information separators (fixed values).
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
+#: Splits a text of such characters as the byte-level tokenizers do before they merge: no token spans two parts.
+PARTS = f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+| ?[{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+_LATIN = re.compile("[\x00-\x1b\x20-\u024f]*")
+MOST_PARTS = 1 << 20  # parts whose ids a Python worker remembers, some 150 MB
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -125,6 +128,16 @@ class Shard:
         size = self.dtype.itemsize
         return np.frombuffer(self.file.read_at((b - a) * size, a * size), self.dtype)
 
+    def many(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each row; runs of neighbours are read at once."""
+        ends = np.flatnonzero(np.append(np.diff(rows) != 1, True)) + 1
+        for first, last in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
+            a, b = int(self.offsets[rows[first]]), int(self.offsets[rows[last - 1] + 1])
+            size = self.dtype.itemsize
+            block = np.frombuffer(self.file.read_at((b - a) * size, a * size), self.dtype)
+            for r in rows[first:last]:
+                yield block[self.offsets[r] - a : self.offsets[r + 1] - a]
+
 
 class Encoder:
     """Whole texts to ids with a ``tokenizers`` file; special tokens in a text are ordinary text.
@@ -135,37 +148,52 @@ class Encoder:
     own rule; None sends every text whole.
     """
 
-    def __init__(self, path: str, split: str | None = PARTS):
+    def __init__(self, path: str, split: str | None = PARTS, dtype: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.split = regex.compile(split) if split else None
+        self.split = re.compile(split) if split else None
+        self.dtype = np.dtype(dtype)
+        if self.model.get_vocab_size() > np.iinfo(self.dtype).max + 1:
+            raise ValueError(f"ids don't fit {dtype}")
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes parts, many in a call that keeps them apart and tells whose each id is."""
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            found = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, counts = np.array(found.ids, self.dtype).tobytes(), np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))
+            cuts = [0, *(np.cumsum(counts) * self.dtype.itemsize).tolist()]
+            self.known.update(zip(some, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text, in the encoder's type."""
         if self.split is None:
             return self._encode(texts)
-        plain = [bool(_LATIN.fullmatch(t)) for t in texts]
-        parts = [self.split.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > MOST_PARTS:
             self.known.clear()
-        known = self.known
-        new = list({p for p in chain.from_iterable(parts) if p not in known})
-        for i in range(0, len(new), 1024):
-            known.update(zip(new[i : i + 1024], self._encode(new[i : i + 1024]), strict=True))
+        plain = [_LATIN.fullmatch(t) is not None for t in texts]
+        parts = [self.split.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
+        self._learn(list(set().union(*parts) - self.known.keys()))
         whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
-        get = known.__getitem__
+        get = self.known.__getitem__
         return [b"".join(map(get, p)) if is_plain else next(whole) for p, is_plain in zip(parts, plain, strict=True)]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, split: str | None, dtype: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path, split, dtype)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype: str = "<u4", split: str | None = PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes shards in ascending key order and returns the manifest: shard, part, rows, tokens, start.
+    """Writes shards in ascending key order and returns the manifest: shard, part, rows, tokens, keys, start.
 
     Rows are dealt to tasks by ranges of (key, text hash) and sorted within each,
     so shards in order of ``part`` are the corpus in ascending key order, null keys
@@ -176,27 +204,27 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .media import open_store
 
-        encode, store_root = Encoder(tokenizer, split), open_store(folder)
-        store, root = store_root
+        encode, (store, root), end = encoder(tokenizer, split, dtype), open_store(folder), np.array([end_id], dtype).tobytes()
         part_id, name, out, keys, lengths = TaskContext.get().partitionId(), uuid.uuid4().hex, None, [], []
         for batch in batches:
-            for part in pieces(batch, most=1 << 20):
+            for part in pieces(batch, most=1 << 21):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.bin")
                 keys.append(part.column("key").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
-                ended = [np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(dtype) for ids in encode([t or "" for t in part.column("text").to_pylist()])]
-                lengths += map(len, ended)
-                out.write(b"".join(x.tobytes() for x in ended))
+                ended = [ids + end for ids in encode([t or "" for t in part.column("text").to_pylist()])]
+                lengths += [len(x) // len(end) for x in ended]
+                out.write(b"".join(ended))
         if out is None:
             return
         out.close()
         tokens = _write_index(store, f"{root}/{name}", np.concatenate(keys), np.array(lengths, np.int64), dtype)
-        yield pa.RecordBatch.from_pydict({"shard": [name], "part": [part_id], "rows": [len(lengths)], "tokens": [tokens]}, pa.schema([("shard", pa.string()), ("part", pa.int64()), ("rows", pa.int64()), ("tokens", pa.int64())]))
+        columns = {"shard": [name], "part": [part_id], "rows": [len(lengths)], "tokens": [tokens], "first_key": keys[0][:1], "last_key": keys[-1][-1:]}
+        yield pa.RecordBatch.from_pydict(columns, pa.schema([("shard", pa.string()), *[(c, pa.int64()) for c in list(columns)[1:]]]))
 
     rows = take(docs, key=id_col, text=text_col).withColumn("key", F.col("key").cast("long")).withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h").select("key", "text")
-    manifest = materialise(ordered.mapInArrow(write, "shard string, part long, rows long, tokens long"), "token-manifest")
+    manifest = materialise(ordered.mapInArrow(write, "shard string, part long, rows long, tokens long, first_key long, last_key long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return materialise(manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "token-manifest")
 
@@ -233,17 +261,54 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 keys = np.repeat(distinct, count)
                 for at in range(0, len(rows), 1000):
                     some = rows[at : at + 1000]
-                    sums = [zlib.crc32(shard.ids(int(r)).astype("<u4").tobytes()) for r in some]
+                    sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.many(some)]
                     null = keys[at : at + 1000] == NULL_KEY
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[at : at + 1000], pa.int64(), mask=null), pa.array(start + shard.offsets[some]), pa.array(shard.offsets[some + 1] - shard.offsets[some]), pa.array(sums, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = manifest.select("shard", "start").repartition(F.col("shard"))
+    n = max(1, min(manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism * 8))
+    spread = manifest.select("shard", "start").repartition(n)  # a fixed number: shards are few rows but much work
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup(keys: DataFrame, manifest: DataFrame, folder: str, key_col: str = "doc_id", most_shards: int = 1 << 20) -> DataFrame:
+    """key, start, ids of every stored document with one of the given keys; unknown keys give no row.
+
+    Keys are routed to the shards whose range holds them by the shards' bounds
+    (24 bytes a shard, ``most_shards`` at most) and meet each shard's index once.
+    """
+    bounds = manifest.select("shard", "start", "first_key", "last_key").orderBy("part").toArrow()
+    if bounds.num_rows > most_shards:
+        raise ValueError(f"{bounds.num_rows} shards; write larger ones")
+    first, last = bounds["first_key"].to_numpy(), bounds["last_key"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast((first, last, bounds["shard"].to_pylist(), bounds["start"].to_numpy()))
+
+    @F.pandas_udf("array<int>")
+    def shards_of(key: pd.Series) -> pd.Series:
+        k, (first, last, *_) = key.to_numpy(np.int64), shared.value
+        return pd.Series([list(range(a, b)) for a, b in zip(np.searchsorted(last, k, "left"), np.searchsorted(first, k, "right"), strict=True)])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[int, Shard] = {}
+        _, _, names, starts = shared.value
+        for batch in batches:
+            wanted, at = batch.column("key").to_numpy(), batch.column("at").to_numpy()
+            for i in np.unique(at).tolist():
+                if i not in opened:
+                    opened.clear()  # keys come in order of shards
+                    opened[i] = Shard(folder, names[i])
+                shard, some = opened[i], wanted[at == i]
+                rows = [(k, r) for k, f, n in zip(some.tolist(), *shard.find(some), strict=True) for r in range(f, f + n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in rows], pa.int64()), pa.array([int(starts[i] + shard.offsets[r]) for _, r in rows], pa.int64()), pa.array([shard.ids(r).astype(np.int64) for _, r in rows], pa.list_(pa.int64()))], ["key", "start", "ids"]
+                )
+
+    routed = take(keys, key=key_col).where("key IS NOT NULL").select(F.col("key").cast("long").alias("key")).withColumn("at", F.explode(shards_of("key")))
+    return routed.repartition("at").sortWithinPartitions("at", "key").mapInArrow(read, "key long, start long, ids array<long>")
+
+
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 0, dtype: str = "<u2", folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and reads every document back through the index.
 
