@@ -23,7 +23,7 @@ from .common import materialise, take
 #: Up to this many source states, they are broadcast to the size classes; beyond, Spark joins by source.
 BROADCAST_SOURCES = 100_000
 #: Rows of one (source, class) that are ranked together, on average.
-CELL_ROWS = 2000
+CELL_ROWS = 400
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
