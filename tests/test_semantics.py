@@ -230,3 +230,13 @@ def test_write_and_route(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/f").where("severity = 'high'").count() == 1
     routed = findings.route(rows, spark.createDataFrame([("high", "oncall", True)], "severity string, channel string, page boolean"))
     assert {r.entity: (r.channel, r.page) for r in routed.collect()} == {"a": ("oncall", True), "b": ("digest", False)}
+
+
+def test_schema_diff_of_real_tables(spark):
+    a, b = spark.sql("SELECT 1 AS x, 'a' AS y"), spark.sql("SELECT 1L AS x, 2 AS z")
+    got = quality.schema_diff(quality.schema_table({"t": a}, "dev"), quality.schema_table({"t": b}, "prod")).collect()
+    assert {r.column_name: (r.change, r.statement) for r in got} == {
+        "x": ("retyped", "ALTER TABLE t ALTER COLUMN x TYPE bigint"),
+        "y": ("dropped", "ALTER TABLE t DROP COLUMN y"),
+        "z": ("added", "ALTER TABLE t ADD COLUMN z int"),
+    }

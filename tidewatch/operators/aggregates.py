@@ -71,8 +71,8 @@ def usage_sketches(views: DataFrame, entity: str, actor: str) -> DataFrame:
 def chargeback(costs: DataFrame, key: str) -> DataFrame:
     """Cost of each key and its share of the total; the total is a sum of the sums."""
     by_key = costs.groupBy(key).agg(F.sum("cost").alias("cost"))
-    total = by_key.agg(F.sum("cost").alias("total"))
-    return by_key.crossJoin(F.broadcast(total)).select(key, F.col("cost").cast("double").alias("cost"), F.round(ratio(F.col("cost"), F.col("total")), 8).alias("share"))
+    total = by_key.agg(F.sum("cost")).scalar()
+    return by_key.select(key, F.col("cost").cast("double").alias("cost"), F.round(ratio(F.col("cost"), total), 8).alias("share"))
 
 
 def dora(commits: DataFrame, deploys: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,17 +28,21 @@ def time_to_limit(series: DataFrame, limits: DataFrame, key: str, t: str, y: str
     return fits.select(key, "limit_value", F.round(at, 4).alias("periods_left"))
 
 
-def right_size(history: DataFrame, key: str, load: str, sizes: DataFrame, share: float = 0.95) -> DataFrame:
-    """The cheapest size that carries the ``share`` quantile of the load. sizes: size, capacity, price (a short list)."""
+def right_size(history: DataFrame, key: str, load: str, sizes: list[tuple[str, float, float]], share: float = 0.95) -> DataFrame:
+    """The cheapest size that carries the ``share`` quantile of the load. sizes: (size, capacity, price)."""
     need = history.groupBy(key).agg(F.percentile(load, share).alias("need"))
-    fits = need.join(F.broadcast(sizes), F.col("capacity") >= F.col("need"), "left")
-    return fits.groupBy(key, "need").agg(F.min(F.struct("price", "size")).alias("m")).select(key, F.round("need", 4).alias("need"), "m.size", "m.price")
+    fitting = [F.when(F.col("need") <= capacity, F.struct(F.lit(float(price)).alias("price"), F.lit(size).alias("size"))) for size, capacity, price in sizes]
+    return need.withColumn("m", F.array_min(F.array_compact(F.array(*fitting)))).select(key, F.round("need", 4).alias("need"), "m.size", "m.price")
 
 
-def commit_optimizer(hourly: DataFrame, levels: DataFrame, on_demand: float, committed: float) -> DataFrame:
-    """Cost of every commitment level (a short list) over the hourly use; the cheapest first."""
-    cost = F.greatest(F.col("used") - F.col("level"), F.lit(0.0)) * on_demand + F.col("level") * committed
-    return hourly.crossJoin(F.broadcast(levels)).groupBy("level").agg(F.round(F.sum(cost), 2).alias("cost"))
+def commit_optimizer(hourly: DataFrame, levels: list[float], on_demand: float, committed: float) -> DataFrame:
+    """Cost of every commitment level over the hourly use: one sum for each level in one pass."""
+
+    def cost(level: float) -> Column:
+        return F.round(F.sum(F.greatest(F.col("used") - level, F.lit(0.0)) * on_demand + level * committed), 2)
+
+    wide = hourly.agg(*[cost(float(x)).alias(f"c{i}") for i, x in enumerate(levels)])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(float(x)).alias("level"), F.col(f"c{i}").alias("cost")) for i, x in enumerate(levels)])))
 
 
 def headroom(stack: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -96,8 +96,8 @@ def slack(edges: DataFrame, durations: DataFrame) -> DataFrame:
     """(node, finish, slack): how long a node may be late without moving the end."""
     forward = critical_path(edges, durations)
     back = critical_path(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), durations).select("node", F.col("finish").alias("tail"))
-    end = forward.agg(F.max("finish").alias("end"))
-    return forward.join(back, "node").crossJoin(F.broadcast(end)).select("node", "finish", (F.col("end") - (F.col("finish") + F.col("tail") - F.col("duration"))).alias("slack"))
+    end = forward.agg(F.max("finish")).scalar()
+    return forward.join(back, "node").select("node", "finish", (end - (F.col("finish") + F.col("tail") - F.col("duration"))).alias("slack"))
 
 
 def redundant_edges(edges: DataFrame, max_depth: int = 50) -> DataFrame:

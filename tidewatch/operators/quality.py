@@ -164,8 +164,7 @@ def regressions(previous: DataFrame, current: DataFrame, key: str, passed: str)
 def opportunities(quality: DataFrame, uses: DataFrame, key: str, score: str, used: str, high: float = 0.75, low: float = 0.25) -> DataFrame:
     """Entities of high quality and little use, by quantiles of both."""
     rows = quality.join(uses, key, "left").fillna(0, [used])
-    cut = rows.agg(F.percentile(score, high).alias("q"), F.percentile(used, low).alias("u"))
-    return rows.crossJoin(F.broadcast(cut)).where((F.col(score) >= F.col("q")) & (F.col(used) <= F.col("u"))).drop("q", "u")
+    return rows.where((F.col(score) >= rows.agg(F.percentile(score, high)).scalar()) & (F.col(used) <= rows.agg(F.percentile(used, low)).scalar()))
 
 
 def remediate(df: DataFrame, keys: list[str], order: list[str], fills: dict, max_attempts: int = 3) -> tuple[DataFrame, DataFrame]:

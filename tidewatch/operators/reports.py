@@ -72,9 +72,9 @@ def governance_scorecard(signals: DataFrame, weights: dict[str, float]) -> DataF
 
 def release_readiness(runs: DataFrame, commits: DataFrame, message: str, release: str, limit: float) -> DataFrame:
     """Go unless the failure rate is above the limit or a breaking change is open."""
-    health = runs.agg(F.avg((F.col("status") == "failed").cast("double")).alias("rate"))
+    rate = runs.agg(F.avg((F.col("status") == "failed").cast("double"))).scalar()
     log = aggregates.changelog(commits, message, release).groupBy(release).agg(F.sum("n").alias("commits"), F.sum("breaking").alias("breaking"))
-    return log.crossJoin(F.broadcast(health)).select(release, "commits", "breaking", ((F.col("rate") <= limit) & (F.col("breaking") == 0)).alias("go"))
+    return log.select(release, "commits", "breaking", ((rate <= limit) & (F.col("breaking") == 0)).alias("go"))
 
 
 def one_root_cause(findings: list[DataFrame], edges: DataFrame, status: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ SIZES = [("S", 50.0, 1.0), ("M", 100.0, 2.0), ("L", 200.0, 4.0), ("XL", 1000.0,
     SELECT user_id, round(need, 4) AS need, arg_min(size, (price, size)) AS size, CAST(min(price) AS DOUBLE) AS price FROM n LEFT JOIN s ON capacity >= need GROUP BY user_id, need""",
 )
 def p3(spark, folder):
-    return fc.right_size(load(spark, folder, "events"), "user_id", "value", spark.createDataFrame(SIZES, "size string, capacity double, price double"))
+    return fc.right_size(load(spark, folder, "events"), "user_id", "value", SIZES)
 
 
 HOURLY_SQL = "h AS (SELECT date_trunc('hour', ts) AS hour, sum(value) AS used FROM events GROUP BY 1)"
@@ -40,8 +40,7 @@ HOURLY_SQL = "h AS (SELECT date_trunc('hour', ts) AS hour, sum(value) AS used FR
 @query("p4_commit_optimizer", f"WITH {HOURLY_SQL}, l AS (SELECT unnest([0.0, 100.0, 300.0, 500.0, 800.0]::DOUBLE[]) AS level) SELECT level, round(sum(greatest(used - level, 0) * 1.0 + level * 0.6), 2) AS cost FROM h, l GROUP BY 1")
 def p4(spark, folder):
     hourly = load(spark, folder, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.sum("value").alias("used"))
-    levels = spark.createDataFrame([(float(x),) for x in (0, 100, 300, 500, 800)], "level double")
-    return fc.commit_optimizer(hourly, levels, 1.0, 0.6)
+    return fc.commit_optimizer(hourly, [0, 100, 300, 500, 800], 1.0, 0.6)
 
 
 @query(

@@ -137,16 +137,25 @@ def q10(spark, folder):
     return quality.remediate(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey"], {"l_tax": 0.0})[1]
 
 
+_SNAPSHOT = "SELECT p_brand AS table_name, string_split(p_name, ' ')[1] AS column_name, min(p_type) AS {t} FROM part WHERE p_partkey % 2 = {k} GROUP BY 1, 2"
+
+
 @query(
     "q11_schema_diff",
-    """SELECT * FROM (VALUES ('nation', 'n_comment', NULL, 'string', 'added', 'ALTER TABLE nation ADD COLUMN n_comment string'),
-        ('nation', 'n_regionkey', 'int', NULL, 'dropped', 'ALTER TABLE nation DROP COLUMN n_regionkey'),
-        ('region', 'r_regionkey', 'int', 'bigint', 'retyped', 'ALTER TABLE region ALTER COLUMN r_regionkey TYPE bigint')) t(table_name, column_name, old_type, new_type, change, statement)""",
+    f"""WITH a AS ({_SNAPSHOT.format(t="old_type", k=0)}), b AS ({_SNAPSHOT.format(t="new_type", k=1)}),
+    j AS (SELECT *, CASE WHEN old_type IS NULL THEN 'added' WHEN new_type IS NULL THEN 'dropped' WHEN old_type <> new_type THEN 'retyped' END AS change FROM a FULL JOIN b USING (table_name, column_name))
+    SELECT *, 'ALTER TABLE ' || table_name || CASE change WHEN 'added' THEN ' ADD COLUMN ' || column_name || ' ' || new_type WHEN 'dropped' THEN ' DROP COLUMN ' || column_name ELSE ' ALTER COLUMN ' || column_name || ' TYPE ' || new_type END AS statement
+    FROM j WHERE change IS NOT NULL""",
 )
 def q11(spark, folder):
-    dev = {t: load(spark, folder, t) for t in ("region", "nation")}
-    prod = {"region": dev["region"].withColumn("r_regionkey", F.col("r_regionkey").cast("long")), "nation": dev["nation"].drop("n_regionkey").withColumn("n_comment", F.lit(""))}
-    return quality.schema_diff(quality.schema_table(dev, "dev"), quality.schema_table(prod, "prod"))
+    """Two catalog snapshots made of the parts: brand as table, first word of the name as column, type as data type."""
+    parts = load(spark, folder, "part")
+
+    def snapshot(k):
+        rows = parts.where(F.col("p_partkey") % 2 == k)
+        return rows.groupBy(F.col("p_brand").alias("table_name"), F.split("p_name", " ")[0].alias("column_name")).agg(F.min("p_type").alias("data_type"))
+
+    return quality.schema_diff(snapshot(0), snapshot(1))
 
 
 @query(

@@ -93,7 +93,7 @@ def r6(spark, folder):
 )
 def r7(spark, folder):
     events = load(spark, folder, "events")
-    sized = fc.right_size(events, "user_id", "value", spark.createDataFrame(SIZES, "size string, capacity double, price double")).where("size IS NOT NULL")
+    sized = fc.right_size(events, "user_id", "value", SIZES).where("size IS NOT NULL")
     idle = agg.utilization(events, "user_id", "value", 43200.0, 0.05, 0.08).where("class = 'idle'")
     return reports.savings_roadmap(
         sized.select(F.col("user_id").alias("entity"), F.concat(F.lit("move to "), F.col("size")).alias("action"), (9.0 - F.col("price")).alias("saving")),
