@@ -147,18 +147,25 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return rule, verdict
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, listed: str = LISTED, id_col: str = "page_id", url_col: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, listed: str | DataFrame = LISTED, id_col: str = "page_id", url_col: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict, listed of every url.
 
-    Hosts that match ``listed`` are the listed keys and all hosts of ``pages``
-    the universe; a url that no rule fits is blocked if its host is listed.
+    ``listed`` is a pattern or a table of hosts (its first column). The hosts it
+    names are the listed keys and all hosts of ``pages`` the universe; a url that
+    no rule fits is blocked if its host is listed.
     Null urls and urls without ``://`` have an empty host, which is not listed.
     Repeated rows keep their rows. Empty hosts and paths fit no rule but one with
     an empty path start.
     """
     spark = pages.sparkSession
     rows = take(pages, page_id=id_col, url=url_col).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keys = materialise(rows.select(F.col("host").alias("key")).distinct().withColumn("listed", F.col("key").rlike(listed)), "cascade-keys")
+    hosts = rows.select(F.col("host").alias("key")).distinct()
+    if isinstance(listed, DataFrame):
+        named = listed.toDF(*[f"c{i}" for i in range(len(listed.columns))]).select(lower_ascii(F.col("c0")).alias("key"), F.lit(True).alias("hit")).distinct()
+        hosts = hosts.join(named, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("listed"))
+    else:
+        hosts = hosts.withColumn("listed", F.col("key").rlike(listed))
+    keys = materialise(hosts, "cascade-keys")
     levels = build_cascade(keys, most_bytes=most_bytes)
     if levels is None:
         on_list = keys.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("hit"))
