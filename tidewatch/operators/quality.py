@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import bucket, hours_between, ratio
+from ..functions.columns import bucket, hours_between
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
