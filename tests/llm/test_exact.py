@@ -37,6 +37,12 @@ def test_media_round_trip(spark, rows):
     assert all(bytes(r.media)[:8] == b"\x89PNG\r\n\x1a\n" for r in found)
 
 
+def test_media_text_ids(spark):
+    ids = ["a_1", "", None, "null", "x/y_2.png", "ü\n"]
+    docs = spark.createDataFrame([(i, "text") for i in ids], "doc_id string, text string")
+    assert Counter(r.doc_id for r in media.media_features(docs).collect()) == Counter(ids)
+
+
 def test_media_empty_table(spark):
     assert media.media_features(cases.empty(spark)).collect() == []
 

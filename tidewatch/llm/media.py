@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -131,7 +132,7 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for part in pieces(batch):
                 for key, text in zip(part.column("doc_id").to_pylist(), texts(part), strict=True):
-                    archive.add(f"{row}_{'' if key is None else key}_{len(text)}.png", encode_image(pad(text)))
+                    archive.add(f"{row}_{'null' if key is None else f'={key}'}_{len(text)}.png", encode_image(pad(text)))
                     row += 1
         archive.close()
         columns = list(zip(*archive.done, strict=True)) or [[], [], []]
@@ -163,8 +164,6 @@ class ArchiveReader(DataSourceReader):
         found = []
         for part in parts:
             with store.open_input_file(part.path) as file:
-                import pyarrow.parquet as pq
-
                 rows = pq.read_table(file)
             found += zip(rows["archive"].to_pylist(), rows["bytes"].to_pylist(), strict=True)
         return [ByteRange(name, at, min(size, at + self.range_bytes)) for name, size in sorted(found) for at in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
@@ -266,5 +265,6 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     read = read_archives(spark, folder).mapInArrow(decode, "member string, media binary, payload binary, feature string")
-    name = F.split(F.regexp_replace("member", r"\.png$", ""), "_")
-    return read.select(F.nullif(name[1], F.lit("")).cast(kind).alias("doc_id"), name[2].cast("long").alias("n_bytes"), "payload", "media", "feature")
+    part = lambda i: F.regexp_extract("member", r"(?s)^\d+_(null|=.*)_(\d+)\.png$", i)
+    key = F.when(part(1) != "null", F.substring(part(1), 2, 1 << 16))
+    return read.select(key.cast(kind).alias("doc_id"), part(2).cast("long").alias("n_bytes"), "payload", "media", "feature")
