@@ -26,6 +26,8 @@ from .common import materialise, pieces, take, texts
 from .components import components
 
 LOW_BITS = 0x5555555555555555
+#: Ids of dropped documents are broadcast up to this number (8 bytes each).
+BROADCAST_IDS = 1 << 21
 SEGMENTS, WORDS, SEED, DISTANCE = 32, 4, 42, 4
 #: Up to so many distinct fingerprints, this many blocks beyond ``distance``: more blocks, smaller cells.
 BLOCKS = ((1 << 14, 1), (1 << 22, 2), (1 << 28, 3), (1 << 62, 4))
@@ -137,16 +139,18 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id",
     """One document of each component (its smallest id), with all columns of ``docs``.
 
     Rows with a null id go if their component has an id; otherwise one of them
-    stays. Rows that repeat an id stay once.
+    stays. Rows that repeat an id are one document: one of them stays, if any does.
     """
     found = near_duplicates(docs, distance, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rows = kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
-    rows = materialise(rows, "simhash-kept")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = materialise(found.groupBy(F.col("doc_id").alias("of")).agg(F.count_if(stays).alias("kept"), F.count("*").alias("n")), "simhash-ids")
+    gone = ids.where("kept = 0").select("of")
     plain = [f"c{i}" for i in range(len(docs.columns))]
     key = plain[docs.columns.index(id_col)]
-    kept_docs = docs.toDF(*plain)
-    kept_docs = kept_docs.join(rows.select("kept_id"), kept_docs[key].eqNullSafe(F.col("kept_id")), "left_semi")
-    if not rows.where((F.col("copies") > 1) | F.col("kept_id").isNull()).isEmpty():
-        kept_docs = kept_docs.dropDuplicates([key])
-    return kept_docs.toDF(*docs.columns)
+    rows = docs.toDF(*plain)
+    # few ids: texts stay where they are; many: both sides are shuffled by id
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
+    rows = rows.join(gone, rows[key].eqNullSafe(F.col("of")), "left_anti")
+    if not ids.where("kept > 0 AND n > 1").isEmpty():
+        rows = rows.dropDuplicates([key])
+    return rows.toDF(*docs.columns)
