@@ -119,19 +119,30 @@ def isotonic(values: np.ndarray, counts: np.ndarray, ones: np.ndarray) -> tuple[
     return np.array([b[0] / b[1] for b in blocks]), np.array([(b[2] + 0.5) / (b[1] + 1) if len(blocks) < 2 else b[2] / b[1] for b in blocks])
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_FIT_ROWS) -> Model | None:
-    """Fits on labelled rows outside the held-out fold; None if they don't show both classes.
+def training_labels(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """doc_id, y of labelled rows outside the held-out fold; at most about ``max_rows``, chosen by a hash of the id.
 
-    ``stats`` must be a written table. At most about ``max_rows`` labelled rows are
-    used, chosen by a hash of their id. Labels that are null or have no id are
-    skipped; repeated ones count once (the highest).
+    Labels that are null or have no id are skipped; repeated ones count once (the highest).
     """
-    fold = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(FOLDS))
-    known = take(labels, doc_id="doc_id", y=label).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").cast("double").alias("y")).where(fold != HELD_OUT)
+    known = take(labels, doc_id="doc_id", y=label).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").cast("double").alias("y"))
+    known = known.where(F.pmod(crc32_of_id(F.col("doc_id")), F.lit(FOLDS)) != HELD_OUT)
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
-    rows = materialise(stats.join(known, "doc_id").withColumn("calibrates", fold == CALIBRATION).repartition(FIT_PARTS, "doc_id").sortWithinPartitions("doc_id"), "quality-fit")
+    return materialise(known, "quality-labels")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Fits on labelled rows outside the held-out fold; None if they don't show both classes.
+
+    The labels used, at most about ``max_rows`` rows of 16 bytes, are broadcast to
+    the documents, so texts aren't shuffled and only labelled ones are measured.
+    """
+    known = training_labels(labels, label, max_rows)
+    labelled = take(docs, doc_id=id_col, text=text_col).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    stats = document_statistics(labelled).join(F.broadcast(known), "doc_id")
+    calibrates = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(FOLDS)) == CALIBRATION
+    rows = materialise(stats.withColumn("calibrates", calibrates).repartition(FIT_PARTS, "doc_id").sortWithinPartitions("doc_id"), "quality-fit")
     size = len(STATISTICS)
     fitted = rows.where("NOT calibrates")
     moments = fitted.agg(F.count("*"), F.sum("y"), *[F.avg(F.col("stats")[i]) for i in range(size)], *[F.stddev_pop(F.col("stats")[i]) for i in range(size)]).first()
@@ -174,32 +185,30 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     id counts as the empty text for the fold. Without labels of both classes
     every score is 0.5.
     """
-    stats = materialise(document_statistics(docs, id_col, text_col), "quality-stats")
-    model = fit(stats, labels, label, max_rows)
-
-    @F.pandas_udf("double")
-    def score(s: pd.Series) -> pd.Series:
-        if model is None:
-            return pd.Series(np.full(len(s), 0.5))
-        return pd.Series(model.score(np.stack(s.to_numpy()))) if len(s) else pd.Series([], dtype=float)
-
+    model = fit(docs, labels, label, max_rows, id_col, text_col)
     held = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(FOLDS)) == HELD_OUT
-    scored = stats.select("doc_id", held.alias("held_out"), score("stats").alias("score"))
+    scored = take(docs, doc_id=id_col, text=text_col).select("doc_id", held.alias("held_out"), _scorer(model)("text").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` that are predicted good; scored in place, so texts aren't shuffled."""
-    stats = materialise(document_statistics(docs, id_col, text_col), "quality-stats")
-    model = fit(stats, labels, **options)
-    if model is None:
-        return docs
+def _scorer(model: Model | None):
+    """A function of a text column: its score, 0.5 without a model."""
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
+        if model is None:
+            return pd.Series(np.full(len(text), 0.5))
         rows = [statistics(b"" if t is None else t.encode()) for t in text]
         return pd.Series(model.score(np.array(rows).reshape(len(rows), len(STATISTICS))))
 
+    return score
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` that are predicted good; all rows without labels of both classes. Texts aren't shuffled."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
+    if model is None:
+        return docs
     plain = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*plain)
-    return rows.where(score(F.col(plain[docs.columns.index(text_col)])) >= THRESHOLD).toDF(*docs.columns)
+    return rows.where(_scorer(model)(F.col(plain[docs.columns.index(text_col)])) >= threshold).toDF(*docs.columns)
