@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,12 +104,44 @@ def training_labels(labels: DataFrame, label: str = "toxic", max_rows: int = MAX
     return materialise(known, "toxic-labels")
 
 
+SKETCHES, SHINGLE = 4, 3
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest hashes of each text's word shingles, under ``SKETCHES`` seeds."""
+    salts = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
+    for batch in batches:
+        for part in pieces(batch):
+            rows = []
+            for text in part.column("text").to_pylist():
+                words = fold(text or "")
+                shingles = [" ".join(words[i : i + SHINGLE]).encode() for i in range(max(1, len(words) - SHINGLE + 1))]
+                hashes = np.array([xxhash.xxh64_intdigest(x) for x in shingles], np.uint64)
+                rows.append([int((hashes * salt).min().view(np.int64)) for salt in salts])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "m"])
+
+
+def without_copies(labelled: DataFrame) -> DataFrame:
+    """doc_id of one text of each group of copies: the smallest id under every sketch it has.
+
+    Copies of a toxic text would make all its words look toxic. Near copies share
+    most sketches and other texts none, so a text stays if no smaller id has any
+    of its sketches. ``labelled`` (doc_id, text) has at most ``MAX_FIT_ROWS`` texts.
+    """
+    kind = labelled.schema["doc_id"].dataType.simpleString()
+    sketches = labelled.select("doc_id", "text").mapInArrow(_sketches, f"doc_id {kind}, m array<long>").select("doc_id", F.posexplode("m").alias("k", "h"))
+    first = sketches.groupBy("k", "h").agg(F.min("doc_id").alias("doc_id"))
+    return materialise(first.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= SKETCHES).select("doc_id"), "toxic-texts")
+
+
 def learn(docs: DataFrame, known: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]:
     """Weights of words that stand in significantly many toxic texts; ``docs`` has doc_id and text.
 
     ``known`` has at most about ``MAX_FIT_ROWS`` rows of 12 bytes, so it is
     broadcast; texts aren't shuffled, only their words' counts.
     """
+    labelled = docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    known = known.join(without_copies(labelled), "doc_id", "left_semi")
     totals = known.agg(F.sum("y"), F.count("*")).first()
     toxic, n = totals[0] or 0, totals[1]
     if not 0 < toxic < n:
