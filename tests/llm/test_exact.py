@@ -302,6 +302,17 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(cases.empty(spark)).collect() == [] and simhash.keep_one(cases.empty(spark)).collect() == []
 
 
+def test_keep_one_of_each_component(spark):
+    """Rows without an id and rows of one id in different components don't stand for each other."""
+    rng = random.Random(5)
+    alone = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(7)]
+    rows = [(None, alone[0], "a"), (None, alone[1], "a"), (None, alone[2], "a"), (9, alone[2], "a"), (3, alone[3], "a"), (3, alone[4], "a"), (2, alone[4], "b"), (3, alone[5], "a"), (3, alone[5], "a"), (3, alone[5], "b"), (None, alone[6], None), (None, alone[6], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted((t, i) for i, t, _ in got) == sorted(zip(alone, [None, None, 9, 3, 2, 3, None], strict=True))
+    assert Counter(got) == Counter(tuple(r) for r in simhash.keep_one(docs.repartition(7)).collect())
+
+
 def test_links_random_fingerprints(spark):
     """Clouds of near fingerprints and noise: the same components as all pairs, at every grid."""
     rng = random.Random(8)

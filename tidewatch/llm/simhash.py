@@ -26,7 +26,7 @@ from .common import materialise, pieces, take, texts
 from .components import components
 
 LOW_BITS = 0x5555555555555555
-#: Ids of dropped documents are broadcast up to this number (8 bytes each).
+#: Ids of dropped documents are broadcast up to this number (16 bytes each, with the hash of the row).
 BROADCAST_IDS = 1 << 21
 SEGMENTS, WORDS, SEED, DISTANCE = 32, 4, 42, 4
 #: Up to so many distinct fingerprints, this many blocks beyond ``distance``: more blocks, smaller cells.
@@ -50,17 +50,18 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; null and empty texts have fp 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED, **more: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every row; null and empty texts have fp 0. ``more``: columns to keep, as new_name=old_name."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 fps = np.array([fingerprint(t, words, seed) for t in texts(part)], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(fps)], [*kept, "fp"])
 
-    rows = take(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    kept = ["doc_id", *more]
+    rows = take(docs, doc_id=id_col, text=text_col, **more)
+    return rows.mapInArrow(scan, ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept], "fp long"]))
 
 
 def unary_counts(fp: Column) -> Column:
@@ -115,6 +116,15 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return stars.unionByName(across)
 
 
+def _components_of(prints: DataFrame, distance: int) -> DataFrame:
+    """of (a fingerprint), root, component_id for every fingerprint of ``prints``; only root is different for each component."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    roots = components(links(nodes, distance)).withColumnRenamed("node", "fp")
+    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return materialise(placed.join(smallest, "root").select(F.col("fp").alias("of"), "root", "component_id"), "simhash-components")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row; component_id is the smallest doc_id reachable over links.
 
@@ -123,11 +133,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     never is a component's smallest id unless all its ids are null.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "simhash-prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = components(links(nodes, distance)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = materialise(placed.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "simhash-components")
+    known = _components_of(prints, distance)
     return prints.join(known, prints["fp"] == known["of"]).select("doc_id", "fp", "component_id")
 
 
@@ -135,22 +141,33 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def row_hash(rows: DataFrame) -> Column:
+    """xxhash64 of all columns that can be hashed; nulls count by their place."""
+    plain = [f.name for f in rows.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*plain, *[F.isnull(c) for c in plain])
+
+
 def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component (its smallest id), with all columns of ``docs``.
+    """One row of each component, with all columns of ``docs``: the smallest by (id, nulls last, then hash of the row).
 
-    Rows with a null id go if their component has an id; otherwise one of them
-    stays. Rows that repeat an id are one document: one of them stays, if any does.
+    A row is known by its id and hash, so rows of one id in different components
+    don't stand for each other, and neither do rows without an id.
     """
-    found = near_duplicates(docs, distance, id_col, text_col)
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = materialise(found.groupBy(F.col("doc_id").alias("of")).agg(F.count_if(stays).alias("kept"), F.count("*").alias("n")), "simhash-ids")
-    gone = ids.where("kept = 0").select("of")
     plain = [f"c{i}" for i in range(len(docs.columns))]
-    key = plain[docs.columns.index(id_col)]
+    key, text = plain[docs.columns.index(id_col)], plain[docs.columns.index(text_col)]
     rows = docs.toDF(*plain)
-    # few ids: texts stay where they are; many: both sides are shuffled by id
+    rows = rows.withColumn("h", row_hash(rows))
+    prints = materialise(fingerprints(rows, key, text, h="h"), "simhash-prints")
+    known = _components_of(prints, distance)
+    found = prints.join(known, prints["fp"] == known["of"])
+    least = F.min(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), F.col("h").alias("h")))
+    stays = found.groupBy("root").agg(least.alias("m")).select(F.col("m.id").alias("s_id"), F.col("m.h").alias("s_h"), F.lit(True).alias("stays"))
+    ids = prints.groupBy(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")).agg(F.count("*").alias("n"))
+    ids = materialise(ids.join(stays, F.col("g_id").eqNullSafe(F.col("s_id")) & (F.col("g_h") == F.col("s_h")), "left").select("g_id", "g_h", "n", "stays"), "simhash-ids")
+    gone = ids.where("stays IS NULL").select("g_id", "g_h")
+    # few: texts stay where they are; many: both sides are shuffled by id and hash
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
-    rows = rows.join(gone, rows[key].eqNullSafe(F.col("of")), "left_anti")
-    if not ids.where("kept > 0 AND n > 1").isEmpty():
-        rows = rows.dropDuplicates([key])
-    return rows.toDF(*docs.columns)
+    rows = rows.join(gone, rows[key].eqNullSafe(F.col("g_id")) & (rows["h"] == F.col("g_h")), "left_anti")
+    if not ids.where("stays AND n > 1").isEmpty():
+        rows = rows.dropDuplicates([key, "h"])
+    return rows.select(*plain).toDF(*docs.columns)
