@@ -197,6 +197,36 @@ def test_near_duplicates_have_no_false_pair(spark):
     assert len(set(got) & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_near_duplicates_are_all_pairs(spark, seed):
+    """Near copies of many degrees, copies that differ in case and a passage in all texts: the same pairs as brute force."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(12)]
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(30, 200))] + passage
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6):
+            words = base[: len(base) - rng.randrange(4)]
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    texts += [texts[0].upper(), texts[9].replace(" ", ", "), "two words", "Two words", "one"]
+    got = [(r.a, r.b, r.similarity) for r in text.near_duplicates_of_all(docs(spark, *texts), "doc_id", "text").collect()]
+
+    def shingles(t):
+        w = t.lower().replace(",", "").split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets_, first = [shingles(t) for t in texts], {}
+    for i, s in enumerate(sets_):
+        first.setdefault(s, i)
+    want = [(first[s], i, 1.0) for i, s in enumerate(sets_) if first[s] != i]
+    heads = sorted(first.values())
+    want += [(i, j, v) for i in heads for j in heads if i < j and (v := len(sets_[i] & sets_[j]) / len(sets_[i] | sets_[j])) >= 0.8]
+    assert [(a, b) for a, b, _ in sorted(got)] == [(a, b) for a, b, _ in sorted(want)]
+    assert [v for *_, v in sorted(got)] == pytest.approx([v for *_, v in sorted(want)], abs=1e-6)
+
+
 def test_odd_inputs(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "a", 2.0)], "k long, s string, v double")
     nothing = rows.limit(0)

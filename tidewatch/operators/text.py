@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import signature, strip
 from ..sources.findings import parse_findings, walk_json
+from ..sources.scratch import work_folder
 from ..sources.text import explode_lines, extract_frontmatter
 
 # Fixed values of the document checks.
@@ -132,34 +133,70 @@ def error_diff(lines: DataFrame, split: Column, line: str = "line") -> DataFrame
     return counts.withColumn("change", change).where("change IS NOT NULL")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5, bands: int = 20, rows: int = 5) -> DataFrame:
-    """Pairs of different definitions whose word shingles have a Jaccard similarity of ``threshold`` or more.
+def _written(df: DataFrame, kind: str) -> DataFrame:
+    """Written to a work folder and read again, so that it is computed once."""
+    path = work_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Texts with equal shingles are reduced to one representative (the smallest
-    key) first, so copies never meet each other. MinHash bands give candidates,
-    the exact Jaccard similarity decides; a candidate pair has all ``rows`` minima of
-    some band in common, and shared frequent shingles alone make no pair.
-    """
+
+def _shingled(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """key, s: the distinct word shingles of each text that has words."""
     tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     n = F.size("t")
     shingle = F.when(n >= words, F.transform(F.sequence(F.lit(1), F.greatest(n - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, words), " ")))).otherwise(F.array(F.xxhash64(F.array_join("t", " "))))
-    docs = df.where(F.col(text).isNotNull()).select(key, tokens.alias("t")).where("size(t) > 0").select(key, F.array_distinct(shingle).alias("s"))
-    docs = docs.groupBy("s").agg(F.min(key).alias(key))
-
-    def smallest(salt: int) -> Column:
-        return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(salt))))
-
-    mins = F.array(*[smallest(i) for i in range(bands * rows)])
-    signed = docs.withColumn("m", mins)
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(b), F.slice("m", b * rows + 1, rows)) for b in range(bands)])).alias("band")
-    banded = signed.select(key, keys)
-    a, b = banded.withColumnRenamed(key, "a"), banded.withColumnRenamed(key, "b")
-    pairs = a.join(b, "band").where("a < b").select("a", "b").distinct()
+    found = df.where(F.col(text).isNotNull()).select(key, tokens.alias("t")).where("size(t) > 0").select(key, F.array_distinct(shingle).alias("s"))
+    return _written(found, "l7-shingles")
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """All pairs of different definitions whose word shingles have a Jaccard similarity of ``threshold`` or more.
+
+    Texts with equal shingles are reduced to one representative (the smallest
+    key) first, so copies never meet each other; ``representatives`` names them.
+    Candidates are exact: with shingles ordered by their number of texts, rare
+    first, a similar pair has a shingle in common among the first of each, and
+    neither size nor the places behind that shingle rule it out.
+    """
+    return _similar(_shingled(df, key, text, words), key, threshold)
+
+
+def _similar(shingled: DataFrame, key: str, threshold: float) -> DataFrame:
+    docs = _written(shingled.groupBy("s").agg(F.min(key).alias(key)), "l7-texts")
+    each = docs.select(key, F.explode("s").alias("x"))
+    often = each.groupBy("x").agg(F.count("*").alias("n"))
+    ordered = each.join(often, "x").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o")).withColumn("size", F.size("o"))
+    # a little below the threshold, so that rounding loses no pair; the similarity itself decides
+    t = F.lit(threshold - 1e-9)
+    first = F.slice("o", F.lit(1), F.col("size") - F.ceil(t * F.col("size")).cast("int") + 1)
+    heads = _written(ordered.select(key, "size", F.posexplode(first).alias("at", "e")).where("e.n > 1").select(F.col(key).alias("k"), "size", "at", "e.x"), "l7-heads")
+    a, b = heads.alias("a"), heads.alias("b")
+    behind = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    able = (F.least("a.size", "b.size") >= t * F.greatest("a.size", "b.size")) & (behind >= t / (1 + t) * (F.col("a.size") + F.col("b.size")))
+    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.k") < F.col("b.k")) & able).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
     sets = docs.select(key, "s")
     both = pairs.join(sets.withColumnRenamed(key, "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed(key, "b").withColumnRenamed("s", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     similar = common / (F.size("sa") + F.size("sb") - common)
-    return both.select("a", "b", F.round(similar, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    return both.select("a", "b", similar.alias("similarity")).where(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def representatives(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
+    """(key, representative) for every text with words: the smallest key with the same shingles, by which ``near_duplicates`` names it."""
+    return _named(_shingled(df, key, text, words), key)
+
+
+def _named(shingled: DataFrame, key: str) -> DataFrame:
+    least = shingled.groupBy("s").agg(F.min(key).alias("representative"))
+    return shingled.join(least, "s").select(key, "representative")
+
+
+def near_duplicates_of_all(df: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """The pairs of ``near_duplicates``, and each other text of equal shingles with its representative (a) at similarity 1."""
+    shingled = _shingled(df, key, text, words)
+    others = _named(shingled, key).where(F.col(key) != F.col("representative"))
+    stars = others.select(F.col("representative").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
+    return _similar(shingled, key, threshold).unionByName(stars)
 
 
 def complexity(df: DataFrame, key: str, text: str) -> DataFrame:

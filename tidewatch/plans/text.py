@@ -79,7 +79,7 @@ def l6(spark, folder):
 
 @query("l7_near_duplicates")
 def l7(spark, folder):
-    return text.near_duplicates(load(spark, folder, "documents"), "doc_id", "text")
+    return text.near_duplicates_of_all(load(spark, folder, "documents"), "doc_id", "text")
 
 
 @query(
