@@ -159,6 +159,16 @@ def test_levels_with_a_cycle(spark):
     assert [tuple(r) for r in graph.redundant_edges(e.where("src IN ('a', 'b')")).collect()] == [("a", "c")]
 
 
+def test_redundant_edges_query_takes_the_whole_graph(spark, monkeypatch):
+    from tidewatch.plans import graph as plans
+
+    taken = []
+    monkeypatch.setattr(plans.graph, "redundant_edges", lambda edges: taken.append(edges) or edges)
+    plans.g5(spark, "/root/testdata/sf0.001")
+    kinds = {tuple(r) for r in taken[0].select(F.split_part("src", F.lit(":"), F.lit(1)), F.split_part("dst", F.lit(":"), F.lit(1))).distinct().collect()}
+    assert {("region", "nation"), ("order", "part"), ("nation", "order")} <= kinds
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_concurrency_two_ways(spark, seed):
     rng = random.Random(seed)

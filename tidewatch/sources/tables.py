@@ -91,7 +91,10 @@ METRICS_SQL = """metrics AS (SELECT service AS series, CAST(year(ts) * 12 + mont
 
 
 def entity_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Lineage of keys, from source to use: region, nation, customer, order, part; nodes are kind:key."""
+    """Lineage of keys, from source to use: region, nation, customer, order, part; nodes are kind:key.
+
+    As in ``EDGES_SQL``, an order has the parts of its lines 1 only (README, known limits).
+    """
     key = lambda kind, column: F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
     nation, customer, orders, lines = (load(spark, folder, t) for t in ("nation", "customer", "orders", "lineitem"))
     parts = [
