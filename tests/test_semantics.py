@@ -141,6 +141,17 @@ def test_correlation_is_the_naive_join(spark, seed):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_all_overlap_pairs(spark, least):
+    """Two items in nearly all of 60 groups, more than the limit of 40, and some rare ones."""
+    rng = random.Random(least)
+    groups = {g: {i for i in (1, 2) if rng.random() < 0.8} | {rng.randrange(10, 60) for _ in range(rng.randrange(5))} for g in range(60)}
+    rows = [(g, i) for g, of in groups.items() for i in of] * 2 + [(1, None), (None, 1), (None, 2)]
+    got = joins.all_overlap_pairs(spark.createDataFrame(rows, "g long, i long"), "g", "i", least).collect()
+    want = {(a, b): n for a in groups for b in groups if a < b and (n := len(groups[a] & groups[b])) >= least}
+    assert {(r.a, r.b): r.shared for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_graphs_with_cycles(spark, seed):
     rng = random.Random(seed)

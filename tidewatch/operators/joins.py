@@ -71,7 +71,7 @@ def overlap_pairs(items: DataFrame, group: str, item: str, least: int, hot: int)
 
     An item of more than ``hot`` groups says nothing about two of them (``hot`` is
     the feature, like a stop word limit); such items are left out and are reported
-    by ``hot_items``.
+    by ``hot_items``. ``all_overlap_pairs`` has no such limit.
     """
     rows = items.select(group, item).distinct()
     few = rows.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") <= hot).drop("n")
@@ -80,6 +80,25 @@ def overlap_pairs(items: DataFrame, group: str, item: str, least: int, hot: int)
     return a.join(b, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+def all_overlap_pairs(items: DataFrame, group: str, item: str, least: int) -> DataFrame:
+    """Pairs of groups that share ``least`` items or more, with no limit on the groups of an item.
+
+    With items ordered by their number of groups, a pair that shares ``least`` has
+    one of them outside the last ``least - 1`` of each group. So each group leaves its
+    most frequent items out of the candidates, and a hot item makes pairs only where
+    a group has hotter ones; all items count in ``shared``.
+    """
+    rows = items.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g IS NOT NULL AND i IS NOT NULL").distinct()
+    often = rows.groupBy("i").agg(F.count("*").alias("n"))
+    ranked = rows.join(often.where("n > 1"), "i")
+    last = ranked.withColumn("back", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), F.desc("i")))).where(F.col("back") < least).select("g", "i")
+    heads = ranked.join(last, ["g", "i"], "left_anti").select("g", "i")
+    a, b = heads.withColumnRenamed("g", "a"), heads.withColumnRenamed("g", "b")
+    pairs = a.join(b, "i").where("a < b").select("a", "b").distinct()
+    both = pairs.join(rows.withColumnRenamed("g", "a"), "a").join(rows.withColumnRenamed("g", "b"), ["b", "i"])
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
 def hot_items(items: DataFrame, group: str, item: str, hot: int) -> DataFrame:
     return items.select(group, item).distinct().groupBy(item).agg(F.count("*").alias("groups")).where(F.col("groups") > hot)
 

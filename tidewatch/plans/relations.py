@@ -87,6 +87,15 @@ def j8(spark, folder):
     return joins.overlap_pairs(load(spark, folder, "lineitem"), "l_orderkey", "l_partkey", 2, 40)
 
 
+@query(
+    "j8_all_overlap_pairs",
+    """WITH r AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+    SELECT x.l_orderkey AS a, y.l_orderkey AS b, count(*) AS shared FROM r x JOIN r y ON x.l_partkey = y.l_partkey AND x.l_orderkey < y.l_orderkey GROUP BY 1, 2 HAVING count(*) >= 2""",
+)
+def j8_all(spark, folder):
+    return joins.all_overlap_pairs(load(spark, folder, "lineitem"), "l_orderkey", "l_partkey", 2)
+
+
 @query("j8_hot_items", "SELECT l_partkey, count(DISTINCT l_orderkey) AS groups FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 40")
 def j8_hot(spark, folder):
     return joins.hot_items(load(spark, folder, "lineitem"), "l_orderkey", "l_partkey", 40)
