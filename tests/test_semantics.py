@@ -164,6 +164,26 @@ def test_graphs_with_cycles(spark, seed):
     assert {r.node: r.depth for r in graph.reach(e, spark.createDataFrame([("n0",)], "node string")).collect()} == depth
 
 
+def test_long_chains_are_walked_to_the_end(spark):
+    """A chain of 56 edges, past the 50 rounds of before, and guards that fail instead of leaving nodes out."""
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 0.5) for i in range(56)], "src string, dst string, weight double").coalesce(1)
+    seed = spark.createDataFrame([("n0",)], "node string")
+    assert {r.node: r.depth for r in graph.reach(e, seed).collect()} == {f"n{i}": i for i in range(57)}
+    assert {r.node: r.effect for r in graph.impact(e, seed).collect()} == {f"n{i}": 0.5**i for i in range(57)}
+    for late in (lambda: graph.reach(e, seed, max_depth=3), lambda: graph.impact(e, seed, 3), lambda: graph.levels(e, 3), lambda: graph.critical_path(e, seed.withColumn("duration", F.lit(1.0)).unionByName(e.select(F.col("dst").alias("node"), F.lit(1.0).alias("duration"))), 3)):
+        with pytest.raises(RuntimeError, match="not done"):
+            late()
+
+
+def test_json_is_walked_to_the_end(spark):
+    rows = docs(spark, '{"a":' * 9 + '{"issue":1}' + "}" * 9, "[" * 8 + '{"b":{}}' + "]" * 8)
+    got = {(r.doc_id, r.path) for r in findings.walk_json(findings.parse_findings(rows, "doc_id", "text"), "doc_id").collect()}
+    assert got == {(0, "root" + ".a" * i) for i in range(10)} | {(1, "root" + "[0]" * 8), (1, "root" + "[0]" * 8 + ".b")}
+    assert [(r.path, r.problem) for r in text.check_findings(rows, "doc_id", "text").collect()] == [("root" + ".a" * 9, "missing: evidence, recommendation, severity")]
+    with pytest.raises(RuntimeError, match="deeper than 3"):
+        findings.walk_json(findings.parse_findings(rows, "doc_id", "text"), "doc_id", 3)
+
+
 def test_levels_with_a_cycle(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("y", "z")], "src string, dst string")
     assert {r.node: r.level for r in graph.levels(e).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": None}

@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut as _cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-"))
-    return df.checkpoint()
 
+def _rounds(most: int | None):
+    """1, 2, ... as long as a loop needs; a loop that isn't done after ``most`` rounds fails, so no node is left out."""
+    for k in count(1):
+        if most is not None and k > most + 1:
+            raise RuntimeError(f"not done after {most} rounds")
+        yield k
 
-def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int = 50) -> DataFrame:
+
+def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth) for every node reachable from a seed, with the least depth; seeds have depth 0.
 
     Only the last frontier is joined in a round and visited pairs are left out, so
-    cycles end. ``seeds`` has one column, node.
+    cycles end. ``seeds`` has one column, node. A frontier left after ``max_depth``
+    rounds is an error.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
     frontier = _cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in _rounds(max_depth):
         found = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
         frontier = _cut(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -35,11 +38,11 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth
     return seen
 
 
-def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(node, effect): the strongest product of edge weights from a seed; weights lie in (0, 1]. edges: src, dst, weight."""
+def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(node, effect): the strongest product of edge weights from a seed; weights lie in (0, 1]. edges: src, dst, weight. More than ``max_depth`` rounds raise."""
     best = _cut(seeds.select("node").distinct().withColumn("effect", F.lit(1.0)))
     frontier = best
-    for _ in range(max_depth):
+    for _ in _rounds(max_depth):
         moved = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("effect") * F.col("weight")).alias("effect"))
         old = best.withColumnRenamed("effect", "was")
         better = moved.join(old, "node", "left").where("was IS NULL OR effect > was").select("node", "effect")
@@ -50,7 +53,7 @@ def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame
     return best
 
 
-def root_failure(edges: DataFrame, status: DataFrame, max_depth: int = 50) -> DataFrame:
+def root_failure(edges: DataFrame, status: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, root): failing nodes with their deepest failing ancestors. status: node, failing."""
     bad = status.where("failing").select("node").distinct()
     broken = _cut(edges.join(bad.withColumnRenamed("node", "src"), "src").join(bad.withColumnRenamed("node", "dst"), "dst").select("src", "dst").distinct())
@@ -59,7 +62,7 @@ def root_failure(edges: DataFrame, status: DataFrame, max_depth: int = 50) -> Da
     return up.join(roots, "node").select(F.col("seed").alias("node"), F.col("node").alias("root"), "depth")
 
 
-def levels(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, level): the longest path from a source in edges; nodes on or behind a cycle have level null.
 
     Nodes leave in rounds once all their predecessors have left.
@@ -67,8 +70,8 @@ def levels(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
     left = _cut(edges.select("src", "dst").distinct())
     nodes = _cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
     out = None
-    for level in range(max_depth):
-        ready = _cut(nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
+    for level in _rounds(max_depth):
+        ready = _cut(nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level - 1)))
         if ready.isEmpty():
             break
         out = ready if out is None else out.unionByName(ready)
@@ -79,10 +82,10 @@ def levels(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
 
 
 def critical_path(edges: DataFrame, durations: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(node, finish): the earliest finish of each node of a DAG: its duration after the latest predecessor. durations: node, duration."""
+    """(node, finish): the earliest finish of each node of a DAG: its duration after the latest predecessor. durations: node, duration. More than ``max_depth`` rounds, or a cycle, raise."""
     best = _cut(durations.select("node", "duration", F.col("duration").alias("finish")))
     frontier = best.select("node", "finish")
-    for _ in range(max_depth):
+    for _ in _rounds(max_depth):
         came = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("finish").alias("before"))
         later = _cut(best.join(came, "node").where(F.col("before") + F.col("duration") > F.col("finish")).select("node", (F.col("before") + F.col("duration")).alias("finish")))
         if later.isEmpty():
@@ -100,7 +103,7 @@ def slack(edges: DataFrame, durations: DataFrame) -> DataFrame:
     return forward.join(back, "node").select("node", "finish", (end - (F.col("finish") + F.col("tail") - F.col("duration"))).alias("slack"))
 
 
-def redundant_edges(edges: DataFrame, max_depth: int = 50) -> DataFrame:
+def redundant_edges(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Edges of a DAG that a longer path implies: src reaches dst from another successor.
 
     Each edge looks ahead only from the other successors of its source.

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Nesting levels that are unrolled; deeper objects are reported by ``too_deep``.
-DEPTH = 6
+from .scratch import cut
+
+#: A guard: JSON nested deeper than this is an error, never left out.
+DEPTH = 1000
 
 
 def parse_findings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -26,12 +28,16 @@ def _level(rows: DataFrame, key: str) -> DataFrame:
 
 
 def walk_json(parsed: DataFrame, key: str, depth: int = DEPTH) -> DataFrame:
-    """key, path, value of every object at any of ``depth`` levels; paths look like ``root.a[0].b``."""
+    """key, path, value of every object at any level; paths look like ``root.a[0].b``. More than ``depth`` levels raise."""
     level = parsed.where("value IS NOT NULL").select(key, F.lit("root").alias("path"), "value")
     found = [level]
-    for _ in range(depth):
-        level = _level(level, key)
+    for _ in range(depth + 1):
+        level = cut(_level(level, key))
+        if level.isEmpty():
+            break
         found.append(level)
+    else:
+        raise RuntimeError(f"JSON is nested deeper than {depth} levels")
     every = reduce(DataFrame.unionByName, found)
     return every.where(F.schema_of_variant("value").startswith("OBJECT"))
 
