@@ -49,19 +49,34 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
-def simhash(text):
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return 0
-    shingles = [b" ".join(tokens[i : i + 4]) for i in range(max(1, len(tokens) - 3))]
-    hashes = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype="<u8")
+def majority(hashes):
     ones = [int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes))
 
 
-def simhash_components(rows, distance=4):
-    """component id by position of the row."""
-    prints = [simhash(t) for _, t, *_ in rows]
+def shingles(text, n):
+    tokens = (text or "").encode().lower().split()
+    return [b" ".join(tokens[i : i + n]) for i in range(max(1, len(tokens) - n + 1))] if tokens else []
+
+
+def simhash(text):
+    return (majority(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, 4)], dtype="<u8")),)
+
+
+def similar_prints(text):
+    """Fingerprint of the set of words, and 256 bits over the set of five-word shingles."""
+    words, runs = (np.array([xxhash.xxh64_intdigest(s, 42) for s in sorted(set(shingles(text, n)))], dtype="<u8") for n in (1, 5))
+    wide = []
+    for k in range(4):
+        h = (runs ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        wide.append(majority(h ^ (h >> np.uint64(32))))
+    return majority(words), *wide
+
+
+def simhash_components(rows, distance=4, prints_of=simhash, wide_distance=44):
+    """Fingerprints and component ids by position of the row."""
+    prints = [prints_of(t) for _, t, *_ in rows]
     parent = {f: f for f in prints}
 
     def find(f):
@@ -72,13 +87,13 @@ def simhash_components(rows, distance=4):
     known = sorted(parent)
     for i, a in enumerate(known):
         for b in known[i + 1 :]:
-            if (a ^ b).bit_count() <= distance:
+            if (a[0] ^ b[0]).bit_count() <= distance and sum((x ^ y).bit_count() for x, y in zip(a[1:], b[1:], strict=True)) <= wide_distance:
                 parent[find(a)] = find(b)
     best = {}
     for (doc_id, *_), f in zip(rows, prints, strict=True):
         if doc_id is not None:
             best[find(f)] = min(best.get(find(f), doc_id), doc_id)
-    return prints, [best.get(find(f)) for f in prints]
+    return [f[0] for f in prints], [best.get(find(f)) for f in prints]
 
 
 def contamination(rows, items, window=13):

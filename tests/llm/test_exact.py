@@ -313,7 +313,7 @@ def test_keep_one_of_each_component(spark):
     assert Counter(got) == Counter(tuple(r) for r in simhash.keep_one(docs.repartition(7)).collect())
 
 
-def test_links_random_fingerprints(spark):
+def test_links_random_fingerprints(spark, monkeypatch):
     """Clouds of near fingerprints and noise: the same components as all pairs, at every grid."""
     rng = random.Random(8)
     fps = {rng.getrandbits(64) for _ in range(300)}
@@ -324,7 +324,7 @@ def test_links_random_fingerprints(spark):
                 f ^= 1 << rng.randrange(64)
             fps.add(f)
     signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
-    nodes = spark.createDataFrame([(f,) for f in signed], "fp long").cache()
+    nodes = spark.createDataFrame([(f, f) for f in signed], "node long, fp long").cache()
     parent = {f: f for f in signed}
 
     def find(f):
@@ -337,18 +337,46 @@ def test_links_random_fingerprints(spark):
             if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
                 parent[find(a)] = find(b)
     expected = {frozenset(f for f in signed if find(f) == r) for r in {find(f) for f in signed}}
-    for extra in (1, 2, 4):
-        old, simhash.BLOCKS = simhash.BLOCKS, ((1 << 62, extra),)
-        try:
-            roots = dict(map(tuple, components.components(simhash.links(nodes)).collect()))
-        finally:
-            simhash.BLOCKS = old
+    for extra, at_once, hot in ((1, 1 << 27, 1 << 20), (2, 4000, 0), (4, 1 << 27, 3)):
+        monkeypatch.setattr(simhash, "BLOCKS", ((1 << 62, extra),))
+        monkeypatch.setattr(simhash, "ROWS_AT_ONCE", at_once)
+        monkeypatch.setattr(simhash, "HOT_PAIRS", hot)
+        roots = dict(map(tuple, components.components(simhash.links(nodes)).collect()))
         groups = defaultdict(set)
         for f in signed:
             groups[roots.get(f, f)].add(f)
         assert {frozenset(g) for g in groups.values()} == expected
 
 
+def test_similar_texts_stay_once(spark):
+    """Edited copies of a similarity of 0.8 or more are mostly found, less similar texts (below 0.6) never linked."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts, similar, apart = [], [], []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(120, 400))]
+        copy, changed = list(base), list(base)
+        for _ in range(rng.randrange(1, max(2, len(base) // 50))):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        for _ in range(len(base) // 8):
+            changed[rng.randrange(len(changed))] = rng.choice(words)
+        texts += [" ".join(base), " ".join(copy), " ".join(changed)]
+
+    def likeness(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    for i in range(0, len(texts), 3):
+        similar += [(i, i + 1)] if likeness(texts[i], texts[i + 1]) >= 0.8 else []
+        apart += [(i, i + 2)] if likeness(texts[i], texts[i + 2]) < 0.6 else []
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.SIMILAR).collect()}
+    _, expected = cases.simhash_components(list(enumerate(texts)), 6, cases.similar_prints)
+    assert [root[i] for i in range(len(texts))] == expected
+    assert len(similar) > 40 and sum(root[a] == root[b] for a, b in similar) >= 0.9 * len(similar)
+    assert len(apart) > 40 and not any(root[a] == root[b] for a, b in apart)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 5000)]
     roots = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))

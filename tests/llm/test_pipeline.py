@@ -19,7 +19,7 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         after = [r.doc_id for r in docs.collect()]
         if name == "near_duplicates":
-            _, roots = cases.simhash_components(before)
+            _, roots = cases.simhash_components(before, 6, cases.similar_prints)
             assert sorted(after) == sorted(set(roots))
         if name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]

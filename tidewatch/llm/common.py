@@ -15,19 +15,28 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders made by each Spark application and not yet deleted.
+_MADE: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder name in the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests, notebooks) a local folder is made and set once.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a local
+    folder is made and set once if Spark runs in one machine (tests, notebooks);
+    on a cluster, whose executors couldn't read it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
         base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/tidewatch/{kind}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tidewatch/{kind}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, kind: str) -> DataFrame:
@@ -35,7 +44,31 @@ def materialise(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``materialise`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all work folders of this application; call it once the results are consumed."""
+    for path in list(_MADE.get(spark.sparkContext.applicationId, [])):
+        _delete(spark, path)
 
 
 def take(df: DataFrame, **columns: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -27,15 +27,17 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         step = both.groupBy(F.col("a").alias("node")).agg(lowest.alias("m")).select("node", F.when(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("n")) < F.col("m"), F.col("node")).otherwise(F.col("m.n")).alias("root"))
         step = materialise(step, "step")
         to = lambda name: step.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-        left = materialise(
+        done, left = left, materialise(
             left.join(to("a"), "a").join(to("b"), "b").where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(),
             "edges",
         )
+        release(done)
         if moved is None:
             moved = step
         else:
             onward = step.select(F.col("node").alias("at"), F.col("root").alias("next"))
-            moved = materialise(moved.join(onward, moved["root"] == onward["at"], "left").select("node", F.coalesce("next", "root").alias("root")), "moved")
+            old, moved = moved, materialise(moved.join(onward, moved["root"] == onward["at"], "left").select("node", F.coalesce("next", "root").alias("root")), "moved")
+            release(old, step)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return moved if moved is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))

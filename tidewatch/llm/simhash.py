@@ -9,11 +9,16 @@ The range join "distance at most d" uses a grid: the 32 dimensions form ``b``
 blocks, and two embeddings within d differ in at most d blocks, so they agree on
 some ``b - d`` of them. Each choice of blocks is one grid; its cells are the
 counts in those blocks.
+
+A link may ask for more than near fingerprints: with wide prints (SimHash of 256 bits
+over other shingles) it is also checked exactly that these differ in few bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces, take, texts
+from .common import materialise, pieces, release, take, texts
 from .components import components
 
 LOW_BITS = 0x5555555555555555
@@ -31,37 +36,102 @@ BROADCAST_IDS = 1 << 21
 SEGMENTS, WORDS, SEED, DISTANCE = 32, 4, 42, 4
 #: Up to so many distinct fingerprints, this many blocks beyond ``distance``: more blocks, smaller cells.
 BLOCKS = ((1 << 14, 1), (1 << 22, 2), (1 << 28, 3), (1 << 62, 4))
+#: Rows of all grids that are placed at once, and comparisons of a cell from which it is split.
+ROWS_AT_ONCE, HOT_PAIRS = 1 << 27, 1 << 20
+WIDE = ("w0", "w1", "w2", "w3")
+_SALTS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """SimHash over all word shingles; a bit is set if more than half the shingle hashes have it."""
+@dataclass(frozen=True)
+class Likeness:
+    """When two texts link: fingerprints over ``words``-word shingles (``distinct``: repeats count once) within ``distance``.
+
+    With ``wide_words``, wide prints over the distinct shingles of so many words must be within ``wide_distance`` of 256 bits too.
+    """
+
+    words: int = WORDS
+    distance: int = DISTANCE
+    distinct: bool = False
+    wide_words: int = 0
+    wide_distance: int = 0
+    seed: int = SEED
+
+
+#: For shingles of five words and a similarity of 0.8: wide prints of such texts differ in 39 bits on average. Fingerprints of
+#: the set of words change least from one copy to the next, so few differing bits find nearly all of them.
+SIMILAR = Likeness(words=1, distance=6, distinct=True, wide_words=5, wide_distance=44)
+
+
+def _hashes(text: bytes, words: int, seed: int, distinct: bool) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles (fewer words: the whole sequence; none: nothing), in blocks; distinct ones in one block."""
     tokens = text.lower().split()  # ASCII only: A-Z and the six ASCII spaces
     if not tokens:
-        return 0
+        return
+    digest = xxhash.xxh64_intdigest
+    if distinct and words == 1:
+        yield np.array([digest(w, seed) for w in set(tokens)], dtype="<u8")
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     lasts = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
-    n, digest, votes = len(lasts), xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        spans = zip(starts[at : min(n, at + (1 << 16))].tolist(), lasts[at : at + (1 << 16)].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], dtype="<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    blocks = []
+    for at in range(0, len(lasts), 1 << 16):
+        spans = zip(starts[at : min(len(lasts), at + (1 << 16))].tolist(), lasts[at : at + (1 << 16)].tolist(), strict=True)
+        blocks.append(np.array([digest(joined[a:b], seed) for a, b in spans], dtype="<u8"))
+        if not distinct:
+            yield blocks.pop()
+    if distinct:
+        yield np.unique(np.concatenate(blocks))
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
+    """SimHash over all word shingles; a bit is set if more than half the shingle hashes have it."""
+    n, votes = 0, np.zeros(64, np.int64)
+    for hashes in _hashes(text, words, seed, distinct):
+        n += len(hashes)
+        votes += _votes(hashes)
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED, **more: str) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; null and empty texts have fp 0. ``more``: columns to keep, as new_name=old_name."""
+def wide_print(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """SimHash of 256 bits over the distinct word shingles, as four words; each shingle's hash is mixed under four salts."""
+    n, votes = 0, np.zeros((len(WIDE), 64), np.int64)
+    for hashes in _hashes(text, words, seed, True):
+        n += len(hashes)
+        for at in range(0, len(hashes), 1 << 16):
+            for k, salt in enumerate(_SALTS):
+                h = (hashes[at : at + (1 << 16)] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                votes[k] += _votes(h ^ (h >> np.uint64(32)))
+    return np.packbits(votes * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = Likeness(), **more: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and node of every row, and the wide print if ``like`` has one.
+
+    Null and empty texts have bits zero. ``node`` names a fingerprint with its
+    wide print: the fingerprint itself, or a 64-bit hash of both. ``more``: columns to
+    keep, as new_name=old_name.
+    """
+    kept, wide = ["doc_id", *more], WIDE if like.wide_words else ()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                fps = np.array([fingerprint(t, words, seed) for t in texts(part)], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(fps)], [*kept, "fp"])
+                some = texts(part)
+                columns = [np.array([fingerprint(t, like.words, like.seed, like.distinct) for t in some], np.uint64)]
+                if wide:
+                    columns += list(np.array([wide_print(t, like.wide_words, like.seed) for t in some], np.uint64).T)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]], [*kept, "fp", *wide])
 
-    kept = ["doc_id", *more]
     rows = take(docs, doc_id=id_col, text=text_col, **more)
-    return rows.mapInArrow(scan, ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept], "fp long"]))
+    schema = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept], *[f"{c} long" for c in ("fp", *wide)]])
+    return rows.mapInArrow(scan, schema).withColumn("node", F.xxhash64("fp", *wide) if wide else F.col("fp"))
 
 
 def unary_counts(fp: Column) -> Column:
@@ -80,61 +150,90 @@ def grid_masks(blocks: int, chosen: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) edges whose components are those of all pairs of ``fp`` within ``distance``.
+def links(nodes: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """(a, b) edges whose components are those of all pairs of ``nodes`` (node, fp, and wide prints) that ``like`` links.
 
     First each cell links its members to its smallest one, where near enough.
     The components of these stars then stand for their members: the grid join
-    compares only fingerprints of different components, so a large group of
-    near copies isn't expanded into all its pairs.
+    compares only fingerprints of different components, and of a cell's largest
+    component only with the others, so a large group of near copies isn't expanded
+    into its pairs. A cell with many comparisons left is split by further segments:
+    two members within ``distance`` agree on all segments of one of ``distance + 1``
+    classes. Grids are placed together as long as that is ``ROWS_AT_ONCE`` rows.
     """
-    n = nodes.count()
+    n, prints = nodes.count(), ["fp", *(WIDE if like.wide_words else ())]
     extra = next(k for most, k in BLOCKS if n <= most)
-    masks = grid_masks(distance + extra, extra)
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.col("u").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)]))
-    placed = nodes.select("fp", unary_counts(F.col("fp")).alias("u")).select("fp", "u", cells.alias("c")).select("fp", "u", "c.grid", "c.cell")
-    heads = placed.groupBy("grid", "cell").agg(F.min("fp").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
-    shared = materialise(placed.join(heads, ["grid", "cell"]), "simhash-cells")
+    masks = list(enumerate(grid_masks(like.distance + extra, extra)))
+    at_once = max(1, ROWS_AT_ONCE // max(n, 1))
+    turns = [masks[i : i + at_once] for i in range(0, len(masks), at_once)]
 
-    def near(a: str, b: str) -> Column:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    def placed(rows: DataFrame, some: list[tuple[int, int]]) -> DataFrame:
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.col("u").bitwiseAND(F.lit(m)).alias("cell")) for i, m in some]))
+        return rows.withColumn("c", cells).select(*rows.columns, "c.grid", "c.cell")
 
-    stars = shared.where((F.col("fp") != F.col("head")) & near("fp", "head")).select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = materialise(stars, "simhash-stars")
+    def near(a: str, b: str) -> Column:
+        def apart(c: str) -> Column:
+            return F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+
+        fine = apart("fp") <= like.distance
+        return fine & (reduce(Column.__add__, [apart(c) for c in WIDE]) <= like.wide_distance) if like.wide_words else fine
+
+    embedded = nodes.withColumn("u", unary_counts(F.col("fp")))
+    found = []
+    for some in turns:
+        here = placed(embedded, some)
+        heads = here.groupBy("grid", "cell").agg(F.min(F.struct("node", *prints)).alias("h"), F.count("*").alias("members")).where("members > 1").drop("members")
+        met = here.select("grid", "cell", F.struct("node", *prints).alias("m")).join(heads, ["grid", "cell"])
+        found.append(materialise(met.where((F.col("m.node") != F.col("h.node")) & near("m", "h")).select(F.col("h.node").alias("a"), F.col("m.node").alias("b")).distinct(), "simhash-stars"))
+    stars = reduce(DataFrame.unionByName, found)
     roots = components(stars)
-    known = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).select("grid", "cell", "fp", "u", "comp")
-    known = materialise(known, "simhash-known")
-    x, y = known.alias("x"), known.alias("y")
-    on = (
-        (F.col("x.grid") == F.col("y.grid"))
-        & (F.col("x.cell") == F.col("y.cell"))
-        & (F.col("x.comp") < F.col("y.comp"))
-        & (F.bit_count(F.col("x.u").bitwiseXOR(F.col("y.u"))) <= distance)  # Manhattan distance: the lower bound
-        & near("x.fp", "y.fp")
-    )
-    across = x.join(y, on).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct()
-    return stars.unionByName(across)
-
-
-def _components_of(prints: DataFrame, distance: int) -> DataFrame:
-    """of (a fingerprint), root, component_id for every fingerprint of ``prints``; only root is different for each component."""
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = components(links(nodes, distance)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = materialise(embedded.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).select("comp", "u", *prints), "simhash-known")
+
+    classes = [sum(3 << 2 * s for s in range(k, SEGMENTS, like.distance + 1)) for k in range(like.distance + 1)]
+    classes = [m - (1 << 64) if m >= 1 << 63 else m for m in classes]
+    split = F.array(*[F.xxhash64(F.lit(k), F.col("u").bitwiseAND(F.lit(m))) for k, m in enumerate(classes)])
+    for some in turns:
+        here = placed(known, some)
+        sizes = here.groupBy("grid", "cell", "comp").agg(F.count("*").alias("n")).groupBy("grid", "cell")
+        cells = sizes.agg(F.count("*").alias("comps"), F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1")
+        cells = cells.select("grid", "cell", F.col("most.comp").alias("most"), (F.col("members") * (F.col("members") - F.col("most.n")) > HOT_PAIRS).alias("hot"))
+        rows = here.join(cells, ["grid", "cell"]).withColumn("part", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.lit(0).cast("long"))))).drop("hot")
+        rows = materialise(rows, "simhash-cells")
+        x, y = rows.where("comp <> most").alias("x"), rows.alias("y")
+        on = (
+            (F.col("x.grid") == F.col("y.grid"))
+            & (F.col("x.cell") == F.col("y.cell"))
+            & (F.col("x.part") == F.col("y.part"))
+            & (F.col("x.comp") != F.col("y.comp"))
+            & ((F.col("y.comp") == F.col("y.most")) | (F.col("x.comp") < F.col("y.comp")))
+            & (F.bit_count(F.col("x.u").bitwiseXOR(F.col("y.u"))) <= like.distance)  # Manhattan distance: the lower bound
+            & near("x", "y")
+        )
+        found.append(materialise(x.join(y, on).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct(), "simhash-across"))
+        release(rows)
+    release(known)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _components_of(prints: DataFrame, like: Likeness) -> DataFrame:
+    """of (a node), root, component_id for every node of ``prints``; only root is different for each component."""
+    nodes = materialise(prints.groupBy("node", "fp", *(WIDE if like.wide_words else ())).agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    roots = components(links(nodes.drop("first_id"), like))
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return materialise(placed.join(smallest, "root").select(F.col("fp").alias("of"), "root", "component_id"), "simhash-components")
+    return materialise(placed.join(smallest, "root").select(F.col("node").alias("of"), "root", "component_id"), "simhash-components")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row; component_id is the smallest doc_id reachable over links.
 
     Null and empty texts have fingerprint zero and link like any other. Repeated
     rows and equal fingerprints are one node. A null doc_id keeps its row; it
     never is a component's smallest id unless all its ids are null.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col), "simhash-prints")
-    known = _components_of(prints, distance)
-    return prints.join(known, prints["fp"] == known["of"]).select("doc_id", "fp", "component_id")
+    prints = materialise(fingerprints(docs, id_col, text_col, like), "simhash-prints")
+    known = _components_of(prints, like)
+    return prints.join(known, prints["node"] == known["of"]).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -147,19 +246,20 @@ def row_hash(rows: DataFrame) -> Column:
     return F.xxhash64(*plain, *[F.isnull(c) for c in plain])
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all columns of ``docs``: the smallest by (id, nulls last, then hash of the row).
 
     A row is known by its id and hash, so rows of one id in different components
-    don't stand for each other, and neither do rows without an id.
+    don't stand for each other, and neither do rows without an id. Null and empty
+    texts are one component.
     """
     plain = [f"c{i}" for i in range(len(docs.columns))]
     key, text = plain[docs.columns.index(id_col)], plain[docs.columns.index(text_col)]
     rows = docs.toDF(*plain)
     rows = rows.withColumn("h", row_hash(rows))
-    prints = materialise(fingerprints(rows, key, text, h="h"), "simhash-prints")
-    known = _components_of(prints, distance)
-    found = prints.join(known, prints["fp"] == known["of"])
+    prints = materialise(fingerprints(rows, key, text, like, h="h"), "simhash-prints")
+    known = _components_of(prints, like)
+    found = prints.join(known, prints["node"] == known["of"])
     least = F.min(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), F.col("h").alias("h")))
     stays = found.groupBy("root").agg(least.alias("m")).select(F.col("m.id").alias("s_id"), F.col("m.h").alias("s_h"), F.lit(True).alias("stays"))
     ids = prints.groupBy(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")).agg(F.count("*").alias("n"))
