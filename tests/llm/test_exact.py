@@ -412,6 +412,70 @@ def test_mix_tilts_and_empty(spark):
     assert all(counts[i] == c for i, c in copies.items() if i not in (None, 8))
 
 
+def test_mix_by_rows(spark):
+    """Null ids and ids with several texts are rated row by row, and every source meets its target."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, None, 1, 2, i]), " ".join("w" * rng.randrange(1, 60)), rng.choice(["a", "b", "c", "d", None])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, target = cases.targets(rows)
+    copies = Counter(tuple(r) for r in mixing.apply_mix(docs).collect())
+    assert copies == Counter(tuple(r) for r in mixing.apply_mix(docs.repartition(5)).collect())
+    had, taken = Counter(rows), Counter()
+    for (i, text, source), n in copies.items():
+        assert n <= 2 * had[i, text, source]
+        taken[source] += n * len(cases.RUN.findall(text))
+    assert all(abs(taken[s] - target[s]) <= 60 for s in target)
+
+
+def test_mix_ties_do_not_depend_on_order(spark):
+    """Rows of one id with sizes of one class: the larger and the smaller one keep their copies on every run."""
+    rows = [(i % 3 or None, "w " * (1030 + i % 4), "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, *others = (Counter(map(str, mixing.mix(docs.repartition(n, "text") if n else docs).collect())) for n in (0, 3, 7))
+    assert all(o == first for o in others)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    sizes = {f"s{i:05d}": rng.randrange(1, 50) ** 3 for i in range(20_000)} | {None: 7}
+    classes = spark.createDataFrame([(s, n, n, 1) for s, n in sizes.items()], "source string, class long, tokens long, n long")
+    order = [*sorted(s for s in sizes if s is not None), None]
+    weight, budget, full = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()), set()
+    while True:
+        level = (budget - sum(2 * sizes[s] for s in full)) / sum(w for s, w in weight.items() if s not in full)
+        over = {s for s in order if s not in full and level * weight[s] >= 2 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    found = mixing.source_targets(classes).collect()
+    assert len(found) == len(sizes)
+    assert all(r.target == pytest.approx(2.0 * sizes[r.source] if r.source in full else level * weight[r.source]) for r in found)
+
+
+def test_rates_are_the_optimum(spark):
+    """The multipliers against bisection on the dual, and the rounds against a limit that is too small."""
+    rng = random.Random(6)
+    classes = [(s, c, n, c * n) for s in "abc" for c in rng.sample(range(1, 900), 30) for n in [rng.randrange(1, 9)]]
+    df = spark.createDataFrame(classes, "source string, class long, n long, tokens long").cache()
+    goals = mixing.source_targets(df)
+    target = {r.source: r.target for r in goals.collect()}
+    rates = {(r.source, r["class"]): r.rate for r in mixing.balance(df, goals).collect()}
+    for s in "abc":
+        mine = [(c, n, t) for x, c, n, t in classes if x == s]
+        size, docs = sum(t for *_, t in mine), sum(n for _, n, _ in mine)
+        if target[s] >= 2 * size:
+            assert all(rates[s, c] == 2 for c, *_ in mine)
+            continue
+        low, high = -100.0, 100.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            rate = {c: 2 / (1 + np.exp(-np.clip(lam * c / (size / docs), -60, 60))) for c, *_ in mine}
+            low, high = (lam, high) if sum(t * rate[c] for c, _, t in mine) < target[s] else (low, lam)
+        assert all(rates[s, c] == pytest.approx(rate[c], abs=1e-4) for c, *_ in mine)
+    with pytest.raises(RuntimeError):
+        mixing.balance(df, goals, rounds=1)
+
+
 # --- urls
 
 

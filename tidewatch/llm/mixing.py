@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, take
+from .common import materialise, release, row_hash
 
 #: Up to this many source states, they are broadcast to the size classes; beyond, Spark joins by source.
 BROADCAST_SOURCES = 100_000
@@ -38,29 +38,38 @@ def size_class(size: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", size, bits), bits)
 
 
+def _numbered(by_source: DataFrame) -> DataFrame:
+    """Adds ``turn``, the place of each source (by code point, null last) from 0; ranges are sorted apart, their counts carried."""
+    key = F.col("source").asc_nulls_last()
+    dealt = materialise(by_source.repartitionByRange(key).withColumn("range", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shuffle partition
+    bases = dealt.groupBy("range").agg(F.count("*").alias("held")).select("range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(key))
+    return dealt.join(F.broadcast(bases), "range").withColumn("turn", F.col("base") + place - 1).drop("range", "base")
+
+
 def source_targets(classes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, n_docs, target: weighted shares of ``share`` times all words, none above ``most`` times its size.
 
-    Sources go by code point, null last, and take the weights in turn. Resharing
-    the excess by weight until no target is above its limit ends at the water
-    level L for which ``sum(min(limit, L * weight))`` is the whole budget. With
-    sources in the order of limit / weight, the first k that are full fix L.
+    Sources go by code point, null last, and take the weights in turn. The excess
+    of full sources is reshared by weight until none is above its limit: a level L
+    with ``target = min(limit, L * weight)``. Each round is one aggregation over the
+    sources, and L rises until no further source is full.
     """
     by_source = classes.groupBy("source").agg(F.sum("tokens").alias("source_size"), F.sum("n").alias("n_docs"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    weighed = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(most))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, here_on = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    levels = weighed.select(
-        "*",
-        ((F.sum("source_size").over(everything) * float(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(here_on)).alias("level"),
-    )
-    # the source is full if the level reached with all smaller ones full is at or above its own limit
-    full = F.col("level") >= F.col("cap") / F.col("weight")
-    water = F.max(F.when(~full, F.col("level"))).over(everything)
-    return levels.select("source", "source_size", "n_docs", F.when(full, F.col("cap")).otherwise(F.least("cap", F.coalesce(water, F.col("level")) * F.col("weight"))).alias("target"))
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("turn", F.lit(len(weights))) + 1).cast("int"))
+    weighed = materialise(_numbered(by_source).withColumn("weight", pick).withColumn("cap", F.col("source_size") * float(most)), "mix-weights")
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        sums = weighed.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if sums[0] is None or not sums[2] or sums[3] == n_full:
+            break
+        n_full, level = sums[3], max(level, (sums[0] * float(share) - (sums[1] or 0.0)) / sums[2])
+    if sums[0] is not None and not sums[2]:
+        level = float("inf")
+    target = F.col("cap") if level == float("inf") else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
+    return weighed.select("source", "source_size", "n_docs", target.cast("double").alias("target"))
 
 
 def _rate(most: float) -> Column:
@@ -69,9 +78,12 @@ def _rate(most: float) -> Column:
     return F.when(F.col("target") >= F.col("source_size") * most, F.lit(float(most))).otherwise(F.lit(float(most)) / (1 + F.exp(-(F.lit(-math.log(most - 1)) + tilt))))
 
 
-def balance(classes: DataFrame, targets: DataFrame, most: float = MOST, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def balance(classes: DataFrame, targets: DataFrame, most: float = MOST, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """Adds ``rate`` to the classes: Newton on the dual, kept inside a bracket that every step narrows.
 
+    A source is done when its words are within ``tolerance`` of the target, or its
+    bracket is too narrow for doubles. Sources that are not done after ``rounds`` raise.
+
     The gradient of a source is its taken words minus its target, the Hessian
     the sum of ``tokens * x * rate * (1 - rate / most)``; both grow with the
     multiplier, so a step that leaves the bracket is replaced by its middle.
@@ -98,8 +110,8 @@ def balance(classes: DataFrame, targets: DataFrame, most: float = MOST, rounds:
         gap = F.col("got") - F.col("target")
         lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
         step = F.col("lam") - F.when(F.col("slope") > 0, gap / F.col("slope")).otherwise(F.lit(0.0))
-        fixed = (F.col("target") >= F.col("source_size") * most) | (F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0)))
-        state = materialise(
+        fixed = (F.col("target") >= F.col("source_size") * most) | (F.abs(gap) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))) | (hi - lo <= 1e-12 * F.greatest(F.lit(1.0), F.abs("lam")))
+        old, state = state, materialise(
             sums.select(
                 *cols,
                 F.when(fixed, F.col("lam")).when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2).alias("lam"),
@@ -109,8 +121,11 @@ def balance(classes: DataFrame, targets: DataFrame, most: float = MOST, rounds:
             ),
             "mix-state",
         )
+        release(old)
         if (state.agg(F.max("miss")).first()[0] or 0.0) == 0.0:
             break
+    else:
+        raise RuntimeError(f"source rates did not settle in {rounds} rounds")
     return joined(state).select("source", "class", "n", "tokens", *cols[1:], _rate(most).alias("rate"))
 
 
@@ -144,26 +159,42 @@ def mix(
     """doc_id, size, source, source_size, target, copies, taken of every row.
 
     ``copies`` is a whole number up to ``most`` and ``taken`` is ``copies * size``. Null
-    texts have size 0; a null source is a source, last in order. Rows that agree
-    in id, size and source are interchangeable: which of them gets the extra
-    copy doesn't change the result. Documents are ranked within salted cells, so
+    texts have size 0; a null source is a source, last in order. Extra copies go by
+    the hash of the whole row, so they don't depend on the order of rows, and only equal
+    rows tie. Documents are ranked within salted cells, so
     a source or class with a third of all rows isn't sorted in one task.
     """
-    sized = take(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    sized = materialise(sized.withColumn("class", size_class(F.col("size"))), "mix-sizes")
-    return _mix_sized(sized, weights, share, most)
+    rows, plain = _sized(docs, text_col, source_col)
+    sized = materialise(rows.select(F.col(plain[docs.columns.index(id_col)]).alias("doc_id"), "source", "size", "class", "h"), "mix-sizes")
+    return _deal(sized, sized, mix_plan(sized, weights, share, most)).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _sized(docs: DataFrame, text_col: str, source_col: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns c0, c1, ... and source, size, class and ``h``, the hash of the whole row by which rows are ordered."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*plain)
+    text, source = (F.col(plain[docs.columns.index(c)]) for c in (text_col, source_col))
+    h = row_hash(rows)
+    rows = rows.withColumn("source", source).withColumn("size", n_words(text)).withColumn("h", h)
+    return rows.withColumn("class", size_class(F.col("size"))), plain
 
 
-def _mix_sized(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+def mix_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """source, class, n, copies, source_size, target: how many copies each size class of a source gets. ``sized``: source, size, class."""
     classes = materialise(sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")), "mix-classes")
     rated = balance(classes, source_targets(classes, weights, share, most), most)
     schema = "class long, n long, copies long, source string, source_size long, target double"
-    plan = materialise(rated.groupBy("source").applyInPandas(lambda rows: _round_source(rows, most), schema), "mix-plan")
-    return _deal(sized, plan)
+    return materialise(rated.groupBy("source").applyInPandas(lambda rows: _round_source(rows, most), schema), "mix-plan")
 
 
-def _deal(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """Gives each class's copies to its documents: all get the quotient, the first ones of a hashed order one more."""
+def _deal(sized: DataFrame, rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with their copies: a class's rows all get the quotient, the first ones by ``h`` one more.
+
+    ``sized`` (a written table) and ``rows`` have source, class and h of the same rows;
+    ``rows`` may have more columns. Rows of equal h show the same, so it doesn't
+    matter which of them is first. Ranks are taken within cells of a class, cut by
+    h, and a cell begins where the cells before it end.
+    """
     side = plan.select(
         F.col("source").alias("of"),
         F.col("class").alias("of_class"),
@@ -173,32 +204,28 @@ def _deal(sized: DataFrame, plan: DataFrame) -> DataFrame:
         (F.col("copies") % F.col("n")).alias("extra"),
         F.greatest(F.lit(1), (F.col("n") / CELL_ROWS).cast("long")).alias("cells"),
     )
-    rows = (
-        sized.join(side, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class")))
-        .withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "source"), F.col("cells")))
-        .drop("of", "of_class", "cells")
-    )
+
+    def celled(rows: DataFrame) -> DataFrame:
+        here = rows.join(side, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class"))).drop("of", "of_class")
+        return here.withColumn("cell", F.pmod(F.xxhash64("h"), F.col("cells"))).drop("cells")
+
     before = Window.partitionBy("source", "class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        rows.groupBy("source", "class", "cell")
-        .agg(F.count("*").alias("n"))
-        .select(F.col("source").alias("in_source"), F.col("class").alias("in_class"), F.col("cell").alias("in_cell"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    )
-    within = Window.partitionBy("source", "class", "cell").orderBy(F.xxhash64("doc_id", F.lit("deal")), "doc_id")
-    ranked = rows.join(cells, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("class") == F.col("in_class")) & (F.col("cell") == F.col("in_cell"))).withColumn("rank", F.col("base") + F.row_number().over(within))
-    copies = F.col("each") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)
-    return ranked.select("doc_id", "size", "source", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    counts = celled(sized.select("source", "class", "h")).groupBy("source", "class", "cell").agg(F.count("*").alias("n"))
+    bases = counts.select(F.col("source").alias("in_source"), F.col("class").alias("in_class"), F.col("cell").alias("in_cell"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    counted = celled(rows).join(bases, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("class") == F.col("in_class")) & (F.col("cell") == F.col("in_cell")))
+    within = Window.partitionBy("source", "class", "cell").orderBy("h")
+    rank = F.col("base") + F.row_number().over(within)
+    return counted.withColumn("copies", (F.col("each") + F.when(rank <= F.col("extra"), 1).otherwise(0)).cast("long")).drop("each", "extra", "cell", "base", "in_source", "in_class", "in_cell")
 
 
-def apply_mix(docs: DataFrame, most: float = MOST, id_col: str = "doc_id", **options: str) -> DataFrame:
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents themselves, each as often as the mix takes it (columns as in ``docs``).
 
-    Ids must be unique here. Rows with a null id are matched among themselves by
-    no key and so are kept once each.
+    Every row is rated and copied by itself, so null and repeated ids are rows like
+    any other; null texts and sources as in ``mix``. Rows move once, to the cell in
+    which they are ranked.
     """
-    taken = mix(docs, most=most, id_col=id_col, **options).where(F.col("doc_id").isNotNull())
-    taken = taken.groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").cast("int").alias("mix_copies"))
-    plain = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*plain)
-    copied = rows.join(taken, rows[plain[docs.columns.index(id_col)]] == taken["mix_id"], "left").withColumn("mix_copy", F.explode(F.expr("array_repeat(0, coalesce(mix_copies, 1))")))
-    return copied.select(*plain).toDF(*docs.columns)
+    rows, plain = _sized(docs, text_col, source_col)
+    sized = materialise(rows.select("source", "size", "class", "h"), "mix-sizes")
+    dealt = _deal(sized, rows, mix_plan(sized, weights, share, most))
+    return dealt.withColumn("copy", F.explode(F.expr("array_repeat(0, cast(copies AS int))"))).select(*plain).toDF(*docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces, release, take, texts
+from .common import materialise, pieces, release, row_hash, take, texts
 from .components import components
 
 LOW_BITS = 0x5555555555555555
@@ -240,12 +240,6 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def row_hash(rows: DataFrame) -> Column:
-    """xxhash64 of all columns that can be hashed; nulls count by their place."""
-    plain = [f.name for f in rows.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    return F.xxhash64(*plain, *[F.isnull(c) for c in plain])
-
-
 def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all columns of ``docs``: the smallest by (id, nulls last, then hash of the row).
 
