@@ -484,15 +484,23 @@ def test_urls_against_sql(spark):
     assert compare.difference(registry.queries()["op10_urls"](spark, FOLDER), con, registry.oracle_sql()["op10_urls"]) is None
 
 
-def test_cascade_is_exact(spark):
-    rng = random.Random(2)
-    keys = [(f"host{i}.example", rng.random() < 0.2) for i in range(5000)]
-    df = spark.createDataFrame(keys, "key string, listed boolean").cache()
-    levels = urls.build_cascade(df, first_rate=0.3)
-    assert len(levels) > 3
-    assert df.withColumn("got", urls.cascade_column(spark, levels, df["key"])).where("got <> listed").count() == 0
-    assert urls.build_cascade(df, most_bytes=10) is None
-    assert urls.build_cascade(df.where("not listed")) == []
+@pytest.mark.parametrize("most", [1 << 20, 1 << 10])
+def test_cascade_is_exact(spark, most):
+    keys = spark.range(40_000).selectExpr("concat('host', id, '.example') AS key", "id % 5 = 0 AS listed").cache()
+    parts, n = urls.build_parts(keys, first_rate=0.3, part_keys=5000)
+    assert n == 8 and all(len(r.levels) > 3 for r in parts.collect())
+    assert urls.with_listed(keys.withColumnRenamed("listed", "expected"), "key", parts, n, most).where("listed <> expected").count() == 0
+    none, one = urls.build_parts(keys.where("not listed"))
+    assert not urls.with_listed(keys.select("key"), "key", none, one, most).where("listed").count()
+
+
+def test_a_million_hosts_within_a_bound(spark):
+    """A list of 10^6 hosts over a universe of 1.5 * 10^6: exactly the listed ones are blocked, in parts of bounded size."""
+    pages = spark.range(1_500_000).selectExpr("id AS page_id", "concat('http://H', id, '.test/x') AS url")
+    hosts = spark.range(500_000, 2_000_000).selectExpr("concat('h', id, '.TEST') AS host").where("host NOT LIKE '%7.TEST'")
+    found = urls.judge(pages, (), hosts, most_bytes=1 << 20, part_keys=200_000)
+    wrong = found.where("(verdict = 'block') <> (page_id >= 500000 AND page_id % 10 <> 7)")
+    assert wrong.count() == 0 and found.where("verdict = 'block'").count() == 900_000
 
 
 def test_listed_hosts_from_a_table(spark):

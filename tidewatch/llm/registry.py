@@ -88,7 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "op10_urls": rf"""
         WITH parts AS (
             SELECT page_id,
-                CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) ELSE '' END AS host,
+                CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
                 CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
             FROM pages),
         ruled AS (SELECT *, CASE {when} END AS fits FROM parts)
