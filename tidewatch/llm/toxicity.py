@@ -2,7 +2,8 @@
 
 Folding lower-cases a text and maps look-alike letters and digit substitutions
 to the letters they stand for. Words whose document counts in toxic texts are far
-above chance form the lexicon; a word's weight is its log-odds. A text's
+above chance form the lexicon; a word's weight is its log-odds. Pairs of words with
+a lexicon word that stand in clean texts far above chance are exception phrases. A text's
 weights are summed over all matches, less those inside exception phrases, divided by the
 logarithm of its length and turned into a probability by a logistic fit.
 """
@@ -10,25 +11,24 @@ logarithm of its length and turned into a probability by a logistic fit.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, materialise, pieces, take
+from .common import crc32_of_id, materialise, pieces, release, take
 
 HELD_OUT, FOLDS = 0, 5
 THRESHOLD = 0.5
-#: Bounds of the fit: labelled rows used, words of the lexicon, bins of the logistic fit.
-MAX_FIT_ROWS, MAX_WORDS, BINS = 200_000, 20_000, 1000
+#: Bounds of the fit: labelled rows used, bins of the logistic fit.
+MAX_FIT_ROWS, BINS = 200_000, 1000
 #: A word enters if chance would bring so many toxic texts for it less than once in this many vocabularies.
 VOCABULARIES = 100
-#: Phrases in which a word of the lexicon is meant otherwise (fixed values).
-EXCEPTIONS = ("class clown", "clown fish", "pond scum", "sore loser award", "trash bag", "trash bin", "trash can", "trash collection")
-#: Look-alike characters and what they stand for (fixed values).
+#: Look-alike characters and what they stand for.
 LOOKALIKES = {
     "a": "аαɑ@4", "b": "Ьь8", "c": "сϲ", "d": "ԁ", "e": "еεє3", "g": "ɡ9", "h": "һ", "i": "іιı1!|", "j": "ј", "k": "кκ", "l": "ӏⅼ", "m": "м",
     "n": "ո", "o": "оοσ0", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ5$", "t": "тτ7", "u": "υս", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγ", "z": "ᴢ2",
@@ -37,29 +37,26 @@ _TABLE = {ord(c): to for to, chars in LOOKALIKES.items() for c in chars if c not
 _TABLE |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 #: Signs that stand for letters only inside a word.
 _SIGNS = {"!": "i", "|": "i", "$": "s", "@": "a"}
+_LETTERS = str.maketrans(_SIGNS)
 #: ASCII characters that end a word.
 _BREAKS = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) not in _SIGNS}
+_ALL = _TABLE | _BREAKS
+_ASCII = bytes(ord(_ALL.get(ord(c), c)) for c in map(str.lower, map(chr, range(128)))) + bytes(range(128, 256))
 
 
 def fold(text: str) -> list[str]:
     """Words of a text with case, look-alikes and substitutions folded."""
-    words = text.lower().translate(_TABLE | _BREAKS).split()
+    words = (text.encode().translate(_ASCII).decode() if text.isascii() else text.lower().translate(_ALL)).split()
     if any(s in text for s in _SIGNS):
-        out = []
-        for w in words:
-            core = w.rstrip("!|$@").lstrip("!|")
-            for sign, letter in _SIGNS.items():
-                core = core.replace(sign, letter)
-            if core:
-                out.append(core)
-        return out
+        words = [w if w.isalnum() else w.rstrip("!|$@").lstrip("!|").translate(_LETTERS) for w in words]
+        return [w for w in words if w]
     return words
 
 
 class Lexicon:
     """Aho-Corasick automaton over words between spaces, with weights; exception phrases count against them."""
 
-    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
+    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = ()):
         import ahocorasick
 
         self.machine = ahocorasick.Automaton()
@@ -83,15 +80,41 @@ class Lexicon:
         return total / math.log(math.e + len(words))
 
 
+SKETCHES, SHINGLE, SAME = 8, 3, 5
+
+
+def sketches(words: list[str]) -> list[int]:
+    """The smallest hashes of a text's word shingles, under ``SKETCHES`` multipliers."""
+    shingles = {" ".join(words[i : i + SHINGLE]).encode() for i in range(max(1, len(words) - SHINGLE + 1))}
+    hashes = np.array([xxhash.xxh64_intdigest(x) for x in shingles], np.uint64)
+    return [int((hashes * salt).min().view(np.int64)) for salt in _SALTS]
+
+
+_SALTS = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
+
+
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct folded words of each text with the label, counted for each batch before they are shuffled."""
+    """doc_id, y, the folded text and its sketches: the one pass in which labelled texts are folded for the fit."""
     for batch in batches:
         for part in pieces(batch):
-            seen: dict[str, list[int]] = {}
-            for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
-                for w in set(fold(text or "")):
-                    seen.setdefault(w, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([c[1] for c in seen.values()], pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64())], ["word", "toxic", "clean"])
+            words = [fold(t or "") for t in part.column("text").to_pylist()]
+            columns = [part.column("doc_id"), part.column("y"), pa.array([" ".join(w) for w in words]), pa.array([sketches(w) for w in words], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "folded", "m"])
+
+
+def _counted(units_of) -> object:
+    """A scan that counts in how many toxic and clean texts each unit of ``units_of(words)`` stands, for each batch before the shuffle."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "folded"):
+                seen: tuple[Counter, Counter] = Counter(), Counter()
+                for folded, y in zip(part.column("folded").to_pylist(), part.column("y").to_pylist(), strict=True):
+                    seen[y].update(set(units_of(folded.split())))
+                units = list(seen[0] | seen[1])
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), *[pa.array([seen[y][u] for u in units], pa.int64()) for y in (1, 0)]], ["unit", "toxic", "clean"])
+
+    return scan
 
 
 def training_labels(labels: DataFrame, label: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> DataFrame:
@@ -104,65 +127,69 @@ def training_labels(labels: DataFrame, label: str = "toxic", max_rows: int = MAX
     return materialise(known, "toxic-labels")
 
 
-SKETCHES, SHINGLE = 4, 3
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The smallest hashes of each text's word shingles, under ``SKETCHES`` seeds."""
-    salts = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
-    for batch in batches:
-        for part in pieces(batch):
-            rows = []
-            for text in part.column("text").to_pylist():
-                words = fold(text or "")
-                shingles = [" ".join(words[i : i + SHINGLE]).encode() for i in range(max(1, len(words) - SHINGLE + 1))]
-                hashes = np.array([xxhash.xxh64_intdigest(x) for x in shingles], np.uint64)
-                rows.append([int((hashes * salt).min().view(np.int64)) for salt in salts])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "m"])
-
-
 def without_copies(labelled: DataFrame) -> DataFrame:
-    """doc_id of one text of each group of copies: the smallest id under every sketch it has.
+    """``labelled`` without the texts that share ``SAME`` or more of their ``SKETCHES`` sketches with one text of smaller id.
 
-    Copies of a toxic text would make all its words look toxic. Near copies share
-    most sketches and other texts none, so a text stays if no smaller id has any
-    of its sketches. ``labelled`` (doc_id, text) has at most ``MAX_FIT_ROWS`` texts.
+    Copies of a toxic text would make all its words look toxic. Each sketch is
+    compared with the smallest id that has it, so groups of copies aren't expanded.
     """
-    kind = labelled.schema["doc_id"].dataType.simpleString()
-    sketches = labelled.select("doc_id", "text").mapInArrow(_sketches, f"doc_id {kind}, m array<long>").select("doc_id", F.posexplode("m").alias("k", "h"))
-    first = sketches.groupBy("k", "h").agg(F.min("doc_id").alias("doc_id"))
-    return materialise(first.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= SKETCHES).select("doc_id"), "toxic-texts")
+    mine = labelled.select("doc_id", F.posexplode("m").alias("k", "s"))
+    first = mine.groupBy("k", "s").agg(F.min("doc_id").alias("first"))
+    copies = mine.join(first, ["k", "s"]).where("first < doc_id").groupBy("doc_id", "first").agg(F.count("*").alias("n")).where(F.col("n") >= SAME)
+    return labelled.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def learn(docs: DataFrame, known: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]:
-    """Weights of words that stand in significantly many toxic texts; ``docs`` has doc_id and text.
+def _beyond_chance(share: Column, base: float) -> Column:
+    """KL divergence of a share from the base: n times it is the logarithm of the Chernoff bound of the binomial tail."""
+    hit = F.when(share > 0, share * F.log(share / base)).otherwise(0.0)
+    return hit + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+
+
+def learn(docs: DataFrame, known: DataFrame) -> tuple[dict[str, float], tuple[str, ...]]:
+    """Weights of words that stand in significantly many toxic texts, and phrases that clear such words; ``docs`` has doc_id and text.
 
     ``known`` has at most about ``MAX_FIT_ROWS`` rows of 12 bytes, so it is
-    broadcast; texts aren't shuffled, only their words' counts.
+    broadcast; texts aren't shuffled, only counts. The test against chance bounds the
+    lexicon. A phrase is a pair of neighbours, one of them in the lexicon, that
+    stands in so many clean texts that chance would bring as many less than once in
+    ``VOCABULARIES`` vocabularies if its texts were as toxic as half of all.
     """
-    labelled = docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
-    known = known.join(without_copies(labelled), "doc_id", "left_semi")
-    totals = known.agg(F.sum("y"), F.count("*")).first()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    labelled = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
+    folded = materialise(labelled.mapInArrow(_folded, f"doc_id {kind}, y int, folded string, m array<long>"), "toxic-folded")
+    kept = materialise(without_copies(folded).select("y", "folded"), "toxic-kept")
+    release(folded)
+    totals = kept.agg(F.sum("y"), F.count("*")).first()
     toxic, n = totals[0] or 0, totals[1]
     if not 0 < toxic < n:
-        return {}
-    counts = docs.join(F.broadcast(known), "doc_id").select("text", "y").mapInArrow(_folded, "word string, toxic long, clean long")
-    words = materialise(counts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")), "toxic-words")
-    vocabulary = words.count()
-    base, share = toxic / n, F.col("t") / (F.col("t") + F.col("c"))
-    # Chernoff bound of the binomial tail: n * KL(share, base) above the logarithm of vocabularies
-    kl = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+        return {}, ()
+    schema = "unit string, toxic long, clean long"
+
+    def sums(units_of, name: str) -> DataFrame:
+        counts = kept.mapInArrow(_counted(units_of), schema).groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+        return materialise(counts.withColumn("share", F.col("t") / (F.col("t") + F.col("c"))), name)
+
+    words = sums(set, "toxic-words")
+    bar = math.log(max(2, words.count()) * VOCABULARIES)
+    base = max(toxic / n, 1e-9)
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (n - toxic + 1))
-    found = (
-        words.where(F.col("t") > 0).where((share > max(base, 0.5)) & ((F.col("t") + F.col("c")) * kl > math.log(max(2, vocabulary) * VOCABULARIES)))
-        .select("word", F.round(weight, 4).alias("weight")).orderBy(F.desc("weight"), "word").limit(max_words)
-    )
-    return {r["word"]: r["weight"] for r in found.collect()}
+    found = words.where((F.col("t") > 0) & (F.col("share") > max(base, 0.5)) & ((F.col("t") + F.col("c")) * _beyond_chance(F.col("share"), base) > bar))
+    weights = {r["unit"]: r["weight"] for r in found.select("unit", F.round(weight, 4).alias("weight")).toArrow().to_pylist()}
+    release(words)
+    if not weights:
+        return {}, ()
+
+    def pairs(words: list[str]) -> Iterator[str]:
+        return (f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in weights or b in weights)
+
+    phrases = sums(pairs, "toxic-phrases")
+    cleared = phrases.where((F.col("share") < 0.5) & ((F.col("t") + F.col("c")) * _beyond_chance(F.col("share"), 0.5) > bar))
+    return weights, tuple(sorted(r["unit"] for r in cleared.select("unit").toArrow().to_pylist()))
 
 
-def raw_scores(docs: DataFrame, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
+def raw_scores(docs: DataFrame, weights: dict[str, float], exceptions: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, raw of every row of ``docs`` (doc_id, text); null texts count as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # at most MAX_WORDS words
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # bounded by the labelled rows of the fit
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value, exceptions)
@@ -193,7 +220,7 @@ def score_toxicity(
     label: str = "toxic",
     threshold: float = THRESHOLD,
     max_rows: int = MAX_FIT_ROWS,
-    exceptions: tuple[str, ...] = EXCEPTIONS,
+    exceptions: tuple[str, ...] = (),
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -202,12 +229,12 @@ def score_toxicity(
     Null and empty texts match nothing and have the score of a clean text. A null
     id counts as the empty text for the fold. Repeated labels count once (the
     highest). Without labels of both classes every score is 0.5, and predicted is
-    0 then.
+    0 then. ``exceptions``: phrases that clear their words, beside the learned ones.
     """
     rows = take(docs, doc_id=id_col, text=text_col)
     known = training_labels(labels, label, max_rows)
-    weights = learn(rows, known)
-    raws = materialise(raw_scores(rows, weights, exceptions), "toxic-raw")
+    weights, learned = learn(rows, known)
+    raws = materialise(raw_scores(rows, weights, (*exceptions, *learned)), "toxic-raw")
     at = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor(F.col("raw") * 50).cast("int")))  # bins of 0.02
     bins = raws.join(F.broadcast(known), "doc_id").groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("k")).orderBy("bin").toArrow().to_pandas()
     held = (F.pmod(crc32_of_id(F.col("doc_id")), F.lit(FOLDS)) == HELD_OUT).alias("held_out")
