@@ -84,13 +84,16 @@ def test_damaged_member_fails(spark, tmp_path):
 # --- tokens
 
 
-def test_tokens_against_library(spark):
+@pytest.mark.parametrize("path", [TOKENIZER, "/opt/tokenizers/word_bpe_49k.json"])
+def test_tokens_against_library(spark, path):
+    """Also for a tokenizer with another rule, whose texts must go through the library whole."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(TOKENIZER)
+    model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
-    rows = sorted(sample(spark))
-    found = {r.doc_id: r for r in tokens.tokenise(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), TOKENIZER).collect()}
+    assert (tokens.Encoder(path).split is None) == (path != TOKENIZER)
+    rows = sorted([*sample(spark), (10**6, "It's  <|endoftext|> Déjà VU 12½", None)])
+    found = {r.doc_id: r for r in tokens.tokenise(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), path).collect()}
     start = 0
     for i, text, _ in rows:
         ids = [*model.encode(text or "", add_special_tokens=False).ids, 0]
@@ -108,6 +111,17 @@ def test_tokens_odd_rows(spark):
     assert tokens.tokenise(cases.empty(spark), TOKENIZER).collect() == []
 
 
+def test_rows_without_a_key(spark, tmp_path):
+    """Null keys come first and read back as null; the smallest long is a key like any other."""
+    low = -(1 << 63)
+    docs = spark.createDataFrame([(None, "a"), (low, "b"), (None, "c c"), (low, "d"), (5, None)], "doc_id long, text string").coalesce(1)
+    found = tokens.tokenise(docs, TOKENIZER, folder=str(tmp_path)).collect()
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == [None, None, low, low, 5]
+    only = tokens.write_tokens(docs.where("doc_id IS NULL"), f"{tmp_path}/nulls", TOKENIZER)
+    assert [r.doc_id for r in tokens.read_tokens(only, f"{tmp_path}/nulls").collect()] == [None, None]
+    assert tokens.lookup(docs, only, f"{tmp_path}/nulls").collect() == []
+
+
 def test_keyed_lookup(spark, tmp_path):
     rows = sorted(sample(spark))
     docs = spark.createDataFrame([(i * 3, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
@@ -123,8 +137,8 @@ def test_split_rule_matches_library():
     rng = random.Random(3)
     chars = [chr(c) for c in (*range(0x1C), *range(0x20, 0x250), 0x4E00, 0x1F600)]
     made = ["".join(rng.choice(chars) if rng.random() < 0.4 else rng.choice(" 's'llve  d1\n\t") for _ in range(rng.randrange(30))) for _ in range(2000)]
-    whole = tokens.Encoder(TOKENIZER, split=None)
-    assert encode(made) == whole(made)
+    whole = tokens.Encoder(TOKENIZER, parts=False)
+    assert encode.split and encode(made) == whole(made)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 20_000])

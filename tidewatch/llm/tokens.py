@@ -1,7 +1,8 @@
 """Token ids in binary shards, with a minimal perfect hash index for keyed access.
 
 A shard is three files: ``.bin`` holds the raw ids of its documents one after
-another, ``.keys`` the document keys in row order, and ``.idx`` a minimal perfect hash over
+another, ``.keys`` the document keys in row order (rows without a key come first, and the
+index says how many), and ``.idx`` a minimal perfect hash over
 the distinct keys. The hash maps a key to a slot; the slot has the key's
 fingerprint, its first row and number of rows, and the rows' offsets give the
 place in ``.bin``. A lookup reads a few words whatever the shard holds, and a key that
@@ -30,7 +31,6 @@ from .common import materialise, pieces, scratch, take
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 LOAD = 2.0  # bits of a level for each key it gets
-NULL_KEY = -(1 << 63)  # stands for a null key in the files
 #: Letters, numbers and white space below U+0250 without the four information separators (fixed values).
 _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 #: Splits a text of such characters as the byte-level tokenizers do before they merge: no token spans two parts.
@@ -102,7 +102,7 @@ class Shard:
         with self.store.open_input_file(f"{self.path}.idx") as file:
             n = int.from_bytes(file.read(8), "little")
             head = json.loads(file.read(n))
-            self.dtype = np.dtype(head["dtype"])
+            self.dtype, self.nulls = np.dtype(head["dtype"]), head["nulls"]
             self.hash = PerfectHash([np.unpackbits(np.frombuffer(file.read(-(-b // 8)), np.uint8), count=b).astype(bool) for b in head["bits"]])
             self.prints = np.frombuffer(file.read(4 * head["keys"]), np.uint32)
             self.first = np.frombuffer(file.read(8 * (head["keys"])), np.int64)
@@ -111,6 +111,7 @@ class Shard:
         self.file = self.store.open_input_file(f"{self.path}.bin")
 
     def keys(self) -> np.ndarray:
+        """The keys of the rows after those without one."""
         with self.store.open_input_file(f"{self.path}.keys") as file:
             return np.frombuffer(file.read(), np.int64)
 
@@ -142,19 +143,19 @@ class Shard:
 class Encoder:
     """Whole texts to ids with a ``tokenizers`` file; special tokens in a text are ordinary text.
 
-    Parts of Latin texts repeat, and the model treats parts independently, so
-    each distinct part goes through the library once and its ids are remembered.
-    Other texts go through the library whole. ``split`` must be the tokenizer's
-    own rule; None sends every text whole.
+    A tokenizer that cuts texts by the byte-level rule before it merges treats the
+    parts independently. Parts of Latin texts repeat, so each distinct part goes
+    through the library once and its ids are remembered. Other texts, and all texts
+    of a tokenizer with any other rule, go through the library whole.
     """
 
-    def __init__(self, path: str, split: str | None = PARTS, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", parts: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.split = re.compile(split) if split else None
+        self.split = re.compile(PARTS) if parts and cuts_by_parts(self.model) else None
         self.dtype = np.dtype(dtype)
         if self.model.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"ids don't fit {dtype}")
@@ -186,13 +187,26 @@ class Encoder:
         return [b"".join(map(get, p)) if is_plain else next(whole) for p, is_plain in zip(parts, plain, strict=True)]
 
 
+def cuts_by_parts(model) -> bool:
+    """Whether the file's own rule is the byte-level one of ``PARTS``: nothing else changes, cuts or matches text before the merges."""
+    found = json.loads(model.to_str())
+    before, merges = found["pre_tokenizer"] or {}, found["model"]
+    return (
+        (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+        and found["normalizer"] is None
+        and merges["type"] == "BPE"
+        and not merges.get("dropout")
+        and all(t["special"] for t in found["added_tokens"])
+    )
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str, split: str | None, dtype: str) -> Encoder:
+def encoder(path: str, dtype: str) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(path, split, dtype)
+    return Encoder(path, dtype)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype: str = "<u4", split: str | None = PARTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype: str = "<u4", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards in ascending key order and returns the manifest: shard, part, rows, tokens, keys, start.
 
     Rows are dealt to tasks by ranges of (key, text hash) and sorted within each,
@@ -204,22 +218,24 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .media import open_store
 
-        encode, (store, root), end = encoder(tokenizer, split, dtype), open_store(folder), np.array([end_id], dtype).tobytes()
-        part_id, name, out, keys, lengths = TaskContext.get().partitionId(), uuid.uuid4().hex, None, [], []
+        encode, (store, root), end = encoder(tokenizer, dtype), open_store(folder), np.array([end_id], dtype).tobytes()
+        part_id, name, out, nulls, keys, lengths = TaskContext.get().partitionId(), uuid.uuid4().hex, None, 0, [], []
         for batch in batches:
             for part in pieces(batch, most=1 << 21):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.bin")
-                keys.append(part.column("key").fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
+                nulls += part.column("key").null_count
+                keys.append(part.column("key").drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
                 ended = [ids + end for ids in encode([t or "" for t in part.column("text").to_pylist()])]
                 lengths += [len(x) // len(end) for x in ended]
                 out.write(b"".join(ended))
         if out is None:
             return
         out.close()
-        tokens = _write_index(store, f"{root}/{name}", np.concatenate(keys), np.array(lengths, np.int64), dtype)
-        columns = {"shard": [name], "part": [part_id], "rows": [len(lengths)], "tokens": [tokens], "first_key": keys[0][:1], "last_key": keys[-1][-1:]}
+        known = np.concatenate(keys)
+        tokens = _write_index(store, f"{root}/{name}", nulls, known, np.array(lengths, np.int64), dtype)
+        columns = {"shard": [name], "part": [part_id], "rows": [len(lengths)], "tokens": [tokens], "first_key": known[:1].tolist() or [None], "last_key": known[-1:].tolist() or [None]}
         yield pa.RecordBatch.from_pydict(columns, pa.schema([("shard", pa.string()), *[(c, pa.int64()) for c in list(columns)[1:]]]))
 
     rows = take(docs, key=id_col, text=text_col).withColumn("key", F.col("key").cast("long")).withColumn("h", F.xxhash64("text"))
@@ -229,14 +245,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     return materialise(manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "token-manifest")
 
 
-def _write_index(store, path: str, keys: np.ndarray, lengths: np.ndarray, dtype: str) -> int:
+def _write_index(store, path: str, nulls: int, keys: np.ndarray, lengths: np.ndarray, dtype: str) -> int:
     distinct, first, rows = np.unique(keys, return_index=True, return_counts=True)
     index = PerfectHash.build(distinct)
     slots = index.slots(distinct)
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     prints, firsts, counts = np.empty(len(distinct), np.uint32), np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
-    prints[slots], firsts[slots], counts[slots] = fingerprint32(distinct), first, rows
-    head = json.dumps({"dtype": dtype, "keys": len(distinct), "rows": len(keys), "bits": [len(x) for x in index.levels]}).encode()
+    prints[slots], firsts[slots], counts[slots] = fingerprint32(distinct), first + nulls, rows
+    head = json.dumps({"dtype": dtype, "keys": len(distinct), "nulls": nulls, "rows": len(lengths), "bits": [len(x) for x in index.levels]}).encode()
     with store.open_output_stream(f"{path}.idx") as file:
         file.write(len(head).to_bytes(8, "little") + head)
         for level in index.levels:
@@ -258,11 +274,11 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 distinct = np.unique(shard.keys())
                 first, count = shard.find(distinct)
                 rows = np.repeat(first, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                keys = np.repeat(distinct, count)
+                rows, keys = np.concatenate((np.arange(shard.nulls), rows)), np.concatenate((np.zeros(shard.nulls, np.int64), np.repeat(distinct, count)))
                 for at in range(0, len(rows), 1000):
                     some = rows[at : at + 1000]
                     sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.many(some)]
-                    null = keys[at : at + 1000] == NULL_KEY
+                    null = np.arange(at, at + len(some)) < shard.nulls
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[at : at + 1000], pa.int64(), mask=null), pa.array(start + shard.offsets[some]), pa.array(shard.offsets[some + 1] - shard.offsets[some]), pa.array(sums, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
@@ -279,7 +295,7 @@ def lookup(keys: DataFrame, manifest: DataFrame, folder: str, key_col: str = "do
     Keys are routed to the shards whose range holds them by the shards' bounds
     (24 bytes a shard, ``most_shards`` at most) and meet each shard's index once.
     """
-    bounds = manifest.select("shard", "start", "first_key", "last_key").orderBy("part").toArrow()
+    bounds = manifest.where("first_key IS NOT NULL").select("shard", "start", "first_key", "last_key").orderBy("part").toArrow()
     if bounds.num_rows > most_shards:
         raise ValueError(f"{bounds.num_rows} shards; write larger ones")
     first, last = bounds["first_key"].to_numpy(), bounds["last_key"].to_numpy()
@@ -316,4 +332,4 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = 0, dtype: str = "<u2
     read back as null. An empty table writes no shard.
     """
     folder = folder or scratch(docs.sparkSession, "tokens")
-    return read_tokens(write_tokens(docs, folder, tokenizer, end_id, dtype, PARTS, id_col, text_col), folder)
+    return read_tokens(write_tokens(docs, folder, tokenizer, end_id, dtype, id_col, text_col), folder)
