@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import cases
 import compare
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatch.llm import components, decontam, licenses, media, mixing, registry, sharding, simhash, tokens, urls
@@ -174,11 +175,27 @@ def test_contamination_on_sample_and_in_blocks(spark):
     rows, listed = sample(spark), [tuple(r) for r in items.select("item_id", "text").collect()]
     expected = {i: (n, hit, len(met)) for (i, *_), (n, hit, met) in zip(rows, cases.contamination(rows, listed), strict=True)}
     assert any(v[1] for v in expected.values())
-    for most in (1 << 30, 2000):  # one broadcast set; blocks in the shared folder
-        found = decontam.decontaminate(docs, items, most_bytes=most).collect()
+    for most, held in ((1 << 30, 1), (2000, 1 << 24), (2000, 50_000)):  # one broadcast set; blocks in the shared folder
+        found = decontam.decontaminate(docs, items, most_bytes=most, held_bytes=held).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in found} == expected
 
 
+def test_windows_of_very_many_items_in_blocks(spark):
+    """A passage that all items share is cut over blocks by item; every item is named once."""
+    items = spark.createDataFrame([(k, f"{cases.PASSAGE} and {k} more") for k in range(3000)], "item_id long, text string")
+    docs = cases.documents(spark)
+    expected = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontam.decontaminate(docs, items).collect()}
+    found = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontam.decontaminate(docs, items, most_bytes=200_000).collect()}
+    assert found == expected and found[6][1] == 3000
+
+
+def test_texts_are_gathered_up_to_a_bound():
+    batches = [pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 10}) for _ in range(30)]
+    parts = list(decontam.gathered(iter(batches), 100_000))
+    assert len(parts) == 3 and sum(p.num_rows for p in parts) == 300
+    assert [p.num_rows for p in decontam.gathered(iter([pa.RecordBatch.from_pydict({"text": ["y" * 5000, None, ""]})]), 10)] == [1, 2]
+
+
 def test_remove_spans_and_documents(spark):
     items = spark.createDataFrame([(1, cases.PASSAGE)], "item_id long, text string")
     docs = cases.documents(spark)

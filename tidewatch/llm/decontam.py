@@ -7,7 +7,9 @@ word with the benchmark's.
 
 The window set is broadcast while it is below ``most_bytes``. A larger benchmark
 is cut into blocks of that size in the shared folder; each task then reads block
-after block against the rows it holds, so memory stays bounded.
+after block against some ``HELD_BYTES`` of text, whose words are hashed once, so
+memory stays bounded. A window and one of its items is one entry, so a window of very
+many items is cut as well.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -27,7 +30,10 @@ from pyspark.sql.types import StructType
 from .common import materialise, pieces, scratch, take, texts
 
 WINDOW, PERCENT = 13, 5
-MOST_BYTES = 64 << 20
+#: Size of a window set, and bytes that an entry takes beyond its words and item.
+MOST_BYTES, ENTRY_BYTES = 64 << 20, 100
+#: Bytes of text that are scanned together: for a broadcast set, and for blocks.
+PIECE_BYTES, HELD_BYTES = 1 << 21, 24 << 20
 _SPAN = 1 << 18  # bytes whose words are hashed at once
 _WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -96,40 +102,45 @@ class Words:
 
 
 class WindowSet:
-    """Benchmark windows by length and hash, with the items that have them."""
+    """Benchmark windows by length and hash, as sorted arrays: a window has its words and a run of item ids."""
 
     def __init__(self, rows: pa.Table):
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.words, self.items = [], []
-        known: dict[tuple[int, bytes], int] = {}
-        hashes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for h, n, words, item in zip(*[rows[c].to_pylist() for c in ("hash", "n", "words", "item")], strict=True):
-            if (n, words) not in known:
-                known[n, words] = len(self.words)
-                hashes[n][h & 0xFFFFFFFFFFFFFFFF].append(len(self.words))
-                self.words.append(words)
-                self.items.append(set())
-            self.items[known[n, words]].add(item)
-        self.at = hashes = {n: dict(v) for n, v in hashes.items()}
-        for n, v in hashes.items():
-            keys = np.array(sorted(v), np.uint64)
-            bits = max(10, int(len(keys) * 64).bit_length())
+        rows = rows.combine_chunks().sort_by([("n", "ascending"), ("hash", "ascending"), ("words", "ascending")])
+        n, words = rows["n"].to_numpy(), rows["words"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
+        self.item_ids = rows["item"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
+        new = np.ones(rows.num_rows, bool)
+        if rows.num_rows > 1:
+            same = pc.equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+            new[1:] = ~(same & (n[1:] == n[:-1]))
+        first = np.flatnonzero(new)
+        self.runs = np.append(first, rows.num_rows)  # item ids of window w: runs[w] to runs[w + 1]
+        self.words = words.take(pa.array(first, pa.int64()))
+        hashes = rows["hash"].to_numpy().view(np.uint64)[first]
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
+        for length in np.unique(n[first]).tolist():
+            at = np.flatnonzero(n[first] == length)
+            at = at[np.argsort(hashes[at], kind="stable")]  # signed order isn't that of unsigned hashes
+            keys = hashes[at]
+            bits = max(10, min(28, int(len(keys) * 64).bit_length()))
             seen = np.zeros(1 << bits, bool)
             seen[keys >> np.uint64(64 - bits)] = True
-            self.by_length[n] = keys, seen, np.uint64(64 - bits)
+            self.by_length[length] = keys, at, seen, np.uint64(64 - bits)
+
+    def items(self, w: int) -> list[str]:
+        return self.item_ids[int(self.runs[w]) : int(self.runs[w + 1])].to_pylist()
 
     def find(self, words: Words) -> Iterator[tuple[int, int, int]]:
         """(first word, length, window number) of every verified occurrence."""
-        for n, (keys, seen, shift) in self.by_length.items():
+        for n, (keys, at, seen, shift) in self.by_length.items():
             h, whole = words.windows(n)
             maybe = np.flatnonzero(seen[h >> shift] & whole) if len(h) else ()
             if not len(maybe):
                 continue
-            place = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
-            for first in maybe[keys[place] == h[maybe]].tolist():
+            low, high = (np.searchsorted(keys, h[maybe], side) for side in ("left", "right"))
+            for first, a, b in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
                 text = words.text(first, n)
-                for w in self.at[n][int(h[first])]:
-                    if self.words[w] == text:
+                for w in at[a:b].tolist():
+                    if self.words[w].as_py() == text:
                         yield first, n, w
 
 
@@ -155,6 +166,21 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     return rows.mapInArrow(cut, "hash long, n int, words binary, item string")
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows in batches with about ``most`` bytes of text each, over the borders of the incoming ones."""
+    waiting, size = [], 0
+    for batch in batches:
+        for part in pieces(batch, most=min(most, PIECE_BYTES)):
+            n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if waiting and size + n > most:
+                yield pa.concat_batches(waiting)
+                waiting, size = [], 0
+            waiting.append(part)
+            size += n
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def _blocks(path: str) -> Iterator[WindowSet]:
     store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     for found in sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")):
@@ -174,6 +200,7 @@ def decontaminate(
     text_col: str = "text",
     keep: tuple[str, ...] = (),
     most_bytes: int = MOST_BYTES,
+    held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans of every row (and the columns in ``keep``).
 
@@ -183,18 +210,17 @@ def decontaminate(
     named; repeated items count once. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    windows = materialise(benchmark_windows(benchmark, window), "windows")
-    bytes_ = windows.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
+    windows = materialise(benchmark_windows(benchmark, window).distinct(), "windows")
+    bytes_ = windows.agg(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + ENTRY_BYTES)).first()[0] or 0
     if bytes_ <= most_bytes:
-        shared, folder = spark.sparkContext.broadcast(WindowSet(windows.toArrow())), None
+        shared, folder, held = spark.sparkContext.broadcast(WindowSet(windows.toArrow())), None, PIECE_BYTES
     else:
-        shared, folder = None, scratch(spark, "window-blocks")
-        windows.repartitionByRange(int(bytes_ // most_bytes) + 1, "hash").write.parquet(folder)
+        shared, folder, held = None, scratch(spark, "window-blocks"), held_bytes
+        windows.repartitionByRange(int(bytes_ // most_bytes) + 1, "hash", "item").write.parquet(folder)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                yield _scan(part, [shared.value] if shared else _blocks(folder), percent, keep)
+        for part in gathered(batches, held):
+            yield _scan(part, [shared.value] if shared else _blocks(folder), percent, keep)
 
     rows = take(docs, **{"doc_id": id_col, "text": text_col, **{f"keep{i}": c for i, c in enumerate(keep)}})
     schema = StructType([rows.schema["doc_id"], *StructType.fromDDL(SCHEMA).fields, *rows.schema.fields[2:]])
@@ -205,10 +231,13 @@ def _scan(part: pa.RecordBatch, sets: list[WindowSet] | Iterator[WindowSet], per
     words = Words(texts(part))
     turns, items = np.zeros(len(words.starts) + 1, np.int64), defaultdict(set)
     for known in sets:
+        met: dict[int, list[str]] = {}
         for first, n, w in known.find(words):
             turns[first] += 1
             turns[first + n] -= 1
-            items[int(words.of[first])] |= known.items[w]
+            if w not in met:
+                met[w] = known.items(w)
+            items[int(words.of[first])].update(met[w])
     hit = np.cumsum(turns[:-1]) > 0
     n_hit = np.bincount(words.of[hit], minlength=part.num_rows)
     spans: list[list] = [[] for _ in range(part.num_rows)]
@@ -234,13 +263,13 @@ def _scan(part: pa.RecordBatch, sets: list[WindowSet] | Iterator[WindowSet], per
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated rows; the columns ride through the scan, so nothing is joined."""
+    """``docs`` without the contaminated rows; the columns ride through the scan, so nothing is joined. Null and empty texts stay."""
     found = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, keep=tuple(docs.columns), **options)
     return found.where(~F.col("contaminated")).select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with every hit span cut out of the text; all rows stay."""
+    """``docs`` with every hit span cut out of the text; all rows stay, and null texts stay null."""
     found = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, keep=tuple(docs.columns), **options)
     text = f"keep{docs.columns.index(text_col)}"
 
