@@ -8,9 +8,11 @@ notice with at most k errors in a window around each candidate.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -76,10 +78,18 @@ def scan_text(text: bytes, wanted: list[Notice], patterns: list) -> tuple[int, l
     words = normalise(text)
     line = b" " + b" ".join(words) + b" "
     found: set[tuple[int, int, str, bool, int, int]] = set()
+    spaces: list[int] = []
+
+    def word_at(place: int) -> int:
+        """The number of spaces before a place; they are listed once, for the first place that is met."""
+        if not spaces:
+            spaces.extend(np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist())
+        return bisect_left(spaces, place)
+
     for notice, pattern in zip(wanted, patterns, strict=True):
         n = notice.text.count(b" ") + 1
         for at in _all(line, b" " + notice.text + b" "):
-            first = line.count(b" ", 0, at)
+            first = word_at(at)
             found.add((first, first + n, notice.label, notice.base, 0, len(notice.text)))
         if not notice.edits:
             continue
@@ -93,7 +103,7 @@ def scan_text(text: bytes, wanted: list[Notice], patterns: list) -> tuple[int, l
             for m in pattern.finditer(line, a, min(b, len(line)), overlapped=True):
                 edits = sum(m.fuzzy_counts)
                 if edits:
-                    first = line.count(b" ", 0, m.start()) - 1
+                    first = word_at(m.start()) - 1
                     found.add((first, first + m.group().count(b" ") + 1, notice.label, False, edits, len(notice.text)))
     return len(words), sorted(found)
 
@@ -106,7 +116,8 @@ def scan_licenses(docs: DataFrame, base=BASE, more=MORE, letters: int = LETTERS,
 
     ``score`` is the best place's share of unedited letters (1 for an exact
     place), 0 without any place. Null texts count as empty: no words, no places,
-    empty label strings. ``places`` are spans of words, the end excluded.
+    empty label strings. ``places`` are spans of words, the end excluded. Repeated rows and
+    null ids keep their rows; an empty table gives an empty result.
     """
     wanted = notices(base, more, letters)
     place = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("base", pa.bool_()), ("edits", pa.int32())])
