@@ -28,6 +28,8 @@ from .common import materialise, take
 FIRST, STEP, DIGITS = 4, 2, 48
 #: Rows that one ranking cell holds on average, and the most ranking cells of a shard.
 CELL_ROWS, MOST_CELLS = 2000, 4096
+#: Parts of a ranking cell that equal rows have made larger than ``HOT`` times the average.
+SALTS, HOT = 16, 8
 
 
 @dataclass(frozen=True)
@@ -182,18 +184,22 @@ def with_slots(rows: DataFrame, n_rows: int, shards: int) -> DataFrame:
     """Adds ``slot``, gapless from 0 in each ``shard``, without sorting a shard in one task.
 
     Rows of a shard are dealt to cells by a hash of (doc_id, digest); a cell's
-    first slot is the row count of the cells before it. The cell table has at
-    most ``shards * MOST_CELLS`` rows, so it is broadcast.
+    first slot is the row count of the cells before it. A cell that many equal rows
+    have made large is cut into parts by the row's ``salt``. The cell table has at
+    most ``shards * MOST_CELLS * SALTS`` rows of some 30 bytes, so it is broadcast.
     """
     per_shard = max(1, min(MOST_CELLS, n_rows // (shards * CELL_ROWS)))
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(per_shard)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "cell").orderBy("doc_id", "digest")
+    counts = rows.groupBy("shard", "cell", "salt").agg(F.count("*").alias("n"))
+    large = F.sum("n").over(Window.partitionBy("shard", "cell")) > HOT * CELL_ROWS
+    counts = counts.withColumn("part", (F.col("cell") * SALTS + F.when(large, F.col("salt")).otherwise(0)).cast("long"))
+    before = Window.partitionBy("shard").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "cell", "salt", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("shard", "part").orderBy("doc_id", "digest")
     return (
-        rows.join(F.broadcast(starts), ["shard", "cell"])
+        rows.join(F.broadcast(starts), ["shard", "cell", "salt"])
         .withColumn("slot", (F.col("base") + F.row_number().over(within) - 1).cast("long"))
-        .drop("cell", "base")
+        .drop("cell", "base", "salt", "part")
     )
 
 
@@ -205,7 +211,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     their rows. Repeated rows and equal texts share a shard and get slots of
     their own. An empty table gives an empty result.
     """
-    sized = materialise(digests(docs, id_col, text_col), "sharding")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    sized = materialise(digests(docs, id_col, text_col).withColumn("salt", salt), "sharding")
     _, cuts = minimax_cuts(sized, shards)
     rows = sized.withColumn("shard", shard_of(F.col("digest"), cuts))
     return with_slots(rows, sized.count(), shards)
