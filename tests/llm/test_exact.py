@@ -402,7 +402,8 @@ def test_links_random_fingerprints(spark, monkeypatch):
             if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
                 parent[find(a)] = find(b)
     expected = {frozenset(f for f in signed if find(f) == r) for r in {find(f) for f in signed}}
-    for extra, at_once, hot in ((1, 1 << 27, 1 << 20), (2, 4000, 0), (4, 1 << 27, 3)):
+    for extra, at_once, hot, crowd in ((1, 1 << 27, 1 << 20, 16), (2, 4000, 0, 2), (3, 1 << 27, 3, 4)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
         monkeypatch.setattr(simhash, "BLOCKS", ((1 << 62, extra),))
         monkeypatch.setattr(simhash, "ROWS_AT_ONCE", at_once)
         monkeypatch.setattr(simhash, "HOT_PAIRS", hot)

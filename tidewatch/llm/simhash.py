@@ -36,8 +36,10 @@ BROADCAST_IDS = 1 << 21
 SEGMENTS, WORDS, SEED, DISTANCE = 32, 4, 42, 4
 #: Up to so many distinct fingerprints, this many blocks beyond ``distance``: more blocks, smaller cells.
 BLOCKS = ((1 << 14, 1), (1 << 22, 2), (1 << 28, 3), (1 << 62, 4))
-#: Rows of all grids that are placed at once, and comparisons of a cell from which it is split.
-ROWS_AT_ONCE, HOT_PAIRS = 1 << 27, 1 << 20
+#: Rows of all grids that are placed at once, comparisons of a cell from which it is split, and members that make a crowd.
+ROWS_AT_ONCE, HOT_PAIRS, CROWD = 1 << 27, 1 << 20, 16
+#: Tasks that the nodes of one component are dealt to.
+SALTS = 16
 WIDE = ("w0", "w1", "w2", "w3")
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
@@ -153,13 +155,15 @@ def grid_masks(blocks: int, chosen: int) -> list[int]:
 def links(nodes: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """(a, b) edges whose components are those of all pairs of ``nodes`` (node, fp, and wide prints) that ``like`` links.
 
-    First each cell links its members to its smallest one, where near enough.
-    The components of these stars then stand for their members: the grid join
-    compares only fingerprints of different components, and of a cell's largest
-    component only with the others, so a large group of near copies isn't expanded
-    into its pairs. A cell with many comparisons left is split by further segments:
-    two members within ``distance`` agree on all segments of one of ``distance + 1``
-    classes. Grids are placed together as long as that is ``ROWS_AT_ONCE`` rows.
+    First each cell links its members to its smallest one, where near enough; the
+    components of these stars then stand for their members. Where a component has
+    ``CROWD`` members or more in a cell, the cell's others only ask whether some member
+    is near (a semi join: one row at most for each), and components are joined again.
+    All else is compared in pairs of different components, so a large group of near
+    copies isn't expanded into its pairs. A cell with many comparisons left is split
+    by further segments: two members within ``distance`` agree on all segments of one
+    of ``distance + 1`` classes. Grids are placed together as long as that is
+    ``ROWS_AT_ONCE`` rows.
     """
     n, prints = nodes.count(), ["fp", *(WIDE if like.wide_words else ())]
     extra = next(k for most, k in BLOCKS if n <= most)
@@ -186,42 +190,65 @@ def links(nodes: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         met = here.select("grid", "cell", F.struct("node", *prints).alias("m")).join(heads, ["grid", "cell"])
         found.append(materialise(met.where((F.col("m.node") != F.col("h.node")) & near("m", "h")).select(F.col("h.node").alias("a"), F.col("m.node").alias("b")).distinct(), "simhash-stars"))
     stars = reduce(DataFrame.unionByName, found)
-    roots = components(stars)
-    known = materialise(embedded.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).select("comp", "u", *prints), "simhash-known")
+    known = _with_components(embedded, "node", components(stars)).select("comp", "u", *prints)
+    known = materialise(known, "simhash-known")
 
     classes = [sum(3 << 2 * s for s in range(k, SEGMENTS, like.distance + 1)) for k in range(like.distance + 1)]
     classes = [m - (1 << 64) if m >= 1 << 63 else m for m in classes]
     split = F.array(*[F.xxhash64(F.lit(k), F.col("u").bitwiseAND(F.lit(m))) for k, m in enumerate(classes)])
-    for some in turns:
+
+    def celled(known: DataFrame, some: list[tuple[int, int]], crowded: bool) -> DataFrame:
+        """key (of a cell or its part), comp, prints and the cell's crowd, if any, for members of cells with several components."""
         here = placed(known, some)
         sizes = here.groupBy("grid", "cell", "comp").agg(F.count("*").alias("n")).groupBy("grid", "cell")
-        cells = sizes.agg(F.count("*").alias("comps"), F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1")
-        cells = cells.select("grid", "cell", F.col("most.comp").alias("most"), (F.col("members") * (F.col("members") - F.col("most.n")) > HOT_PAIRS).alias("hot"))
-        rows = here.join(cells, ["grid", "cell"]).withColumn("part", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.lit(0).cast("long"))))).drop("hot")
-        rows = materialise(rows, "simhash-cells")
-        x, y = rows.where("comp <> most").alias("x"), rows.alias("y")
-        on = (
-            (F.col("x.grid") == F.col("y.grid"))
-            & (F.col("x.cell") == F.col("y.cell"))
-            & (F.col("x.part") == F.col("y.part"))
-            & (F.col("x.comp") != F.col("y.comp"))
-            & ((F.col("y.comp") == F.col("y.most")) | (F.col("x.comp") < F.col("y.comp")))
-            & (F.bit_count(F.col("x.u").bitwiseXOR(F.col("y.u"))) <= like.distance)  # Manhattan distance: the lower bound
-            & near("x", "y")
-        )
-        found.append(materialise(x.join(y, on).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct(), "simhash-across"))
+        cells = sizes.agg(F.count("*").alias("comps"), F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("m")).where("comps > 1")
+        crowd = F.col("m.n") >= CROWD
+        others = F.col("members") - F.when(crowd, F.col("m.n")).otherwise(0)
+        cells = cells.where(crowd) if crowded else cells
+        cells = cells.select("grid", "cell", F.when(crowd, F.col("m.comp")).alias("crowd"), (F.col("members") * others > HOT_PAIRS).alias("hot"))
+        rows = here.join(cells, ["grid", "cell"]).withColumn("part", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.lit(0).cast("long")))))
+        return rows.select(F.xxhash64("grid", "cell", "part").alias("key"), "comp", "crowd", *prints)
+
+    def close() -> Column:
+        # the Manhattan distance of the embeddings first: the lower bound
+        bound = F.bit_count(unary_counts(F.col("x.fp")).bitwiseXOR(unary_counts(F.col("y.fp")))) <= like.distance
+        return (F.col("x.key") == F.col("y.key")) & bound & near("x", "y")
+
+    def to_crowds(rows: DataFrame) -> DataFrame:
+        x, y = rows.where("comp <> crowd").alias("x"), rows.where("comp = crowd").alias("y")
+        return x.join(y, close() & (F.col("x.crowd") == F.col("y.comp")), "left_semi").select(F.col("comp").alias("a"), F.col("crowd").alias("b")).distinct()
+
+    joined = reduce(DataFrame.unionByName, [materialise(to_crowds(celled(known, some, True)), "simhash-crowds") for some in turns])
+    found.append(joined)
+    if not joined.isEmpty():
+        merged = _with_components(known.withColumnRenamed("comp", "was"), "was", components(joined)).select("comp", "u", *prints)
+        old, known = known, materialise(merged, "simhash-known")
+        release(old)
+    for some in turns:
+        rows = materialise(celled(known, some, False), "simhash-cells")
+        others = rows.where("crowd IS NULL OR comp <> crowd")
+        pairs = others.alias("x").join(others.alias("y"), close() & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b"))
+        found += [materialise(pairs.distinct(), "simhash-across"), materialise(to_crowds(rows), "simhash-crowds")]
         release(rows)
     release(known)
     return reduce(DataFrame.unionByName, found)
 
 
+def _with_components(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    """Adds ``comp``, the root of a column's value, or the value itself where it has no edge."""
+    return rows.join(roots.withColumnRenamed("node", column), column, "left").withColumn("comp", F.coalesce("root", column))
+
+
 def _components_of(prints: DataFrame, like: Likeness) -> DataFrame:
     """of (a node), root, component_id for every node of ``prints``; only root is different for each component."""
     nodes = materialise(prints.groupBy("node", "fp", *(WIDE if like.wide_words else ())).agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = components(links(nodes.drop("first_id"), like))
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return materialise(placed.join(smallest, "root").select(F.col("node").alias("of"), "root", "component_id"), "simhash-components")
+    placed = _with_components(nodes, "node", components(links(nodes.drop("first_id"), like))).withColumnRenamed("comp", "root_node")
+    # a large component's nodes are dealt to many tasks; single nodes need no look-up
+    smallest = placed.groupBy("root_node").agg(F.min("first_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    smallest = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("root_node", "top")
+    met = (F.col("root_node") == F.col("top")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("salt"))
+    named = placed.join(smallest, met, "left").withColumn("component_id", F.when(F.col("top").isNull(), F.col("first_id")).otherwise(F.col("least")))
+    return materialise(named.select(F.col("node").alias("of"), F.col("root_node").alias("root"), "component_id"), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
