@@ -207,15 +207,16 @@ def _deal(sized: DataFrame, rows: DataFrame, plan: DataFrame) -> DataFrame:
 
     def celled(rows: DataFrame) -> DataFrame:
         here = rows.join(side, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class"))).drop("of", "of_class")
-        return here.withColumn("cell", F.pmod(F.xxhash64("h"), F.col("cells"))).drop("cells")
-
-    before = Window.partitionBy("source", "class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = celled(sized.select("source", "class", "h")).groupBy("source", "class", "cell").agg(F.count("*").alias("n"))
-    bases = counts.select(F.col("source").alias("in_source"), F.col("class").alias("in_class"), F.col("cell").alias("in_cell"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    counted = celled(rows).join(bases, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("class") == F.col("in_class")) & (F.col("cell") == F.col("in_cell")))
-    within = Window.partitionBy("source", "class", "cell").orderBy("h")
-    rank = F.col("base") + F.row_number().over(within)
-    return counted.withColumn("copies", (F.col("each") + F.when(rank <= F.col("extra"), 1).otherwise(0)).cast("long")).drop("each", "extra", "cell", "base", "in_source", "in_class", "in_cell")
+        return here.withColumn("cell", F.pmod(F.xxhash64("h"), F.col("cells"))).withColumn("name", F.coalesce("source", F.lit(""))).withColumn("unnamed", F.isnull("source")).drop("cells")
+
+    # the same plain keys for the join and the ranks, so that rows move once
+    keys = ["name", "unnamed", "class", "cell"]
+    before = Window.partitionBy(*keys[:-1]).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = celled(sized.select("source", "class", "h")).groupBy(*keys).agg(F.count("*").alias("n"))
+    bases = counts.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = F.col("base") + F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+    counted = celled(rows).join(bases, keys)
+    return counted.withColumn("copies", (F.col("each") + F.when(rank <= F.col("extra"), 1).otherwise(0)).cast("long")).drop("each", "extra", "base", "name", "unnamed", "cell")
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text_col: str = "text", source_col: str = "source") -> DataFrame:
