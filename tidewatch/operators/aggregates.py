@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import bucket, day, hours_between, ratio, signature
+from .quality import anomalies
+from .windows import ranked
 
 
 def cost_rollup(usage: DataFrame, dims: list[str], mode: str = "rollup") -> DataFrame:
@@ -84,6 +86,13 @@ def dora(commits: DataFrame, deploys: DataFrame) -> DataFrame:
     )
 
 
+def dora_with_repair(commits: DataFrame, deploys: DataFrame, incidents: DataFrame) -> DataFrame:
+    """``dora`` with the mean hours to repair of the incidents opened in the month (null: none). incidents: opened, resolved; open ones don't count."""
+    hours = F.round(F.avg(hours_between(F.col("opened"), F.col("resolved"))), 4).alias("repair_hours")
+    repair = incidents.where("resolved IS NOT NULL").groupBy(F.trunc(F.col("opened").cast("date"), "month").alias("month")).agg(F.count("*").alias("incidents"), hours)
+    return dora(commits, deploys).join(repair, "month", "left").fillna(0, ["incidents"])
+
+
 def dismissal_rates(findings: DataFrame, feedback: DataFrame, rule: str, on: str) -> DataFrame:
     """Share of dismissed findings of each rule."""
     return findings.join(feedback, on).groupBy(rule).agg(F.count("*").alias("judged"), F.round(F.avg(F.col("dismissed").cast("double")), 6).alias("dismissed"))
@@ -107,8 +116,10 @@ def scorecard(signals: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def repeated_queries(history: DataFrame, text: str, cost: str, least: int = 2) -> DataFrame:
-    """Query templates that ran several times, with their total cost."""
-    return history.groupBy(signature(F.col(text)).alias("template")).agg(F.count("*").alias("n"), F.sum(cost).alias("cost")).where(F.col("n") >= least)
+    """Query templates that ran several times, with their total cost. Templates are grouped by digest, so keys are short."""
+    template = signature(F.col(text))
+    grouped = history.select(template.alias("template"), F.col(cost).alias("cost")).groupBy(F.sha2("template", 256).alias("digest"))
+    return grouped.agg(F.first("template").alias("template"), F.count("*").alias("n"), F.sum("cost").alias("cost")).where(F.col("n") >= least).drop("digest")
 
 
 def filter_usage(history: DataFrame, columns: str, weight: str) -> DataFrame:
@@ -118,10 +129,10 @@ def filter_usage(history: DataFrame, columns: str, weight: str) -> DataFrame:
 
 
 def merge_recommendations(*lists: DataFrame) -> DataFrame:
-    """One roadmap of many lists (entity, action, saving): the best action of each entity, ranked."""
+    """One roadmap of many lists (entity, action, saving): the best action of each entity, ranked by saving (ties by entity)."""
     every = reduce(DataFrame.unionByName, lists)
     best = every.groupBy("entity").agg(F.max(F.struct("saving", "action")).alias("b")).select("entity", "b.action", "b.saving")
-    return best
+    return ranked(best, [], [F.desc("saving"), F.asc("entity")])
 
 
 def size_buckets(changes: DataFrame, key: str, size: str, limits: tuple[int, ...]) -> DataFrame:
@@ -155,6 +166,13 @@ def flow_anomalies(flows: DataFrame, source: str, peer: str, volume: str, fan_ou
     return daily.withColumn("mean_volume", F.avg("volume").over(own)).where((F.col("peers") >= fan_out) | (F.col("volume") > factor * F.col("mean_volume"))).select(source, "day", "peers", F.round("volume", 4).alias("volume"), F.round("mean_volume", 4).alias("mean_volume"))
 
 
+def flow_surges(flows: DataFrame, source: str, peer: str, volume: str, k: float = 3.0, days: int = 7) -> DataFrame:
+    """Days whose number of peers or volume is ``k`` deviations away from the ``days`` before (Q5), with what is unusual."""
+    daily = flows.groupBy(source, day(F.col("ts")).alias("day")).agg(F.count_distinct(peer).cast("double").alias("peers"), F.sum(volume).alias("volume"))
+    odd = [anomalies(daily, [source], "day", c, k, days).select(source, "day", F.lit(c).alias("what"), F.col(c).alias("value"), "base", "score") for c in ("peers", "volume")]
+    return odd[0].unionByName(odd[1])
+
+
 def storage_retention(tables: DataFrame, restores: DataFrame, key: str) -> DataFrame:
     """Days of history each table keeps against the oldest restore it ever needed. tables: key, kept_days, cost_per_day; restores: key, age_days."""
     need = restores.groupBy(key).agg(F.max("age_days").alias("needed_days"))

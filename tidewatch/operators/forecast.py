@@ -45,6 +45,13 @@ def commit_optimizer(hourly: DataFrame, levels: list[float], on_demand: float, c
     return wide.select(F.inline(F.array(*[F.struct(F.lit(float(x)).alias("level"), F.col(f"c{i}").alias("cost")) for i, x in enumerate(levels)])))
 
 
+def best_commitment(costs: DataFrame) -> DataFrame:
+    """The cheapest level of ``commit_optimizer`` (ties: the lower one) and what it saves against no commitment."""
+    none = F.max(F.when(F.col("level") == 0, F.col("cost")))
+    best = costs.agg(F.min(F.struct("cost", "level")).alias("m"), none.alias("without"))
+    return best.select("m.level", "m.cost", F.round(F.col("without") - F.col("m.cost"), 2).alias("saving"))
+
+
 def headroom(stack: list[tuple[str, DataFrame]]) -> DataFrame:
     """The first series to run out over several layers, each with periods_left."""
     every = reduce(DataFrame.unionByName, [df.select(F.lit(layer).alias("layer"), "series", "periods_left") for layer, df in stack])

@@ -26,7 +26,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth
     rounds is an error.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    steps = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     frontier = _cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in _rounds(max_depth):
@@ -40,6 +40,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth
 
 def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(node, effect): the strongest product of edge weights from a seed; weights lie in (0, 1]. edges: src, dst, weight. More than ``max_depth`` rounds raise."""
+    edges = _cut(edges.select("src", "dst", "weight"))
     best = _cut(seeds.select("node").distinct().withColumn("effect", F.lit(1.0)))
     frontier = best
     for _ in _rounds(max_depth):
@@ -83,6 +84,7 @@ def levels(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 def critical_path(edges: DataFrame, durations: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(node, finish): the earliest finish of each node of a DAG: its duration after the latest predecessor. durations: node, duration. More than ``max_depth`` rounds, or a cycle, raise."""
+    edges = _cut(edges.select("src", "dst").distinct())
     best = _cut(durations.select("node", "duration", F.col("duration").alias("finish")))
     frontier = best.select("node", "finish")
     for _ in _rounds(max_depth):
@@ -106,13 +108,26 @@ def slack(edges: DataFrame, durations: DataFrame) -> DataFrame:
 def redundant_edges(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Edges of a DAG that a longer path implies: src reaches dst from another successor.
 
-    Each edge looks ahead only from the other successors of its source.
+    Only an edge whose source has other successors and whose end has other
+    predecessors can be implied; each looks ahead from the other successors of its
+    source. The look-ahead gives all pairs of such a successor and a node below it,
+    so the output of its rounds is bounded by successors times the nodes below them.
     """
+    e = _cut(edges.select("src", "dst").distinct())
+    branching = e.groupBy("src").count().where("count > 1").select("src")
+    joining = e.groupBy("dst").count().where("count > 1").select("dst")
+    able = _cut(e.join(branching, "src", "left_semi").join(joining, "dst", "left_semi").select("src", "dst"))
+    ahead = e.join(able.select("src").distinct(), "src", "left_semi").withColumnRenamed("dst", "mid")
+    closure = reach(e, ahead.select(F.col("mid").alias("node")).distinct(), "down", max_depth).where("depth > 0")
+    via = ahead.join(closure, F.col("mid") == F.col("seed")).select("src", F.col("node").alias("dst")).distinct()
+    return able.join(via, ["src", "dst"], "left_semi")
+
+
+def needless_order(edges: DataFrame, data_edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Ordering edges (src, dst) without a data dependency behind them: dst can't be reached from src over ``data_edges``."""
     e = edges.select("src", "dst").distinct()
-    starts = e.select(F.col("dst").alias("node")).distinct()
-    closure = reach(e, starts, "down", max_depth).where("depth > 0")
-    via = e.withColumnRenamed("dst", "mid").join(closure, F.col("mid") == F.col("seed")).select("src", F.col("node").alias("dst")).distinct()
-    return e.join(via, ["src", "dst"], "left_semi")
+    needed = reach(data_edges, e.select(F.col("src").alias("node")).distinct(), "down", max_depth)
+    return e.join(needed.select(F.col("seed").alias("src"), F.col("node").alias("dst")), ["src", "dst"], "left_anti")
 
 
 def affected(edges: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:

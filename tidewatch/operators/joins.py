@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import micros, version_key
+from .windows import ranked
 
 
 def enrich(facts: DataFrame, dim: DataFrame, on: str | list[str]) -> DataFrame:
@@ -111,6 +112,5 @@ def advisory_match(deps: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def sla_due(impact: DataFrame, deliverables: DataFrame, on: str) -> DataFrame:
-    """Impacted entities with their due date, ranked by it."""
-    joined = impact.join(deliverables, on)
-    return joined.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("due", on)))
+    """Impacted entities with their due date, ranked by it within each kind; kinds may be few and large."""
+    return ranked(impact.join(deliverables, on), ["kind"], [F.asc("due"), F.asc(on)])

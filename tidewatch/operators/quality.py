@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import bucket, hours_between
+from .graph import root_failure
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -88,6 +89,17 @@ def validate_contract(df: DataFrame, contract: dict, parents: dict[str, DataFram
     return reduce(DataFrame.unionByName, results).withColumn("passed", F.col("failing") == 0)
 
 
+def trace_to_roots(checked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Failing rules with the failing rules of the tables where the failure began: rule, failing, root, root_rule, depth.
+
+    checked: node (a table), rule, failing (a count); edges: src, dst between tables.
+    """
+    bad = checked.where("failing > 0")
+    status = bad.select("node").distinct().withColumn("failing", F.lit(True))
+    roots = root_failure(edges, status).join(bad, "node").select("rule", "failing", "root", "depth")
+    return roots.join(bad.select(F.col("node").alias("root"), F.col("rule").alias("root_rule")), "root").select("rule", "failing", "root", "root_rule", "depth")
+
+
 def propose_rules(profiled: DataFrame, max_values: int = 20) -> DataFrame:
     """Candidate rules from a profile: not null, unique, range, enumeration."""
     rule = lambda test, text: F.when(test, text)

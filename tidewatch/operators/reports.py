@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import aggregates, filters, graph, joins, quality, sets, windows
+from . import aggregates, filters, graph, joins, quality, sets, text, windows
 
 
 def _finding(df: DataFrame, source: str, entity, issue, severity, evidence) -> DataFrame:
@@ -31,6 +31,21 @@ def incident_triage(incidents: DataFrame, changes: DataFrame, edges: DataFrame,
     return joins.correlate(incidents, changes, "entity", hours).where("rank = 1"), graph.root_failure(edges, status)
 
 
+def incident_report(runs: DataFrame, changes: DataFrame, lines: DataFrame, now: datetime, max_hours: float, hours: float, causes: list[tuple[str, str]], noise: str, fail: str, cap: int = 5, context: int = 2) -> DataFrame:
+    """R2 as a whole: failed or stuck runs (F2) with the nearest change before (J5), the category of their log (L3) and its failure block (L2).
+
+    ``lines`` are those of the runs' logs: run_id, line_no, line. Runs without a log
+    have null category and block, runs without a change a null change.
+    """
+    stuck = filters.failed_or_stuck(runs, now, max_hours).select("run_id", "job", "ts", "state")
+    near = joins.correlate(stuck.select(F.col("run_id").alias("incident_id"), F.col("job").alias("entity"), "ts"), changes, "entity", hours).where("rank = 1")
+    logs = lines.join(stuck.select("run_id"), "run_id", "left_semi")
+    category = text.root_cause(logs, "run_id", causes)
+    block = text.prefilter_log(logs, "run_id", noise, fail, cap, context).select("run_id", "first_line", "last_line", "suppressed", "noise")
+    out = stuck.join(near.select(F.col("incident_id").alias("run_id"), "change_id"), "run_id", "left").join(category, "run_id", "left").join(block, "run_id", "left")
+    return out.select("run_id", "job", "state", "change_id", "category", "first_line", "last_line", "suppressed", "noise")
+
+
 def cost_audit(usage: DataFrame, monthly: DataFrame, n: int = 5) -> DataFrame:
     """The most expensive resources and the largest monthly rises, one table."""
     top = usage.groupBy("resource").agg(F.sum("cost").cast("double").alias("amount")).orderBy(F.desc("amount"), "resource").limit(n)

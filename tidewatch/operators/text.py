@@ -86,6 +86,8 @@ def lint_corpus(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...] =
         n = F.regexp_count("line", F.lit(rule.pattern)) if rule.each else F.col("line").rlike(rule.pattern).cast("int")
         return F.when(~F.col("line").rlike(rule.exempt), n).otherwise(0) if rule.exempt else n
 
+    # one alternation first: most lines match no rule and are read once
+    lined = lined.where(F.col("line").rlike("|".join(f"(?:{r.pattern})" for r in rules)))
     hits = F.flatten(F.array(*[F.array_repeat(F.lit(r.rule_id), times(r)) for r in rules]))
     return lined.select(key, "line_no", F.explode(hits).alias("rule_id"), F.substring(strip(F.col("line")), 1, SNIPPET).alias("snippet"))
 
@@ -105,18 +107,18 @@ def secrets_scan(docs: DataFrame, key: str, text: str, rules: tuple[tuple[str, s
     return spans.select(key, "line_no", "rule_id", F.concat(F.substring("span", 1, 4), F.lit("****")).alias("masked"), F.length("span").alias("span_length"))
 
 
-def prefilter_log(lines: DataFrame, log: str, noise: str, fail: str, cap: int) -> DataFrame:
-    """The last ``cap`` lines of each log from its first failure on, noise left out, with the number suppressed.
+def prefilter_log(lines: DataFrame, log: str, noise: str, fail: str, cap: int, context: int = 0) -> DataFrame:
+    """The last ``cap`` lines of each log from ``context`` lines before its first failure on, noise left out, with the numbers suppressed and of noise.
 
     Logs without a failure give no row.
     """
     own = Window.partitionBy(log)
     marked = lines.withColumn("is_noise", F.col("line").rlike(noise)).withColumn("from_line", F.min(F.when(F.col("line").rlike(fail), F.col("line_no"))).over(own))
-    block = marked.where(~F.col("is_noise") & (F.col("line_no") >= F.col("from_line")))
+    block = marked.where(~F.col("is_noise") & (F.col("line_no") >= F.col("from_line") - context))
     ranked = block.withColumn("back", F.row_number().over(own.orderBy(F.desc("line_no")))).where(F.col("back") <= cap).drop("back")
-    total = lines.groupBy(log).agg(F.count("*").alias("total"))
+    total = lines.groupBy(log).agg(F.count("*").alias("total"), F.count_if(F.col("line").rlike(noise)).alias("noise"))
     kept = ranked.groupBy(log).agg(F.count("*").alias("kept"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
-    return kept.join(total, log).select(log, "kept", "first_line", "last_line", (F.col("total") - F.col("kept")).alias("suppressed"))
+    return kept.join(total, log).select(log, "kept", "first_line", "last_line", (F.col("total") - F.col("kept")).alias("suppressed"), "noise")
 
 
 def root_cause(lines: DataFrame, key: str, rules: list[tuple[str, str]]) -> DataFrame:
@@ -126,8 +128,12 @@ def root_cause(lines: DataFrame, key: str, rules: list[tuple[str, str]]) -> Data
     return lines.groupBy(key).agg(F.min(order).alias("o")).select(key, F.element_at(names, F.col("o") + 1).alias("category"))
 
 
-def error_diff(lines: DataFrame, split: Column, line: str = "line") -> DataFrame:
-    """Signatures before and after ``split`` (true: after), by what happened to them: new, gone, grown, shrunk."""
+def error_diff(lines: DataFrame, split: Column, line: str = "line", horizon: Column | None = None) -> DataFrame:
+    """Signatures before and after ``split`` (true: after), by what happened to them: new, gone, grown, shrunk.
+
+    With ``horizon`` only lines for which it is true count, such as those of the last two days.
+    """
+    lines = lines if horizon is None else lines.where(horizon)
     counts = lines.groupBy(signature(F.col(line)).alias("signature")).agg(F.count_if(~split).alias("before"), F.count_if(split).alias("after"))
     change = F.when(F.col("before") == 0, "new").when(F.col("after") == 0, "gone").when(F.col("after") > F.col("before"), "grown").when(F.col("after") < F.col("before"), "shrunk")
     return counts.withColumn("change", change).where("change IS NOT NULL")

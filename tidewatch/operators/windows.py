@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import hours_between, micros, ratio
+from ..sources.scratch import cut
 
 
 def period_delta(df: DataFrame, keys: list[str], period: str, value: str) -> DataFrame:
@@ -92,7 +95,38 @@ def latest_state(log: DataFrame, key: str, ts: str, tie: str, columns: list[str]
     return log.groupBy(key).agg(F.max(F.struct(*names)).alias("top")).select(key, *[F.col(f"top.{c}").alias(c) for c in names])
 
 
+def _same(left: str, right: str, columns: list[str]):
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+
+
+def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Row numbers within ``keys`` (none: of the whole table) by ``order``, however few or large the keys are.
+
+    Rows are dealt by ranges of keys and order and numbered within each range; a
+    range's numbers go on from the counts of the ranges before it, a table of ranges
+    times keys met in them. ``order`` must tell rows apart, or ties are numbered at will.
+    """
+    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    joined = dealt.withColumn("_at", within).alias("l").join(bases.alias("r"), _same("l", "r", [*keys, "_range"]))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_base") + F.col("_at")).cast("int").alias(name))
+
+
 def percentile_band(df: DataFrame, keys: list[str], value: str, tie: str, bands: int = 4) -> DataFrame:
-    """Position of each row among its peers."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    return df.withColumn("percent_rank", F.round(F.percent_rank().over(w), 6)).withColumn("cume_dist", F.round(F.cume_dist().over(w), 6)).withColumn("band", F.ntile(bands).over(Window.partitionBy(*keys).orderBy(value, tie)))
+    """Position of each row among its peers: percent_rank and cume_dist by value, ``bands`` of equal size by value and tie.
+
+    All three follow from the row's number, the first and last number of its value
+    and the rows of its key, so no task sorts a whole key.
+    """
+    rows = cut(ranked(df, keys, [F.asc(value), F.asc(tie)], "_row"))
+    ties = rows.groupBy(*keys, value).agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    both = rows.alias("l").join(ties.alias("r"), _same("l", "r", [*keys, value])).join(sizes.alias("s"), _same("l", "s", keys))
+    row, n = F.col("l._row"), F.col("s._n")
+    small, more = F.floor(n / bands), n % bands
+    wide = more * (small + 1)
+    band = F.when(row <= wide, F.floor((row - 1) / (small + 1))).otherwise(more + F.floor((row - 1 - wide) / F.greatest(small, F.lit(1)))) + 1
+    share = F.when(n > 1, (F.col("r._first") - 1) / (n - 1)).otherwise(F.lit(0.0))
+    return both.select(*[F.col(f"l.{c}") for c in df.columns], F.round(share, 6).alias("percent_rank"), F.round(F.col("r._last") / n, 6).alias("cume_dist"), band.cast("int").alias("band"))

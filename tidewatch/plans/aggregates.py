@@ -83,6 +83,20 @@ def a8(spark, folder):
     return agg.dora(commits, deploys)
 
 
+@query(
+    "a8_dora_repair",
+    """WITH d AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS deploys, round(median((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3600000000.0), 4) AS lead_hours, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS failure_rate
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
+    i AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS incidents, round(avg((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3600000000.0), 4) AS repair_hours FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT month, deploys, lead_hours, failure_rate, coalesce(incidents, 0) AS incidents, repair_hours FROM d LEFT JOIN i USING (month)""",
+)
+def a8_repair(spark, folder):
+    commits = load(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
+    lines = load(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("ts"), (F.col("l_returnflag") == "R").alias("failed"))
+    incidents = lines.where("failed").join(commits.withColumnRenamed("ts", "opened"), "id").select("opened", F.col("ts").alias("resolved"))
+    return agg.dora_with_repair(commits, lines, incidents)
+
+
 @query(
     "a9_dismissal_rates",
     """WITH f AS (SELECT doc_id, 'license' AS rule FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT doc_id, 'shout' FROM documents WHERE contains(text, '!!'))
@@ -139,7 +153,7 @@ def a13(spark, folder):
 @query(
     "a14_merge_recommendations",
     """WITH r AS (SELECT s_suppkey AS entity, 'resize' AS action, round(s_acctbal * 0.2, 2) AS saving FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT l_suppkey, 'suspend', CAST(count(*) AS DOUBLE) FROM lineitem GROUP BY 1)
-    SELECT entity, arg_max(action, (saving, action)) AS action, max(saving) AS saving FROM r GROUP BY 1""",
+    SELECT *, CAST(row_number() OVER (ORDER BY saving DESC, entity) AS INTEGER) AS rank FROM (SELECT entity, arg_max(action, (saving, action)) AS action, max(saving) AS saving FROM r GROUP BY 1)""",
 )
 def a14(spark, folder):
     a = load(spark, folder, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("entity"), F.lit("resize").alias("action"), F.round(F.col("s_acctbal") * 0.2, 2).alias("saving"))
@@ -189,6 +203,18 @@ def a18(spark, folder):
     return agg.flow_anomalies(load(spark, folder, "events"), "user_id", "event_type", "value", 5, 3.0)
 
 
+@query(
+    "a18_flow_surges",
+    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(DISTINCT event_type) AS DOUBLE) AS peers, sum(value) AS volume FROM events GROUP BY 1, 2),
+    l AS (SELECT user_id, day, unnest(['peers', 'volume']) AS what, unnest([peers, volume]) AS value FROM d),
+    b AS (SELECT *, avg(value) OVER w AS base, stddev_samp(value) OVER w AS spread FROM l WINDOW w AS (PARTITION BY user_id, what ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+    SELECT user_id, day, what, round(value, 4) AS value, round(base, 4) AS base FROM b WHERE abs(round((value - base) / nullif(spread, 0), 4)) > 3""",
+)
+def a18_surges(spark, folder):
+    out = agg.flow_surges(load(spark, folder, "events"), "user_id", "event_type", "value")
+    return out.select("user_id", "day", "what", F.round("value", 4).alias("value"), F.round("base", 4).alias("base"))
+
+
 @query(
     "a19_storage_retention",
     """WITH r AS (SELECT l_partkey % 50 AS k, max(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS need FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1)

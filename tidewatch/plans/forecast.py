@@ -43,6 +43,15 @@ def p4(spark, folder):
     return fc.commit_optimizer(hourly, [0, 100, 300, 500, 800], 1.0, 0.6)
 
 
+@query(
+    "p4_best_commitment",
+    f"""WITH {HOURLY_SQL}, l AS (SELECT unnest([0.0, 100.0, 300.0, 500.0, 800.0]::DOUBLE[]) AS level), c AS (SELECT level, round(sum(greatest(used - level, 0) * 1.0 + level * 0.6), 2) AS cost FROM h, l GROUP BY 1)
+    SELECT arg_min(level, (cost, level)) AS level, min(cost) AS cost, round(max(cost) FILTER (level = 0) - min(cost), 2) AS saving FROM c""",
+)
+def p4_best(spark, folder):
+    return fc.best_commitment(p4(spark, folder))
+
+
 @query(
     "p5_headroom",
     f"""{FIT_SQL}, t AS (SELECT 'warehouse' AS layer, series, CASE WHEN slope > 0 THEN round(greatest(0, (1e9 - intercept) / slope - last_t), 4) END AS p FROM f

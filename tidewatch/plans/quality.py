@@ -1,7 +1,9 @@
 """Data quality, contracts, drift (Q)."""
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, quality, text
@@ -217,6 +219,32 @@ def q16(spark, folder):
     return failing.select("rule", F.lit("lineitem").alias("seed")).join(up, "seed").select("rule", F.col("node").alias("source"), "depth")
 
 
+@query(
+    "q16_failing_upstream",
+    """WITH RECURSIVE rules AS (SELECT 'lineitem' AS t, 'unique:l_orderkey,l_linenumber' AS rule, (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS failing
+        UNION ALL SELECT 'orders', 'allowed:o_orderstatus', (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'P'))
+        UNION ALL SELECT 'customer', 'range:c_acctbal', (SELECT count(*) FROM customer WHERE c_acctbal NOT BETWEEN 0 AND 1e9)
+        UNION ALL SELECT 'nation', 'required:n_name', (SELECT count(*) FROM nation WHERE n_name IS NULL)
+        UNION ALL SELECT 'part', 'range:p_size', (SELECT count(*) FROM part WHERE p_size NOT BETWEEN 1 AND 40)),
+    bad AS (SELECT * FROM rules WHERE failing > 0), e(src, dst) AS (VALUES ('nation', 'customer'), ('customer', 'orders'), ('orders', 'lineitem'), ('part', 'lineitem'), ('region', 'nation')),
+    b AS (SELECT * FROM e WHERE src IN (SELECT t FROM bad) AND dst IN (SELECT t FROM bad)),
+    r AS (SELECT t AS seed, t AS node, 0 AS depth FROM bad UNION SELECT seed, src, depth + 1 FROM r JOIN b ON node = dst)
+    SELECT x.rule, x.failing, node AS root, y.rule AS root_rule, CAST(min(depth) AS INTEGER) AS depth FROM r JOIN bad x ON x.t = seed JOIN bad y ON y.t = node WHERE node NOT IN (SELECT dst FROM b) GROUP BY 1, 2, 3, 4""",
+)
+def q16_upstream(spark, folder):
+    """Every table's rules, and failing ones traced over failing tables to where the failure began."""
+    contracts = {
+        "lineitem": {"unique": [["l_orderkey", "l_linenumber"]]},
+        "orders": {"allowed": {"o_orderstatus": ("O", "P")}},
+        "customer": {"ranges": {"c_acctbal": (0, 1e9)}},
+        "nation": {"required": ["n_name"]},
+        "part": {"ranges": {"p_size": (1, 40)}},
+    }
+    checked = [quality.validate_contract(load(spark, folder, t), c).select(F.lit(t).alias("node"), "rule", "failing") for t, c in contracts.items()]
+    edges = spark.createDataFrame([("nation", "customer"), ("customer", "orders"), ("orders", "lineitem"), ("part", "lineitem"), ("region", "nation")], "src string, dst string")
+    return quality.trace_to_roots(reduce(DataFrame.unionByName, checked), edges)
+
+
 @query(
     "q17_opportunities",
     """WITH u AS (SELECT p_partkey, p_retailprice AS score, coalesce(n, 0) AS uses FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)

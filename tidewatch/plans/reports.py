@@ -13,6 +13,7 @@ from .forecast import SIZES
 from .graph import ROOT_SQL, seeds, status
 from .quality import DAILY_SQL, daily
 from .registry import query
+from .text import CAUSES, LINES_SQL, lines
 
 NOW = datetime(2024, 1, 31)
 
@@ -44,6 +45,23 @@ def r2_roots(spark, folder):
     return reports.incident_triage(incidents(spark, folder), changes(spark, folder), entity_edges(spark, folder), status(spark, folder), 6)[1]
 
 
+@query(
+    "r2_incident_triage",
+    f"""WITH {RUNS_SQL}, {CHANGES_SQL}, {LINES_SQL}, s AS (SELECT run_id, job, ts, CASE WHEN status = 'failed' THEN 'failed' ELSE 'stuck' END AS state FROM runs
+        WHERE NOT paused AND (status = 'failed' OR (status = 'running' AND (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3600000000.0 > 240))),
+    n AS (SELECT run_id, change_id FROM s JOIN changes c ON job = entity AND c.ts <= s.ts AND epoch_us(s.ts) - epoch_us(c.ts) <= 21600000000 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY c.ts DESC, change_id) = 1),
+    k AS (SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(text, '{p}') THEN '{c}'" for c, p in CAUSES)} ELSE 'unknown' END AS category FROM documents WHERE text <> ''),
+    m AS (SELECT *, regexp_matches(line, '###') AS noise, min(line_no) FILTER (contains(line, '!!')) OVER w AS start, count(*) OVER w AS total, count(*) FILTER (regexp_matches(line, '###')) OVER w AS noisy FROM lines WINDOW w AS (PARTITION BY doc_id)),
+    b AS (SELECT * FROM m WHERE NOT noise AND line_no >= start - 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) <= 5),
+    f AS (SELECT doc_id, CAST(min(line_no) AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line, any_value(total) - count(*) AS suppressed, any_value(noisy) AS noise FROM b GROUP BY 1)
+    SELECT run_id, job, state, change_id, category, first_line, last_line, suppressed, noise FROM s LEFT JOIN n USING (run_id) LEFT JOIN k ON run_id = k.doc_id LEFT JOIN f ON run_id = f.doc_id""",
+)
+def r2_triage(spark, folder):
+    """The log of a run is the document of the same number."""
+    logs = lines(spark, folder).withColumnRenamed("doc_id", "run_id")
+    return reports.incident_report(runs(spark, folder), changes(spark, folder), logs, NOW, 240, 6, CAUSES, "###", "!!")
+
+
 @query(
     "r3_cost_audit",
     f"""WITH {USAGE_SQL}, {METRICS_SQL}, d AS (SELECT series, month_no, value - lag(value) OVER (PARTITION BY series ORDER BY month_no) AS delta FROM metrics), t AS (SELECT resource, CAST(sum(cost) AS DOUBLE) AS amount FROM usage GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
@@ -89,7 +107,7 @@ def r6(spark, folder):
     f"""WITH n AS (SELECT user_id, quantile_cont(value, 0.95) AS need, sum(value) AS busy FROM events GROUP BY 1), s(size, capacity, price) AS (VALUES {", ".join(map(str, SIZES))}),
     a AS (SELECT user_id AS entity, 'move to ' || arg_min(size, (price, size)) AS action, CAST(9.0 - min(price) AS DOUBLE) AS saving FROM n JOIN s ON capacity >= need GROUP BY user_id),
     b AS (SELECT user_id, 'suspend', CAST(7.5 AS DOUBLE) FROM n WHERE busy / 43200.0 < 0.05), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
-    SELECT entity, arg_max(action, (saving, action)) AS action, max(saving) AS saving FROM u GROUP BY 1""",
+    SELECT *, CAST(row_number() OVER (ORDER BY saving DESC, entity) AS INTEGER) AS rank FROM (SELECT entity, arg_max(action, (saving, action)) AS action, max(saving) AS saving FROM u GROUP BY 1)""",
 )
 def r7(spark, folder):
     events = load(spark, folder, "events")

@@ -30,7 +30,17 @@ def l1(spark, folder):
     SELECT doc_id, count(*) AS kept, CAST(min(line_no) AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line, any_value(total) - count(*) AS suppressed FROM b GROUP BY 1""",
 )
 def l2(spark, folder):
-    return text.prefilter_log(lines(spark, folder), "doc_id", "###", "!!", 5)
+    return text.prefilter_log(lines(spark, folder), "doc_id", "###", "!!", 5).drop("noise")
+
+
+@query(
+    "l2_log_context",
+    f"""WITH {LINES_SQL}, m AS (SELECT *, regexp_matches(line, '###') AS noise, min(line_no) FILTER (contains(line, '!!')) OVER w AS start, count(*) OVER w AS total, count(*) FILTER (regexp_matches(line, '###')) OVER w AS noisy FROM lines WINDOW w AS (PARTITION BY doc_id)),
+    b AS (SELECT * FROM m WHERE NOT noise AND line_no >= start - 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) <= 5)
+    SELECT doc_id, count(*) AS kept, CAST(min(line_no) AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line, any_value(total) - count(*) AS suppressed, any_value(noisy) AS noise FROM b GROUP BY 1""",
+)
+def l2_context(spark, folder):
+    return text.prefilter_log(lines(spark, folder), "doc_id", "###", "!!", 5, 2)
 
 
 CAUSES = [("credentials", "token = "), ("shouting", "!!"), ("license", "(?i)license"), ("symbols", "[#$%&]{3}")]
@@ -51,9 +61,25 @@ def l3(spark, folder):
     SELECT *, CASE WHEN before = 0 THEN 'new' WHEN after = 0 THEN 'gone' WHEN after > before THEN 'grown' ELSE 'shrunk' END AS change FROM g WHERE before <> after""",
 )
 def l4(spark, folder):
+    return text.error_diff(errors(spark, folder), F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz"))
+
+
+def errors(spark, folder):
     rows = load(spark, folder, "events").where("event_type = 'error'")
     line = F.concat(F.lit("Error "), F.col("event_id").cast("string"), F.lit(" of user "), F.col("user_id").cast("string"), F.lit(": "), F.when(F.col("value") > 60, "slow").otherwise("fast"), F.lit(" k"), F.char((F.col("user_id") % 26 + 97).cast("int")))
-    return text.error_diff(rows.withColumn("line", line), F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz"))
+    return rows.withColumn("line", line)
+
+
+@query(
+    "l4_error_diff_day",
+    """WITH c AS (SELECT 'error <n> of user <n>: ' || CASE WHEN value > 60 THEN 'slow' ELSE 'fast' END || ' k' || chr(97 + CAST(user_id % 26 AS INTEGER)) AS signature, ts >= TIMESTAMP '2024-01-30' AS late FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-29'),
+    g AS (SELECT signature, count(*) FILTER (NOT late) AS before, count(*) FILTER (late) AS after FROM c GROUP BY 1)
+    SELECT *, CASE WHEN before = 0 THEN 'new' WHEN after = 0 THEN 'gone' WHEN after > before THEN 'grown' ELSE 'shrunk' END AS change FROM g WHERE before <> after""",
+)
+def l4_day(spark, folder):
+    """The last day against the day before it."""
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    return text.error_diff(errors(spark, folder), F.col("ts") >= at("2024-01-30"), horizon=F.col("ts") >= at("2024-01-29"))
 
 
 @query(

@@ -9,19 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a local folder is set only where none is (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
-        base = context.getCheckpointDir()
+    """A new folder name under ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     return f"{base.rstrip('/')}/tidewatch/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
-    context = df.sparkSession.sparkContext
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The context's checkpoint folder, set from ``spark.checkpoint.dir``; a local one only where Spark runs in one machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="tidewatch-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the cluster's shared folder (``spark.checkpoint.dir``)."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()

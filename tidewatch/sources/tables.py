@@ -16,7 +16,10 @@ SCHEMAS = {
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "labels": "doc_id long, quality int, toxic int",
+    "embeddings": "vec_id long, embedding array<float>, label int",
     "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
 
 
@@ -91,17 +94,14 @@ METRICS_SQL = """metrics AS (SELECT service AS series, CAST(year(ts) * 12 + mont
 
 
 def entity_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Lineage of keys, from source to use: region, nation, customer, order, part; nodes are kind:key.
-
-    As in ``EDGES_SQL``, an order has the parts of its lines 1 only (README, known limits).
-    """
+    """Lineage of keys, from source to use: region, nation, customer, order, part; nodes are kind:key."""
     key = lambda kind, column: F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
     nation, customer, orders, lines = (load(spark, folder, t) for t in ("nation", "customer", "orders", "lineitem"))
     parts = [
         nation.select(key("region", "n_regionkey").alias("src"), key("nation", "n_nationkey").alias("dst")),
         customer.select(key("nation", "c_nationkey").alias("src"), key("customer", "c_custkey").alias("dst")),
         orders.select(key("customer", "o_custkey").alias("src"), key("order", "o_orderkey").alias("dst")),
-        lines.where("l_linenumber = 1").select(key("order", "l_orderkey").alias("src"), key("part", "l_partkey").alias("dst")).distinct(),
+        lines.select(key("order", "l_orderkey").alias("src"), key("part", "l_partkey").alias("dst")).distinct(),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -113,4 +113,4 @@ EDGES_SQL = """edges AS (
     SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation
     UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
     UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders
-    UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem WHERE l_linenumber = 1)"""
+    UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem)"""
