@@ -136,7 +136,8 @@ def without_copies(labelled: DataFrame) -> DataFrame:
     mine = labelled.select("doc_id", F.posexplode("m").alias("k", "s"))
     first = mine.groupBy("k", "s").agg(F.min("doc_id").alias("first"))
     copies = mine.join(first, ["k", "s"]).where("first < doc_id").groupBy("doc_id", "first").agg(F.count("*").alias("n")).where(F.col("n") >= SAME)
-    return labelled.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    copies = materialise(copies.select("doc_id").distinct(), "toxic-copies")
+    return labelled.join(F.broadcast(copies), "doc_id", "left_anti")  # ids of labelled rows, at most about MAX_FIT_ROWS
 
 
 def _beyond_chance(share: Column, base: float) -> Column:
@@ -157,8 +158,7 @@ def learn(docs: DataFrame, known: DataFrame) -> tuple[dict[str, float], tuple[st
     kind = docs.schema["doc_id"].dataType.simpleString()
     labelled = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
     folded = materialise(labelled.mapInArrow(_folded, f"doc_id {kind}, y int, folded string, m array<long>"), "toxic-folded")
-    kept = materialise(without_copies(folded).select("y", "folded"), "toxic-kept")
-    release(folded)
+    kept = without_copies(folded).select("y", "folded")
     totals = kept.agg(F.sum("y"), F.count("*")).first()
     toxic, n = totals[0] or 0, totals[1]
     if not 0 < toxic < n:
