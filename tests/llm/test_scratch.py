@@ -1,0 +1,34 @@
+"""Work folders: refused where they aren't shared, gone after ``clear``."""
+
+from pathlib import Path
+
+import cases
+import pytest
+
+from tidewatch.llm import common, mixing, simhash
+
+
+class Context:
+    master, applicationId = "spark://host:7077", "app"
+
+    def getCheckpointDir(self):
+        return None
+
+
+class Session:
+    sparkContext = Context()
+    conf = {}
+
+
+def test_no_local_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(Session(), "x")
+
+
+def test_nothing_is_left(spark):
+    docs = cases.documents(spark)
+    simhash.near_duplicates(docs).collect()
+    mixing.mix(docs).collect()
+    base = Path(common.scratch(spark, "x").removeprefix("file:")).parent
+    common.clear(spark)
+    assert not [p for p in base.iterdir() if p.name.startswith(("simhash", "mix", "edges", "step", "moved"))]
