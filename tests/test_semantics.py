@@ -311,3 +311,78 @@ def test_schema_diff_of_real_tables(spark):
         "y": ("dropped", "ALTER TABLE t DROP COLUMN y"),
         "z": ("added", "ALTER TABLE t ADD COLUMN z int"),
     }
+
+
+def event(rng, i):
+    ts = None if rng.random() < 0.05 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.choice([0, 1, 23, 24, 25, 100, 400]), minutes=rng.randrange(3))
+    return (rng.choice([1, 1, 1, 2, None]), ts, i, rng.choice([True, False, False, None]), rng.choice([None, 1.0, 2.5, 7.0]))
+
+
+EVENTS = "k long, ts timestamp_ntz, id long, bad boolean, v double"
+
+
+def keyed(rows, place=0):
+    out = {}
+    for r in rows:
+        out.setdefault(r[place], []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_keys_by_buckets(spark, seed):
+    rng = random.Random(seed)
+    rows = [event(rng, i) for i in range(80)]
+    df = spark.createDataFrame(rows, EVENTS)
+    timed = [r for r in rows if r[1] is not None]
+
+    want = []
+    for k, own in keyed(timed).items():
+        streak = []
+        for r in [*sorted(own, key=lambda r: (r[1], r[2])), (k, None, 0, False, None)]:
+            if r[3]:
+                streak.append(r[1])
+            elif streak:
+                want.append((k, len(streak), streak[0], streak[-1]))
+                streak = []
+    got = windows.streaks(df.where("ts IS NOT NULL"), "k", ["ts", "id"], F.col("bad")).select("k", "length", "first", "last").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+    want = []
+    for k, own in keyed(timed).items():
+        times = sorted(r[1] for r in own)
+        want += [(k, a, b) for a, b in zip(times, times[1:], strict=False) if b - a >= dt.timedelta(hours=20)]
+    got = windows.idle_gaps(df, "k", "ts", 20, "id").select("k", "since", "until").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+    got = {r.id: (r.rolling, r.rows) for r in windows.rolling(df, "k", "ts", "v", 1).collect()}
+    assert len(got) == len(rows)
+    for k, ts, i, _, _ in rows:
+        near = [r for r in rows if r[0] == k and (r[1] is None if ts is None else r[1] is not None and dt.timedelta(0) <= ts - r[1] <= dt.timedelta(days=1))]
+        values = [r[4] for r in near if r[4] is not None]
+        assert got[i][1] == len(near) and got[i][0] == (pytest.approx(sum(values) / len(values)) if values else None)
+
+    left, right = rows[:40], rows[40:]
+    met = joins.as_of(spark.createDataFrame(left, EVENTS), spark.createDataFrame(right, EVENTS), "k", "ts", "v")
+    assert met.columns == ["k", "ts", "id", "bad", "v"]
+    got = {r.id: r.v for r in met.collect()}
+    for k, ts, i, _, _ in left:
+        past = [(r[1], r[4]) for r in right if r[0] == k and ts is not None and r[1] is not None and r[1] <= ts and r[4] is not None]
+        assert got[i] == (max(past)[1] if past else None)
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, 1.0, 1.0, 3.5, 10.0, -2.0])) for _ in range(300)] + [(9, None), (8, 4.0)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    shares = {"low": 0.0, "q": 0.25, "mid": 0.5, "high": 0.95, "top": 1.0}
+    exact = df.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in shares.items()])
+    got = windows.with_quantiles(df.select("k").distinct(), df, ["k"], "v", shares)
+    assert sorted(map(str, got.collect())) == sorted(map(str, exact.collect()))
+    assert windows.quantiles(df.limit(0), ["k"], "v", shares).collect() == []
+
+
+def test_running_sums_follow_ranges(spark):
+    rows = [(i % 3 or None, i, i % 5) for i in range(200)]
+    got = windows.running(spark.createDataFrame(rows, "k long, at long, n long"), ["k"], [F.asc("at")], F.col("n"), "sum").collect()
+    for r in got:
+        assert r.sum == sum(n for k, at, n in rows if k == r.k and at <= r.at)

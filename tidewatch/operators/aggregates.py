@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import bucket, day, hours_between, ratio, signature
 from .quality import anomalies
-from .windows import ranked
+from .windows import ranked, with_quantiles
 
 
 def cost_rollup(usage: DataFrame, dims: list[str], mode: str = "rollup") -> DataFrame:
@@ -22,7 +22,7 @@ def cost_rollup(usage: DataFrame, dims: list[str], mode: str = "rollup") -> Data
 
 def utilization(usage: DataFrame, resource: str, busy: str, span: float, low: float, high: float) -> DataFrame:
     """Busy share of each resource over ``span`` and its class; long-running by the median run."""
-    out = usage.groupBy(resource).agg(F.sum(busy).alias("busy"), F.median(busy).alias("median_run"))
+    out = with_quantiles(usage.groupBy(resource).agg(F.sum(busy).alias("busy")), usage, [resource], busy, {"median_run": 0.5})
     share = F.col("busy") / span
     kind = F.when(share < low, "idle").when(share > high, "hot").otherwise("normal")
     return out.withColumn("share", share).withColumn("class", kind)
@@ -52,11 +52,11 @@ def error_rates(calls: DataFrame, key: str, every: str = "1 day") -> DataFrame:
 
 
 def sla_report(runs: DataFrame, sla: float) -> DataFrame:
-    """Misses and percentiles by week."""
-    week = F.date_trunc("week", "ts").cast("date").alias("week")
-    return runs.groupBy(week).agg(
-        F.count("*").alias("n"), F.count_if(F.col("duration_s") > sla).alias("misses"), F.round(F.percentile("duration_s", 0.5), 6).alias("p50"), F.round(F.percentile("duration_s", 0.95), 6).alias("p95"), F.max("duration_s").alias("slowest")
-    )
+    """Misses and exact percentiles by week."""
+    rows = runs.select(F.date_trunc("week", "ts").cast("date").alias("week"), "duration_s")
+    out = rows.groupBy("week").agg(F.count("*").alias("n"), F.count_if(F.col("duration_s") > sla).alias("misses"), F.max("duration_s").alias("slowest"))
+    out = with_quantiles(out, rows, ["week"], "duration_s", {"p50": 0.5, "p95": 0.95})
+    return out.select("week", "n", "misses", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "slowest")
 
 
 def usage_stats(views: DataFrame, entity: str, actor: str, approximate: bool = False) -> DataFrame:
@@ -80,10 +80,11 @@ def chargeback(costs: DataFrame, key: str) -> DataFrame:
 def dora(commits: DataFrame, deploys: DataFrame) -> DataFrame:
     """By month of deploy: deploys, median hours from commit, failure share. commits: id, ts; deploys: id, ts, failed."""
     joined = deploys.alias("d").join(commits.alias("c"), F.col("d.id") == F.col("c.id"))
-    lead = hours_between(F.col("c.ts"), F.col("d.ts"))
-    return joined.groupBy(F.trunc(F.col("d.ts").cast("date"), "month").alias("month")).agg(
-        F.count("*").alias("deploys"), F.round(F.median(lead), 4).alias("lead_hours"), F.round(F.avg(F.col("d.failed").cast("double")), 6).alias("failure_rate")
-    )
+    lead = hours_between(F.col("c.ts"), F.col("d.ts")).alias("lead")
+    rows = joined.select(F.trunc(F.col("d.ts").cast("date"), "month").alias("month"), lead, F.col("d.failed").cast("double").alias("failed"))
+    out = rows.groupBy("month").agg(F.count("*").alias("deploys"), F.round(F.avg("failed"), 6).alias("failure_rate"))
+    out = with_quantiles(out, rows, ["month"], "lead", {"lead_hours": 0.5})
+    return out.select("month", "deploys", F.round("lead_hours", 4).alias("lead_hours"), "failure_rate")
 
 
 def dora_with_repair(commits: DataFrame, deploys: DataFrame, incidents: DataFrame) -> DataFrame:
@@ -182,7 +183,8 @@ def storage_retention(tables: DataFrame, restores: DataFrame, key: str) -> DataF
 
 def job_skew(tasks: DataFrame, stage: str, value: str, factor: float = 2.0) -> DataFrame:
     """Per stage: largest against median task and a skew flag."""
-    out = tasks.groupBy(stage).agg(F.count("*").alias("tasks"), F.max(value).cast("double").alias("largest"), F.median(value).alias("median"), F.sum(value).cast("double").alias("total"))
+    out = tasks.groupBy(stage).agg(F.count("*").alias("tasks"), F.max(value).cast("double").alias("largest"), F.sum(value).cast("double").alias("total"))
+    out = with_quantiles(out, tasks, [stage], value, {"median": 0.5})
     return out.withColumn("skewed", F.col("largest") > factor * F.col("median"))
 
 

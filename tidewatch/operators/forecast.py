@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import with_quantiles
+
 
 def fit_lines(series: DataFrame, key: str, t: str, y: str) -> DataFrame:
     """Least squares of y on t for each key."""
@@ -30,7 +32,7 @@ def time_to_limit(series: DataFrame, limits: DataFrame, key: str, t: str, y: str
 
 def right_size(history: DataFrame, key: str, load: str, sizes: list[tuple[str, float, float]], share: float = 0.95) -> DataFrame:
     """The cheapest size that carries the ``share`` quantile of the load. sizes: (size, capacity, price)."""
-    need = history.groupBy(key).agg(F.percentile(load, share).alias("need"))
+    need = with_quantiles(history.select(key).distinct(), history, [key], load, {"need": share})
     fitting = [F.when(F.col("need") <= capacity, F.struct(F.lit(float(price)).alias("price"), F.lit(size).alias("size"))) for size, capacity, price in sizes]
     return need.withColumn("m", F.array_min(F.array_compact(F.array(*fitting)))).select(key, F.round("need", 4).alias("need"), "m.size", "m.price")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import micros, version_key
-from .windows import ranked
+from .windows import ranked, same, time_bucket
 
 
 def enrich(facts: DataFrame, dim: DataFrame, on: str | list[str]) -> DataFrame:
@@ -52,13 +52,23 @@ def correlate(incidents: DataFrame, changes: DataFrame, by: str, hours: float) -
     return near.select("incident_id", by, "incident_ts", "change_id", "change_ts", F.round(gap / 3.6e9, 6).alias("hours"), F.row_number().over(order).alias("rank"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, value: str) -> DataFrame:
-    """The last ``value`` of the right side at or before each left row: one sort per key over the union of both."""
+def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, bucket_hours: float = 24) -> DataFrame:
+    """The last ``value`` (not null) of the right side at or before each left row; of several at one time the largest.
+
+    Both sides are united and sorted within time buckets; the last value of each
+    bucket carries over to the next ones, so no task sorts a whole key. Null keys
+    meet each other; left rows without a time get null.
+    """
     a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value]))
-    b = right.select(by, ts, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(by).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*left.columns, value)
+    b = right.where(F.col(ts).isNotNull()).select(by, ts, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_bucket", time_bucket(F.col(ts), bucket_hours))
+    lasts = both.groupBy(by, "_bucket").agg(F.max(F.when(F.col("_v").isNotNull(), F.struct(ts, "_v"))).alias("_last"))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("_carried", F.last("_last", ignorenulls=True).over(before))
+    w = Window.partitionBy(by, "_bucket").orderBy(ts, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_in", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    met = filled.alias("l").join(carried.alias("r"), same("l", "r", [by, "_bucket"]))
+    return met.select(*[F.col(f"l.{c}") for c in left.columns if c != value], F.coalesce("l._in", "r._carried._v").alias(value))
 
 
 def pattern_join(lines: DataFrame, line: str, rules: list[tuple[str, str]]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import bucket, hours_between
 from .graph import root_failure
+from .windows import quantiles
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -56,10 +57,9 @@ def anomalies(df: DataFrame, keys: list[str], order: str, value: str, k: float =
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-n, -1)
         out = df.withColumn("base", F.avg(value).over(w)).withColumn("spread", F.stddev_samp(value).over(w))
     else:
-        centre = df.groupBy(*keys).agg(F.median(value).alias("base"))
-        near = df.join(centre, keys)
-        spread = near.groupBy(*keys).agg((F.median(F.abs(F.col(value) - F.col("base"))) * 1.4826).alias("spread"))
-        out = near.join(spread, keys)
+        near = df.join(quantiles(df, keys, value, {"base": 0.5}), keys).withColumn("off", F.abs(F.col(value) - F.col("base")))
+        spread = quantiles(near, keys, "off", {"spread": 0.5}).withColumn("spread", F.col("spread") * 1.4826)
+        out = near.drop("off").join(spread, keys)
     score = F.round(F.try_divide(F.col(value) - F.col("base"), F.col("spread")), 4)
     return out.withColumn("score", score).where(F.abs("score") > k)
 
@@ -176,7 +176,9 @@ def regressions(previous: DataFrame, current: DataFrame, key: str, passed: str)
 def opportunities(quality: DataFrame, uses: DataFrame, key: str, score: str, used: str, high: float = 0.75, low: float = 0.25) -> DataFrame:
     """Entities of high quality and little use, by quantiles of both."""
     rows = quality.join(uses, key, "left").fillna(0, [used])
-    return rows.where((F.col(score) >= rows.agg(F.percentile(score, high)).scalar()) & (F.col(used) <= rows.agg(F.percentile(used, low)).scalar()))
+    one = rows.withColumn("_one", F.lit(0))
+    least, most = [quantiles(one, ["_one"], c, {"at": p}).select("at").scalar() for c, p in ((score, high), (used, low))]
+    return rows.where((F.col(score) >= least) & (F.col(used) <= most))
 
 
 def remediate(df: DataFrame, keys: list[str], order: list[str], fills: dict, max_attempts: int = 3) -> tuple[DataFrame, DataFrame]:

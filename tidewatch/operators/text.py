@@ -151,7 +151,7 @@ def _shingled(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     n = F.size("t")
     shingle = F.when(n >= words, F.transform(F.sequence(F.lit(1), F.greatest(n - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, words), " ")))).otherwise(F.array(F.xxhash64(F.array_join("t", " "))))
-    found = df.where(F.col(text).isNotNull()).select(key, tokens.alias("t")).where("size(t) > 0").select(key, F.array_distinct(shingle).alias("s"))
+    found = df.where(F.col(text).isNotNull()).select(key, tokens.alias("t")).where("size(t) > 0").select(key, F.array_sort(F.array_distinct(shingle)).alias("s"))
     return _written(found, "l7-shingles")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,19 +24,41 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int, ties: bool = Fals
     return df.withColumn("rank", (F.dense_rank() if ties else F.row_number()).over(w)).where(F.col("rank") <= n)
 
 
-def streaks(runs: DataFrame, key: str, order: list[str], failed) -> DataFrame:
-    """Runs of consecutive failures: first, last and length (gaps and islands)."""
-    every, own = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key, "bad").orderBy(*order)
-    island = F.row_number().over(every) - F.row_number().over(own)
-    marked = runs.withColumn("bad", failed).withColumn("island", island).where("bad")
+def time_bucket(ts: Column, hours: float) -> Column:
+    return F.floor(micros(ts) / F.lit(int(hours * 3_600_000_000)))
+
+
+def streaks(runs: DataFrame, key: str, order: list[str], failed: Column, bucket_hours: float = 24) -> DataFrame:
+    """Runs of consecutive failures: first, last and length. ``order`` starts with ``ts``.
+
+    A streak is known by the other rows before it. They are counted in time buckets,
+    and bucket counts carry over, so no task sorts a whole key. Rows whose state is
+    null end a streak.
+    """
+    rows = runs.withColumn("_bad", failed).withColumn("_bucket", time_bucket(F.col("ts"), bucket_hours))
+    other = F.when(F.col("_bad"), 0).otherwise(1)
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(key, "_bucket").agg(F.sum(other).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    within = F.sum(other).over(Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    marked = rows.withColumn("_at", within).where("_bad").alias("l").join(bases.alias("r"), same("l", "r", [key, "_bucket"]))
+    marked = marked.select(F.col(f"l.{key}").alias(key), F.col("l.ts").alias("ts"), (F.col("l._at") + F.col("r._base")).alias("island"))
     return marked.groupBy(key, "island").agg(F.count("*").alias("length"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("island")
 
 
-def idle_gaps(activity: DataFrame, key: str, ts: str, min_hours: float, tie: str) -> DataFrame:
-    """Times without activity of at least ``min_hours``."""
-    following = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, tie))
-    gap = hours_between(F.col(ts), F.col("until"))
-    return activity.withColumn("until", following).withColumn("hours", F.round(gap, 4)).where(gap >= min_hours).select(key, F.col(ts).alias("since"), "until", "hours")
+def idle_gaps(activity: DataFrame, key: str, ts: str, min_hours: float, tie: str, bucket_hours: float = 24) -> DataFrame:
+    """Times without activity of at least ``min_hours``.
+
+    The next time is looked for in the row's time bucket, else it is the first of the
+    key's next bucket that has any. Null times have no gap.
+    """
+    rows = activity.select(key, ts, tie).withColumn("_bucket", time_bucket(F.col(ts), bucket_hours))
+    after = F.lead("_first").over(Window.partitionBy(key).orderBy("_bucket"))
+    firsts = rows.groupBy(key, "_bucket").agg(F.min(ts).alias("_first")).withColumn("_next", after)
+    within = F.lead(ts).over(Window.partitionBy(key, "_bucket").orderBy(ts, tie))
+    met = rows.withColumn("_in", within).alias("l").join(firsts.alias("r"), same("l", "r", [key, "_bucket"]))
+    found = met.select(F.col(f"l.{key}").alias(key), F.col(f"l.{ts}").alias("since"), F.coalesce("l._in", "r._next").alias("until"))
+    gap = hours_between(F.col("since"), F.col("until"))
+    return found.where(gap >= min_hours).withColumn("hours", F.round(gap, 4))
 
 
 def concurrency(intervals: DataFrame, resource: str, start: str, end: str) -> DataFrame:
@@ -61,9 +83,16 @@ def concurrency_by_bucket(intervals: DataFrame, start: str, end: str, bucket_us:
 
 
 def rolling(df: DataFrame, key: str, ts: str, value: str, days: int) -> DataFrame:
-    """Mean over the trailing ``days`` days, the row itself included, by time and not by rows."""
-    w = Window.partitionBy(key).orderBy(micros(F.col(ts))).rangeBetween(-days * 86_400_000_000, 0)
-    return df.withColumn("rolling", F.round(F.avg(value).over(w), 9)).withColumn("rows", F.count("*").over(w))
+    """Mean over the trailing ``days`` days, the row itself included, by time and not by rows.
+
+    Time is cut into buckets of ``days``; each row is also history of the bucket after
+    its own, so a key is spread over its buckets. Rows without a time see each other.
+    """
+    at = time_bucket(F.col(ts), days * 24)
+    own, past = F.struct(at.alias("_bucket"), F.lit(True).alias("_own")), F.struct((at + 1).alias("_bucket"), F.lit(False).alias("_own"))
+    rows = df.select("*", F.inline(F.when(at.isNull(), F.array(own)).otherwise(F.array(own, past))))
+    w = Window.partitionBy(key, "_bucket").orderBy(micros(F.col(ts))).rangeBetween(-days * 86_400_000_000, 0)
+    return rows.withColumn("rolling", F.round(F.avg(value).over(w), 9)).withColumn("rows", F.count("*").over(w)).where("_own").drop("_bucket", "_own")
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_minutes: int) -> DataFrame:
@@ -95,23 +124,56 @@ def latest_state(log: DataFrame, key: str, ts: str, tie: str, columns: list[str]
     return log.groupBy(key).agg(F.max(F.struct(*names)).alias("top")).select(key, *[F.col(f"top.{c}").alias(c) for c in names])
 
 
-def _same(left: str, right: str, columns: list[str]):
+def same(left: str, right: str, columns: list[str]) -> Column:
+    """Equal values of ``columns`` on both sides, nulls included."""
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
-def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
-    """Row numbers within ``keys`` (none: of the whole table) by ``order``, however few or large the keys are.
+def running(df: DataFrame, keys: list[str], order: list, step: Column, name: str) -> DataFrame:
+    """Running sum of ``step`` within ``keys`` (none: of the whole table) by ``order``, however few or large the keys are.
 
-    Rows are dealt by ranges of keys and order and numbered within each range; a
-    range's numbers go on from the counts of the ranges before it, a table of ranges
-    times keys met in them. ``order`` must tell rows apart, or ties are numbered at will.
+    Rows are dealt by ranges of keys and order and summed within each range; a range
+    goes on from the sums of the ranges before it, a table of ranges times keys met
+    in them. ``order`` must tell rows apart, or ties are summed in any order.
     """
-    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    dealt = cut(df.withColumn("_step", step).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    joined = dealt.withColumn("_at", within).alias("l").join(bases.alias("r"), _same("l", "r", [*keys, "_range"]))
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_base") + F.col("_at")).cast("int").alias(name))
+    bases = dealt.groupBy(*keys, "_range").agg(F.sum("_step").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    within = F.sum("_step").over(Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = dealt.withColumn("_at", within).alias("l").join(bases.alias("r"), same("l", "r", [*keys, "_range"]))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_base") + F.col("_at")).alias(name))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Row numbers within ``keys`` by ``order``; as ``running``, so no task holds a whole key."""
+    return running(df, keys, order, F.lit(1), name).withColumn(name, F.col(name).cast("int"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of ``value`` in each key, as name: share, interpolated between neighbours; nulls don't count.
+
+    Equal values are counted first and the counts summed by ranges, so no task or
+    buffer holds all values of a key. Keys without a value have no row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    upto = cut(running(counts, keys, [F.asc("_v")], F.col("_n"), "_upto"))
+    sizes = upto.groupBy(*keys).agg(F.max("_upto").alias("_size"))
+    both = upto.alias("l").join(sizes.alias("s"), same("l", "s", keys)).select("l.*", "s._size")
+
+    def holder(place: Column) -> Column:
+        return F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("_v")))
+
+    places = {name: F.lit(float(p)) * (F.col("_size") - 1) for name, p in shares.items()}
+    ends = [holder(f(at)).alias(f"_{side}_{name}") for name, at in places.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = both.groupBy(*keys, "_size").agg(*ends)
+    part = {name: at - F.floor(at) for name, at in places.items()}
+    return found.select(*keys, *[F.when(part[n] == 0, F.col(f"_low_{n}")).otherwise((1 - part[n]) * F.col(f"_low_{n}") + part[n] * F.col(f"_high_{n}")).alias(n) for n in shares])
+
+
+def with_quantiles(out: DataFrame, df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``out``, an aggregate of ``df`` by ``keys``, with ``quantiles`` (null where a key has no value)."""
+    met = out.alias("l").join(quantiles(df, keys, value, shares).alias("q"), same("l", "q", keys), "left")
+    return met.select(*[F.col(f"l.{c}") for c in out.columns], *[F.col(f"q.{n}") for n in shares])
 
 
 def percentile_band(df: DataFrame, keys: list[str], value: str, tie: str, bands: int = 4) -> DataFrame:
@@ -123,7 +185,7 @@ def percentile_band(df: DataFrame, keys: list[str], value: str, tie: str, bands:
     rows = cut(ranked(df, keys, [F.asc(value), F.asc(tie)], "_row"))
     ties = rows.groupBy(*keys, value).agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    both = rows.alias("l").join(ties.alias("r"), _same("l", "r", [*keys, value])).join(sizes.alias("s"), _same("l", "s", keys))
+    both = rows.alias("l").join(ties.alias("r"), same("l", "r", [*keys, value])).join(sizes.alias("s"), same("l", "s", keys))
     row, n = F.col("l._row"), F.col("s._n")
     small, more = F.floor(n / bands), n % bands
     wide = more * (small + 1)

@@ -95,7 +95,8 @@ class Heartbeat(StatefulProcessor):
         self.last = handle.getValueState("last", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = int(_sorted(rows)["ts"].max().timestamp() * 1000)
+        # chunk by chunk: a key's rows are never held together
+        newest = max(int(chunk["ts"].max().timestamp() * 1000) for chunk in rows)
         newest = max(newest, self.last.get()[0] if self.last.exists() else 0)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
