@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, quality, text
 from ..sources.tables import RUNS_SQL, load, runs
 from .registry import query
-from .scans import headed, json_findings
+from .scans import FRONT_SQL, JSON_SQL, field_sql, headed, json_findings
 
 _NUMERIC = """SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS "distinct", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, round(CAST(quantile_cont({c}, 0.5) AS DOUBLE), 4) AS median FROM customer"""
 _TEXT = """SELECT '{c}', count(*), count(*) - count({c}), count(DISTINCT {c}), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM customer"""
@@ -100,8 +100,11 @@ def q6_reference(spark, folder):
 
 @query(
     "q7_required_keys",
-    """SELECT doc_id, unnest(CASE doc_id % 6 WHEN 0 THEN [] WHEN 1 THEN ['missing: description, loop-tier', 'risk: high']
-        WHEN 3 THEN ['missing: name, risk', 'loop-tier: never'] ELSE ['no frontmatter'] END) AS problem FROM documents""",
+    f"""WITH {FRONT_SQL}, k AS (SELECT *, {field_sql('risk')} AS risk, {field_sql('loop-tier')} AS tier, list_transform(fields, lambda x: trim(split_part(x, ':', 1))) AS keys FROM front),
+    m AS (SELECT *, list_filter(list_sort({list(text.REQUIRED_KEYS)}), lambda x: NOT list_contains(keys, x)) AS missing FROM k),
+    p AS (SELECT doc_id, unnest([CASE WHEN last IS NULL THEN 'no frontmatter' END, CASE WHEN last IS NOT NULL AND len(missing) > 0 THEN 'missing: ' || array_to_string(missing, ', ') END,
+        CASE WHEN NOT list_contains({list(text.RISKS)}, risk) THEN 'risk: ' || risk END, CASE WHEN NOT list_contains({list(text.TIERS)}, tier) THEN 'loop-tier: ' || tier END]) AS problem FROM m)
+    SELECT doc_id, problem FROM p WHERE problem IS NOT NULL""",
 )
 def q7(spark, folder):
     return text.required_keys(headed(spark, folder), "doc_id", "text")
@@ -109,11 +112,10 @@ def q7(spark, folder):
 
 @query(
     "q8_check_findings",
-    """SELECT doc_id, 'root' AS path, 'malformed' AS problem FROM labels WHERE doc_id % 5 = 2
-    UNION ALL SELECT doc_id, 'root.items[1]', 'empty evidence' FROM labels WHERE doc_id % 5 = 0 AND toxic <> 1
-    UNION ALL SELECT doc_id, 'root', 'empty evidence' FROM labels WHERE doc_id % 5 = 1 AND quality <> 1
-    UNION ALL SELECT doc_id, 'root.more', 'missing: evidence, recommendation, severity' FROM labels WHERE doc_id % 5 = 1
-    UNION ALL SELECT doc_id, 'root', 'missing: evidence, recommendation, severity' FROM labels WHERE doc_id % 5 = 4""",
+    f"""WITH {JSON_SQL}, f AS (SELECT doc_id, path, json_keys(text, place) AS keys, json_extract(text, place || '.evidence') AS evidence FROM objects),
+    m AS (SELECT *, list_filter({list(text.FINDING_KEYS)}, lambda x: NOT list_contains(keys, x)) AS missing FROM f WHERE list_contains(keys, 'issue') OR list_contains(keys, 'recommendation')),
+    p AS (SELECT doc_id, path, CASE WHEN len(missing) > 0 THEN 'missing: ' || array_to_string(missing, ', ') WHEN CAST(evidence AS VARCHAR) IN ('null', 'false', '0', '""', '[]', '{{}}') THEN 'empty evidence' END AS problem FROM m)
+    SELECT doc_id, path, problem FROM p WHERE problem IS NOT NULL UNION ALL SELECT doc_id, 'root', 'malformed' FROM made WHERE NOT json_valid(text)""",
 )
 def q8(spark, folder):
     return text.check_findings(json_findings(spark, folder), "doc_id", "text")

@@ -19,6 +19,27 @@ HEADED = """SELECT doc_id, CASE doc_id % 6
     ELSE '' END AS text FROM documents"""
 
 
+#: Documents with the fields of their frontmatter: ``last`` is the line that closes it (null: none), fields are its lines with a colon.
+FRONT_SQL = f"""headed AS ({HEADED}), cells AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM headed),
+    ls AS (SELECT doc_id, CASE WHEN a[len(a)] = '' THEN a[1:len(a)-1] ELSE a END AS ls FROM cells),
+    ends AS (SELECT doc_id, ls, CASE WHEN trim(ls[1]) = '---' THEN nullif(list_position(list_transform(ls[2:], lambda x: trim(x)), '---'), 0) + 1 END AS last FROM ls),
+    front AS (SELECT doc_id, ls, last, CASE WHEN last IS NULL THEN [] ELSE list_filter(ls[2:last-1], lambda x: contains(x, ':')) END AS fields FROM ends)"""
+
+
+def field_sql(name: str) -> str:
+    """The value of the last field of that name, in SQL over ``front``."""
+    line = f"list_filter(fields, lambda x: trim(split_part(x, ':', 1)) = '{name}')[-1]"
+    return f"trim(substr({line}, strpos({line}, ':') + 1))"
+
+
+#: Finding documents of the labels: nested, malformed, with missing keys and empty evidence.
+JSON_SQL = """made AS (SELECT doc_id, CASE doc_id % 5
+    WHEN 0 THEN '{"items":[{"issue":"q' || quality || '","evidence":"e","recommendation":"r","severity":"low"},{"recommendation":"x","evidence":"' || CASE WHEN toxic = 1 THEN 'y' ELSE '' END || '","severity":"high"}]}'
+    WHEN 1 THEN '{"issue":"a","evidence":[' || CASE WHEN quality = 1 THEN '1' ELSE '' END || '],"recommendation":"r","severity":"s","more":{"issue":"inner"}}'
+    WHEN 2 THEN '{"broken": ' WHEN 3 THEN '[{"a":{"b":[' || toxic || ']}}]' ELSE '{"issue":"only"}' END AS text FROM labels),
+    objects AS (SELECT v.doc_id, replace(t.fullkey, '$', 'root') AS path, v.text, t.fullkey AS place FROM (SELECT * FROM made WHERE json_valid(text)) v, json_tree(v.text) t WHERE t.type = 'OBJECT')"""
+
+
 def headed(spark, folder):
     docs = load(spark, folder, "documents")
     nl = F.lit("\n")
@@ -75,7 +96,7 @@ def s2(spark, folder):
 
 @query(
     "s3_parse_findings",
-    "SELECT doc_id, doc_id % 5 = 2 AS malformed FROM labels",
+    f"WITH {JSON_SQL} SELECT doc_id, NOT json_valid(text) AS malformed FROM made",
 )
 def s3(spark, folder):
     return findings.parse_findings(json_findings(spark, folder), "doc_id", "text").drop("value")
@@ -83,8 +104,7 @@ def s3(spark, folder):
 
 @query(
     "s4_walk_json",
-    """SELECT doc_id, p AS path FROM (SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN ['root', 'root.items[0]', 'root.items[1]']
-        WHEN 1 THEN ['root', 'root.more'] WHEN 3 THEN ['root[0]', 'root[0].a'] WHEN 4 THEN ['root'] ELSE [] END) AS p FROM labels)""",
+    f"WITH {JSON_SQL} SELECT doc_id, path FROM objects",
 )
 def s4(spark, folder):
     return findings.walk_json(findings.parse_findings(json_findings(spark, folder), "doc_id", "text"), "doc_id").select("doc_id", "path")
@@ -92,10 +112,7 @@ def s4(spark, folder):
 
 @query(
     "s5_extract_frontmatter",
-    f"""WITH headed AS ({HEADED})
-    SELECT h.doc_id, CASE h.doc_id % 6 WHEN 0 THEN 'doc-' || h.doc_id WHEN 1 THEN 'doc-' || h.doc_id END AS name,
-        CASE h.doc_id % 6 WHEN 0 THEN 'a: b' WHEN 3 THEN '' END AS description, h.doc_id % 6 IN (0, 1, 3) AS closed,
-        CAST(CASE h.doc_id % 6 WHEN 0 THEN 7 WHEN 1 THEN 6 WHEN 3 THEN 6 ELSE 1 END AS INTEGER) AS body_start_line FROM headed h""",
+    f"""WITH {FRONT_SQL} SELECT doc_id, {field_sql('name')} AS name, {field_sql('description')} AS description, last IS NOT NULL AS closed, CAST(coalesce(last + 1, 1) AS INTEGER) AS body_start_line FROM front""",
 )
 def s5(spark, folder):
     f = text.extract_frontmatter(headed(spark, folder), "doc_id", "text")

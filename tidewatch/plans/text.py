@@ -6,7 +6,7 @@ from ..operators import text
 from ..sources.tables import load
 from ..sources.text import explode_lines
 from .registry import query
-from .scans import HEADED, headed
+from .scans import FRONT_SQL, headed
 
 LINES_SQL = """lines AS (SELECT doc_id, i AS line_no, a[i] AS line FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i
     FROM (SELECT doc_id, CASE WHEN a[len(a)] = '' THEN a[1:len(a)-1] ELSE a END AS a FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))))"""
@@ -82,12 +82,15 @@ def l4_day(spark, folder):
     return text.error_diff(errors(spark, folder), F.col("ts") >= at("2024-01-30"), horizon=F.col("ts") >= at("2024-01-29"))
 
 
+RULES_SQL = ", ".join(f"('{r.rule_id}', '{r.pattern}', {r.each}, '{r.exempt}')" for r in text.PORTABILITY)
+
+
 @query(
     "l5_lint_corpus",
-    f"""WITH headed AS ({HEADED}) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, rule_id, snippet FROM (
-    SELECT doc_id, unnest([6, 6, 6, 7, 7]) AS line_no, unnest(['assistant-cursor', 'bare-script-path', 'bare-script-path', 'slash-command', 'drive-letter']) AS rule_id,
-        unnest(['run `scripts/a.py` and `./scripts/b.sh x` in Cursor', 'run `scripts/a.py` and `./scripts/b.sh x` in Cursor', 'run `scripts/a.py` and `./scripts/b.sh x` in Cursor', 'use `/two-words` or C:' || chr(92) || 'x', 'use `/two-words` or C:' || chr(92) || 'x']) AS snippet FROM headed WHERE doc_id % 6 = 3
-    UNION ALL SELECT doc_id, 1, unnest(['assistant-copilot', 'assistant-mcp']), 'the copilot and MCP server' FROM headed WHERE doc_id % 6 = 4)""",
+    f"""WITH {FRONT_SQL}, b AS (SELECT doc_id, coalesce(last, 0) AS before, ls[coalesce(last, 0) + 1:] AS body FROM front),
+    n AS (SELECT doc_id, before + unnest(range(1, len(body) + 1)) AS line_no, unnest(body) AS line FROM b), r(rule_id, pattern, each, exempt) AS (VALUES {RULES_SQL}),
+    h AS (SELECT n.*, r.rule_id, CASE WHEN exempt <> '' AND regexp_matches(line, exempt) THEN 0 WHEN each THEN len(regexp_extract_all(line, pattern)) ELSE 1 END AS times FROM n, r WHERE regexp_matches(line, pattern))
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, rule_id, trim(line)[1:{text.SNIPPET}] AS snippet FROM (SELECT *, unnest(range(times)) AS i FROM h)""",
 )
 def l5(spark, folder):
     return text.lint_corpus(headed(spark, folder), "doc_id", "text")
@@ -103,7 +106,14 @@ def l6(spark, folder):
     return text.secrets_scan(load(spark, folder, "documents"), "doc_id", "text")
 
 
-@query("l7_near_duplicates")
+@query(
+    "l7_near_duplicates",
+    r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(t) >= 5 THEN list_transform(list_zip(t[:-5], t[2:-4], t[3:-3], t[4:-2], t[5:]), lambda x: concat_ws(' ', x[1], x[2], x[3], x[4], x[5])) ELSE [array_to_string(t, ' ')] END)) AS s FROM t WHERE len(t) > 0),
+    r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS first, s, len(s) AS n FROM s), u AS (SELECT doc_id, n, unnest(s) AS x FROM r WHERE doc_id = first),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2)
+    SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.8 UNION ALL SELECT first, doc_id, 1.0 FROM r WHERE doc_id <> first""",
+)
 def l7(spark, folder):
     return text.near_duplicates_of_all(load(spark, folder, "documents"), "doc_id", "text")
 
