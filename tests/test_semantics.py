@@ -381,6 +381,14 @@ def test_quantiles_are_exact(spark):
     assert windows.quantiles(df.limit(0), ["k"], "v", shares).collect() == []
 
 
+def test_quantiles_of_large_groups(spark):
+    df = spark.range(150_000, numPartitions=7).select((F.col("id") % 50 == 0).cast("int").alias("k"), F.when(F.col("id") % 3 > 0, F.rand(7) * 1e6).otherwise(F.floor(F.rand(8) * 9) * 1e5).alias("v")).cache()
+    shares = {"least": 0.0001, "q": 0.1, "mid": 0.5, "near": 0.5002, "high": 0.95, "most": 0.9999}
+    got, exact = windows.quantiles(df, ["k"], "v", shares), df.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in shares.items()])
+    for a, b in zip(got.orderBy("k").collect(), exact.orderBy("k").collect(), strict=True):
+        assert tuple(a) == pytest.approx(tuple(b), rel=1e-12)
+
+
 def test_running_sums_follow_ranges(spark):
     rows = [(i % 3 or None, i, i % 5) for i in range(200)]
     got = windows.running(spark.createDataFrame(rows, "k long, at long, n long"), ["k"], [F.asc("at")], F.col("n"), "sum").collect()

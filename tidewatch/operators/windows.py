@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from ..functions.columns import hours_between, micros, ratio
 from ..sources.scratch import cut
 
+#: Accuracy of the sketches that bound quantiles.
+SKETCH = 10_000
+
 
 def period_delta(df: DataFrame, keys: list[str], period: str, value: str) -> DataFrame:
     """Change against the row of the period before, absolute and as a share."""
@@ -152,22 +155,35 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> D
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact quantiles of ``value`` in each key, as name: share, interpolated between neighbours; nulls don't count.
 
-    Equal values are counted first and the counts summed by ranges, so no task or
-    buffer holds all values of a key. Keys without a value have no row.
+    Sketches first bound each quantile: of ``n`` values, the bounds lie 3 n / ``SKETCH``
+    ranks around it, three times a sketch's error. Values between the bounds are then
+    counted one by one and all others together, so a key of any size leaves a few
+    thousandths of its values to be sorted. A quantile that its bounds miss raises.
+    Keys without a value have no row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    upto = cut(running(counts, keys, [F.asc("_v")], F.col("_n"), "_upto"))
-    sizes = upto.groupBy(*keys).agg(F.max("_upto").alias("_size"))
-    both = upto.alias("l").join(sizes.alias("s"), same("l", "s", keys)).select("l.*", "s._size")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = [min(max(p + side * 3 / SKETCH, 0.0), 1.0) for p in shares.values() for side in (-1, 1)]
+    sketched = rows.groupBy(*keys).agg(F.count("*").alias("_size"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", ends, SKETCH).alias("_ends"))
+    small = F.col("_size") <= SKETCH
+    both = rows.alias("l").join(sketched.alias("s"), same("l", "s", keys)).select("l.*", "s._size", *[F.when(small, F.col("_min" if i % 2 == 0 else "_max")).otherwise(F.col("_ends")[i]).alias(f"_e{i}") for i in range(len(ends))])
+    inside = reduce(lambda a, b: a | b, [F.col("_v").between(F.col(f"_e{i}"), F.col(f"_e{i + 1}")) for i in range(0, len(ends), 2)])
+    passed = [F.when(F.col("_v") > F.col(f"_e{i}"), F.col(f"_e{i}")) for i in range(1, len(ends), 2)]
+    held = F.when(inside, F.col("_v")).otherwise(F.greatest(*passed, F.lit(None).cast("double")))
+    counts = both.groupBy(*keys, "_size", held.alias("_held"), (~inside).alias("_out")).agg(F.count("*").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_size").orderBy(F.asc_nulls_first("_held"), "_out").rowsBetween(Window.unboundedPreceding, 0)))
 
     def holder(place: Column) -> Column:
-        return F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("_v")))
+        return F.max(F.when(~F.col("_out") & (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("_held")))
 
     places = {name: F.lit(float(p)) * (F.col("_size") - 1) for name, p in shares.items()}
-    ends = [holder(f(at)).alias(f"_{side}_{name}") for name, at in places.items() for side, f in (("low", F.floor), ("high", F.ceil))]
-    found = both.groupBy(*keys, "_size").agg(*ends)
-    part = {name: at - F.floor(at) for name, at in places.items()}
-    return found.select(*keys, *[F.when(part[n] == 0, F.col(f"_low_{n}")).otherwise((1 - part[n]) * F.col(f"_low_{n}") + part[n] * F.col(f"_high_{n}")).alias(n) for n in shares])
+    found = upto.groupBy(*keys, "_size").agg(*[holder(f(at)).alias(f"_{side}_{name}") for name, at in places.items() for side, f in (("low", F.floor), ("high", F.ceil))])
+
+    def between(name: str) -> Column:
+        part, low, high = places[name] - F.floor(places[name]), F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        missed = F.raise_error(F.lit("a quantile lies outside the bounds of its sketch")).cast("double")
+        return F.when(low.isNull() | high.isNull(), missed).when(part == 0, low).otherwise((1 - part) * low + part * high)
+
+    return found.select(*keys, *[between(n).alias(n) for n in shares])
 
 
 def with_quantiles(out: DataFrame, df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
