@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, media, mixing, quality, sharding, simhash, tokens, toxicity, urls
+from . import decontam, licenses, media, mixing, periodic, quality, sharding, simhash, tokens, toxicity, urls
+from .common import crc32_of_id
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +68,44 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages")).drop("listed")
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``documents``; by the crc32 of its id, a tenth of them goes on with words that repeat. A null id has none."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \x09-\x0D]+"), lambda w: w != "")
+    h = crc32_of_id(F.col("doc_id"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("long")
+        # n and a are bound once: an expression in a lambda is computed at every call
+        places = F.transform(F.array(F.struct(a.alias("a"), p.alias("p"))), lambda k: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < k["a"], i).otherwise(k["a"] + F.pmod(i - k["a"], k["p"]))))[0]
+        return F.array_join(F.transform(places, lambda i: F.get(w, i.cast("int"))), " ")
+
+    text = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))[0]
+    planted = F.col("doc_id").isNotNull() & (F.pmod(h, F.lit(10)) == 0)
+    return docs.select("doc_id", F.when(planted, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_with_planted_runs(_read(spark, sf_dir, "documents")))
+    # greater length/period first; products of whole numbers, no quotient
+    first = F.expr("""array_sort(runs, (x, y) -> CASE
+        WHEN x.length * y.period <> y.length * x.period THEN IF(x.length * y.period > y.length * x.period, -1, 1)
+        WHEN x.start <> y.start THEN IF(x.start < y.start, -1, 1)
+        ELSE IF(x.period < y.period, -1, IF(x.period > y.period, 1, 0)) END)""")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.withColumn("most", F.get(first, F.lit(0)))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"most.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * most.length) div most.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media, op2_tokens, op3_decontaminate, op4_quality, op5_sharding, op6_licenses, op7_simhash, op8_toxicity, op9_mixing, op10_urls, pipeline)
+    found = (op1_media, op2_tokens, op3_decontaminate, op4_quality, op5_sharding, op6_licenses, op7_simhash, op8_toxicity, op9_mixing, op10_urls, op12_periodic, pipeline)
     return {f.__name__: f for f in found}
 
 
