@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, media, mixing, periodic, quality, sharding, simhash, tokens, toxicity, urls
+from . import decontam, licenses, media, mixing, negatives, periodic, quality, sharding, simhash, tokens, toxicity, urls
 from .common import crc32_of_id
 
 
@@ -68,6 +68,13 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages")).drop("listed")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.select("vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), "embedding")
+    return negatives.mine(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text of ``documents``; by the crc32 of its id, a tenth of them goes on with words that repeat. A null id has none."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \x09-\x0D]+"), lambda w: w != "")
@@ -113,7 +120,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media, op2_tokens, op3_decontaminate, op4_quality, op5_sharding, op6_licenses, op7_simhash, op8_toxicity, op9_mixing, op10_urls, op12_periodic, pipeline)
+    found = (op1_media, op2_tokens, op3_decontaminate, op4_quality, op5_sharding, op6_licenses, op7_simhash, op8_toxicity, op9_mixing, op10_urls, op11_negatives, op12_periodic, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -135,4 +142,24 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN fits IS NOT NULL THEN split_part(fits, '|', 2)
                 WHEN regexp_matches(host, '{urls.LISTED}') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+        "op11_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+        p AS (
+            SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score
+            FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE label = anchor_label)
+            WHERE r <= 5),
+        n AS (
+            SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS r
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label
+                AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3""",
     }
