@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, media, mixing, negatives, periodic, quality, sharding, simhash, tokens, toxicity, urls
+from . import decontam, licenses, media, mixing, negatives, periodic, quality, repeats, sharding, simhash, tokens, toxicity, urls
 from .common import crc32_of_id
 
 
@@ -113,6 +113,12 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media, op2_tokens, op3_decontaminate, op4_quality, op5_sharding, op6_licenses, op7_simhash, op8_toxicity, op9_mixing, op10_urls, op11_negatives, op12_periodic, pipeline)
+    found = (op1_media, op2_tokens, op3_decontaminate, op4_quality, op5_sharding, op6_licenses, op7_simhash, op8_toxicity, op9_mixing, op10_urls, op11_negatives, op12_periodic, op13_repeats, pipeline)
     return {f.__name__: f for f in found}
 
 
