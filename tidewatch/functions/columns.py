@@ -34,6 +34,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def exact_sum(value: Column, places: int = 6) -> Column:
+    """Sum of a double's decimals, as a double: the same for every order of the rows, unlike a sum of doubles. Values have 12 digits before the point at most."""
+    return F.sum(value.cast(f"decimal(18,{places})")).cast("double")
+
+
 def strip(text: Column) -> Column:
     """Without leading and trailing white space of any kind (``trim`` knows spaces only)."""
     return F.regexp_replace(text, f"(?U)^{BLANKS}+|{BLANKS}+$", "")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import bucket, day, hours_between, ratio, signature
+from ..functions.columns import bucket, day, exact_sum, hours_between, ratio, signature
 from .quality import anomalies
-from .windows import ranked, with_quantiles
+from .windows import ranked, same, with_quantiles
 
 
 def cost_rollup(usage: DataFrame, dims: list[str], mode: str = "rollup") -> DataFrame:
@@ -144,8 +144,11 @@ def size_buckets(changes: DataFrame, key: str, size: str, limits: tuple[int, ...
 
 
 def before_after(timings: DataFrame, workflow: str, phase: str, value: str) -> DataFrame:
-    """Median before and after for each workflow, and the share saved."""
-    wide = timings.groupBy(workflow).pivot(phase, ["before", "after"]).agg(F.median(value))
+    """Exact median before and after for each workflow, and the share saved; other phases don't count, a phase without values is null."""
+    keys = [workflow, phase]
+    medians = with_quantiles(timings.groupBy(*keys).agg(F.count("*").alias("_n")), timings, keys, value, {"_median": 0.5})
+    of = lambda name: F.max(F.when(F.col(phase) == name, F.col("_median"))).alias(name)
+    wide = medians.groupBy(workflow).agg(of("before"), of("after"))
     return wide.select(workflow, F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), F.round(1 - ratio(F.col("after"), F.col("before")), 6).alias("saved"))
 
 
@@ -161,15 +164,19 @@ def changelog(commits: DataFrame, message: str, release: str) -> DataFrame:
 
 
 def flow_anomalies(flows: DataFrame, source: str, peer: str, volume: str, fan_out: int, factor: float) -> DataFrame:
-    """Sources whose daily number of peers or volume is unusual against their own mean."""
-    daily = flows.groupBy(source, day(F.col("ts")).alias("day")).agg(F.count_distinct(peer).alias("peers"), F.sum(volume).alias("volume"))
-    own = Window.partitionBy(source)
-    return daily.withColumn("mean_volume", F.avg("volume").over(own)).where((F.col("peers") >= fan_out) | (F.col("volume") > factor * F.col("mean_volume"))).select(source, "day", "peers", F.round("volume", 4).alias("volume"), F.round("mean_volume", 4).alias("mean_volume"))
+    """Sources whose daily number of peers or volume is unusual against their own mean.
+
+    Volumes are summed as decimals, so reruns agree to the last digit. Null volumes don't count; a day without any has a null volume.
+    """
+    daily = flows.groupBy(source, day(F.col("ts")).alias("day")).agg(F.count_distinct(peer).alias("peers"), exact_sum(F.col(volume)).alias("volume"))
+    means = daily.groupBy(source).agg((exact_sum(F.col("volume")) / F.count("volume")).alias("mean_volume"))
+    odd = daily.alias("l").join(means.alias("r"), same("l", "r", [source])).where((F.col("peers") >= fan_out) | (F.col("volume") > factor * F.col("mean_volume")))
+    return odd.select(f"l.{source}", "day", "peers", F.round("volume", 4).alias("volume"), F.round("mean_volume", 6).alias("mean_volume"))
 
 
 def flow_surges(flows: DataFrame, source: str, peer: str, volume: str, k: float = 3.0, days: int = 7) -> DataFrame:
     """Days whose number of peers or volume is ``k`` deviations away from the ``days`` before (Q5), with what is unusual."""
-    daily = flows.groupBy(source, day(F.col("ts")).alias("day")).agg(F.count_distinct(peer).cast("double").alias("peers"), F.sum(volume).alias("volume"))
+    daily = flows.groupBy(source, day(F.col("ts")).alias("day")).agg(F.count_distinct(peer).cast("double").alias("peers"), exact_sum(F.col(volume)).alias("volume"))
     odd = [anomalies(daily, [source], "day", c, k, days).select(source, "day", F.lit(c).alias("what"), F.col(c).alias("value"), "base", "score") for c in ("peers", "volume")]
     return odd[0].unionByName(odd[1])
 

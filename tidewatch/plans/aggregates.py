@@ -196,8 +196,9 @@ def a17(spark, folder):
 
 @query(
     "a18_flow_anomalies",
-    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_type) AS peers, sum(value) AS volume FROM events GROUP BY 1, 2), w AS (SELECT *, avg(volume) OVER (PARTITION BY user_id) AS m FROM d)
-    SELECT user_id, day, peers, round(volume, 4) AS volume, round(m, 4) AS mean_volume FROM w WHERE peers >= 5 OR volume > 3 * m""",
+    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_type) AS peers, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS volume FROM events GROUP BY 1, 2),
+    w AS (SELECT *, CAST(sum(CAST(volume AS DECIMAL(18,6))) OVER (PARTITION BY user_id) AS DOUBLE) / count(*) OVER (PARTITION BY user_id) AS m FROM d)
+    SELECT user_id, day, peers, round(volume, 4) AS volume, round(m, 6) AS mean_volume FROM w WHERE peers >= 5 OR volume > 3 * m""",
 )
 def a18(spark, folder):
     return agg.flow_anomalies(load(spark, folder, "events"), "user_id", "event_type", "value", 5, 3.0)
@@ -205,7 +206,7 @@ def a18(spark, folder):
 
 @query(
     "a18_flow_surges",
-    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(DISTINCT event_type) AS DOUBLE) AS peers, sum(value) AS volume FROM events GROUP BY 1, 2),
+    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(DISTINCT event_type) AS DOUBLE) AS peers, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS volume FROM events GROUP BY 1, 2),
     l AS (SELECT user_id, day, unnest(['peers', 'volume']) AS what, unnest([peers, volume]) AS value FROM d),
     b AS (SELECT *, avg(value) OVER w AS base, stddev_samp(value) OVER w AS spread FROM l WINDOW w AS (PARTITION BY user_id, what ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
     SELECT user_id, day, what, round(value, 4) AS value, round(base, 4) AS base FROM b WHERE abs(round((value - base) / nullif(spread, 0), 4)) > 3""",

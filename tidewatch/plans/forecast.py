@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import exact_sum
 from ..operators import forecast as fc
 from ..sources.tables import METRICS_SQL, USAGE_SQL, load, metrics
 from .registry import query
@@ -34,12 +35,12 @@ def p3(spark, folder):
     return fc.right_size(load(spark, folder, "events"), "user_id", "value", SIZES)
 
 
-HOURLY_SQL = "h AS (SELECT date_trunc('hour', ts) AS hour, sum(value) AS used FROM events GROUP BY 1)"
+HOURLY_SQL = "h AS (SELECT date_trunc('hour', ts) AS hour, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS used FROM events GROUP BY 1)"
 
 
 @query("p4_commit_optimizer", f"WITH {HOURLY_SQL}, l AS (SELECT unnest([0.0, 100.0, 300.0, 500.0, 800.0]::DOUBLE[]) AS level) SELECT level, round(sum(greatest(used - level, 0) * 1.0 + level * 0.6), 2) AS cost FROM h, l GROUP BY 1")
 def p4(spark, folder):
-    hourly = load(spark, folder, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.sum("value").alias("used"))
+    hourly = load(spark, folder, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(exact_sum(F.col("value")).alias("used"))
     return fc.commit_optimizer(hourly, [0, 100, 300, 500, 800], 1.0, 0.6)
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import exact_sum
 from ..operators import graph, quality, text
 from ..sources.tables import RUNS_SQL, load, runs
 from .registry import query
@@ -47,10 +48,10 @@ def q4(spark, folder):
 
 
 def daily(spark, folder):
-    return load(spark, folder, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("total"))
+    return load(spark, folder, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(exact_sum(F.col("value")).alias("total"))
 
 
-DAILY_SQL = "daily AS (SELECT event_type, CAST(ts AS DATE) AS day, sum(value) AS total FROM events GROUP BY ALL)"
+DAILY_SQL = "daily AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events GROUP BY ALL)"
 
 
 @query(

@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import exact_sum
 from ..operators import filters
 from ..sources import findings, synth, text
 from ..sources.tables import RUNS_SQL, SCHEMAS, load, runs
@@ -173,9 +174,9 @@ def f5(spark, folder):
     return filters.config_audit(load(spark, folder, "part"), "part", "p_partkey", rules)
 
 
-@query("f6_aggregates_only", "SELECT c_nationkey, c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean_balance FROM customer GROUP BY ALL HAVING count(*) >= 12")
+@query("f6_aggregates_only", "SELECT c_nationkey, c_mktsegment, count(*) AS n, round(CAST(sum(CAST(c_acctbal AS DECIMAL(18,6))) AS DOUBLE) / count(*), 4) AS mean_balance FROM customer GROUP BY ALL HAVING count(*) >= 12")
 def f6(spark, folder):
-    return filters.aggregates_only(load(spark, folder, "customer"), ["c_nationkey", "c_mktsegment"], [F.round(F.avg("c_acctbal"), 4).alias("mean_balance")], 12)
+    return filters.aggregates_only(load(spark, folder, "customer"), ["c_nationkey", "c_mktsegment"], [F.round(exact_sum(F.col("c_acctbal")) / F.count("*"), 4).alias("mean_balance")], 12)
 
 
 @query(
