@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import queues
 from ..operators import windows as win
 from ..sources.tables import METRICS_SQL, USAGE_SQL, load, metrics, usage
 from .registry import query
@@ -75,6 +76,46 @@ def w5_overall(spark, folder):
     return win.concurrency_by_bucket(intervals(spark, folder), "ts", "until", 3_600_000_000)
 
 
+QUEUE_SQL = """WITH r AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS a, CAST(floor(value * 60000000) AS BIGINT) AS s FROM events),
+    w AS (SELECT *, CAST(sum(s) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS work FROM r),
+    e AS (SELECT *, work - s + max(a - (work - s)) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS UNBOUNDED PRECEDING) AS begins FROM w)"""
+
+
+def requests(spark, folder):
+    """Each event asks its user's one place for ``value`` minutes."""
+    end = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 60_000_000)).cast("timestamp_ntz")
+    return load(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", end.alias("until"))
+
+
+@query(
+    "w5_queueing",
+    f"""{QUEUE_SQL}, l AS (SELECT *, greatest(0, begins - greatest(a, coalesce(lag(begins) OVER (PARTITION BY user_id ORDER BY a, event_id), a))) AS fresh FROM e)
+    SELECT user_id, count(*) AS requests, count(*) FILTER (begins > a) AS queued, round(max(begins - a) / 3600000000.0, 6) AS longest_wait,
+        round(sum(begins - a) / count(*) / 3600000000.0, 6) AS mean_wait, round(sum(fresh) / 3600000000.0, 6) AS contended FROM l GROUP BY 1""",
+)
+def w5_queue(spark, folder):
+    return queues.queueing(requests(spark, folder), "user_id", "ts", "until", "event_id")
+
+
+@query(
+    "w5_isolation",
+    f"""{QUEUE_SQL}, g AS (SELECT user_id, event_type, count(*) AS requests, sum(begins - a) AS waited, CAST(sum(s) AS DOUBLE) AS work FROM e GROUP BY 1, 2)
+    SELECT user_id, event_type AS workload, requests, round(waited / 3600000000.0, 6) AS waited, round(work / nullif(sum(work) OVER (PARTITION BY user_id), 0), 6) AS work_share FROM g""",
+)
+def w5_isolation(spark, folder):
+    return queues.isolation(requests(spark, folder), "user_id", "event_type", "ts", "until", "event_id")
+
+
+@query("w5_queueing_places")
+def w5_places(spark, folder):
+    """Each event type is a resource with a fifth more places than its mean number of open intervals; against a plain queue in ``tests/test_queues.py``."""
+    rows = requests(spark, folder)
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    busy = rows.groupBy("event_type").agg(F.sum(seconds("until") - seconds("ts")).alias("work"), (F.max(seconds("ts")) - F.min(seconds("ts"))).alias("span"))
+    capacity = busy.select("event_type", F.ceil(F.coalesce(F.try_divide(1.2 * F.col("work"), F.col("span")), F.lit(1))).alias("capacity"))
+    return queues.queueing(rows, "event_type", "ts", "until", "event_id", capacity)
+
+
 @query(
     "w6_rolling",
     """SELECT event_id, user_id, round(avg(value) OVER w, 9) AS rolling, count(*) OVER w AS rows FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW)""",

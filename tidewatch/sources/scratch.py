@@ -25,6 +25,41 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders written by each Spark application and not yet deleted.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(df: DataFrame, kind: str, *partitions: str) -> DataFrame:
+    """``df`` from a table in a work folder: cuts lineage, survives lost executors, keeps sizes for the planner; ``release`` deletes it."""
+    spark, path = df.sparkSession, work_folder(df.sparkSession, kind)
+    df.write.partitionBy(*partitions).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        if getattr(table, "written_to", None):
+            _delete(table.sparkSession, table.written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of ``written`` of this application; call it once the results are consumed."""
+    for path in list(_WRITTEN.get(spark.sparkContext.applicationId, [])):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    made = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint into the cluster's shared folder (``spark.checkpoint.dir``)."""
     _checkpoint_dir(df.sparkSession)
