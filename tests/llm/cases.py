@@ -63,20 +63,9 @@ def simhash(text):
     return (majority(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, 4)], dtype="<u8")),)
 
 
-def similar_prints(text):
-    """Fingerprint of the set of words, and 256 bits over the set of five-word shingles."""
-    words, runs = (np.array([xxhash.xxh64_intdigest(s, 42) for s in sorted(set(shingles(text, n)))], dtype="<u8") for n in (1, 5))
-    wide = []
-    for k in range(4):
-        h = (runs ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        wide.append(majority(h ^ (h >> np.uint64(32))))
-    return majority(words), *wide
-
-
-def simhash_components(rows, distance=4, prints_of=simhash, wide_distance=44):
+def simhash_components(rows, distance=4):
     """Fingerprints and component ids by position of the row."""
-    prints = [prints_of(t) for _, t, *_ in rows]
+    prints = [simhash(t) for _, t, *_ in rows]
     parent = {f: f for f in prints}
 
     def find(f):
@@ -87,7 +76,7 @@ def simhash_components(rows, distance=4, prints_of=simhash, wide_distance=44):
     known = sorted(parent)
     for i, a in enumerate(known):
         for b in known[i + 1 :]:
-            if (a[0] ^ b[0]).bit_count() <= distance and sum((x ^ y).bit_count() for x, y in zip(a[1:], b[1:], strict=True)) <= wide_distance:
+            if (a[0] ^ b[0]).bit_count() <= distance:
                 parent[find(a)] = find(b)
     best = {}
     for (doc_id, *_), f in zip(rows, prints, strict=True):

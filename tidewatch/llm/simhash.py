@@ -8,10 +8,13 @@ unary (00, 01, 11), which makes the Manhattan distance ``bit_count(u xor v)``.
 The range join "distance at most d" uses a grid: the 32 dimensions form ``b``
 blocks, and two embeddings within d differ in at most d blocks, so they agree on
 some ``b - d`` of them. Each choice of blocks is one grid; its cells are the
-counts in those blocks.
+counts in those blocks. Every fingerprint is placed once in each grid, and a cell's members
+are compared where they meet: by the bound first, then bit by bit.
 
-A link may ask for more than near fingerprints: with wide prints (SimHash of 256 bits
-over other shingles) it is also checked exactly that these differ in few bits.
+A link may ask for more than near fingerprints: that the sets of word shingles have a
+similarity. Then fingerprints (several, so that few pairs are missed) and a print of
+128 bits over the shingles only propose pairs; the shingles of the proposed texts are read
+and counted, and pairs below the similarity are no links.
 """
 
 from __future__ import annotations
@@ -31,37 +34,51 @@ from .common import materialise, pieces, release, row_hash, take, texts
 from .components import components
 
 LOW_BITS = 0x5555555555555555
-#: Ids of dropped documents are broadcast up to this number (16 bytes each, with the hash of the row).
+#: Ids of documents are broadcast up to this number (16 bytes each, with the hash of the row).
 BROADCAST_IDS = 1 << 21
 SEGMENTS, WORDS, SEED, DISTANCE = 32, 4, 42, 4
-#: Up to so many distinct fingerprints, this many blocks beyond ``distance``: more blocks, smaller cells.
-BLOCKS = ((1 << 14, 1), (1 << 22, 2), (1 << 28, 3), (1 << 62, 4))
-#: Rows of all grids that are placed at once, comparisons of a cell from which it is split, and members that make a crowd.
-ROWS_AT_ONCE, HOT_PAIRS, CROWD = 1 << 27, 1 << 20, 16
-#: Tasks that the nodes of one component are dealt to.
-SALTS = 16
-WIDE = ("w0", "w1", "w2", "w3")
+#: Up to so many nodes, this many blocks beyond ``distance``: more blocks, smaller cells, more grids.
+BLOCKS = ((1 << 19, 1), (1 << 24, 2), (1 << 28, 3), (1 << 62, 4))
+#: Members from which a cell is split by further segments; up to which it is compared without a loop over cells; with all pairs at once.
+HOT_MEMBERS, SMALL, LARGE = 1 << 14, 32, 1 << 13
+#: Near pairs a member from which a cell is a crowd, in which each member is linked once. Rows that are compared at a time.
+CROWDED, CHUNK_ROWS = 4, 1 << 17
+#: Tasks that the nodes of one component are dealt to, and rows of a node from which they look it up where they are.
+SALTS, HOT_ROWS = 16, 1 << 14
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
 @dataclass(frozen=True)
 class Likeness:
-    """When two texts link: fingerprints over ``words``-word shingles (``distinct``: repeats count once) within ``distance``.
+    """When two texts link: a fingerprint over ``words``-word shingles (``distinct``: repeats count once) within ``distance``.
 
-    With ``wide_words``, wide prints over the distinct shingles of so many words must be within ``wide_distance`` of 256 bits too.
+    With ``set_words``, the Jaccard similarity of the sets of shingles of so many words decides: it must be ``similarity`` or
+    more. Of ``prints`` fingerprints one must be near then, and the wide print of the sets within ``wide_distance`` of 128 bits;
+    in a crowd, a pair within ``tight`` is taken to be a link that others needn't repeat.
     """
 
     words: int = WORDS
     distance: int = DISTANCE
     distinct: bool = False
-    wide_words: int = 0
-    wide_distance: int = 0
     seed: int = SEED
+    prints: int = 1
+    set_words: int = 0
+    similarity: float = 0.0
+    wide_distance: int = 128
+    tight: int = 128
 
+    @property
+    def fps(self) -> list[str]:
+        return [f"fp{k}" for k in range(self.prints)]
 
-#: For shingles of five words and a similarity of 0.8: wide prints of such texts differ in 39 bits on average. Fingerprints of
-#: the set of words change least from one copy to the next, so few differing bits find nearly all of them.
-SIMILAR = Likeness(words=1, distance=6, distinct=True, wide_words=5, wide_distance=44)
+    @property
+    def wide(self) -> list[str]:
+        return ["w0", "w1"] if self.set_words else []
+
+
+#: Shingles of five words and a similarity of 0.8. Fingerprints of the set of words change least from one copy to the next: of
+#: two, one is within 6 bits for 96 to 99 % of such pairs. Their wide prints differ in 19 bits on average.
+SIMILAR = Likeness(words=1, distance=6, distinct=True, prints=2, set_words=5, similarity=0.8, wide_distance=34, tight=16)
 
 
 def _hashes(text: bytes, words: int, seed: int, distinct: bool) -> Iterator[np.ndarray]:
@@ -91,49 +108,57 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
-    """SimHash over all word shingles; a bit is set if more than half the shingle hashes have it."""
-    n, votes = 0, np.zeros(64, np.int64)
-    for hashes in _hashes(text, words, seed, distinct):
-        n += len(hashes)
-        votes += _votes(hashes)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of the same shingles; the first is the hash itself."""
+    if not k:
+        return hashes
+    h = (hashes ^ _SALTS[k]) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
-def wide_print(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
-    """SimHash of 256 bits over the distinct word shingles, as four words; each shingle's hash is mixed under four salts."""
-    n, votes = 0, np.zeros((len(WIDE), 64), np.int64)
-    for hashes in _hashes(text, words, seed, True):
+def fingerprints_of(blocks: Iterator[np.ndarray], prints: int = 1, first: int = 0) -> list[int]:
+    """SimHashes over shingle hashes; a bit is set if more than half of them have it."""
+    n, votes = 0, np.zeros((prints, 64), np.int64)
+    for hashes in blocks:
         n += len(hashes)
         for at in range(0, len(hashes), 1 << 16):
-            for k, salt in enumerate(_SALTS):
-                h = (hashes[at : at + (1 << 16)] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                votes[k] += _votes(h ^ (h >> np.uint64(32)))
-    return np.packbits(votes * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
+            for k in range(prints):
+                votes[k] += _votes(_mixed(hashes[at : at + (1 << 16)], first + k))
+    return np.packbits(votes * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = Likeness(), **more: str) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) and node of every row, and the wide print if ``like`` has one.
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
+    return fingerprints_of(_hashes(text, words, seed, distinct))[0]
 
-    Null and empty texts have bits zero. ``node`` names a fingerprint with its
-    wide print: the fingerprint itself, or a 64-bit hash of both. ``more``: columns to
-    keep, as new_name=old_name.
-    """
-    kept, wide = ["doc_id", *more], WIDE if like.wide_words else ()
+
+def shingle_set(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; none for a text without words."""
+    found = list(_hashes(text, words, seed, True))
+    return np.unique(found[0]) if found else np.zeros(0, np.uint64)
+
+
+def _prints(text: bytes, like: Likeness) -> list[int]:
+    """node, fingerprints and, with sets, the wide print. A node is a fingerprint, or the 64-bit hash of a set."""
+    fps = fingerprints_of(_hashes(text, like.words, like.seed, like.distinct), like.prints)
+    if not like.set_words:
+        return [fps[0], *fps]
+    shingles = shingle_set(text, like.set_words, like.seed)
+    return [xxhash.xxh64_intdigest(shingles.tobytes()), *fps, *fingerprints_of([shingles], 2, 1)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = Likeness(), **more: str) -> DataFrame:
+    """doc_id, node and prints (64 bits each, as signed longs) of every row. Null and empty texts have fingerprints zero. ``more``: columns to keep, as new_name=old_name."""
+    kept, names = ["doc_id", *more], ["node", *like.fps, *like.wide]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                some = texts(part)
-                columns = [np.array([fingerprint(t, like.words, like.seed, like.distinct) for t in some], np.uint64)]
-                if wide:
-                    columns += list(np.array([wide_print(t, like.wide_words, like.seed) for t in some], np.uint64).T)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]], [*kept, "fp", *wide])
+                found = np.array([_prints(t, like) for t in texts(part)], np.uint64)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T]], [*kept, *names])
 
     rows = take(docs, doc_id=id_col, text=text_col, **more)
-    schema = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept], *[f"{c} long" for c in ("fp", *wide)]])
-    return rows.mapInArrow(scan, schema).withColumn("node", F.xxhash64("fp", *wide) if wide else F.col("fp"))
+    return rows.mapInArrow(scan, ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept], *[f"{c} long" for c in names]]))
 
 
 def unary_counts(fp: Column) -> Column:
@@ -143,124 +168,226 @@ def unary_counts(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(all_, 1))
 
 
+def _unary(fp: np.ndarray) -> np.ndarray:
+    high, low = fp >> np.uint64(1), np.uint64(LOW_BITS)
+    return ((fp | high) & low) | ((fp & high & low) << np.uint64(1))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
 def grid_masks(blocks: int, chosen: int) -> list[int]:
     """A signed 64-bit mask for each choice of blocks of whole segments."""
     sizes = [SEGMENTS // blocks + (i < SEGMENTS % blocks) for i in range(blocks)]
     firsts = [sum(sizes[:i]) for i in range(blocks)]
     block = [sum(3 << 2 * s for s in range(f, f + n)) for f, n in zip(firsts, sizes, strict=True)]
-    masks = [sum(block[i] for i in c) for c in combinations(range(blocks), chosen)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    return [_signed(sum(block[i] for i in c)) for c in combinations(range(blocks), chosen)]
+
+
+def _apart(fp: np.ndarray, u: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the pairs of places are near: by the Manhattan distance of the embeddings, then by all bits."""
+    near = np.flatnonzero(np.bitwise_count(u[a] ^ u[b]) <= distance)
+    return near[np.bitwise_count(fp[a[near]] ^ fp[b[near]]) <= distance]
+
+
+def _wide_apart(wide: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(wide[:, a] ^ wide[:, b]).sum(axis=0, dtype=np.int64) if len(wide) else np.zeros(np.broadcast(a, b).shape, np.int64)
+
+
+def _near_pairs(fp: np.ndarray, u: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All near pairs of a cell, or nothing if there are more than ``most``."""
+    found, n = [], 0
+    for at in range(0, len(fp), 128):
+        rows, columns = np.nonzero(np.bitwise_count(u[at : at + 128, None] ^ u[None, at:]) <= distance)
+        ahead = columns > rows
+        a, b = rows[ahead] + at, columns[ahead] + at
+        exact = np.bitwise_count(fp[a] ^ fp[b]) <= distance
+        found.append((a[exact], b[exact]))
+        n += len(found[-1][0])
+        if n > most:
+            return None
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _crowd(fp: np.ndarray, u: np.ndarray, wide: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the near members of a cell, one for each: a member that is met tightly is asked no more, others at the end by their nearest.
+
+    Without wide prints every near pair is tight, so the connected parts are those of all near pairs.
+    """
+    n = len(fp)
+    nearest, least = np.full(n, -1), np.full(n, like.wide_distance + 1)
+    left, out = np.arange(n), []
+    waiting: list[int] = []
+    while len(left):
+        if waiting:
+            at = waiting.pop()
+        else:
+            at, left = int(left[0]), left[1:]
+            if nearest[at] >= 0:
+                out.append((nearest[at : at + 1], np.array([at])))
+        here = left[_apart(fp, u, np.full(len(left), at), left, like.distance)]
+        apart = _wide_apart(wide, np.full(len(here), at), here)
+        closer = apart < least[here]
+        least[here[closer]], nearest[here[closer]] = apart[closer], at
+        met = here[apart <= like.tight]
+        if len(met):
+            out.append((np.full(len(met), at), met))
+            left = np.setdiff1d(left, met, assume_unique=True)
+            waiting += met.tolist()
+    return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (left, left)
+
+
+def _compare_cells(rows: dict[str, np.ndarray], like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs to link, of whole cells in order of their key."""
+    key, fp = rows["key"], rows["fp"].view(np.uint64)
+    u, wide = _unary(fp), np.array([rows[w].view(np.uint64) for w in like.wide], np.uint64).reshape(len(like.wide), len(key))
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(begin, len(key)))
+    found = []
+    small = np.repeat(size, size) <= SMALL
+    after = np.repeat(begin + size, size) - np.arange(len(key)) - 1  # members of the cell behind each
+    at = np.flatnonzero(small & (after > 0))
+    step = 1
+    while len(at):  # each member with the one ``step`` places behind it, of all small cells at once
+        near = at[_apart(fp, u, at, at + step, like.distance)]
+        found.append((near, near + step))
+        step += 1
+        at = at[after[at] >= step]
+    for first, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        part = slice(first, first + n)
+        pairs = _near_pairs(fp[part], u[part], like.distance, CROWDED * n) if n <= LARGE else None
+        a, b = pairs if pairs is not None else _crowd(fp[part], u[part], wide[:, part], like)
+        found.append((a + first, b + first))
+    a, b = (np.concatenate([pair[i] for pair in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    good = _wide_apart(wide, a, b) <= like.wide_distance
+    return a[good], b[good]
 
 
 def links(nodes: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """(a, b) edges whose components are those of all pairs of ``nodes`` (node, fp, and wide prints) that ``like`` links.
-
-    First each cell links its members to its smallest one, where near enough; the
-    components of these stars then stand for their members. Where a component has
-    ``CROWD`` members or more in a cell, the cell's others only ask whether some member
-    is near (a semi join: one row at most for each), and components are joined again.
-    All else is compared in pairs of different components, so a large group of near
-    copies isn't expanded into its pairs. A cell with many comparisons left is split
-    by further segments: two members within ``distance`` agree on all segments of one
-    of ``distance + 1`` classes. Grids are placed together as long as that is
-    ``ROWS_AT_ONCE`` rows.
+    """(a, b) edges of ``nodes`` (node and prints), whose components are those of all pairs that are near; with sets, the pairs to verify.
+
+    Every node is placed once in each grid and compared in its cells, which are dealt to
+    tasks by a hash. Cells of ``HOT_MEMBERS`` or more are split by further segments: two members within
+    ``distance`` agree on all segments of one of ``distance + 1`` classes. Few pairs of a cell are all
+    taken; a crowd of near members is walked through, so that it isn't expanded into its pairs.
     """
-    n, prints = nodes.count(), ["fp", *(WIDE if like.wide_words else ())]
+    n = nodes.count()
     extra = next(k for most, k in BLOCKS if n <= most)
-    masks = list(enumerate(grid_masks(like.distance + extra, extra)))
-    at_once = max(1, ROWS_AT_ONCE // max(n, 1))
-    turns = [masks[i : i + at_once] for i in range(0, len(masks), at_once)]
+    masks, columns = grid_masks(like.distance + extra, extra), ["node", "fp", *like.wide]
+    grids = [F.struct(F.col(fp).alias("fp"), F.xxhash64(F.lit(k * len(masks) + i), unary_counts(F.col(fp)).bitwiseAND(F.lit(m))).alias("key")) for k, fp in enumerate(like.fps) for i, m in enumerate(masks)]
+    placed = nodes.withColumn("c", F.explode(F.array(*grids))).select("c.key", "node", "c.fp", *like.wide)
+    hot = materialise(placed.groupBy("key").count().where(F.col("count") >= HOT_MEMBERS).select(F.col("key").alias("hot")), "simhash-hot")
+    if not hot.isEmpty():
+        classes = [_signed(sum(3 << 2 * s for s in range(k, SEGMENTS, like.distance + 1))) for k in range(like.distance + 1)]
+        parts = F.array(*[F.xxhash64("key", F.lit(k), unary_counts(F.col("fp")).bitwiseAND(F.lit(m))) for k, m in enumerate(classes)])
+        placed = placed.join(hot, F.col("key") == F.col("hot"), "left").withColumn("key", F.explode(F.when(F.col("hot").isNull(), F.array("key")).otherwise(parts))).drop("hot")
 
-    def placed(rows: DataFrame, some: list[tuple[int, int]]) -> DataFrame:
-        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), F.col("u").bitwiseAND(F.lit(m)).alias("cell")) for i, m in some]))
-        return rows.withColumn("c", cells).select(*rows.columns, "c.grid", "c.cell")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        waiting = most = 0
 
-    def near(a: str, b: str) -> Column:
-        def apart(c: str) -> Column:
-            return F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+        def compared(table: pa.Table) -> pa.RecordBatch:
+            rows = {c: table[c].to_numpy() for c in table.column_names}
+            a, b = _compare_cells(rows, like)
+            x, y = rows["node"][a], rows["node"][b]
+            pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-        fine = apart("fp") <= like.distance
-        return fine & (reduce(Column.__add__, [apart(c) for c in WIDE]) <= like.wide_distance) if like.wide_words else fine
+        for batch in batches:
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting >= max(CHUNK_ROWS, most):
+                table = pa.Table.from_batches(held)
+                key = table["key"].to_numpy()
+                last = int(np.searchsorted(key, key[-1]))  # the last cell may go on
+                if last:
+                    yield compared(table.slice(0, last))
+                held = table.slice(last).to_batches()
+                waiting = len(key) - last
+                most = 2 * waiting
+        if waiting:
+            yield compared(pa.Table.from_batches(held))
+
+    met = placed.select("key", *columns).repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long")
+    found = materialise(met.where("a <> b").distinct(), "simhash-links")
+    release(hot)
+    return found
+
+
+def _chosen(rows: DataFrame, marks: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined with (of_id, of_h) marks; up to ``BROADCAST_IDS`` marks texts stay where they are, beyond both sides are shuffled by id and hash."""
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks.hint("merge")
+    return rows.join(marks, rows[key].eqNullSafe(F.col("of_id")) & (rows["h"] == F.col("of_h")), how)
+
+
+def verified(edges: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
+    """The edges whose sets of shingles have a similarity of ``like.similarity`` or more, counted on one text of each node."""
+    met = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    marks = materialise(nodes.join(met, "node").select("node", F.col("first.id").alias("of_id"), F.col("first.h").alias("of_h")), "simhash-texts")
 
-    embedded = nodes.withColumn("u", unary_counts(F.col("fp")))
-    found = []
-    for some in turns:
-        here = placed(embedded, some)
-        heads = here.groupBy("grid", "cell").agg(F.min(F.struct("node", *prints)).alias("h"), F.count("*").alias("members")).where("members > 1").drop("members")
-        met = here.select("grid", "cell", F.struct("node", *prints).alias("m")).join(heads, ["grid", "cell"])
-        found.append(materialise(met.where((F.col("m.node") != F.col("h.node")) & near("m", "h")).select(F.col("h.node").alias("a"), F.col("m.node").alias("b")).distinct(), "simhash-stars"))
-    stars = reduce(DataFrame.unionByName, found)
-    known = _with_components(embedded, "node", components(stars)).select("comp", "u", *prints)
-    known = materialise(known, "simhash-known")
-
-    classes = [sum(3 << 2 * s for s in range(k, SEGMENTS, like.distance + 1)) for k in range(like.distance + 1)]
-    classes = [m - (1 << 64) if m >= 1 << 63 else m for m in classes]
-    split = F.array(*[F.xxhash64(F.lit(k), F.col("u").bitwiseAND(F.lit(m))) for k, m in enumerate(classes)])
-
-    def celled(known: DataFrame, some: list[tuple[int, int]], crowded: bool) -> DataFrame:
-        """key (of a cell or its part), comp, prints and the cell's crowd, if any, for members of cells with several components."""
-        here = placed(known, some)
-        sizes = here.groupBy("grid", "cell", "comp").agg(F.count("*").alias("n")).groupBy("grid", "cell")
-        cells = sizes.agg(F.count("*").alias("comps"), F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("m")).where("comps > 1")
-        crowd = F.col("m.n") >= CROWD
-        others = F.col("members") - F.when(crowd, F.col("m.n")).otherwise(0)
-        cells = cells.where(crowd) if crowded else cells
-        cells = cells.select("grid", "cell", F.when(crowd, F.col("m.comp")).alias("crowd"), (F.col("members") * others > HOT_PAIRS).alias("hot"))
-        rows = here.join(cells, ["grid", "cell"]).withColumn("part", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.lit(0).cast("long")))))
-        return rows.select(F.xxhash64("grid", "cell", "part").alias("key"), "comp", "crowd", *prints)
-
-    def close() -> Column:
-        # the Manhattan distance of the embeddings first: the lower bound
-        bound = F.bit_count(unary_counts(F.col("x.fp")).bitwiseXOR(unary_counts(F.col("y.fp")))) <= like.distance
-        return (F.col("x.key") == F.col("y.key")) & bound & near("x", "y")
-
-    def to_crowds(rows: DataFrame) -> DataFrame:
-        x, y = rows.where("comp <> crowd").alias("x"), rows.where("comp = crowd").alias("y")
-        return x.join(y, close() & (F.col("x.crowd") == F.col("y.comp")), "left_semi").select(F.col("comp").alias("a"), F.col("crowd").alias("b")).distinct()
-
-    joined = reduce(DataFrame.unionByName, [materialise(to_crowds(celled(known, some, True)), "simhash-crowds") for some in turns])
-    found.append(joined)
-    if not joined.isEmpty():
-        merged = _with_components(known.withColumnRenamed("comp", "was"), "was", components(joined)).select("comp", "u", *prints)
-        old, known = known, materialise(merged, "simhash-known")
-        release(old)
-    for some in turns:
-        rows = materialise(celled(known, some, False), "simhash-cells")
-        others = rows.where("crowd IS NULL OR comp <> crowd")
-        pairs = others.alias("x").join(others.alias("y"), close() & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b"))
-        found += [materialise(pairs.distinct(), "simhash-across"), materialise(to_crowds(rows), "simhash-crowds")]
-        release(rows)
-    release(known)
-    return reduce(DataFrame.unionByName, found)
-
-
-def _with_components(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
-    """Adds ``comp``, the root of a column's value, or the value itself where it has no edge."""
-    return rows.join(roots.withColumnRenamed("node", column), column, "left").withColumn("comp", F.coalesce("root", column))
-
-
-def _components_of(prints: DataFrame, like: Likeness) -> DataFrame:
-    """of (a node), root, component_id for every node of ``prints``; only root is different for each component."""
-    nodes = materialise(prints.groupBy("node", "fp", *(WIDE if like.wide_words else ())).agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    placed = _with_components(nodes, "node", components(links(nodes.drop("first_id"), like))).withColumnRenamed("comp", "root_node")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                sets = [shingle_set(t, like.set_words, like.seed).view(np.int64) for t in texts(part)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    sets = _chosen(rows, marks, key, "inner").select("node", F.col(text).alias("text")).mapInArrow(scan, "node long, shingles array<long>")
+    sets = materialise(sets.dropDuplicates(["node"]), "simhash-sets")
+    a, b = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")) for side in ("a", "b"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    similarity = F.try_divide(common.cast("double"), (F.size("sa") + F.size("sb") - common).cast("double"))
+    good = materialise(edges.join(a, "a").join(b, "b").where(similarity >= like.similarity).select("a", "b"), "simhash-verified")
+    release(marks, sets)
+    return good
+
+
+def _components_of(prints: DataFrame, rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
+    """of (a node), root, component_id, copies (rows) for every node of ``prints``; only root is different for each component."""
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("first")
+    nodes = materialise(prints.groupBy("node", *like.fps, *like.wide).agg(first, F.count("*").alias("copies")), "simhash-nodes")
+    edges = links(nodes, like)
+    if like.set_words:
+        edges = verified(edges, nodes, rows, key, text, like)
+    placed = nodes.join(components(edges).withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "copies", F.col("first.id").alias("first_id"), F.coalesce("root", "node").alias("root_node"))
     # a large component's nodes are dealt to many tasks; single nodes need no look-up
     smallest = placed.groupBy("root_node").agg(F.min("first_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     smallest = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("root_node", "top")
     met = (F.col("root_node") == F.col("top")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("salt"))
     named = placed.join(smallest, met, "left").withColumn("component_id", F.when(F.col("top").isNull(), F.col("first_id")).otherwise(F.col("least")))
-    return materialise(named.select(F.col("node").alias("of"), F.col("root_node").alias("root"), "component_id"), "simhash-components")
+    return materialise(named.select(F.col("node").alias("of"), F.col("root_node").alias("root"), "component_id", "copies"), "simhash-components")
+
+
+def _with_components(prints: DataFrame, known: DataFrame) -> DataFrame:
+    """Every row with its node's component. Nodes of ``HOT_ROWS`` rows (one in so many rows at most) are broadcast, so equal texts don't meet in one task."""
+    hot = known.where(F.col("copies") >= HOT_ROWS)
+    if hot.isEmpty():
+        return prints.join(known, prints["node"] == known["of"])
+    names = hot.select(F.col("of").alias("hot"))
+    there = prints.join(F.broadcast(hot), prints["node"] == hot["of"])
+    rest = prints.join(F.broadcast(names), prints["node"] == names["hot"], "left_anti")
+    return there.unionByName(rest.join(known, rest["node"] == known["of"]))
+
+
+def _scanned(docs: DataFrame, like: Likeness, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame, DataFrame]:
+    """(rows with hash h under plain names, the id's name, prints, components)."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = plain[docs.columns.index(id_col)], plain[docs.columns.index(text_col)]
+    rows = docs.toDF(*plain)
+    rows = rows.withColumn("h", row_hash(rows))
+    prints = materialise(fingerprints(rows, key, text, like, h="h"), "simhash-prints")
+    return rows, key, prints, _components_of(prints, rows, key, text, like)
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row; component_id is the smallest doc_id reachable over links.
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated
-    rows and equal fingerprints are one node. A null doc_id keeps its row; it
+    Null and empty texts have fingerprint zero and link like any other, or are one set.
+    Repeated rows and equal fingerprints (or sets) are one node. A null doc_id keeps its row; it
     never is a component's smallest id unless all its ids are null.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, like), "simhash-prints")
-    known = _components_of(prints, like)
-    return prints.join(known, prints["node"] == known["of"]).select("doc_id", "fp", "component_id")
+    _, _, prints, known = _scanned(docs, like, id_col, text_col)
+    return _with_components(prints, known).select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -271,24 +398,19 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id
     """One row of each component, with all columns of ``docs``: the smallest by (id, nulls last, then hash of the row).
 
     A row is known by its id and hash, so rows of one id in different components
-    don't stand for each other, and neither do rows without an id. Null and empty
-    texts are one component.
+    don't stand for each other, and neither do rows without an id. Of equal rows one stays.
+    Null and empty texts are one component.
     """
-    plain = [f"c{i}" for i in range(len(docs.columns))]
-    key, text = plain[docs.columns.index(id_col)], plain[docs.columns.index(text_col)]
-    rows = docs.toDF(*plain)
-    rows = rows.withColumn("h", row_hash(rows))
-    prints = materialise(fingerprints(rows, key, text, like, h="h"), "simhash-prints")
-    known = _components_of(prints, like)
-    found = prints.join(known, prints["node"] == known["of"])
+    rows, key, prints, known = _scanned(docs, like, id_col, text_col)
     least = F.min(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), F.col("h").alias("h")))
-    stays = found.groupBy("root").agg(least.alias("m")).select(F.col("m.id").alias("s_id"), F.col("m.h").alias("s_h"), F.lit(True).alias("stays"))
-    ids = prints.groupBy(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")).agg(F.count("*").alias("n"))
-    ids = materialise(ids.join(stays, F.col("g_id").eqNullSafe(F.col("s_id")) & (F.col("g_h") == F.col("s_h")), "left").select("g_id", "g_h", "n", "stays"), "simhash-ids")
-    gone = ids.where("stays IS NULL").select("g_id", "g_h")
-    # few: texts stay where they are; many: both sides are shuffled by id and hash
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
-    rows = rows.join(gone, rows[key].eqNullSafe(F.col("g_id")) & (rows["h"] == F.col("g_h")), "left_anti")
-    if not ids.where("stays AND n > 1").isEmpty():
-        rows = rows.dropDuplicates([key, "h"])
-    return rows.select(*plain).toDF(*docs.columns)
+    stays = _with_components(prints, known).groupBy("root").agg(least.alias("m")).select(F.col("m.id").alias("s_id"), F.col("m.h").alias("s_h"), F.lit(True).alias("stays"))
+    ids = prints.groupBy(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h")).agg(F.count("*").alias("n"))
+    ids = materialise(ids.join(stays, F.col("of_id").eqNullSafe(F.col("s_id")) & (F.col("of_h") == F.col("s_h")), "left").select("of_id", "of_h", "n", "stays"), "simhash-ids")
+    gone, again = ids.where("stays IS NULL"), ids.where("stays AND n > 1")
+    plain = rows.columns[:-1]
+    if again.isEmpty():
+        kept = _chosen(rows, gone.select("of_id", "of_h"), key, "left_anti")
+    else:  # of rows that are kept and repeated one stays; only these are shuffled
+        kept = _chosen(rows, gone.unionByName(again).select("of_id", "of_h"), key, "left_anti").select(*plain)
+        kept = kept.unionByName(_chosen(rows, again.select("of_id", "of_h"), key, "left_semi").dropDuplicates([key, "h"]).select(*plain))
+    return kept.select(*plain).toDF(*docs.columns)
