@@ -567,6 +567,35 @@ def test_mix_ties_do_not_depend_on_order(spark):
     assert all(o == first for o in others)
 
 
+@pytest.mark.parametrize("cell_rows", [4096, 7])
+def test_mix_of_equal_rows(spark, monkeypatch, cell_rows):
+    """30,000 equal rows of 31,000: as many as are due take one more, in the mix and in the table of sizes, and no task holds them."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell_rows)
+    rng = random.Random(9)
+    rows = [(1, "the same ten words in thirty thousand rows of one", "a")] * (30_000 if cell_rows > 7 else 900) + [(i, "w " * rng.randrange(1, 40), rng.choice(["a", "b", None])) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
+    size, target = cases.targets(rows)
+    found, taken, copies = mixing.mix(docs).collect(), Counter(), Counter()
+    assert len(found) == len(rows)
+    for r in found:
+        taken[r.source] += r.taken
+        copies[r.doc_id, r.size, r.source] += r.copies
+        assert 0 <= r.copies <= 2
+    assert all(abs(taken[s] - target[s]) <= 40 for s in target)
+    mixed = Counter((r.doc_id, len(r.text.split()), r.source) for r in mixing.apply_mix(docs).collect())
+    assert mixed == +copies
+
+
+def test_texts_are_not_moved_by_the_mix(spark):
+    """No exchange of the plan holds the text; sources may be numbers."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 30 + 1), i % 4) for i in range(800)], "doc_id long, text string, source int")
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 800
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "SortMergeJoin" not in plan
+    assert {r.source for r in mixing.mix(docs).collect()} == {0, 1, 2, 3}
+
+
 def test_targets_of_many_sources(spark):
     rng = random.Random(4)
     sizes = {f"s{i:05d}": rng.randrange(1, 50) ** 3 for i in range(20_000)} | {None: 7}

@@ -22,8 +22,10 @@ from .common import materialise, release, row_hash
 
 #: Up to this many source states, they are broadcast to the size classes; beyond, Spark joins by source.
 BROADCAST_SOURCES = 100_000
-#: Rows of one (source, class) that are ranked together, on average.
-CELL_ROWS = 400
+#: Up to this many size classes with their cuts (some 100 bytes each), they are broadcast.
+BROADCAST_CLASSES = 1 << 19
+#: Rows of one (source, class) that are ranked together, on average, and repeats of one row in a lot.
+CELL_ROWS = 4096
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
@@ -159,14 +161,24 @@ def mix(
     """doc_id, size, source, source_size, target, copies, taken of every row.
 
     ``copies`` is a whole number up to ``most`` and ``taken`` is ``copies * size``. Null
-    texts have size 0; a null source is a source, last in order. Extra copies go by
-    the hash of the whole row, so they don't depend on the order of rows, and only equal
-    rows tie. Documents are ranked within salted cells, so
-    a source or class with a third of all rows isn't sorted in one task.
+    texts have size 0; a null source is a source, last in order; sources are of any type that
+    can be sorted. Extra copies go by the hash of the whole row, so they don't depend on the
+    order of rows, and only equal rows tie: of these as many as are due take one more.
     """
     rows, plain = _sized(docs, text_col, source_col)
-    sized = materialise(rows.select(F.col(plain[docs.columns.index(id_col)]).alias("doc_id"), "source", "size", "class", "h"), "mix-sizes")
-    return _deal(sized, sized, mix_plan(sized, weights, share, most)).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = materialise(rows.select(F.col(plain[docs.columns.index(id_col)]).alias("doc_id"), "source", "size", "class", "h", F.monotonically_increasing_id().alias("at")), "mix-sizes")
+    dealt = _with_cuts(sized, extra_cuts(sized, mix_plan(sized, weights, share, most)))
+    # equal rows at the cut are numbered by where they were written, within the parts of the table
+    tied = dealt.where("h = tie").withColumn("part", F.shiftrightunsigned("at", 33))
+    keys = ["source", "class"]
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = tied.groupBy(*keys, "part").agg(F.count("*").alias("n")).select(*[F.col(k).alias(f"of_{k}") for k in (*keys, "part")], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    met = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("class") == F.col("of_class")) & (F.col("part") == F.col("of_part"))
+    place = F.col("base") + F.row_number().over(Window.partitionBy(*keys, "part").orderBy("at"))
+    tied = tied.join(F.broadcast(bases), met).withColumn("copies", F.col("each") + F.when(place <= F.col("tied"), 1).otherwise(0))
+    names = ["doc_id", "size", "source", "source_size", "target", "copies"]
+    every = dealt.where("tie IS NULL OR h <> tie").select(*names).unionByName(tied.select(*names))
+    return every.withColumn("copies", F.col("copies").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def _sized(docs: DataFrame, text_col: str, source_col: str) -> tuple[DataFrame, list[str]]:
@@ -183,50 +195,74 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     """source, class, n, copies, source_size, target: how many copies each size class of a source gets. ``sized``: source, size, class."""
     classes = materialise(sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")), "mix-classes")
     rated = balance(classes, source_targets(classes, weights, share, most), most)
-    schema = "class long, n long, copies long, source string, source_size long, target double"
+    schema = f"class long, n long, copies long, source {sized.schema['source'].dataType.simpleString()}, source_size long, target double"
     return materialise(rated.groupBy("source").applyInPandas(lambda rows: _round_source(rows, most), schema), "mix-plan")
 
 
-def _deal(sized: DataFrame, rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` with their copies: a class's rows all get the quotient, the first ones by ``h`` one more.
+def extra_cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """source, class, source_size, target, each, cut, tie, tied: a row takes ``each`` copies, and one more if its h is ``cut`` or less.
 
-    ``sized`` (a written table) and ``rows`` have source, class and h of the same rows;
-    ``rows`` may have more columns. Rows of equal h show the same, so it doesn't
-    matter which of them is first. Ranks are taken within cells of a class, cut by
-    h, and a cell begins where the cells before it end.
+    ``tied`` more go to rows whose h is ``tie``: equal rows of which only some are due. A
+    class's hashes are counted first, so equal rows are one row from there on; then only the
+    range of hashes that holds the cut is sorted, the ranges before it are known by their counts.
     """
-    side = plan.select(
-        F.col("source").alias("of"),
-        F.col("class").alias("of_class"),
-        "source_size",
-        "target",
-        F.floor(F.col("copies") / F.col("n")).cast("long").alias("each"),
-        (F.col("copies") % F.col("n")).alias("extra"),
-        F.greatest(F.lit(1), (F.col("n") / CELL_ROWS).cast("long")).alias("cells"),
+    keys = ["source", "class"]
+    share = plan.select(*[F.col(k).alias(f"of_{k}") for k in keys], "n", "source_size", "target", F.floor(F.col("copies") / F.col("n")).cast("long").alias("each"), (F.col("copies") % F.col("n")).alias("extra"))
+    met = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("class") == F.col("of_class"))
+    cells = F.greatest(F.lit(1.0), F.floor(F.col("n") / CELL_ROWS))
+    # rises with h, whatever the rounding
+    cell = F.least(cells - 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * cells)).cast("long")
+    hashes = sized.groupBy(*keys, "h").agg(F.count("*").alias("held"))
+    open_ = share.where("extra > 0")
+    hashes = hashes.join(_side(open_), met).select(*keys, "h", "held", "extra", cell.alias("cell"))
+    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashes.groupBy(*keys, "cell", "extra").agg(F.sum("held").alias("held"), F.max("h").alias("last"))
+    counts = counts.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0))).withColumn("low", F.max("last").over(before))
+    cut_cells = counts.where("base < extra AND base + held >= extra").select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("cell").alias("of_cell"), "base", "low")
+    near = hashes.join(_side(cut_cells), met & (F.col("cell") == F.col("of_cell")))
+    upto = F.col("base") + F.sum("held").over(Window.partitionBy(*keys).orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("upto", upto)
+    fits = F.col("upto") <= F.col("extra")
+    cuts = near.groupBy(*keys, "extra").agg(
+        F.coalesce(F.max(F.when(fits, F.col("h"))), F.max("low")).alias("cut"),
+        F.min(F.when(~fits, F.col("h"))).alias("next"),
+        F.coalesce(F.max(F.when(fits, F.col("upto"))), F.max("base")).alias("reached"),
     )
+    due = F.col("extra") - F.col("reached")
+    cuts = cuts.select(*[F.col(k).alias(k) for k in keys], "cut", F.when(due > 0, F.col("next")).alias("tie"), due.alias("tied"))
+    out = share.join(cuts, met, "left").select(*[F.col(f"of_{k}").alias(k) for k in keys], "source_size", "target", "each", "cut", "tie", "tied")
+    return materialise(out, "mix-cuts")
 
-    def celled(rows: DataFrame) -> DataFrame:
-        here = rows.join(side, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("of_class"))).drop("of", "of_class")
-        return here.withColumn("cell", F.pmod(F.xxhash64("h"), F.col("cells"))).withColumn("name", F.coalesce("source", F.lit(""))).withColumn("unnamed", F.isnull("source")).drop("cells")
 
-    # the same plain keys for the join and the ranks, so that rows move once
-    keys = ["name", "unnamed", "class", "cell"]
-    before = Window.partitionBy(*keys[:-1]).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = celled(sized.select("source", "class", "h")).groupBy(*keys).agg(F.count("*").alias("n"))
-    bases = counts.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rank = F.col("base") + F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-    counted = celled(rows).join(bases, keys)
-    return counted.withColumn("copies", (F.col("each") + F.when(rank <= F.col("extra"), 1).otherwise(0)).cast("long")).drop("each", "extra", "base", "name", "unnamed", "cell")
+def _side(classes: DataFrame) -> DataFrame:
+    """A table of size classes, broadcast up to ``BROADCAST_CLASSES`` rows; beyond, Spark joins by source and class."""
+    return F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
+
+
+def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (source, class, h and more) with copies, source_size, target and the ties of their class."""
+    side = cuts.withColumnsRenamed({"source": "of_source", "class": "of_class"})
+    met = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("class") == F.col("of_class"))
+    return rows.join(_side(side), met).withColumn("copies", F.col("each") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)).drop("of_source", "of_class")
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents themselves, each as often as the mix takes it (columns as in ``docs``).
 
     Every row is rated and copied by itself, so null and repeated ids are rows like
-    any other; null texts and sources as in ``mix``. Rows move once, to the cell in
-    which they are ranked.
+    any other; null texts and sources as in ``mix``. Rows stay where they are: a row knows
+    its copies from its class's cut. Where equal rows tie, one of them is moved and repeated for all.
     """
     rows, plain = _sized(docs, text_col, source_col)
     sized = materialise(rows.select("source", "size", "class", "h"), "mix-sizes")
-    dealt = _deal(sized, rows, mix_plan(sized, weights, share, most))
-    return dealt.withColumn("copy", F.explode(F.expr("array_repeat(0, cast(copies AS int))"))).select(*plain).toDF(*docs.columns)
+    cuts = extra_cuts(sized, mix_plan(sized, weights, share, most))
+    dealt = _with_cuts(rows, cuts)
+    taken = dealt.withColumn("copy", F.explode(F.expr("array_repeat(0, cast(copies AS int))"))).select(*plain)
+    if not cuts.where("tie IS NOT NULL").isEmpty():
+        tied = dealt.where("h = tie").dropDuplicates(["source", "class", "h"])
+        # the repeats of a row are dealt in lots, so no task writes all of them
+        lots = F.expr(f"sequence(0, cast((tied - 1) div {CELL_ROWS} AS int))")
+        dealt_lots = tied.withColumn("lot", F.explode(lots)).repartition("h", "lot")
+        size = F.least(F.lit(CELL_ROWS), F.col("tied") - F.col("lot") * CELL_ROWS).cast("int")
+        taken = taken.unionByName(dealt_lots.withColumn("copy", F.explode(F.array_repeat(F.lit(0), size))).select(*plain))
+    return taken.toDF(*docs.columns)
