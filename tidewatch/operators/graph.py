@@ -18,20 +18,20 @@ def _rounds(most: int | None):
         yield k
 
 
-def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None, together: bool = False) -> DataFrame:
     """(seed, node, depth) for every node reachable from a seed, with the least depth; seeds have depth 0.
 
     Only the last frontier is joined in a round and visited pairs are left out, so
     cycles end. ``seeds`` has one column, node. A frontier left after ``max_depth``
-    rounds is an error.
+    rounds is an error. ``together``: seeds count as one, with a null name.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     steps = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
-    frontier = _cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0)))
+    frontier = _cut(seeds.select((F.lit(None).cast("string") if together else F.col("node")).alias("seed"), "node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in _rounds(max_depth):
         found = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = _cut(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = _cut(found.alias("f").join(seen.alias("s"), F.col("f.seed").eqNullSafe(F.col("s.seed")) & (F.col("f.node") == F.col("s.node")), "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = _cut(seen.unionByName(frontier)) if depth % 8 == 0 else seen.unionByName(frontier)
@@ -105,29 +105,20 @@ def slack(edges: DataFrame, durations: DataFrame) -> DataFrame:
     return forward.join(back, "node").select("node", "finish", (end - (F.col("finish") + F.col("tail") - F.col("duration"))).alias("slack"))
 
 
-def redundant_edges(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Edges of a DAG that a longer path implies: src reaches dst from another successor.
+def redundant_edges(edges: DataFrame) -> DataFrame:
+    """Edges that a longer path implies: src reaches dst from another successor (``reachability.redundant_edges``)."""
+    from . import reachability
 
-    Only an edge whose source has other successors and whose end has other
-    predecessors can be implied; each looks ahead from the other successors of its
-    source. The look-ahead gives all pairs of such a successor and a node below it,
-    so the output of its rounds is bounded by successors times the nodes below them.
-    """
-    e = _cut(edges.select("src", "dst").distinct())
-    branching = e.groupBy("src").count().where("count > 1").select("src")
-    joining = e.groupBy("dst").count().where("count > 1").select("dst")
-    able = _cut(e.join(branching, "src", "left_semi").join(joining, "dst", "left_semi").select("src", "dst"))
-    ahead = e.join(able.select("src").distinct(), "src", "left_semi").withColumnRenamed("dst", "mid")
-    closure = reach(e, ahead.select(F.col("mid").alias("node")).distinct(), "down", max_depth).where("depth > 0")
-    via = ahead.join(closure, F.col("mid") == F.col("seed")).select("src", F.col("node").alias("dst")).distinct()
-    return able.join(via, ["src", "dst"], "left_semi")
+    return reachability.redundant_edges(edges)
 
 
-def needless_order(edges: DataFrame, data_edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+def needless_order(edges: DataFrame, data_edges: DataFrame) -> DataFrame:
     """Ordering edges (src, dst) without a data dependency behind them: dst can't be reached from src over ``data_edges``."""
+    from . import reachability
+
     e = edges.select("src", "dst").distinct()
-    needed = reach(data_edges, e.select(F.col("src").alias("node")).distinct(), "down", max_depth)
-    return e.join(needed.select(F.col("seed").alias("src"), F.col("node").alias("dst")), ["src", "dst"], "left_anti")
+    needed = reachability.reaches(data_edges, e.select(F.col("src").alias("x"), F.col("dst").alias("y")))
+    return e.join(needed.select(F.col("x").alias("src"), F.col("y").alias("dst")), ["src", "dst"], "left_anti")
 
 
 def affected(edges: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
@@ -139,7 +130,7 @@ def affected(edges: DataFrame, packages: DataFrame, files: DataFrame) -> DataFra
     parts = F.split("path", "/")
     folders = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("prefix"))
     owners = folders.join(packages, "prefix").select("node").distinct()
-    return reach(edges, owners, "down").groupBy("node").agg(F.min("depth").alias("depth"))
+    return nearest(edges, owners)
 
 
 def freshness_chain(edges: DataFrame, status: DataFrame, ends: DataFrame) -> DataFrame:
@@ -148,15 +139,20 @@ def freshness_chain(edges: DataFrame, status: DataFrame, ends: DataFrame) -> Dat
     return up.groupBy("seed").agg(F.max(F.struct("depth", "node")).alias("m")).select("seed", "m.node", "m.depth")
 
 
+def nearest(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
+    """(node, depth) for every node reachable from any seed, with the least depth; seeds are taken together, so a node is visited once. ``seeds``: node."""
+    return reach(edges, seeds, direction, max_depth, together=True).select("node", "depth")
+
+
 def effective_access(grants: DataFrame, role_edges: DataFrame, access: DataFrame | None = None) -> DataFrame:
     """(principal, object) by own grants and those of inherited roles; with an access log, whether it was used.
 
-    grants: principal, object; role_edges: child, parent; access: principal, object.
+    grants: principal, object; role_edges: child, parent; access: principal, object. The search goes
+    from those that hold grants to all who inherit from them, so every pair it visits is a row of the result.
     """
     edges = role_edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    people = role_edges.select(F.col("child").alias("node")).unionByName(grants.select(F.col("principal").alias("node"))).distinct()
-    roles = reach(edges, people, "down")
-    out = roles.join(grants, roles["node"] == grants["principal"]).select(F.col("seed").alias("principal"), "object").distinct()
+    heirs = reach(edges, grants.select(F.col("principal").alias("node")), "up")
+    out = heirs.join(grants, heirs["seed"] == grants["principal"]).select(F.col("node").alias("principal"), "object").distinct()
     if access is None:
         return out
     used = access.select("principal", "object").distinct().withColumn("used", F.lit(True))
