@@ -66,7 +66,8 @@ def needed_pieces(pattern: str, piece: int = PIECE) -> list[str]:
 
 
 def _grams(text: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+    """All pieces of ``n`` characters, by one pass of a look-ahead (``substring`` starts from the left at every place)."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def match_rules(lines: DataFrame, line: str, rules: DataFrame, key: list[str], piece: int = PIECE) -> DataFrame:
@@ -77,7 +78,7 @@ def match_rules(lines: DataFrame, line: str, rules: DataFrame, key: list[str], p
 
     From each pattern the texts are taken of which a match must hold one, and of these the piece of
     ``piece`` characters that the fewest lines have. Lines are joined with these pieces, and a pattern is
-    tested only on lines that have its piece. Rules without such a text are tested on all
+    tested only on lines that have its piece and the text around it. Rules without such a text are tested on all
     lines; more than ``WITHOUT`` of them raise.
     """
     exempt = F.col("exempt_pattern") if "exempt_pattern" in rules.columns else F.lit(None).cast("string")
@@ -85,29 +86,29 @@ def match_rules(lines: DataFrame, line: str, rules: DataFrame, key: list[str], p
 
     def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r.rule_id, r.pattern, r.exempt, k, t) for r in batch.itertuples() for k, t in enumerate(needed_pieces(r.pattern, piece) or [None])]
-            yield pd.DataFrame(rows, columns=["rule_id", "pattern", "exempt", "choice", "text"])
+            rows = [(r.rule_id, r.pattern, r.exempt, t) for r in batch.itertuples() for t in needed_pieces(r.pattern, piece) or [None]]
+            yield pd.DataFrame(rows, columns=["rule_id", "pattern", "exempt", "text"])
 
     kind = rules.schema["rule_id"].dataType.simpleString()
-    told = written(rules.mapInPandas(taken, f"rule_id {kind}, pattern string, exempt string, choice int, text string"), "rule-texts")
+    told = written(rules.mapInPandas(taken, f"rule_id {kind}, pattern string, exempt string, text string"), "rule-texts")
     bare = told.where("text IS NULL").select("rule_id", "pattern", "exempt").limit(WITHOUT + 1).collect()
     if len(bare) > WITHOUT:
         raise ValueError(f"more than {WITHOUT} patterns have no text of {piece} characters that a match must hold")
 
     rows = lines.select(*key, F.col(line).alias("line")).where("line IS NOT NULL").distinct()
-    grams = told.where("text IS NOT NULL").select("rule_id", "pattern", "exempt", "choice", F.explode(_grams(F.col("text"), piece)).alias("gram"))
+    grams = told.where("text IS NOT NULL").select("rule_id", "pattern", "exempt", "text", F.explode(_grams(F.col("text"), piece)).alias("gram"))
     low = F.lower("line")
     pieces = rows.where(F.length(low) >= piece).select("*", F.explode(_grams(low, piece)).alias("gram"))
     known = _side(written(grams.select("gram").distinct(), "grams"))
     often = pieces.select("gram").join(known, "gram").groupBy("gram").agg(F.count("*").alias("n"))
     best = F.min_by("gram", F.struct("n", "gram")).alias("gram")
-    index = grams.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))).groupBy("rule_id", "pattern", "exempt", "choice").agg(best, F.min("n").alias("n"))
-    index = written(index.where("n > 0").select("rule_id", "pattern", "exempt", "gram").distinct(), "rule-index")
+    index = grams.join(often, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))).groupBy("rule_id", "pattern", "exempt", "text").agg(best, F.min("n").alias("n"))
+    index = written(index.where("n > 0").drop("n"), "rule-index")
 
     def holds(pattern: Column, exempt: Column) -> Column:
         return F.rlike(F.col("line"), pattern) & ~F.coalesce(F.rlike(F.col("line"), exempt), F.lit(False))
 
-    hits = pieces.join(_side(index), "gram").where(holds(F.col("pattern"), F.col("exempt"))).select(*key, "rule_id")
+    hits = pieces.join(_side(index), "gram").where(F.contains(low, F.col("text")) & holds(F.col("pattern"), F.col("exempt"))).select(*key, "rule_id")
     for rule_id, pattern, unless in bare:
         hits = hits.unionByName(rows.where(holds(F.lit(pattern), F.lit(unless).cast("string"))).select(*key, F.lit(rule_id).cast(kind).alias("rule_id")))
     return hits.distinct()

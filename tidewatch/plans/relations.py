@@ -80,21 +80,21 @@ def j7(spark, folder):
 
 RULES_SQL = r"""w AS (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ')) AS word FROM benchmark),
     rules AS (SELECT word AS rule_id, CASE length(word) % 3 WHEN 0 THEN '(?i)' || word || ' [a-z]' WHEN 1 THEN word || '[ ,.]' ELSE word || '(s|ed)?$' END AS pattern,
-        CASE WHEN length(word) > 8 THEN 'http' END AS exempt_pattern FROM w WHERE length(word) >= 5)"""
+        CASE WHEN length(word) > 9 THEN 'http' END AS exempt_pattern FROM w WHERE length(word) >= 8)"""
 
 
 def rule_table(spark, folder):
-    """A rule for each word of five letters or more of the benchmark passages."""
-    words = load(spark, folder, "benchmark").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")).alias("rule_id")).distinct().where("length(rule_id) >= 5")
+    """A rule for each word of eight letters or more of the benchmark passages."""
+    words = load(spark, folder, "benchmark").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")).alias("rule_id")).distinct().where("length(rule_id) >= 8")
     word, shape = F.col("rule_id"), F.length("rule_id") % 3
     pattern = F.when(shape == 0, F.concat(F.lit("(?i)"), word, F.lit(" [a-z]"))).when(shape == 1, F.concat(word, F.lit("[ ,.]"))).otherwise(F.concat(word, F.lit("(s|ed)?$")))
-    return words.select("rule_id", pattern.alias("pattern"), F.when(F.length("rule_id") > 8, "http").alias("exempt_pattern"))
+    return words.select("rule_id", pattern.alias("pattern"), F.when(F.length("rule_id") > 9, "http").alias("exempt_pattern"))
 
 
 @query(
     "j7_rule_table",
-    f"""WITH {RULES_SQL}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-    SELECT DISTINCT doc_id, rule_id FROM l JOIN rules ON contains(lower(line), lower(rule_id)) AND regexp_matches(line, pattern) AND (exempt_pattern IS NULL OR NOT contains(line, exempt_pattern))""",
+    f"""WITH {RULES_SQL}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(string_split(lower(text), chr(10))) AS low FROM documents), k AS (SELECT *, lower(rule_id) AS word FROM rules)
+    SELECT DISTINCT doc_id, rule_id FROM l JOIN k ON contains(low, word) AND regexp_matches(line, pattern) AND (exempt_pattern IS NULL OR NOT contains(line, exempt_pattern))""",
 )
 def j7_table(spark, folder):
     from ..operators.rules import match_rules
