@@ -113,7 +113,6 @@ def test_tokens_against_library(spark, path):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     assert (tokens.Encoder(path).split is None) == (path != TOKENIZER)
     rows = sorted([*sample(spark), (10**6, "It's  <|endoftext|> Déjà VU 12½", None)])
     found = {r.doc_id: r for r in tokens.tokenise(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), path).collect()}
@@ -124,6 +123,26 @@ def test_tokens_against_library(spark, path):
         start += len(ids)
 
 
+def test_special_text_as_the_library_gives_it():
+    """With the contract's call alone, the library meets added tokens in a text."""
+    from tokenizers import Tokenizer
+
+    text = "a <|endoftext|> b"
+    (ids,) = tokens.Encoder(TOKENIZER)([text])
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_shards_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Many more ranges than shuffle partitions where the text is large, equal rows of one key dealt too."""
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 2000)
+    docs = spark.createDataFrame([(7, "the same text again")] * 3000 + [(i, f"text {i}") for i in range(500)], "doc_id long, text string").repartition(6)
+    manifest = tokens.write_tokens(docs, str(tmp_path), TOKENIZER)
+    assert manifest.count() > 20 and manifest.agg({"rows": "max"}).first()[0] < 1000
+    found = tokens.read_tokens(manifest, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in found) == Counter([7] * 3000 + list(range(500)))
+    assert [r.start for r in sorted(found, key=lambda r: r.start)] == np.cumsum([0, *[r.n_tokens for r in sorted(found, key=lambda r: r.start)]])[:-1].tolist()
+
+
 def test_tokens_odd_rows(spark):
     found = tokens.tokenise(cases.documents(spark), TOKENIZER).collect()
     assert Counter(r.doc_id for r in found) == Counter(i for i, *_ in cases.ROWS)
@@ -567,12 +586,12 @@ def test_mix_ties_do_not_depend_on_order(spark):
     assert all(o == first for o in others)
 
 
-@pytest.mark.parametrize("cell_rows", [4096, 7])
-def test_mix_of_equal_rows(spark, monkeypatch, cell_rows):
+@pytest.mark.parametrize("lot_rows", [4096, 7])
+def test_mix_of_equal_rows(spark, monkeypatch, lot_rows):
     """30,000 equal rows of 31,000: as many as are due take one more, in the mix and in the table of sizes, and no task holds them."""
-    monkeypatch.setattr(mixing, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(mixing, "LOT_ROWS", lot_rows)
     rng = random.Random(9)
-    rows = [(1, "the same ten words in thirty thousand rows of one", "a")] * (30_000 if cell_rows > 7 else 900) + [(i, "w " * rng.randrange(1, 40), rng.choice(["a", "b", None])) for i in range(1000)]
+    rows = [(1, "the same ten words in thirty thousand rows of one", "a")] * (30_000 if lot_rows > 7 else 900) + [(i, "w " * rng.randrange(1, 40), rng.choice(["a", "b", None])) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
     size, target = cases.targets(rows)
     found, taken, copies = mixing.mix(docs).collect(), Counter(), Counter()

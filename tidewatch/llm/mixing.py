@@ -24,8 +24,8 @@ from .common import materialise, release, row_hash
 BROADCAST_SOURCES = 100_000
 #: Up to this many size classes with their cuts (some 100 bytes each), they are broadcast.
 BROADCAST_CLASSES = 1 << 19
-#: Rows of one (source, class) that are ranked together, on average, and repeats of one row in a lot.
-CELL_ROWS = 4096
+#: Repeats of one row that a task writes.
+LOT_ROWS = 4096
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
@@ -203,13 +203,13 @@ def extra_cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """source, class, source_size, target, each, cut, tie, tied: a row takes ``each`` copies, and one more if its h is ``cut`` or less.
 
     ``tied`` more go to rows whose h is ``tie``: equal rows of which only some are due. A
-    class's hashes are counted first, so equal rows are one row from there on; then only the
-    range of hashes that holds the cut is sorted, the ranges before it are known by their counts.
+    class's hashes are counted first, so equal rows are one row from there on. Of n rows, some
+    sqrt(n) ranges of hashes are then added up, and only the range that holds the cut is sorted.
     """
     keys = ["source", "class"]
     share = plan.select(*[F.col(k).alias(f"of_{k}") for k in keys], "n", "source_size", "target", F.floor(F.col("copies") / F.col("n")).cast("long").alias("each"), (F.col("copies") % F.col("n")).alias("extra"))
     met = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("class") == F.col("of_class"))
-    cells = F.greatest(F.lit(1.0), F.floor(F.col("n") / CELL_ROWS))
+    cells = F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("n").cast("double"))))
     # rises with h, whatever the rounding
     cell = F.least(cells - 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * cells)).cast("long")
     hashes = sized.groupBy(*keys, "h").agg(F.count("*").alias("held"))
@@ -261,8 +261,8 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     if not cuts.where("tie IS NOT NULL").isEmpty():
         tied = dealt.where("h = tie").dropDuplicates(["source", "class", "h"])
         # the repeats of a row are dealt in lots, so no task writes all of them
-        lots = F.expr(f"sequence(0, cast((tied - 1) div {CELL_ROWS} AS int))")
+        lots = F.expr(f"sequence(0, cast((tied - 1) div {LOT_ROWS} AS int))")
         dealt_lots = tied.withColumn("lot", F.explode(lots)).repartition("h", "lot")
-        size = F.least(F.lit(CELL_ROWS), F.col("tied") - F.col("lot") * CELL_ROWS).cast("int")
+        size = F.least(F.lit(LOT_ROWS), F.col("tied") - F.col("lot") * LOT_ROWS).cast("int")
         taken = taken.unionByName(dealt_lots.withColumn("copy", F.explode(F.array_repeat(F.lit(0), size))).select(*plain))
     return taken.toDF(*docs.columns)

@@ -36,6 +36,7 @@ _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "
 #: Splits a text of such characters as the byte-level tokenizers do before they merge: no token spans two parts.
 PARTS = f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+| ?[{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 _LATIN = re.compile("[\x00-\x1b\x20-\u024f]*")
+SHARD_BYTES = 256 << 20  # text of a shard on average, at most
 MOST_PARTS = 1 << 20  # parts whose ids a Python worker remembers, some 150 MB
 
 
@@ -141,12 +142,12 @@ class Shard:
 
 
 class Encoder:
-    """Whole texts to ids with a ``tokenizers`` file; special tokens in a text are ordinary text.
+    """Whole texts to ids with a ``tokenizers`` file, as the library gives them without special tokens added; those that a text holds are met.
 
     A tokenizer that cuts texts by the byte-level rule before it merges treats the
     parts independently. Parts of Latin texts repeat, so each distinct part goes
-    through the library once and its ids are remembered. Other texts, and all texts
-    of a tokenizer with any other rule, go through the library whole.
+    through the library once and its ids are remembered. Other texts, texts that hold an added
+    token's content, and all texts of a tokenizer with any other rule, go through the library whole.
     """
 
     def __init__(self, path: str, dtype: str = "<u4", parts: bool = True):
@@ -154,8 +155,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.split = re.compile(PARTS) if parts and cuts_by_parts(self.model) else None
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.dtype = np.dtype(dtype)
         if self.model.get_vocab_size() > np.iinfo(self.dtype).max + 1:
             raise ValueError(f"ids don't fit {dtype}")
@@ -179,7 +181,7 @@ class Encoder:
             return self._encode(texts)
         if len(self.known) > MOST_PARTS:
             self.known.clear()
-        plain = [_LATIN.fullmatch(t) is not None for t in texts]
+        plain = [_LATIN.fullmatch(t) is not None and self.added.search(t) is None for t in texts]
         parts = [self.split.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
         self._learn(list(set().union(*parts) - self.known.keys()))
         whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if not p]))
@@ -209,10 +211,12 @@ def encoder(path: str, dtype: str) -> Encoder:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, dtype: str = "<u4", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards in ascending key order and returns the manifest: shard, part, rows, tokens, keys, start.
 
-    Rows are dealt to tasks by ranges of (key, text hash) and sorted within each,
+    Rows are dealt to tasks by ranges of (key, text hash, place) and sorted within each,
     so shards in order of ``part`` are the corpus in ascending key order, null keys
-    first. Only shards of committed tasks are in the manifest. ``start`` is the
-    number of ids in all shards before. Repeated keys are neighbours and share a slot.
+    first; equal rows in any number are dealt too. There are as many ranges as shuffle partitions,
+    more if they would have over ``SHARD_BYTES`` of text on average. Only shards of committed tasks are in the manifest. ``start`` is the
+    number of ids in all shards before. Repeated keys are neighbours and share a slot. Keys are whole
+    numbers, also as text; other keys raise.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +242,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         columns = {"shard": [name], "part": [part_id], "rows": [len(lengths)], "tokens": [tokens], "first_key": known[:1].tolist() or [None], "last_key": known[-1:].tolist() or [None]}
         yield pa.RecordBatch.from_pydict(columns, pa.schema([("shard", pa.string()), *[(c, pa.int64()) for c in list(columns)[1:]]]))
 
-    rows = take(docs, key=id_col, text=text_col).withColumn("key", F.col("key").cast("long")).withColumn("h", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h").select("key", "text")
+    rows = take(docs, key=id_col, text=text_col).withColumn("key", F.col("key").cast("long")).withColumn("h", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
+    ranges = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    order = ["key", "h", "at"]
+    dealt = rows.repartitionByRange(ranges, *order) if ranges > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange(*order)
+    ordered = dealt.sortWithinPartitions(*order).select("key", "text")
     manifest = materialise(ordered.mapInArrow(write, "shard string, part long, rows long, tokens long, first_key long, last_key long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return materialise(manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "token-manifest")
