@@ -40,9 +40,46 @@ def test_retries_go_on_over_batches(spark, tmp_path):
     assert [(r.id, r.attempt, r.action) for r in run().orderBy("id").collect()] == [(1, 1, "retry"), (2, 2, "retry"), (3, 3, "escalate"), (5, 1, "retry")]
 
 
+def test_rate_gate_forgets_days(spark, tmp_path):
+    """30 days in six batches: two proposals a day pass, a late one of a forgotten day doesn't, and the state keeps three days a key."""
+    stateful.use_rocksdb(spark)
+    run = lambda: streams.drain(stateful.rate_gate(streams.stream(spark, f"{tmp_path}/in", SCHEMA)), f"{tmp_path}/out", f"{tmp_path}/cp", idle=False)
+    kept = []
+    for n in range(6):
+        put(spark, f"{tmp_path}/in", [(k, 1000 * k + 10 * d + i, 1440 * d + 30 - i, "ok") for k in (1, 2) for d in range(5 * n, 5 * n + 5) for i in range(4)])
+        out = run()
+        state = spark.read.format("statestore").option("stateVarName", "passed").load(f"{tmp_path}/cp")
+        kept.append(state.count())
+    assert out.count() == 2 * 2 * 30 and max(kept) <= 2 * 3
+    assert sorted(r.id % 10 for r in out.where("place = 1").collect()) == [3] * 60
+    put(spark, f"{tmp_path}/in", [(1, 9999, 60, "ok"), (1, 9998, 1440 * 29 + 600, "ok")])
+    assert run().count() == 2 * 2 * 30
+
+
+def test_late_alert_joins_two_threads(spark, tmp_path):
+    """A late alert between two threads makes them one; a batch that is run again changes nothing."""
+    stateful.use_rocksdb(spark)
+
+    def run(out="out"):
+        alerts = streams.stream(spark, f"{tmp_path}/in", SCHEMA).select("key", "ts")
+        streams.upsert_threads(stateful.incident_threads(alerts, 2), f"{tmp_path}/{out}", f"{tmp_path}/cp").awaitTermination()
+        return sorted((r.key, (r.first - T0).total_seconds() / 60, (r["last"] - T0).total_seconds() / 60, r.n) for r in streams.threads(spark, f"{tmp_path}/{out}").collect())
+
+    put(spark, f"{tmp_path}/in", [(1, 1, 0, "x"), (1, 2, 60, "x"), (1, 3, 240, "x"), (2, 4, 0, "x")])
+    assert run() == [(1, 0, 60, 2), (1, 240, 240, 1), (2, 0, 0, 1)]
+    put(spark, f"{tmp_path}/in", [(1, 5, 150, "x"), (2, 6, -30, "x"), (2, 7, 500, "x")])
+    assert run() == [(1, 0, 240, 4), (2, -30, 0, 2), (2, 500, 500, 1)]
+    # the last batch once more: its folder is replaced
+    for kind in ("commits",):
+        for f in (tmp_path / "cp" / kind).iterdir():
+            if f.name.strip(".crc").lstrip(".") == "1":
+                f.unlink()
+    assert run() == [(1, 0, 240, 4), (2, -30, 0, 2), (2, 500, 500, 1)]
+
+
 def test_rate_gate_over_batches(spark, tmp_path):
     stateful.use_rocksdb(spark)
-    run = lambda: streams.drain(stateful.rate_gate(streams.stream(spark, f"{tmp_path}/in", SCHEMA).withColumn("key", F.col("key").cast("string"))), f"{tmp_path}/out", f"{tmp_path}/cp")
+    run = lambda: streams.drain(stateful.rate_gate(streams.stream(spark, f"{tmp_path}/in", SCHEMA).withColumn("key", F.col("key").cast("string"))), f"{tmp_path}/out", f"{tmp_path}/cp", idle=False)
     for n in range(3):
         put(spark, f"{tmp_path}/in", [(1, n, n, "ok"), (n, 100 + n, n, "ok")])
         out = run()

@@ -25,9 +25,9 @@ def runs_stream(spark, folder):
     return source(spark, folder).select("ts", F.col("user_id").alias("job"), F.col("event_id").alias("run_id"), status.alias("status"))
 
 
-def drained(df, spark, name):
+def drained(df, spark, name, idle=True):
     base = work_folder(spark, name)
-    out = streams.drain(df, f"{base}/out", f"{base}/checkpoint")
+    out = streams.drain(df, f"{base}/out", f"{base}/checkpoint", idle=idle)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in out.dtypes if kind == "timestamp"})
 
 
@@ -64,6 +64,21 @@ def t3(spark, folder):
     return drained(streams.incident_sessions(runs_stream(spark, folder), "job"), spark, "t3")
 
 
+@query(
+    "t3_incident_threads",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id AS key, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def t3_threads(spark, folder):
+    """Threads as they stand, open ones too."""
+    base = work_folder(spark, "t3-threads")
+    stateful.use_rocksdb(spark)
+    changes = stateful.incident_threads(keyed(spark, folder).where("status = 'failed'").select("key", "ts"))
+    streams.upsert_threads(changes, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return streams.threads(spark, f"{base}/out")
+
+
 @query("t4_first_findings", "SELECT count(DISTINCT user_id) AS jobs, count(DISTINCT user_id) AS n FROM events WHERE event_type = 'error'")
 def t4(spark, folder):
     """With a watermark as long as the table, every job's finding is posted once."""
@@ -76,9 +91,9 @@ def keyed(spark, folder):
     return runs_stream(spark, folder).select(F.col("job").alias("key"), F.col("run_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "status")
 
 
-def stateful_drained(df, spark, name):
+def stateful_drained(df, spark, name, idle=True):
     stateful.use_rocksdb(spark)
-    return drained(df, spark, name)
+    return drained(df, spark, name, idle)
 
 
 @query(
@@ -105,8 +120,8 @@ def t6(spark, folder):
     """SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS key, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS INTEGER) AS place FROM events QUALIFY place <= 2""",
 )
 def t7(spark, folder):
-    rows = keyed(spark, folder).select(F.concat_ws("/", F.col("key").cast("string"), F.to_date("ts").cast("string")).alias("key"), "id", "ts")
-    return stateful_drained(stateful.rate_gate(rows), spark, "t7").select("key", "id", "place")
+    out = stateful_drained(stateful.rate_gate(keyed(spark, folder).select("key", "id", "ts")), spark, "t7", idle=False)
+    return out.select(F.concat_ws("/", F.col("key").cast("string"), F.to_date("ts").cast("string")).alias("key"), "id", "place")
 
 
 @query("t8_heartbeat", f"SELECT user_id AS key, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 12 HOUR < {CLOSED}")

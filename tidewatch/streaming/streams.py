@@ -14,11 +14,24 @@ def stream(spark: SparkSession, folder: str, schema: str, max_files: int = 10) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", query_name: str | None = None) -> DataFrame:
-    """Runs a stream over everything there is and returns what it wrote."""
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", query_name: str | None = None, idle: bool = True) -> DataFrame:
+    """Runs a stream over everything there is and returns what it wrote.
+
+    ``idle``: batches without data run too, as event-time timers need them. Operators in processing time
+    ask for such batches for ever, so a run over them ends only without.
+    """
+    spark = df.sparkSession
+    was = spark.conf.get(IDLE)
+    spark.conf.set(IDLE, str(idle).lower())
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
-    (writer.queryName(query_name) if query_name else writer).start().awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        (writer.queryName(query_name) if query_name else writer).start().awaitTermination()
+    finally:
+        spark.conf.set(IDLE, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def health_stream(events: DataFrame, every: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -40,6 +53,22 @@ def incident_sessions(events: DataFrame, key: str, gap: str = "2 hours", late: s
     return out.select(key, "n", "first", "last")
 
 
+def upsert_threads(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the changes of ``incident_threads``; a batch is written under its number, so a batch that is run again changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+
+def threads(spark: SparkSession, path: str) -> DataFrame:
+    """key, first, last, n of every thread as it stands: the newest change of each, without those that were joined into others."""
+    changes = spark.read.parquet(path)
+    newest = changes.groupBy("key", "thread").agg(F.max_by(F.struct("first", "last", "n"), "batch").alias("t")).where("t.n > 0")
+    return newest.select("key", F.timestamp_micros("t.first").cast("timestamp_ntz").alias("first"), F.timestamp_micros("t.last").cast("timestamp_ntz").alias("last"), F.col("t.n").alias("n"))
+
+
 def first_findings(findings: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Each finding once within the watermark."""
     return findings.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
