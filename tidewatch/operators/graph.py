@@ -23,15 +23,15 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth
 
     Only the last frontier is joined in a round and visited pairs are left out, so
     cycles end. ``seeds`` has one column, node. A frontier left after ``max_depth``
-    rounds is an error. ``together``: seeds count as one, with a null name.
+    rounds is an error. ``together``: seeds count as one, with an empty name.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     steps = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
-    frontier = _cut(seeds.select((F.lit(None).cast("string") if together else F.col("node")).alias("seed"), "node").distinct().withColumn("depth", F.lit(0)))
+    frontier = _cut(seeds.select((F.lit("") if together else F.col("node")).alias("seed"), "node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in _rounds(max_depth):
         found = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = _cut(found.alias("f").join(seen.alias("s"), F.col("f.seed").eqNullSafe(F.col("s.seed")) & (F.col("f.node") == F.col("s.node")), "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = _cut(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = _cut(seen.unionByName(frontier)) if depth % 8 == 0 else seen.unionByName(frontier)

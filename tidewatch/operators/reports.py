@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import findings
+from ..sources.scratch import written
 from . import aggregates, filters, graph, joins, quality, sets, text, windows
 
 
@@ -46,6 +48,37 @@ def incident_report(runs: DataFrame, changes: DataFrame, lines: DataFrame, now:
     return out.select("run_id", "job", "state", "change_id", "category", "first_line", "last_line", "suppressed", "noise")
 
 
+def triage_chain(report: DataFrame, edges: DataFrame, status: DataFrame, node: Column) -> DataFrame:
+    """R2 with G3: ``incident_report`` with the root failure of each run's node, the furthest one (ties: the last by name); null where the node isn't failing.
+
+    node: the lineage node of a row of the report.
+    """
+    deepest = F.max(F.struct("depth", "root")).alias("m")
+    roots = written(graph.root_failure(edges, status), "roots").groupBy(F.col("node").alias("at")).agg(deepest).select("at", "m.root")
+    return report.join(roots, node == F.col("at"), "left").drop("at")
+
+
+def daily_ops(report: DataFrame, daily: DataFrame, key: str, value: str, routing: DataFrame, k: float = 2.0) -> DataFrame:
+    """R1 whole: the findings of ``daily_report`` with unusual days of each series (Q5), every one with the channel of its severity."""
+    odd = quality.anomalies(daily, [key], "day", value, k=k)
+    far = F.when(F.abs("score") > 2 * k, "high").otherwise("medium")
+    found = _finding(odd, "anomaly", F.col(key), F.when(F.col("score") > 0, "unusually high").otherwise("unusually low"), far, F.col("day"))
+    return findings.route(sets.merge_findings(report, found), routing)
+
+
+def cost_findings(usage: DataFrame, load: DataFrame, resource: str, busy: str, span: float, low: float, high: float, k: float = 2.0) -> DataFrame:
+    """R3 whole (what, entity, amount): cost of each service and in all (A1), idle and hot resources with their busy share (A2), months whose cost is unusual (Q5).
+
+    usage: service, ts, cost; load: a row for each run with its resource and busy time over ``span``.
+    """
+    total = aggregates.cost_rollup(usage, ["service"]).select(F.lit("cost").alias("what"), F.coalesce("service", F.lit("all")).alias("entity"), F.col("cost").alias("amount"))
+    used = aggregates.utilization(load, resource, busy, span, low, high).where("class <> 'normal'").select(F.col("class").alias("what"), F.col(resource).cast("string").alias("entity"), F.round("share", 6).alias("amount"))
+    monthly = usage.groupBy("service", F.trunc(F.col("ts").cast("date"), "month").alias("month")).agg(F.sum("cost").cast("double").alias("cost"))
+    odd = quality.anomalies(monthly, ["service"], "month", "cost", k=k)
+    odd = odd.select(F.lit("unusual month").alias("what"), F.concat_ws(" ", "service", F.col("month").cast("string")).alias("entity"), F.col("cost").alias("amount"))
+    return total.unionByName(used).unionByName(odd)
+
+
 def cost_audit(usage: DataFrame, monthly: DataFrame, n: int = 5) -> DataFrame:
     """The most expensive resources and the largest monthly rises, one table."""
     top = usage.groupBy("resource").agg(F.sum("cost").cast("double").alias("amount")).orderBy(F.desc("amount"), "resource").limit(n)

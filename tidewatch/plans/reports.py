@@ -18,14 +18,17 @@ from .text import CAUSES, LINES_SQL, lines
 NOW = datetime(2024, 1, 31)
 
 
-@query(
-    "r1_daily_report",
-    f"""WITH {RUNS_SQL}, s AS (SELECT job, CASE WHEN status = 'failed' THEN 'failed' ELSE 'stuck' END AS state, count(*) AS n FROM runs
+DIGEST_SQL = f"""WITH {RUNS_SQL}, s AS (SELECT job, CASE WHEN status = 'failed' THEN 'failed' ELSE 'stuck' END AS state, count(*) AS n FROM runs
         WHERE NOT paused AND (status = 'failed' OR (status = 'running' AND (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3600000000.0 > 240)) GROUP BY 1, 2),
     h AS (SELECT job, count(*) FILTER (status = 'failed') AS failed, count(*) AS n FROM runs GROUP BY 1), f AS (SELECT user_id, max(ts) AS newest FROM events GROUP BY 1)
     SELECT 'runs' AS source, CAST(job AS VARCHAR) AS entity, state AS issue, 'high' AS severity, CAST(n AS VARCHAR) AS evidence, CAST(NULL AS VARCHAR) AS recommendation FROM s
     UNION ALL SELECT 'health', CAST(job AS VARCHAR), 'failure rate', 'medium', CAST(failed AS VARCHAR), NULL FROM h WHERE round(failed / n, 6) > 0.3
-    UNION ALL SELECT 'freshness', CAST(user_id AS VARCHAR), 'stale', 'low', CAST(CAST(newest AS DATE) AS VARCHAR), NULL FROM f WHERE (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(newest)) / 3600000000.0 > 24""",
+    UNION ALL SELECT 'freshness', CAST(user_id AS VARCHAR), 'stale', 'low', CAST(CAST(newest AS DATE) AS VARCHAR), NULL FROM f WHERE (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(newest)) / 3600000000.0 > 24"""
+
+
+@query(
+    "r1_daily_report",
+    DIGEST_SQL,
 )
 def r1(spark, folder):
     return reports.daily_report(runs(spark, folder), load(spark, folder, "events"), NOW, 240, 24)
@@ -45,16 +48,19 @@ def r2_roots(spark, folder):
     return reports.incident_triage(incidents(spark, folder), changes(spark, folder), entity_edges(spark, folder), status(spark, folder), 6)[1]
 
 
-@query(
-    "r2_incident_triage",
-    f"""WITH {RUNS_SQL}, {CHANGES_SQL}, {LINES_SQL}, s AS (SELECT run_id, job, ts, CASE WHEN status = 'failed' THEN 'failed' ELSE 'stuck' END AS state FROM runs
+TRIAGE_SQL = f"""WITH {RUNS_SQL}, {CHANGES_SQL}, {LINES_SQL}, s AS (SELECT run_id, job, ts, CASE WHEN status = 'failed' THEN 'failed' ELSE 'stuck' END AS state FROM runs
         WHERE NOT paused AND (status = 'failed' OR (status = 'running' AND (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3600000000.0 > 240))),
     n AS (SELECT run_id, change_id FROM s JOIN changes c ON job = entity AND c.ts <= s.ts AND epoch_us(s.ts) - epoch_us(c.ts) <= 21600000000 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY c.ts DESC, change_id) = 1),
     k AS (SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(text, '{p}') THEN '{c}'" for c, p in CAUSES)} ELSE 'unknown' END AS category FROM documents WHERE text <> ''),
     m AS (SELECT *, regexp_matches(line, '###') AS noise, min(line_no) FILTER (contains(line, '!!')) OVER w AS start, count(*) OVER w AS total, count(*) FILTER (regexp_matches(line, '###')) OVER w AS noisy FROM lines WINDOW w AS (PARTITION BY doc_id)),
     b AS (SELECT * FROM m WHERE NOT noise AND line_no >= start - 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) <= 5),
     f AS (SELECT doc_id, CAST(min(line_no) AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line, any_value(total) - count(*) AS suppressed, any_value(noisy) AS noise FROM b GROUP BY 1)
-    SELECT run_id, job, state, change_id, category, first_line, last_line, suppressed, noise FROM s LEFT JOIN n USING (run_id) LEFT JOIN k ON run_id = k.doc_id LEFT JOIN f ON run_id = f.doc_id""",
+    SELECT run_id, job, state, change_id, category, first_line, last_line, suppressed, noise FROM s LEFT JOIN n USING (run_id) LEFT JOIN k ON run_id = k.doc_id LEFT JOIN f ON run_id = f.doc_id"""
+
+
+@query(
+    "r2_incident_triage",
+    TRIAGE_SQL,
 )
 def r2_triage(spark, folder):
     """The log of a run is the document of the same number."""
@@ -62,6 +68,44 @@ def r2_triage(spark, folder):
     return reports.incident_report(runs(spark, folder), changes(spark, folder), logs, NOW, 240, 6, CAUSES, "###", "!!")
 
 
+@query(
+    "r2_triage_chain",
+    f"""WITH t AS ({TRIAGE_SQL}), g AS ({ROOT_SQL}), m AS (SELECT node, arg_max(root, (depth, root)) AS root FROM g GROUP BY 1)
+    SELECT t.*, m.root FROM t LEFT JOIN m ON m.node = 'customer:' || t.job""",
+)
+def r2_chain(spark, folder):
+    """A run's job loads the customer of the same number."""
+    node = F.concat(F.lit("customer:"), F.col("job").cast("string"))
+    return reports.triage_chain(r2_triage(spark, folder), entity_edges(spark, folder), status(spark, folder), node)
+
+
+UNUSUAL_SQL = f"""{DAILY_SQL}, b AS (SELECT *, avg(total) OVER w AS base, stddev_samp(total) OVER w AS spread FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+    o AS (SELECT event_type, day, round((total - base) / nullif(spread, 0), 4) AS score FROM b)"""
+
+
+@query(
+    "r1_daily_ops",
+    f"""WITH d AS ({DIGEST_SQL}), {UNUSUAL_SQL}, f AS (SELECT * FROM d UNION ALL SELECT 'anomaly', event_type, CASE WHEN score > 0 THEN 'unusually high' ELSE 'unusually low' END, CASE WHEN abs(score) > 4 THEN 'high' ELSE 'medium' END, CAST(day AS VARCHAR), NULL FROM o WHERE abs(score) > 2)
+    SELECT *, CASE severity WHEN 'high' THEN 'oncall' WHEN 'medium' THEN 'team' ELSE 'digest' END AS channel, severity = 'high' AS page FROM f""",
+)
+def r1_ops(spark, folder):
+    routing = spark.createDataFrame([("high", "oncall", True), ("medium", "team", False)], "severity string, channel string, page boolean")
+    return reports.daily_ops(r1(spark, folder), daily(spark, folder), "event_type", "total", routing)
+
+
+@query(
+    "r3_cost_findings",
+    f"""WITH {USAGE_SQL}, s AS (SELECT user_id, sum(value) / 43200.0 AS share FROM events GROUP BY 1),
+    m AS (SELECT service, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(sum(cost) AS DOUBLE) AS cost FROM usage GROUP BY 1, 2),
+    b AS (SELECT *, avg(cost) OVER w AS base, stddev_samp(cost) OVER w AS spread FROM m WINDOW w AS (PARTITION BY service ORDER BY month ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+    SELECT 'cost' AS what, coalesce(service, 'all') AS entity, CAST(sum(cost) AS DOUBLE) AS amount FROM usage GROUP BY ROLLUP (service)
+    UNION ALL SELECT CASE WHEN share < 0.05 THEN 'idle' ELSE 'hot' END, CAST(user_id AS VARCHAR), round(share, 6) FROM s WHERE share < 0.05 OR share > 0.08
+    UNION ALL SELECT 'unusual month', service || ' ' || month, cost FROM b WHERE abs(round((cost - base) / nullif(spread, 0), 4)) > 2""",
+)
+def r3_findings(spark, folder):
+    return reports.cost_findings(usage(spark, folder), load(spark, folder, "events"), "user_id", "value", 43200.0, 0.05, 0.08)
+
+
 @query(
     "r3_cost_audit",
     f"""WITH {USAGE_SQL}, {METRICS_SQL}, d AS (SELECT series, month_no, value - lag(value) OVER (PARTITION BY series ORDER BY month_no) AS delta FROM metrics), t AS (SELECT resource, CAST(sum(cost) AS DOUBLE) AS amount FROM usage GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
