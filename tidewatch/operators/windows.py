@@ -164,8 +164,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     ends = [min(max(p + side * 3 / SKETCH, 0.0), 1.0) for p in shares.values() for side in (-1, 1)]
     sketched = rows.groupBy(*keys).agg(F.count("*").alias("_size"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", ends, SKETCH).alias("_ends"))
-    small = F.col("_size") <= SKETCH
-    both = rows.alias("l").join(sketched.alias("s"), same("l", "s", keys)).select("l.*", "s._size", *[F.when(small, F.col("_min" if i % 2 == 0 else "_max")).otherwise(F.col("_ends")[i]).alias(f"_e{i}") for i in range(len(ends))])
+    widest = F.array(*[F.col("_min" if i % 2 == 0 else "_max") for i in range(len(ends))])
+    bounds = F.when(F.col("_size") <= SKETCH, widest).otherwise(F.col("_ends"))
+    return settled(rows, sketched.select(*keys, "_size", bounds.alias("_ends")), keys, shares)
+
+
+def settled(rows: DataFrame, sketched: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of ``_v`` within bounds. sketched: keys, _size (values of the key) and _ends (low and high bound of each share in turn)."""
+    ends = range(2 * len(shares))
+    both = rows.alias("l").join(sketched.alias("s"), same("l", "s", keys)).select("l.*", "s._size", *[F.col("_ends")[i].alias(f"_e{i}") for i in ends])
     inside = reduce(lambda a, b: a | b, [F.col("_v").between(F.col(f"_e{i}"), F.col(f"_e{i + 1}")) for i in range(0, len(ends), 2)])
     passed = [F.when(F.col("_v") > F.col(f"_e{i}"), F.col(f"_e{i}")) for i in range(1, len(ends), 2)]
     held = F.when(inside, F.col("_v")).otherwise(F.greatest(*passed, F.lit(None).cast("double")))

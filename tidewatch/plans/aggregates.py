@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
+from ..operators import partials
+from ..sources.scratch import work_folder
 from ..sources.tables import RUNS_SQL, USAGE_SQL, load, runs, usage
 from .registry import query
 from .text import SIGNATURE_SQL
@@ -67,6 +69,50 @@ def a6_sketches(spark, folder):
     return merged.join(exact, "event_type").select("event_type", "uses", (F.abs(F.col("about") - F.col("actors")) <= 0.05 * F.col("actors")).alias("near"))
 
 
+def run_days(spark, folder):
+    """Partials of the runs by day and kind, kept by day; the queries ask for January 10 to 24."""
+    path = work_folder(spark, "run-days")
+    partials.keep_days(partials.day_partials(runs(spark, folder), "ts", ["kind"], ["duration_s"], ["job"], {"misses": F.col("duration_s") > 60}), path)
+    return partials.kept_days(spark, path, *DAYS)
+
+
+DAYS = ("2024-01-10", "2024-01-24")
+DAYS_SQL = f"{RUNS_SQL}, r AS (SELECT *, CAST(ts AS DATE) AS day FROM runs WHERE CAST(ts AS DATE) BETWEEN DATE '{DAYS[0]}' AND DATE '{DAYS[1]}')"
+
+
+@query(
+    "a5_sla_from_days",
+    f"""WITH {DAYS_SQL} SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, count(*) FILTER (duration_s > 60) AS misses, round(quantile_cont(duration_s, 0.5), 6) AS p50, round(quantile_cont(duration_s, 0.95), 6) AS p95, max(duration_s) AS slowest FROM r GROUP BY 1""",
+)
+def a5_from_days(spark, folder):
+    rows = runs(spark, folder).where(F.to_date("ts").between(*[F.lit(d).cast("date") for d in DAYS]))
+    return partials.sla_report(run_days(spark, folder), rows, "ts", "duration_s", "misses")
+
+
+@query(
+    "a6_usage_from_days",
+    f"""WITH {DAYS_SQL} SELECT kind, count(*) AS uses, max(ts) AS last_used, true AS near FROM r GROUP BY 1""",
+)
+def a6_from_days(spark, folder):
+    """Uses and users of a range of days from partials; the users within 5 % of the exact count."""
+    about = partials.summary(run_days(spark, folder), ["kind"])
+    exact = runs(spark, folder).where(F.to_date("ts").between(*[F.lit(d).cast("date") for d in DAYS])).groupBy("kind").agg(F.count_distinct("job").alias("jobs"))
+    return about.join(exact, "kind").select("kind", F.col("n").alias("uses"), F.col("last").alias("last_used"), (F.abs(F.col("job_distinct") - F.col("jobs")) <= 0.05 * F.col("jobs")).alias("near"))
+
+
+@query(
+    "q1_profile_from_days",
+    f"""WITH {DAYS_SQL} SELECT kind, count(*) AS n, count(duration_s) AS "values", count(*) - count(duration_s) AS nulls, round(CAST(sum(CAST(duration_s AS DECIMAL(28,6))) AS DOUBLE) / count(duration_s), 6) AS mean, min(duration_s) AS low, max(duration_s) AS high, true AS median_near FROM r GROUP BY 1""",
+)
+def q1_from_days(spark, folder):
+    """Profile of a range of days from partials; the share of values up to the sketched median lies within 0.02 of a half."""
+    about = partials.summary(run_days(spark, folder), ["kind"], {"median": 0.5})
+    rows = runs(spark, folder).where(F.to_date("ts").between(*[F.lit(d).cast("date") for d in DAYS])).alias("r")
+    upto = rows.join(about.select(F.col("kind").alias("k"), "duration_s_median"), F.col("kind") == F.col("k")).groupBy("kind").agg(F.avg((F.col("duration_s") <= F.col("duration_s_median")).cast("double")).alias("upto"))
+    out = about.join(upto, "kind")
+    return out.select("kind", "n", F.col("duration_s_values").alias("values"), F.col("duration_s_nulls").alias("nulls"), F.round("duration_s_mean", 6).alias("mean"), F.col("duration_s_min").alias("low"), F.col("duration_s_max").alias("high"), F.col("upto").between(0.48, 0.52).alias("median_near"))
+
+
 @query("a7_chargeback", f"WITH {USAGE_SQL}, k AS (SELECT resource, sum(cost) AS cost FROM usage GROUP BY 1) SELECT resource, CAST(cost AS DOUBLE) AS cost, round(CAST(cost AS DOUBLE) / CAST((SELECT sum(cost) FROM k) AS DOUBLE), 8) AS share FROM k")
 def a7(spark, folder):
     return agg.chargeback(usage(spark, folder), "resource")

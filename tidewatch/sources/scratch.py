@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``."""
+    """A new folder name under ``spark.checkpoint.dir``; ``clear`` deletes it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tidewatch/{kind}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tidewatch/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
@@ -25,7 +27,7 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Folders written by each Spark application and not yet deleted.
+#: Work folders of each Spark application, not yet deleted.
 _WRITTEN: dict[str, list[str]] = {}
 
 
@@ -33,7 +35,6 @@ def written(df: DataFrame, kind: str, *partitions: str) -> DataFrame:
     """``df`` from a table in a work folder: cuts lineage, survives lost executors, keeps sizes for the planner; ``release`` deletes it."""
     spark, path = df.sparkSession, work_folder(df.sparkSession, kind)
     df.write.partitionBy(*partitions).parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -47,7 +48,7 @@ def release(*tables: DataFrame | None) -> None:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all tables of ``written`` of this application; call it once the results are consumed."""
+    """Deletes all work folders of this application; call it once the results are consumed."""
     for path in list(_WRITTEN.get(spark.sparkContext.applicationId, [])):
         _delete(spark, path)
 
