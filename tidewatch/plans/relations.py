@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, joins, sets
+from ..operators import digests, graph, joins, sets
+from ..sources.scratch import work_folder
 from ..sources.tables import CHANGES_SQL, INCIDENTS_SQL, changes, incidents, load
 from .registry import query
 
@@ -49,6 +50,22 @@ def j4(spark, folder):
     return joins.snapshot_join(side("CAST(o_orderdate AS DATE) < '1998-01-01'"), side("CAST(o_orderdate AS DATE) >= '1998-01-01'"), ["o_custkey"], ["status", "n"])
 
 
+@query(
+    "j4_drift_by_digest",
+    """WITH b AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'X' ELSE o_orderstatus END AS status, o_custkey FROM orders WHERE o_orderkey % 1000 <> 7)
+    SELECT o.o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'only_left' ELSE 'changed' END AS state, CASE WHEN b.o_orderkey IS NULL THEN '' ELSE 'o_orderstatus' END AS columns
+    FROM orders o LEFT JOIN b ON o.o_orderkey = b.o_orderkey WHERE b.o_orderkey IS NULL OR b.status <> o.o_orderstatus""",
+)
+def j4_by_digest(spark, folder):
+    """All orders against a copy in which some are gone and some have another status."""
+    base, orders = work_folder(spark, "snapshots"), load(spark, folder, "orders")
+    deployed = orders.where("o_orderkey % 1000 <> 7").withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 300000, "X").otherwise(F.col("o_orderstatus")))
+    keys, values = ["o_orderkey"], ["o_orderstatus", "o_custkey"]
+    for name, df in (("declared", orders), ("deployed", deployed)):
+        digests.keep(df, f"{base}/{name}", keys, values, 8, 8)
+    return digests.snapshot_join(spark, f"{base}/declared", f"{base}/deployed", keys, values)
+
+
 @query(
     "j5_correlate",
     f"""WITH {INCIDENTS_SQL}, {CHANGES_SQL}, p AS (SELECT incident_id, i.entity, i.ts AS incident_ts, change_id, c.ts AS change_ts, epoch_us(i.ts) - epoch_us(c.ts) AS gap
@@ -196,6 +213,20 @@ def x3(spark, folder):
     return sets.parity({e: orders.where(f"o_orderstatus = '{s}'") for e, s in (("dev", "O"), ("prod", "F"), ("test", "P"))}, ["o_custkey", "o_orderpriority"])
 
 
+@query(
+    "x3_parity_by_digest",
+    """WITH e AS (SELECT DISTINCT o_custkey, o_orderpriority, CASE o_orderstatus WHEN 'O' THEN 'dev' WHEN 'F' THEN 'prod' ELSE 'test' END AS env FROM orders)
+    SELECT o_custkey, o_orderpriority, string_agg(env, ',' ORDER BY env) AS present_in FROM e GROUP BY 1, 2 HAVING count(*) < 3""",
+)
+def x3_by_digest(spark, folder):
+    base, orders, columns = work_folder(spark, "snapshots"), load(spark, folder, "orders"), ["o_custkey", "o_orderpriority"]
+    paths = {}
+    for e, s in (("dev", "O"), ("prod", "F"), ("test", "P")):
+        paths[e] = f"{base}/{e}"
+        digests.keep(orders.where(f"o_orderstatus = '{s}'").select(*columns).distinct(), paths[e], columns, [], 8, 8)
+    return digests.parity(spark, paths, columns)
+
+
 @query(
     "x4_merge_findings",
     """SELECT 'runs' AS source, CAST(user_id AS VARCHAR) AS entity, 'failed' AS issue, 'high' AS severity, CAST(NULL AS VARCHAR) AS evidence, CAST(NULL AS VARCHAR) AS recommendation FROM events WHERE event_type = 'error' AND value > 200

@@ -8,7 +8,7 @@ from ..sources import findings
 from ..sources.eventlog import event_log
 from ..sources.scratch import work_folder
 from ..sources.tables import RUNS_SQL, SCHEMAS, load
-from ..streaming import stateful, streams
+from ..streaming import stateful, streams, watch
 from .registry import query
 
 #: With append output, windows count once the watermark (an hour behind the newest event) has passed their end.
@@ -181,6 +181,37 @@ def s10(spark, folder):
     return spark.read.parquet(f"{base}/log/*").groupBy("outcome").agg(F.sum("rows").cast("long").alias("rows"))
 
 
+@query("s10_iterations", "SELECT 'done' AS outcome, count(*) AS rows, CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) AS errors, max(value) AS largest FROM events")
+def s10_iterations(spark, folder):
+    """Batches logged by the metrics observed while the sink reads them."""
+    base = work_folder(spark, "s10-iterations")
+    with watch.IterationLog(spark, f"{base}/log") as log:
+        df = log.watch(source(spark, folder), errors=F.count_if(F.col("event_type") == "error"), largest=F.max("value"))
+        q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        log.finish(q)
+    return watch.iterations(spark, f"{base}/log").groupBy("outcome").agg(F.sum("rows").alias("rows"), F.sum(F.col("metrics")["errors"]).alias("errors"), F.max(F.col("metrics")["largest"]).alias("largest"))
+
+
+@query(
+    "t13_late_rows_logged",
+    """WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events WHERE ts >= TIMESTAMP '2024-01-16')
+    SELECT CAST(count(*) FILTER (ts < TIMESTAMP '2024-01-16' AND epoch_ms(ts) <= epoch_ms(mark)) AS BIGINT) AS late, count(*) AS rows FROM events, w""",
+)
+def t13_logged(spark, folder):
+    """The second half of the month comes first, in a run of its own; what then comes of the first half is late. The log counts over both runs."""
+    base, half = work_folder(spark, "t13-logged"), F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    rows = load(spark, folder, "events").select("event_id", "ts")
+    with watch.IterationLog(spark, f"{base}/log") as log:
+        for part in (rows.where(half), rows.where(~half)):
+            part.write.mode("append").parquet(f"{base}/in")
+            df = log.watch(streams.stream(spark, f"{base}/in", rows.schema)).withColumn("ts", F.col("ts").cast("timestamp"))
+            q = streams.first_findings(df, ["event_id"]).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+            q.awaitTermination()
+            log.finish(q)
+    return watch.late_rows(spark, f"{base}/log").select("late", "rows")
+
+
 @query("s8_write_findings", "SELECT CASE WHEN value > 100 THEN 'high' ELSE 'low' END AS severity, CAST(ts AS DATE) AS detected_on, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2")
 def s8(spark, folder):
     path = work_folder(spark, "s8")
