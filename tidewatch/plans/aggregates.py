@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import partials
+from ..operators import partials, splits
 from ..sources.scratch import work_folder
 from ..sources.tables import RUNS_SQL, USAGE_SQL, load, runs, usage
 from .registry import query
@@ -216,6 +216,21 @@ def a15(spark, folder):
     return agg.size_buckets(load(spark, folder, "lineitem"), "l_orderkey", "l_quantity", (50, 100, 200))
 
 
+@query(
+    "a15_split_parts",
+    """WITH f AS (SELECT l_orderkey AS change, l_returnflag AS d, l_returnflag || '/' || l_partkey AS node, CAST(sum(l_quantity) AS DECIMAL(28,6)) AS size, 1 AS files FROM lineitem GROUP BY 1, 2, 3),
+    a AS (SELECT *, sum(size) OVER (PARTITION BY change, d ORDER BY size, node ROWS UNBOUNDED PRECEDING) <= 60 AS fits FROM f),
+    g AS (SELECT change, d AS node, sum(size) AS size, count(*) AS files FROM a WHERE fits GROUP BY 1, 2),
+    b AS (SELECT *, sum(size) OVER (PARTITION BY change ORDER BY size, node ROWS UNBOUNDED PRECEDING) <= 60 AS fits FROM g),
+    p AS (SELECT change, node, size, files FROM a WHERE NOT fits UNION ALL SELECT change, node, size, files FROM b WHERE NOT fits UNION ALL SELECT change, '', sum(size), sum(files) FROM b WHERE fits GROUP BY 1)
+    SELECT change, node AS root, CAST(files AS BIGINT) AS files, CAST(size AS DOUBLE) AS size, size > 60 AS oversized FROM p""",
+)
+def a15_split(spark, folder):
+    """Orders as changes, their parts as files below the return flag; parts of 60 pieces at most."""
+    lines = load(spark, folder, "lineitem").select(F.col("l_orderkey").alias("change"), F.concat_ws("/", "l_returnflag", F.col("l_partkey").cast("string")).alias("path"), "l_quantity")
+    return splits.split_parts(lines, "change", "path", "l_quantity", 60)
+
+
 @query(
     "a16_before_after",
     """WITH m AS (SELECT o_orderpriority, median(o_totalprice) FILTER (CAST(o_orderdate AS DATE) < DATE '1998-01-01') AS b, median(o_totalprice) FILTER (CAST(o_orderdate AS DATE) >= DATE '1998-01-01') AS a FROM orders GROUP BY 1)
