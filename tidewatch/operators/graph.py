@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -42,16 +43,65 @@ def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 1000) -> DataFra
     """(node, effect): the strongest product of edge weights from a seed; weights lie in (0, 1]. edges: src, dst, weight. More than ``max_depth`` rounds raise."""
     edges = _cut(edges.select("src", "dst", "weight"))
     best = _cut(seeds.select("node").distinct().withColumn("effect", F.lit(1.0)))
-    frontier = best
+    return _relaxed(best, best, edges, max_depth)[0]
+
+
+def _relaxed(best: DataFrame, frontier: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(effects, frontiers met) once no edge out of the frontier improves a node any more."""
+    met = [frontier]
     for _ in _rounds(max_depth):
         moved = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("effect") * F.col("weight")).alias("effect"))
-        old = best.withColumnRenamed("effect", "was")
-        better = moved.join(old, "node", "left").where("was IS NULL OR effect > was").select("node", "effect")
-        frontier = _cut(better)
+        frontier = _cut(_better(moved, best))
         if frontier.isEmpty():
             break
+        met.append(frontier)
         best = _cut(best.unionByName(frontier).groupBy("node").agg(F.max("effect").alias("effect")))
-    return best
+    return best, met
+
+
+def _better(moved: DataFrame, best: DataFrame) -> DataFrame:
+    old = best.withColumnRenamed("effect", "was")
+    return moved.join(old, "node", "left").where("was IS NULL OR effect > was").select("node", "effect")
+
+
+def what_if(edges: DataFrame, seeds: DataFrame, effects: DataFrame, changes: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(node, before, after) of the nodes that changed edges may move; null: not reached. All others keep their ``effects`` (of ``impact``).
+
+    changes: src, dst, weight; a null weight removes the edges from src to dst, a pair that
+    has none gets one; one row for each pair. Nothing is computed anew from the seeds: nodes
+    whose strongest path may use a weakened edge are cleared (behind edges
+    that carry the whole effect, from node to node), get what unmoved neighbours give them, and
+    only what improves goes on from there, as over strengthened edges. Rounds are as long as
+    the paths that move; more than ``max_depth`` raise.
+    """
+    asked = changes.select("src", "dst", F.col("weight").alias("new"), F.lit(True).alias("asked"))
+    every = edges.select("src", "dst", F.col("weight").alias("was")).join(asked, ["src", "dst"], "full_outer")
+    every = _cut(every.select("src", "dst", "was", F.when(F.col("asked"), F.col("new")).otherwise(F.col("was")).alias("weight")))
+    effects, fixed = _cut(effects.select("node", "effect")), seeds.select("node").distinct()
+    sources, targets = effects.select(F.col("node").alias("src"), F.col("effect").alias("from")), effects.select(F.col("node").alias("dst"), F.col("effect").alias("have"))
+
+    def carried(candidates: DataFrame) -> DataFrame:
+        """Targets that owe their whole effect to one of the edges."""
+        tight = candidates.join(sources, "src").join(targets, "dst").where(F.col("from") * F.col("was") >= F.col("have"))
+        return tight.select(F.col("dst").alias("node")).distinct().join(fixed, "node", "left_anti")
+
+    frontier = cleared = _cut(carried(every.where("was IS NOT NULL AND (weight IS NULL OR weight < was)")))
+    for depth in _rounds(max_depth):
+        behind = every.where("was IS NOT NULL").join(frontier.withColumnRenamed("node", "src"), "src")
+        frontier = _cut(carried(behind).join(cleared, "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        cleared = _cut(cleared.unionByName(frontier)) if depth % 8 == 0 else cleared.unionByName(frontier)
+    cleared = _cut(cleared)
+    usable = every.where("weight IS NOT NULL")
+    entering = usable.join(cleared.withColumnRenamed("node", "dst"), "dst", "left_semi").unionByName(usable.where("was IS NULL OR weight > was"))
+    best = _cut(effects.join(cleared, "node", "left_anti"))
+    moved = best.join(entering, best["node"] == entering["src"]).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("effect") * F.col("weight")).alias("effect"))
+    start = _cut(_better(moved, best))
+    best = _cut(best.unionByName(start).groupBy("node").agg(F.max("effect").alias("effect")))
+    best, met = _relaxed(best, start, usable.select("src", "dst", "weight"), max_depth)
+    visited = reduce(DataFrame.unionByName, [m.select("node") for m in met], cleared).distinct()
+    return visited.join(effects.withColumnRenamed("effect", "before"), "node", "left").join(best.withColumnRenamed("effect", "after"), "node", "left")
 
 
 def root_failure(edges: DataFrame, status: DataFrame, max_depth: int | None = None) -> DataFrame:

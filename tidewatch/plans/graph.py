@@ -46,6 +46,25 @@ def g2(spark, folder):
     return graph.impact(edges, seeds(spark, "region:2")).select("node", F.round("effect", 6).alias("effect"))
 
 
+@query(
+    "g2_what_if",
+    f"""WITH RECURSIVE {EDGES_SQL}, w AS (SELECT src, dst, CASE WHEN dst LIKE '%7' THEN 0.5 ELSE 0.9 END AS was, CASE WHEN src LIKE 'nation:%' AND dst LIKE '%3' THEN 0.3 WHEN src LIKE 'customer:%' AND dst LIKE '%9' THEN NULL WHEN src LIKE 'customer:%' AND dst LIKE '%7' THEN 0.8 WHEN dst LIKE '%7' THEN 0.5 ELSE 0.9 END AS weight FROM edges),
+    a AS (SELECT 'region:2' AS node, CAST(1.0 AS DOUBLE) AS effect UNION SELECT w.dst, a.effect * w.was FROM a JOIN w ON a.node = w.src),
+    b AS (SELECT 'region:2' AS node, CAST(1.0 AS DOUBLE) AS effect UNION SELECT w.dst, b.effect * w.weight FROM b JOIN w ON b.node = w.src WHERE weight IS NOT NULL),
+    x AS (SELECT node, max(effect) AS before FROM a GROUP BY 1), y AS (SELECT node, max(effect) AS after FROM b GROUP BY 1)
+    SELECT node, round(before, 6) AS before, round(after, 6) AS after FROM x FULL JOIN y USING (node) WHERE before IS DISTINCT FROM after""",
+)
+def g2_what_if(spark, folder):
+    """Some customers of a region weaken, orders on 9 go, orders on 7 gain weight: who is hit, and how much."""
+    edges = entity_edges(spark, folder).withColumn("weight", F.when(F.col("dst").endswith("7"), 0.5).otherwise(0.9))
+    customer = F.col("src").startswith("customer:")
+    new = F.when(F.col("src").startswith("nation:") & F.col("dst").endswith("3"), 0.3).when(customer & F.col("dst").endswith("7"), 0.8)
+    changed = edges.where((F.col("src").startswith("nation:") & F.col("dst").endswith("3")) | (customer & (F.col("dst").endswith("9") | F.col("dst").endswith("7")))).withColumn("weight", new)
+    start = seeds(spark, "region:2")
+    moved = graph.what_if(edges, start, graph.impact(edges, start), changed)
+    return moved.where("NOT before <=> after").select("node", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
 STATUS_SQL = """status AS (SELECT 'customer:' || c_custkey AS node, c_acctbal < 0 AS failing FROM customer UNION ALL SELECT 'order:' || o_orderkey, o_orderstatus = 'F' FROM orders UNION ALL SELECT 'nation:' || n_nationkey, n_nationkey % 3 = 0 FROM nation)"""
 
 
