@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exact_sum
-from ..operators import graph, quality, text
+from ..operators import graph, quality, schemas, text
 from ..sources.tables import RUNS_SQL, load, runs
 from .registry import query
 from .scans import FRONT_SQL, JSON_SQL, field_sql, headed, json_findings
@@ -163,6 +163,25 @@ def q11(spark, folder):
     return quality.schema_diff(snapshot(0), snapshot(1))
 
 
+@query(
+    "q11_converge",
+    """WITH s AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'prod' ELSE 'qa' END AS env, p_brand AS table_name, string_split(p_name, ' ')[1] AS column_name, CASE min(p_size) % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'bigint' WHEN 2 THEN 'decimal(12,2)' ELSE 'double' END AS data_type, min(p_partkey) % 2 = 0 AS nullable FROM part WHERE p_size > 5 GROUP BY 1, 2, 3),
+    h AS (SELECT table_name, count(DISTINCT env) AS homes FROM s GROUP BY 1),
+    t AS (SELECT table_name, column_name, count(*) AS n, bool_or(nullable) AS lax, CASE WHEN count(DISTINCT data_type) = 1 THEN min(data_type) WHEN bool_or(data_type = 'double') THEN 'double' WHEN NOT bool_or(data_type LIKE 'dec%') THEN 'bigint' WHEN bool_or(data_type = 'bigint') THEN 'decimal(21,2)' ELSE 'decimal(12,2)' END AS data_type FROM s GROUP BY 1, 2),
+    e AS (SELECT unnest(['dev', 'prod', 'qa']) AS env, table_name, column_name, t.data_type, lax OR n < homes AS nullable FROM t JOIN h USING (table_name)),
+    c AS (SELECT e.env, e.table_name, e.column_name, e.data_type, e.nullable, CASE WHEN NOT EXISTS (SELECT 1 FROM s x WHERE x.env = e.env AND x.table_name = e.table_name) THEN 'create' WHEN s.env IS NULL THEN 'add' ELSE concat_ws(',', CASE WHEN s.data_type <> e.data_type THEN 'retype' END, CASE WHEN e.nullable AND NOT s.nullable THEN 'relax' END) END AS change
+        FROM e LEFT JOIN s ON s.env = e.env AND s.table_name = e.table_name AND s.column_name = e.column_name)
+    SELECT * FROM c WHERE change <> ''""",
+)
+def q11_converge(spark, folder):
+    """Three snapshots made of the parts, by the remainder of the key; types by size."""
+    size = F.min("p_size") % 4
+    kind = F.when(size == 0, "int").when(size == 1, "bigint").when(size == 2, "decimal(12,2)").otherwise("double")
+    env = F.when(F.col("p_partkey") % 3 == 0, "dev").when(F.col("p_partkey") % 3 == 1, "prod").otherwise("qa")
+    rows = load(spark, folder, "part").where("p_size > 5").groupBy(env.alias("env"), F.col("p_brand").alias("table_name"), F.split("p_name", " ")[0].alias("column_name"))
+    return schemas.changes(rows.agg(kind.alias("data_type"), (F.min("p_partkey") % 2 == 0).alias("nullable")), ["dev", "prod", "qa"])
+
+
 @query(
     "q12_drift",
     """WITH s AS (SELECT year(l_shipdate) AS y, CASE WHEN l_extendedprice < 0 THEN 0 WHEN l_extendedprice >= 100000 THEN 11 ELSE CAST(floor(l_extendedprice / 10000.0) AS INTEGER) + 1 END AS bin FROM lineitem),
