@@ -394,3 +394,11 @@ def test_running_sums_follow_ranges(spark):
     got = windows.running(spark.createDataFrame(rows, "k long, at long, n long"), ["k"], [F.asc("at")], F.col("n"), "sum").collect()
     for r in got:
         assert r.sum == sum(n for k, at, n in rows if k == r.k and at <= r.at)
+
+
+def test_invalid_messages(spark):
+    rows = [("r", i, m) for i, m in enumerate(["fix: x", "Fix: x", "feat(A b): x", None, "  ", "just words", "fix!(a): x", "fix: x\nAny: Thing", "two words: x", "feat(a)!: x"])]
+    df = spark.createDataFrame(rows, "release string, id long, message string")
+    got = {r.id: r.problem for r in aggregates.invalid_messages(df, "message", "release", "id").collect()}
+    assert got == {1: "capitals in the type", 2: "malformed scope", 3: "empty", 4: "empty", 5: "no type", 6: "malformed scope", 8: "malformed type"}
+    assert aggregates.invalid_messages(df.limit(0), "message", "release", "id").collect() == []

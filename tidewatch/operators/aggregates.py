@@ -162,6 +162,22 @@ def changelog(commits: DataFrame, message: str, release: str) -> DataFrame:
     return rows.groupBy(release, "type", "scope").agg(F.count("*").alias("n"), F.count_if("breaking").alias("breaking"))
 
 
+def invalid_messages(commits: DataFrame, message: str, release: str, commit: str) -> DataFrame:
+    """Messages that aren't conventional, one row each: release, commit, first line, what is wrong. A null message is empty; other lines of a message may say anything."""
+    line = F.split(F.coalesce(F.col(message), F.lit("")), "\n")[0]
+    first = F.col("line")
+    head = F.regexp_extract(first, r"^([^:]*): ", 1)
+    problem = (
+        F.when(F.trim(first) == "", "empty")
+        .when(~F.contains(first, F.lit(": ")), "no type")
+        .when(F.lower(first).rlike(CONVENTIONAL) & ~first.rlike(CONVENTIONAL), "capitals in the type")
+        .when(F.contains(head, F.lit("(")), "malformed scope")
+        .otherwise("malformed type")
+    )
+    rows = commits.select(release, commit, line.alias("line"))
+    return rows.withColumn("problem", problem).where(~F.col("line").rlike(CONVENTIONAL))
+
+
 def flow_anomalies(flows: DataFrame, source: str, peer: str, volume: str, fan_out: int, factor: float) -> DataFrame:
     """Sources whose daily number of peers or volume is unusual against their own mean.
 

@@ -43,8 +43,8 @@ def day_partials(rows: DataFrame, ts: str, keys: list[str], measures: list[str]
 
 
 def keep_days(partials: DataFrame, path: str) -> None:
-    """Writes partials below ``path`` by day. A day that is there already is replaced, other days stay: reruns and late rows need their days only."""
-    partials.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    """Writes partials below ``path`` by day. A day that is there already is replaced, other days stay: reruns and late rows need their days only. A day of very many keys is written by several tasks."""
+    partials.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def kept_days(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:

@@ -255,6 +255,20 @@ def a17(spark, folder):
     return agg.changelog(docs.select(F.col("lang").alias("release"), msg.alias("msg")), "msg", "release")
 
 
+@query(
+    "a17_invalid_messages",
+    r"""WITH m AS (SELECT lang AS release, doc_id, string_split(CASE doc_id % 5 WHEN 0 THEN 'Fix: ' || source WHEN 1 THEN 'feat(Core): ' || n_chars WHEN 2 THEN 'docs: x' WHEN 3 THEN 'feat(a b): ' || source ELSE coalesce(text, '') END, chr(10))[1] AS line FROM documents)
+    SELECT release, doc_id, md5(line) AS line, CASE WHEN trim(line, ' ') = '' THEN 'empty' WHEN NOT contains(line, ': ') THEN 'no type' WHEN regexp_matches(lower(line), '^([a-z]+)(?:\(([a-z0-9_-]+)\))?(!)?: (.+)$') THEN 'capitals in the type'
+        WHEN contains(regexp_extract(line, '^([^:]*): ', 1), '(') THEN 'malformed scope' ELSE 'malformed type' END AS problem FROM m WHERE NOT regexp_matches(line, '^([a-z]+)(?:\(([a-z0-9_-]+)\))?(!)?: (.+)$')""",
+)
+def a17_invalid(spark, folder):
+    """First lines of documents as messages, some of them made; each invalid one with its problem."""
+    docs, kind = load(spark, folder, "documents"), F.col("doc_id") % 5
+    msg = F.when(kind == 0, F.concat(F.lit("Fix: "), F.col("source"))).when(kind == 1, F.concat(F.lit("feat(Core): "), F.col("n_chars").cast("string"))).when(kind == 2, "docs: x").when(kind == 3, F.concat(F.lit("feat(a b): "), F.col("source"))).otherwise(F.col("text"))
+    out = agg.invalid_messages(docs.select(F.col("lang").alias("release"), "doc_id", msg.alias("msg")), "msg", "release", "doc_id")
+    return out.withColumn("line", F.md5("line"))
+
+
 @query(
     "a18_flow_anomalies",
     """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_type) AS peers, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS volume FROM events GROUP BY 1, 2),
