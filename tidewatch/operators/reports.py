@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import exact_sum
 from ..sources import findings
 from ..sources.scratch import written
 from . import aggregates, filters, graph, joins, quality, sets, text, windows
@@ -102,6 +103,29 @@ def quality_report(df: DataFrame, columns: list[str], keys: list[str], contract:
     return nulls.unionByName(surplus).unionByName(rules)
 
 
+def quality_report_over_time(df: DataFrame, columns: list[str], keys: list[str], contract: dict, ts: str, stale: str, series: str, value: str, now: datetime, max_hours: float, k: float = 3.0) -> DataFrame:
+    """R5 with time: check, entity, day, measure, passed.
+
+    The checks of ``quality_report``, then two more, ``freshness`` (Q4, by the column ``stale``) and
+    ``anomalies`` (Q5, daily totals of ``value`` by the column ``series``), each with a row without an entity that tells
+    whether it passed, and a failed row for each stale entity (measure: its age in hours) and each
+    unusual day (measure: its score). An empty table is neither stale nor unusual.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    checks = quality_report(df, columns, keys, contract).select("check", none("string").alias("entity"), none("date").alias("day"), none("double").alias("measure"), "passed")
+    old = quality.freshness(df, ts, [stale], now, max_hours).where("breach")
+    daily = df.groupBy(series, F.to_date(ts).alias("day")).agg(exact_sum(F.col(value)).alias("total"))
+    odd = quality.anomalies(daily, [series], "day", "total", k)
+    found = [
+        old.select(F.lit("freshness").alias("check"), F.col(stale).cast("string").alias("entity"), none("date").alias("day"), F.col("age_hours").alias("measure"), F.lit(False).alias("passed")),
+        odd.select(F.lit("anomalies").alias("check"), F.col(series).cast("string").alias("entity"), "day", F.round("score", 3).alias("measure"), F.lit(False).alias("passed")),
+    ]
+    for rows, check in zip(found, ("freshness", "anomalies"), strict=True):
+        verdict = rows.agg(F.count("*").alias("n")).select(F.lit(check).alias("check"), none("string").alias("entity"), none("date").alias("day"), none("double").alias("measure"), (F.col("n") == 0).alias("passed"))
+        checks = checks.unionByName(verdict).unionByName(rows)
+    return checks
+
+
 def sla_impact(edges: DataFrame, seeds: DataFrame, deliverables: DataFrame) -> DataFrame:
     """Deliverables downstream of a failure, ranked by due date. deliverables: node, kind, due."""
     hit = graph.reach(edges, seeds).where("depth > 0").select("node").distinct()

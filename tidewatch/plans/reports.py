@@ -136,6 +136,22 @@ def r5(spark, folder):
     return reports.quality_report(load(spark, folder, "lineitem"), ["l_tax", "l_shipdate"], ["l_orderkey", "l_linenumber"], {"required": ["l_partkey"], "ranges": {"l_quantity": (0, 49)}})
 
 
+@query(
+    "r5_quality_over_time",
+    """WITH q AS (SELECT unnest(['nulls:value', 'duplicates', 'allowed:event_type', 'range:value']) AS "check", unnest([count(*) = count(value), count(*) = count(DISTINCT event_id), count(*) FILTER (event_type NOT IN ('view', 'click', 'error')) = 0, count(*) FILTER (value NOT BETWEEN 0 AND 100000) = 0]) AS passed FROM events),
+    f AS (SELECT CAST(user_id AS VARCHAR) AS entity, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 3600000000.0 AS age FROM events GROUP BY 1),
+    d AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events GROUP BY ALL),
+    b AS (SELECT *, avg(total) OVER w AS base, stddev_samp(total) OVER w AS spread FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+    o AS (SELECT event_type, day, round((total - base) / nullif(spread, 0), 4) AS score FROM b WHERE abs(round((total - base) / nullif(spread, 0), 4)) > 2),
+    r AS (SELECT "check", CAST(NULL AS VARCHAR) AS entity, CAST(NULL AS DATE) AS day, CAST(NULL AS DOUBLE) AS measure, passed FROM q
+        UNION ALL SELECT 'freshness', entity, NULL, round(age, 4), false FROM f WHERE age > 12 UNION ALL SELECT 'anomalies', event_type, day, round(score, 3), false FROM o)
+    SELECT * FROM r UNION ALL SELECT 'freshness', NULL, NULL, NULL, (SELECT count(*) FROM f WHERE age > 12) = 0 UNION ALL SELECT 'anomalies', NULL, NULL, NULL, (SELECT count(*) FROM o) = 0""",
+)
+def r5_over_time(spark, folder):
+    contract = {"allowed": {"event_type": ("view", "click", "error")}, "ranges": {"value": (0, 100000)}}
+    return reports.quality_report_over_time(load(spark, folder, "events"), ["value"], ["event_id"], contract, "ts", "user_id", "event_type", "value", datetime(2024, 1, 31), 12, 2.0)
+
+
 @query(
     "r6_sla_impact",
     """WITH o AS (SELECT 'order:' || o_orderkey AS node, o_orderpriority AS kind, o_orderdate AS due FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 5)
