@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import columns
-from tidewatch.operators import aggregates, filters, forecast, graph, joins, quality, sets, text, windows
+from tidewatch.operators import aggregates, filters, forecast, graph, joins, quality, reports, sets, text, windows
 from tidewatch.sources import findings, synth
 from tidewatch.sources.text import explode_lines, extract_frontmatter
 
@@ -402,3 +402,14 @@ def test_invalid_messages(spark):
     got = {r.id: r.problem for r in aggregates.invalid_messages(df, "message", "release", "id").collect()}
     assert got == {1: "capitals in the type", 2: "malformed scope", 3: "empty", 4: "empty", 5: "no type", 6: "malformed scope", 8: "malformed type"}
     assert aggregates.invalid_messages(df.limit(0), "message", "release", "id").collect() == []
+
+
+def test_quality_over_time_of_nothing(spark):
+    """An empty table is neither stale nor unusual; a null series is one."""
+    args = (["v"], ["id"], {"required": ["id"]}, "ts", "who", "kind", "v", dt.datetime(2024, 2, 1), 12.0, 2.0)
+    schema = "id long, who string, kind string, ts timestamp_ntz, v double"
+    empty = {r.check: r.passed for r in reports.quality_report_over_time(spark.createDataFrame([], schema), *args).collect()}
+    assert empty["freshness"] and empty["anomalies"]
+    rows = [(i, None, None, dt.datetime(2024, 1, 1 + i), 500.0 if i == 9 else 10.0 + i % 2) for i in range(10)]
+    got = [(r.check, r.entity, r.day, r.passed) for r in reports.quality_report_over_time(spark.createDataFrame(rows, schema), *args).collect()]
+    assert ("anomalies", None, dt.date(2024, 1, 10), False) in got and ("freshness", None, None, False) in got
