@@ -152,6 +152,17 @@ def test_all_overlap_pairs(spark, least):
     assert {(r.a, r.b): r.shared for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("least,small", [(2, 32), (3, 32), (2, 3), (3, 3)])
+def test_overlap_pairs_meet_where_they_share(spark, least, small):
+    """An item in all groups makes no pairs by itself; groups of more than ``small`` items meet by single items. Sharing is counted whole."""
+    rng = random.Random(small)
+    groups = {g: {0} | {rng.randrange(1, 40) for _ in range(rng.randrange(6))} for g in range(80)}
+    df = spark.createDataFrame([(g, i) for g, of in groups.items() for i in of] * 2, "g long, i long")
+    got = joins._sharing(df, least, small)
+    want = {(a, b): n for a in groups for b in groups if a < b and (n := len(groups[a] & groups[b])) >= least}
+    assert {(r.a, r.b): r.shared for r in got.collect()} == want and want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_graphs_with_cycles(spark, seed):
     rng = random.Random(seed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import micros, version_key
+from ..sources.scratch import written
 from .windows import ranked, same, time_bucket
 
 
@@ -77,6 +78,10 @@ def pattern_join(lines: DataFrame, line: str, rules: list[tuple[str, str]]) -> D
     return lines.withColumn("rule_id", F.explode(hits))
 
 
+#: Items up to which a group is met by pairs of its items, which are at most half as many times the rows.
+SMALL_GROUP = 32
+
+
 def overlap_pairs(items: DataFrame, group: str, item: str, least: int, hot: int) -> DataFrame:
     """Pairs of groups that share ``least`` items or more.
 
@@ -84,30 +89,48 @@ def overlap_pairs(items: DataFrame, group: str, item: str, least: int, hot: int)
     the feature, like a stop word limit); such items are left out and are reported
     by ``hot_items``. ``all_overlap_pairs`` has no such limit.
     """
-    rows = items.select(group, item).distinct()
-    few = rows.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") <= hot).drop("n")
-    kept = rows.join(few, item)
-    a, b = kept.withColumnRenamed(group, "a"), kept.withColumnRenamed(group, "b")
-    return a.join(b, item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    rows = items.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    few = rows.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") <= hot).drop("n")
+    return _sharing(rows.join(few, "i"), least)
 
 
 def all_overlap_pairs(items: DataFrame, group: str, item: str, least: int) -> DataFrame:
-    """Pairs of groups that share ``least`` items or more, with no limit on the groups of an item.
+    """Pairs of groups that share ``least`` items or more, with no limit on the groups of an item."""
+    return _sharing(items.select(F.col(group).alias("g"), F.col(item).alias("i")), least)
+
+
+def _sharing(rows: DataFrame, least: int, small: int | None = None) -> DataFrame:
+    """(a, b, shared) over rows (g, i), repeats counted once.
 
-    With items ordered by their number of groups, a pair that shares ``least`` has
-    one of them outside the last ``least - 1`` of each group. So each group leaves its
-    most frequent items out of the candidates, and a hot item makes pairs only where
-    a group has hotter ones; all items count in ``shared``.
+    Groups that share s items, two or more, share the s (s - 1) / 2 pairs of them. So small groups meet by
+    pairs of items, and only those that share two meet at all, however many groups an item has; the
+    number of pairs tells that of items. Groups of more than ``small`` items, and all if one shared item is enough, meet by single items.
     """
-    rows = items.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g IS NOT NULL AND i IS NOT NULL").distinct()
-    often = rows.groupBy("i").agg(F.count("*").alias("n"))
-    ranked = rows.join(often.where("n > 1"), "i")
-    last = ranked.withColumn("back", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), F.desc("i")))).where(F.col("back") < least).select("g", "i")
-    heads = ranked.join(last, ["g", "i"], "left_anti").select("g", "i")
-    a, b = heads.withColumnRenamed("g", "a"), heads.withColumnRenamed("g", "b")
-    pairs = a.join(b, "i").where("a < b").select("a", "b").distinct()
-    both = pairs.join(rows.withColumnRenamed("g", "a"), "a").join(rows.withColumnRenamed("g", "b"), ["b", "i"])
-    return both.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    small = SMALL_GROUP if small is None else small
+    rows = written(rows.select("g", "i").where("g IS NOT NULL AND i IS NOT NULL").repartition("g").distinct(), "overlap-rows")
+    if least < 2:
+        return _by_item(rows, rows, F.col("x.g") < F.col("y.g"), least)
+    large = written(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > small).select("g"), "overlap-large")
+    if large.isEmpty():
+        return _by_item_pairs(rows, least)
+    few, many = rows.join(large, "g", "left_anti"), rows.join(large, "g")
+    found = _by_item_pairs(few, least).unionByName(_by_item(many, many, F.col("x.g") < F.col("y.g"), least))
+    return found.unionByName(_by_item(many, few, F.lit(True), least))
+
+
+def _by_item(x: DataFrame, y: DataFrame, met: Column, least: int) -> DataFrame:
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.i") == F.col("y.i")) & met)
+    return pairs.groupBy(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+
+
+def _by_item_pairs(rows: DataFrame, least: int) -> DataFrame:
+    each = rows.groupBy("g").agg(F.sort_array(F.collect_list("i")).alias("of")).where(F.size("of") > 1).select("g", "of", F.posexplode("of").alias("at", "i"))
+    twos = each.select("g", "i", F.explode(F.slice("of", F.col("at") + 2, F.size("of"))).alias("j"))
+    x, y = twos.alias("x"), twos.alias("y")
+    met = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.g") < F.col("y.g")))
+    counted = met.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count("*").alias("twos"))
+    shared = F.round((1 + F.sqrt(1 + 8 * F.col("twos"))) / 2).cast("long")
+    return counted.select("a", "b", shared.alias("shared")).where(F.col("shared") >= least)
 
 
 def hot_items(items: DataFrame, group: str, item: str, hot: int) -> DataFrame:
