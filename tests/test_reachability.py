@@ -72,6 +72,17 @@ def test_redundant_edges_of_random_graphs(spark):
     assert {tuple(r) for r in graph.redundant_edges(df).collect()} == want and want
 
 
+def test_what_one_edge_answers_needs_no_labels(spark, monkeypatch):
+    """Shortcuts over one node, and orders between unconnected leaves, are told by joins alone."""
+    monkeypatch.setattr(reachability, "labels", None)
+    edges = [("r", f"n{k}") for k in range(3)] + [(f"n{k % 3}", f"c{k}") for k in range(9)] + [(f"c{k % 9}", f"o{k}") for k in range(30)] + [(f"o{k}", f"p{k % 5}") for k in range(30)]
+    short = [(f"n{k % 9 % 3}", f"o{k}") for k in range(30)]
+    df = spark.createDataFrame(edges + short, "src string, dst string")
+    assert {tuple(r) for r in reachability.redundant_edges(df).collect()} == set(short)
+    waits = spark.createDataFrame([("c1", "o1"), ("c1", "o2")], "src string, dst string")
+    assert [tuple(r) for r in graph.needless_order(waits, df.where("src LIKE 'c%'")).collect()] == [("c1", "o2")]
+
+
 def test_empty_graph(spark):
     empty = spark.createDataFrame([], "src long, dst long")
     assert graph.redundant_edges(empty).count() == 0

@@ -121,14 +121,41 @@ def labels(dag: DataFrame, orders: int = ORDERS) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
+def _longer(edges: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (x, y) whose x lies two edges or more above some asked y, and the edges that may lead there. Only these need labels."""
+    if asked.isEmpty():
+        return asked, edges
+    ends = asked.select(F.col("y").alias("dst")).distinct()
+    near = written(edges.join(ends, "dst", "left_semi").select(F.col("src").alias("node")).distinct(), "above")
+    frontier, above = near, None
+    while True:
+        found = edges.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        frontier = written(found if above is None else found.join(above, "node", "left_anti"), "above")
+        if frontier.isEmpty():
+            break
+        above = frontier if above is None else written(above.unionByName(frontier), "above")
+    if above is None:
+        return asked.where("false"), edges
+    left = written(asked.join(above.withColumnRenamed("node", "x"), "x", "left_semi"), "pairs")
+    inner = above.unionByName(near).distinct()
+    heads = inner.select(F.col("node").alias("dst")).unionByName(left.select(F.col("y").alias("dst"))).distinct()
+    return left, written(edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(heads, "dst", "left_semi").select("src", "dst"), "edges")
+
+
 def reaches(edges: DataFrame, pairs: DataFrame, orders: int = ORDERS, rounds: int = 1000, visits: list[int] | None = None) -> DataFrame:
     """The rows of ``pairs`` (x, y) where a path of at least one edge leads from x to y; repeats count once, pairs with nulls are none.
 
     edges: src, dst, of one type; cycles are allowed. ``visits`` gets the number of (pair, node)
-    that each round of the search has looked at.
+    that each round of the search has looked at. Pairs that are edges, and those whose x has nothing
+    asked for two edges or more below it, are answered before anything is labelled.
     """
-    plain = written(edges.select("src", "dst").distinct(), "edges")
-    asked = pairs.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct()
+    every = written(edges.select("src", "dst").distinct(), "edges")
+    asked = written(pairs.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct(), "pairs")
+    steps = every.select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    direct = asked.join(steps, ["x", "y"], "left_semi")
+    asked, plain = _longer(every, written(asked.join(steps, ["x", "y"], "left_anti"), "pairs"))
+    if asked.isEmpty():
+        return direct
     inside = written(components(plain), "components")
     loops = plain.where("src = dst").select(F.col("src").alias("x"))
     top = lambda name: inside.select(F.col("node").alias(name), F.col("component").alias(f"{name}_top"))
@@ -169,7 +196,7 @@ def reaches(edges: DataFrame, pairs: DataFrame, orders: int = ORDERS, rounds: in
     else:
         raise RuntimeError(f"the search was not done after {rounds} rounds")
     found = named.where("NOT one").join(reduce(DataFrame.unionByName, hits).distinct(), ["u", "v"]).select("x", "y") if hits else named.where("false").select("x", "y")
-    return cyclic.unionByName(found)
+    return direct.unionByName(cyclic).unionByName(found)
 
 
 def redundant_edges(edges: DataFrame, visits: list[int] | None = None) -> DataFrame:
@@ -182,7 +209,9 @@ def redundant_edges(edges: DataFrame, visits: list[int] | None = None) -> DataFr
     e = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     outs, ins = e.groupBy("src").agg(F.count("*").alias("outs")), e.groupBy("dst").agg(F.count("*").alias("ins"))
     able = written(e.join(outs.where("outs > 1"), "src").join(ins.where("ins > 1"), "dst"), "able")
-    ahead = able.where("outs <= ins").select("src", "dst").join(e.select("src", F.col("dst").alias("x")), "src").where("x <> dst").select("src", "dst", "x", F.col("dst").alias("y"))
-    behind = able.where("outs > ins").select("src", "dst").join(e.select(F.col("src").alias("y"), "dst"), "dst").where("y <> src").select("src", "dst", F.col("src").alias("x"), "y")
+    # a successor without successors leads nowhere, a predecessor without predecessors isn't reached
+    onward, back = e.join(outs.select(F.col("src").alias("dst")), "dst", "left_semi"), e.join(ins.select(F.col("dst").alias("src")), "src", "left_semi")
+    ahead = able.where("outs <= ins").select("src", "dst").join(onward.select("src", F.col("dst").alias("x")), "src").where("x <> dst").select("src", "dst", "x", F.col("dst").alias("y"))
+    behind = able.where("outs > ins").select("src", "dst").join(back.select(F.col("src").alias("y"), "dst"), "dst").where("y <> src").select("src", "dst", F.col("src").alias("x"), "y")
     asked = written(ahead.unionByName(behind), "asked")
     return asked.join(reaches(e, asked.select("x", "y"), visits=visits), ["x", "y"]).select("src", "dst").distinct()
