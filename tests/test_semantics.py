@@ -163,6 +163,14 @@ def test_overlap_pairs_meet_where_they_share(spark, least, small):
     assert {(r.a, r.b): r.shared for r in got.collect()} == want and want
 
 
+def test_utilization_adds_exactly(spark):
+    """0.1 and 0.2 in any order, with 0.3, are 0.6; as doubles they are 0.6000000000000001, over the limit."""
+    for values in ((0.1, 0.2, 0.3), (0.3, 0.2, 0.1)):
+        df = spark.createDataFrame([("a", v) for v in values], "resource string, busy double").coalesce(1)
+        row = aggregates.utilization(df, "resource", "busy", 1.0, 0.1, 0.6).first()
+        assert (row.busy, row["class"]) == (0.6, "normal")
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_graphs_with_cycles(spark, seed):
     rng = random.Random(seed)

@@ -20,8 +20,8 @@ def cost_rollup(usage: DataFrame, dims: list[str], mode: str = "rollup") -> Data
 
 
 def utilization(usage: DataFrame, resource: str, busy: str, span: float, low: float, high: float) -> DataFrame:
-    """Busy share of each resource over ``span`` and its class; long-running by the median run."""
-    out = with_quantiles(usage.groupBy(resource).agg(F.sum(busy).alias("busy")), usage, [resource], busy, {"median_run": 0.5})
+    """Busy share of each resource over ``span`` and its class; long-running by the median run. Busy times are added exactly, so shares at a limit or a rounding tie don't depend on the order of the rows."""
+    out = with_quantiles(usage.groupBy(resource).agg(exact_sum(F.col(busy)).alias("busy")), usage, [resource], busy, {"median_run": 0.5})
     share = F.col("busy") / span
     kind = F.when(share < low, "idle").when(share > high, "hot").otherwise("normal")
     return out.withColumn("share", share).withColumn("class", kind)
