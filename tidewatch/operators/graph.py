@@ -1,4 +1,4 @@
-"""Graph and lineage (G1-G8): loops of joins over edge tables (src, dst), cut by checkpoints in the shared folder."""
+"""Graph and lineage (G1-G8): loops of joins over edge tables (src, dst), cut by tables in the shared folder, whose sizes the planner knows: a small frontier is broadcast and the edges stay where they are."""
 
 from __future__ import annotations
 
@@ -8,7 +8,11 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut as _cut
+from ..sources.scratch import release, written
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    return written(df, "graph")
 
 
 def _rounds(most: int | None):
@@ -27,7 +31,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", max_depth
     rounds is an error. ``together``: seeds count as one, with an empty name.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    steps = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
+    steps = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")))
     frontier = _cut(seeds.select((F.lit("") if together else F.col("node")).alias("seed"), "node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in _rounds(max_depth):
@@ -118,23 +122,25 @@ def levels(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
     Nodes leave in rounds once all their predecessors have left.
     """
-    left = _cut(edges.select("src", "dst").distinct())
-    nodes = _cut(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    left = _cut(edges.select("src", "dst"))
+    nodes = _cut(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
     out = None
     for level in _rounds(max_depth):
         ready = _cut(nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level - 1)))
         if ready.isEmpty():
             break
         out = ready if out is None else out.unionByName(ready)
+        old = (nodes, left)
         nodes = _cut(nodes.join(ready, "node", "left_anti"))
         left = _cut(left.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+        release(*old)
     stuck = nodes.withColumn("level", F.lit(None).cast("int"))
     return stuck if out is None else out.unionByName(stuck)
 
 
 def critical_path(edges: DataFrame, durations: DataFrame, max_depth: int = 1000) -> DataFrame:
     """(node, finish): the earliest finish of each node of a DAG: its duration after the latest predecessor. durations: node, duration. More than ``max_depth`` rounds, or a cycle, raise."""
-    edges = _cut(edges.select("src", "dst").distinct())
+    edges = _cut(edges.select("src", "dst"))
     best = _cut(durations.select("node", "duration", F.col("duration").alias("finish")))
     frontier = best.select("node", "finish")
     for _ in _rounds(max_depth):
@@ -142,7 +148,8 @@ def critical_path(edges: DataFrame, durations: DataFrame, max_depth: int = 1000)
         later = _cut(best.join(came, "node").where(F.col("before") + F.col("duration") > F.col("finish")).select("node", (F.col("before") + F.col("duration")).alias("finish")))
         if later.isEmpty():
             break
-        best = _cut(best.join(later.withColumnRenamed("finish", "new"), "node", "left").select("node", "duration", F.coalesce("new", "finish").alias("finish")))
+        old, best = best, _cut(best.join(later.withColumnRenamed("finish", "new"), "node", "left").select("node", "duration", F.coalesce("new", "finish").alias("finish")))
+        release(old, frontier)
         frontier = later
     return best
 
