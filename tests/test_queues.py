@@ -66,6 +66,25 @@ def test_one_resource_is_many_buckets(spark):
     assert {r.tie: r.begins - r.at for r in found.collect()} == {k: k * 120_000_000 for k in range(600)}
 
 
+def test_entries_are_beside_the_requests(spark, monkeypatch):
+    """Of 500 places one is taken at the end of a bucket: that is its list, and no request carries one."""
+    lists, plans = [], []
+    keep = queues.written
+
+    def written(df, kind):
+        out = keep(df, kind)
+        if kind == "queue-buckets":
+            plans.append(df._jdf.queryExecution().toString())
+            lists.extend(len(r.free) for r in out.where("free IS NOT NULL").collect())
+        return out
+
+    monkeypatch.setattr(queues, "written", written)
+    rows = [("a", "x", T0 + datetime.timedelta(minutes=k), T0 + datetime.timedelta(minutes=k + 2), k) for k in range(150)]
+    found = queues.waits(spark.createDataFrame(rows, SCHEMA), "r", "a", "b", "n", spark.createDataFrame([("a", 500)], "r string, capacity int"), bucket_hours=1)
+    assert found.count() == 150 and found.where("begins <> at").count() == 0
+    assert lists and max(lists) == 1 and any("CoGroup" in p for p in plans)
+
+
 def test_a_long_jam_raises(spark):
     rows = [("a", "x", T0 + datetime.timedelta(hours=k), T0 + datetime.timedelta(hours=k + 5), k) for k in range(12)]
     capacity = spark.createDataFrame([("a", 2)], "r string, capacity int")

@@ -57,10 +57,10 @@ def _one_place(rows: DataFrame) -> DataFrame:
     return met.select("l.resource", "l.bucket", "tie", "at", (until - F.col("service")).alias("begins"))
 
 
-def _serve(rows: pd.DataFrame) -> tuple[list[int], list[int]]:
-    """(begins of each, free times afterwards) of requests in order."""
-    places, entry = int(rows["places"].iloc[0]), rows["entry"].iloc[0]
-    free = [0] * places if entry is None else [int(x) for x in entry]
+def _serve(rows: pd.DataFrame, entry: list[int] | None) -> tuple[list[int], list[int]]:
+    """(begins of each, free times afterwards) of requests in order; ``entry`` holds the free times of the places that are taken at first."""
+    taken = [] if entry is None else [int(x) for x in entry]
+    free = [0] * (int(rows["places"].iloc[0]) - len(taken)) + taken
     heapq.heapify(free)
     begins = []
     for at, service in zip(rows["at"].tolist(), rows["service"].tolist(), strict=True):
@@ -76,19 +76,21 @@ def _many_places(rows: DataFrame, width: int, rounds: int) -> DataFrame:
     def ordered(group: pd.DataFrame) -> pd.DataFrame:
         return group.sort_values(["at", "tie"], kind="stable", na_position="first")
 
-    def exits(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def exits(key: tuple, group: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
         # what is free before the next bucket begins is free: entries that make no difference are the same
         begin = (int(key[1]) + 1) * width
-        free = [max(x, begin) for x in _serve(ordered(group))[1]]
-        return pd.DataFrame({"resource": [key[0]], "bucket": [key[1]], "free": [free if free[-1] > begin else None]})
+        free = [x for x in _serve(ordered(group), entered["entry"].iloc[0])[1] if x > begin]
+        return pd.DataFrame({"resource": [key[0]], "bucket": [key[1]], "free": [free or None]})
 
-    def served(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def served(key: tuple, group: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
         group = ordered(group)
-        return group.assign(begins=_serve(group)[0])[["resource", "bucket", "tie", "at", "begins"]]
+        return group.assign(begins=_serve(group, entered["entry"].iloc[0])[0])[["resource", "bucket", "tie", "at", "begins"]]
 
-    def of(buckets: DataFrame) -> DataFrame:
-        entered = buckets.select(*keys, "entry").alias("r")
-        return rows.alias("l").join(entered, same("l", "r", keys)).select("l.*", "r.entry").groupBy(*keys)
+    def of(buckets: DataFrame):
+        """Requests of these buckets beside their entry: a list of places is there once for a bucket, not for each request."""
+        entered = buckets.select(*keys, "entry")
+        own = rows.alias("l").join(buckets.select(*keys).alias("r"), same("l", "r", keys), "left_semi")
+        return own.groupBy(*keys).cogroup(entered.groupBy(*keys))
 
     order = Window.partitionBy("resource").orderBy("bucket")
     known = written(rows.groupBy(*keys).agg(F.lit(None).cast("array<long>").alias("entry"), F.lit(True).alias("open"), F.lit(None).cast("array<long>").alias("free")), "queue-buckets")
@@ -112,7 +114,7 @@ def queueing(requests: DataFrame, resource: str, start: str, end: str, tie: str,
     As ``waits``; places are given in order, so the times with a queue are those from the
     coming of a request to its begin, without what the request before has already covered.
     """
-    rows = waits(requests, resource, start, end, tie, capacity, bucket_hours)
+    rows = written(waits(requests, resource, start, end, tie, capacity, bucket_hours), "waits")
     inner = Window.partitionBy("resource", "bucket").orderBy("at", "tie")
     before = F.lag("begins").over(inner)
     ends = rows.groupBy("resource", "bucket").agg(F.max("begins").alias("last"))
