@@ -703,3 +703,27 @@ def test_urls_odd_rows(spark, most):
         (9, "b:", "//c.com/fr/"): (None, "allow"),
     }
     assert urls.judge(pages.limit(0)).collect() == []
+
+
+def test_crowds_lose_no_link(spark, monkeypatch):
+    """Eight groups of three texts around one template: a walk that meets every text by the first one only leaves seven groups to the search by shingles."""
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = [(3 * g + k, " ".join(words("base", 60) + words(f"own{g}x", 40) + [f"last{k}"])) for g in range(8) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def walked(nodes, like):
+        first = nodes.selectExpr("min(node) AS a")
+        return first.crossJoin(nodes.selectExpr("node AS b")).where("a <> b").unionByName(nodes.selectExpr("node AS a", "node AS b"))
+
+    monkeypatch.setattr(simhash, "links", walked)
+    root = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.SIMILAR).collect()}
+    assert root == {i: i // 3 * 3 for i, _ in rows}
+
+
+def test_crowds_are_told(monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    monkeypatch.setattr(simhash, "LARGE", 0)
+    one = np.zeros(5, np.int64)
+    cells = {"key": np.array([1, 1, 1, 1, 2]), "fp": one, "w0": one, "w1": one, "node": np.arange(5)}
+    a, b = simhash._compare_cells(cells, simhash.SIMILAR)
+    assert {int(x) for x, y in zip(a, b, strict=True) if x == y} == {0, 1, 2, 3}

@@ -238,7 +238,7 @@ def _crowd(fp: np.ndarray, u: np.ndarray, wide: np.ndarray, like: Likeness) -> t
 
 
 def _compare_cells(rows: dict[str, np.ndarray], like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs to link, of whole cells in order of their key."""
+    """Places of the pairs to link, of whole cells in order of their key; with sets, members of a crowd are also told, as pairs with themselves."""
     key, fp = rows["key"], rows["fp"].view(np.uint64)
     u, wide = _unary(fp), np.array([rows[w].view(np.uint64) for w in like.wide], np.uint64).reshape(len(like.wide), len(key))
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -258,13 +258,15 @@ def _compare_cells(rows: dict[str, np.ndarray], like: Likeness) -> tuple[np.ndar
         pairs = _near_pairs(fp[part], u[part], like.distance, CROWDED * n) if n <= LARGE else None
         a, b = pairs if pairs is not None else _crowd(fp[part], u[part], wide[:, part], like)
         found.append((a + first, b + first))
+        if pairs is None and like.set_words:
+            found.append((np.arange(first, first + n), np.arange(first, first + n)))
     a, b = (np.concatenate([pair[i] for pair in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
     good = _wide_apart(wide, a, b) <= like.wide_distance
     return a[good], b[good]
 
 
 def links(nodes: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """(a, b) edges of ``nodes`` (node and prints), whose components are those of all pairs that are near; with sets, the pairs to verify.
+    """(a, b) edges of ``nodes`` (node and prints), whose components are those of all pairs that are near; with sets, the pairs to verify, and (a, a) for members of crowds.
 
     Every node is placed once in each grid and compared in its cells, which are dealt to
     tasks by a hash. Cells of ``HOT_MEMBERS`` or more are split by further segments: two members within
@@ -309,7 +311,7 @@ def links(nodes: DataFrame, like: Likeness = Likeness()) -> DataFrame:
             yield compared(pa.Table.from_batches(held))
 
     met = placed.select("key", *columns).repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long")
-    found = materialise(met.where("a <> b").distinct(), "simhash-links")
+    found = materialise((met if like.set_words else met.where("a <> b")).distinct(), "simhash-links")
     release(hot)
     return found
 
@@ -321,8 +323,21 @@ def _chosen(rows: DataFrame, marks: DataFrame, key: str, how: str) -> DataFrame:
 
 
 def verified(edges: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
-    """The edges whose sets of shingles have a similarity of ``like.similarity`` or more, counted on one text of each node."""
-    met = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """The edges whose sets of shingles have a similarity of ``like.similarity`` or more, counted on one text of each node, and those that connect what is similar in crowds."""
+    sets = _sets_of(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows, key, text, like)
+    pairs, crowd = edges.where("a <> b"), edges.where("a = b").select(F.col("a").alias("node"))
+    good = materialise(_similar(pairs, sets, like), "simhash-verified")
+    if not crowd.isEmpty():  # a crowd's own walk links each member once; what that left apart meets by shingles
+        root = components(good)
+        members = materialise(sets.join(crowd, "node").join(root, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("root")), "simhash-crowd")
+        good = good.unionByName(materialise(_similar(_apart_in_crowds(members, like.similarity), sets, like), "simhash-crowd-links"))
+        release(members)
+    release(sets)
+    return good
+
+
+def _sets_of(met: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
+    """node, shingles of the nodes ``met``, from one text of each."""
     marks = materialise(nodes.join(met, "node").select("node", F.col("first.id").alias("of_id"), F.col("first.h").alias("of_h")), "simhash-texts")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,12 +348,29 @@ def verified(edges: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text
 
     sets = _chosen(rows, marks, key, "inner").select("node", F.col(text).alias("text")).mapInArrow(scan, "node long, shingles array<long>")
     sets = materialise(sets.dropDuplicates(["node"]), "simhash-sets")
+    release(marks)
+    return sets
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     a, b = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")) for side in ("a", "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     similarity = F.try_divide(common.cast("double"), (F.size("sa") + F.size("sb") - common).cast("double"))
-    good = materialise(edges.join(a, "a").join(b, "b").where(similarity >= like.similarity).select("a", "b"), "simhash-verified")
-    release(marks, sets)
-    return good
+    return pairs.join(a, "a").join(b, "b").where(similarity >= like.similarity).select("a", "b")
+
+
+def _apart_in_crowds(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all members (node, shingles, root) of different roots that can have the similarity: with shingles ordered by their
+    number of members, rare first, such a pair shares one among the first of each, and their sizes are near."""
+    each = members.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("x"))
+    often = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = each.join(often, "x", "left").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "x"))).alias("o"))
+    t = F.lit(similarity - 1e-9)
+    first = F.slice("o", F.lit(1), F.col("size") - F.ceil(t * F.col("size")).cast("int") + 1)
+    heads = ordered.select("node", "root", "size", F.explode(first).alias("e")).where("e.n > 1").select("node", "root", "size", "e.x")
+    a, b = heads.alias("a"), heads.alias("b")
+    able = (F.col("a.root") != F.col("b.root")) & (F.least("a.size", "b.size") >= t * F.greatest("a.size", "b.size"))
+    return a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.node") < F.col("b.node")) & able).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def _components_of(prints: DataFrame, rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
