@@ -7,12 +7,14 @@ import random
 import zipfile
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import cases
 import compare
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import components, decontam, licenses, media, mixing, registry, sharding, simhash, tokens, urls
 
@@ -727,3 +729,47 @@ def test_crowds_are_told(monkeypatch):
     cells = {"key": np.array([1, 1, 1, 1, 2]), "fp": one, "w0": one, "w1": one, "node": np.arange(5)}
     a, b = simhash._compare_cells(cells, simhash.SIMILAR)
     assert {int(x) for x, y in zip(a, b, strict=True) if x == y} == {0, 1, 2, 3}
+
+
+def test_heads_of_crowds(spark, monkeypatch):
+    """Crowds meet by a fifth of their shingles: those in many heads come last, and all similar pairs of different roots are still told."""
+    monkeypatch.setattr(simhash, "LATE_MEMBERS", 3)
+    rng = random.Random(8)
+    often = [f"o{i}" for i in range(40)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{i}" for i in range(rng.randrange(60, 200))]
+        for k in range(4):
+            copy = list(own)
+            copy[rng.randrange(len(copy))] = f"c{g}x{k}"
+            rows.append((len(rows), " ".join(copy[:30] + often + copy[30:])))
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    plain, key, prints, _ = simhash._scanned(docs, simhash.SIMILAR, "doc_id", "text")
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("first")
+    nodes = prints.groupBy("node").agg(first, F.count("*").alias("copies")).localCheckpoint()
+    name = {r.node: r.first.id for r in nodes.collect()}
+    read = lambda met, columns, of: simhash._scanned_nodes(met, nodes, plain, key, "c1", columns, of)
+    heads = simhash._heads(nodes.select("node"), read, simhash.SIMILAR)
+    assert len(heads) == 4
+    sets = dict(enumerate(shingle_sets(t for _, t in rows)))
+    told = [r for t in heads[:2] for r in t.collect()]
+    assert sorted(name[r.node] for r in told) == list(range(len(rows)))
+    assert all(r.size == len(sets[name[r.node]]) and len(r.head) <= 0.2 * r.size + 1 for r in told)
+    root = spark.createDataFrame([(n, n) for n in name], "node long, root long")
+    got = {frozenset((name[r.a], name[r.b])) for r in simhash._apart_in_crowds(heads, root, 0.8).collect()}
+    assert got >= {frozenset((a, b)) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+    one = root.withColumn("root", F.lit(7))
+    assert simhash._apart_in_crowds(heads, one, 0.8).collect() == []
+
+
+def test_only_dense_members_are_a_crowd():
+    """A cell of one dense group, one near pair and others that only share their words: the group and the pair are told, the others aren't."""
+    wide = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, (2, 300))
+    wide[:, :60] = wide[:, :1]
+    wide[:, 299] = wide[:, 298]
+    cells = {"key": np.ones(300, np.int64), "fp": np.full(300, 5), "w0": wide[0], "w1": wide[1], "node": np.arange(300)}
+    a, b = simhash._compare_cells(cells, replace(simhash.SIMILAR, roomy=34))
+    pairs = {(int(x), int(y)) for x, y in zip(a, b, strict=True)}
+    dense = {*range(60), 298, 299}
+    assert {x for x, y in pairs if x == y} == dense == {i for p in pairs if p[0] != p[1] for i in p}
+    assert len(simhash._compare_cells({k: cells[k] for k in ("key", "fp", "node")}, simhash.Likeness(distance=6))[0]) == 299

@@ -19,8 +19,10 @@ and counted, and pairs below the similarity are no links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -39,11 +41,13 @@ SEGMENTS, WORDS, SEED, DISTANCE = 32, 4, 42, 4
 #: Up to so many nodes, this many blocks beyond ``distance``: more blocks, smaller cells, more grids.
 BLOCKS = ((1 << 19, 1), (1 << 24, 2), (1 << 28, 3), (1 << 62, 4))
 #: Members from which a cell is split by further segments; up to which it is compared without a loop over cells; with all pairs at once.
-HOT_MEMBERS, SMALL, LARGE = 1 << 14, 32, 1 << 13
+HOT_MEMBERS, SMALL, LARGE = 1 << 14, 32, 1 << 14
 #: Near pairs a member from which a cell is a crowd, in which each member is linked once. Rows that are compared at a time.
 CROWDED, CHUNK_ROWS = 4, 1 << 17
 #: Tasks that the nodes of one component are dealt to, and rows of a node from which they look it up where they are.
 SALTS, HOT_ROWS = 16, 1 << 14
+#: Heads from which a shingle that so many hold comes behind the others, and the most such shingles (the order decides what is compared, never what is found).
+LATE_MEMBERS, MOST_LATE = 64, 1 << 16
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
@@ -52,8 +56,8 @@ class Likeness:
     """When two texts link: a fingerprint over ``words``-word shingles (``distinct``: repeats count once) within ``distance``.
 
     With ``set_words``, the Jaccard similarity of the sets of shingles of so many words decides: it must be ``similarity`` or
-    more. Of ``prints`` fingerprints one must be near then, and the wide print of the sets within ``wide_distance`` of 128 bits;
-    in a crowd, a pair within ``tight`` is taken to be a link that others needn't repeat.
+    more. Of ``prints`` fingerprints one must be near then, and the wide print of the sets within ``wide_distance`` of 128 bits
+    (``roomy`` in cells of more than ``SMALL``); in a crowd, a pair within ``tight`` is taken to be a link that others needn't repeat.
     """
 
     words: int = WORDS
@@ -65,6 +69,7 @@ class Likeness:
     similarity: float = 0.0
     wide_distance: int = 128
     tight: int = 128
+    roomy: int = 128
 
     @property
     def fps(self) -> list[str]:
@@ -77,7 +82,7 @@ class Likeness:
 
 #: Shingles of five words and a similarity of 0.8. Fingerprints of the set of words change least from one copy to the next: of
 #: two, one is within 6 bits for 96 to 99 % of such pairs. Their wide prints differ in 19 bits on average.
-SIMILAR = Likeness(words=1, distance=6, distinct=True, prints=2, set_words=5, similarity=0.8, wide_distance=34, tight=16)
+SIMILAR = Likeness(words=1, distance=6, distinct=True, prints=2, set_words=5, similarity=0.8, wide_distance=34, tight=16, roomy=42)
 
 
 def _hashes(text: bytes, words: int, seed: int, distinct: bool) -> Iterator[np.ndarray]:
@@ -194,19 +199,31 @@ def _wide_apart(wide: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(wide[:, a] ^ wide[:, b]).sum(axis=0, dtype=np.int64) if len(wide) else np.zeros(np.broadcast(a, b).shape, np.int64)
 
 
-def _near_pairs(fp: np.ndarray, u: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """All near pairs of a cell, or nothing if there are more than ``most``."""
-    found, n = [], 0
+def _near_pairs(fp: np.ndarray, u: np.ndarray, wide: np.ndarray, like: Likeness, most: int) -> tuple[tuple[np.ndarray, np.ndarray] | None, np.ndarray]:
+    """All near pairs of a cell whose wide prints are within ``roomy``, or none if there are more than ``most``; and the members that have such a pair."""
+    n, found, met = 0, [], np.zeros(len(fp), bool)
+
+    def close(rows: np.ndarray, after: int) -> tuple[np.ndarray, np.ndarray]:
+        at, b = np.nonzero(np.bitwise_count(u[rows, None] ^ u[None, after:]) <= like.distance)
+        a, b = rows[at], b + after
+        exact = (np.bitwise_count(fp[a] ^ fp[b]) <= like.distance) & (a != b)
+        a, b = a[exact], b[exact]
+        good = _wide_apart(wide, a, b) <= like.roomy
+        return a[good], b[good]
+
     for at in range(0, len(fp), 128):
-        rows, columns = np.nonzero(np.bitwise_count(u[at : at + 128, None] ^ u[None, at:]) <= distance)
-        ahead = columns > rows
-        a, b = rows[ahead] + at, columns[ahead] + at
-        exact = np.bitwise_count(fp[a] ^ fp[b]) <= distance
-        found.append((a[exact], b[exact]))
+        a, b = close(np.arange(at, min(at + 128, len(fp))), at)
+        met[a] = met[b] = True
+        ahead = b > a
+        found.append((a[ahead], b[ahead]))
         n += len(found[-1][0])
-        if n > most:
-            return None
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        if n > most:  # others need only be asked whether they have a pair
+            rest = np.flatnonzero(~met)
+            for k in range(0, len(rest), 128):
+                a, b = close(rest[k : k + 128], 0)
+                met[a] = met[b] = True
+            return None, np.flatnonzero(met)
+    return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])), np.flatnonzero(met)
 
 
 def _crowd(fp: np.ndarray, u: np.ndarray, wide: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +261,8 @@ def _compare_cells(rows: dict[str, np.ndarray], like: Likeness) -> tuple[np.ndar
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(begin, len(key)))
     found = []
-    small = np.repeat(size, size) <= SMALL
+    size_of = np.repeat(size, size)
+    small = size_of <= SMALL
     after = np.repeat(begin + size, size) - np.arange(len(key)) - 1  # members of the cell behind each
     at = np.flatnonzero(small & (after > 0))
     step = 1
@@ -255,18 +273,22 @@ def _compare_cells(rows: dict[str, np.ndarray], like: Likeness) -> tuple[np.ndar
         at = at[after[at] >= step]
     for first, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         part = slice(first, first + n)
-        pairs = _near_pairs(fp[part], u[part], like.distance, CROWDED * n) if n <= LARGE else None
-        a, b = pairs if pairs is not None else _crowd(fp[part], u[part], wide[:, part], like)
-        found.append((a + first, b + first))
-        if pairs is None and like.set_words:
-            found.append((np.arange(first, first + n), np.arange(first, first + n)))
+        pairs, met = _near_pairs(fp[part], u[part], wide[:, part], like, CROWDED * n) if n <= LARGE else (None, np.arange(n))
+        if pairs is not None:
+            found.append((pairs[0] + first, pairs[1] + first))
+            continue
+        met += first
+        a, b = _crowd(fp[met], u[met], wide[:, met], like)
+        found.append((met[a], met[b]))
+        if like.set_words:
+            found.append((met, met))
     a, b = (np.concatenate([pair[i] for pair in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-    good = _wide_apart(wide, a, b) <= like.wide_distance
+    good = _wide_apart(wide, a, b) <= np.where(size_of[a] > SMALL, like.roomy, like.wide_distance)
     return a[good], b[good]
 
 
 def links(nodes: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """(a, b) edges of ``nodes`` (node and prints), whose components are those of all pairs that are near; with sets, the pairs to verify, and (a, a) for members of crowds.
+    """(a, b) edges of ``nodes`` (node and prints), whose components are those of all pairs that are near; with sets, the pairs to verify, and (a, a) for members of crowds that have a near one.
 
     Every node is placed once in each grid and compared in its cells, which are dealt to
     tasks by a hash. Cells of ``HOT_MEMBERS`` or more are split by further segments: two members within
@@ -324,52 +346,108 @@ def _chosen(rows: DataFrame, marks: DataFrame, key: str, how: str) -> DataFrame:
 
 def verified(edges: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     """The edges whose sets of shingles have a similarity of ``like.similarity`` or more, counted on one text of each node, and those that connect what is similar in crowds."""
-    sets = _sets_of(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows, key, text, like)
+    read = lambda met, columns, of: _scanned_nodes(met, nodes, rows, key, text, columns, of)
     pairs, crowd = edges.where("a <> b"), edges.where("a = b").select(F.col("a").alias("node"))
-    good = materialise(_similar(pairs, sets, like), "simhash-verified")
+    good = _similar(pairs, read, like)
     if not crowd.isEmpty():  # a crowd's own walk links each member once; what that left apart meets by shingles
-        root = components(good)
-        members = materialise(sets.join(crowd, "node").join(root, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("root")), "simhash-crowd")
-        good = good.unionByName(materialise(_similar(_apart_in_crowds(members, like.similarity), sets, like), "simhash-crowd-links"))
-        release(members)
-    release(sets)
+        heads = _heads(crowd, read, like)
+        apart = materialise(_apart_in_crowds(heads, components(good), like.similarity), "simhash-crowd-pairs")
+        release(*heads)
+        good = good.unionByName(_similar(apart, read, like))
+        release(apart)
     return good
 
 
-def _sets_of(met: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
-    """node, shingles of the nodes ``met``, from one text of each."""
-    marks = materialise(nodes.join(met, "node").select("node", F.col("first.id").alias("of_id"), F.col("first.h").alias("of_h")), "simhash-texts")
+def _scanned_nodes(met: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text: str, columns: dict[str, pa.DataType], of: Callable[[bytes], tuple]) -> DataFrame:
+    """node and ``columns`` made by ``of`` from one text of each node ``met``."""
+    marked = nodes.join(met, "node").select("node", F.col("first.id").alias("of_id"), F.col("first.h").alias("of_h"), (F.col("copies") > 1).alias("again"))
+    marks = materialise(marked, "simhash-texts")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                sets = [shingle_set(t, like.set_words, like.seed).view(np.int64) for t in texts(part)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                found = list(zip(*map(of, texts(part)), strict=True))
+                made = [pa.array(values, kind) for values, kind in zip(found, columns.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("again"), *made], ["node", "again", *columns])
 
-    sets = _chosen(rows, marks, key, "inner").select("node", F.col(text).alias("text")).mapInArrow(scan, "node long, shingles array<long>")
-    sets = materialise(sets.dropDuplicates(["node"]), "simhash-sets")
+    kinds = ", ".join(f"{c} {'array<long>' if pa.types.is_list(kind) else 'long'}" for c, kind in columns.items())
+    chosen = _chosen(rows, marks, key, "inner").select("node", "again", F.col(text).alias("text"))
+    told = materialise(chosen.mapInArrow(scan, f"node long, again boolean, {kinds}"), "simhash-sets")
     release(marks)
-    return sets
+    # only rows of which there are several can give a node twice
+    out = told.where("NOT again").unionByName(told.where("again").dropDuplicates(["node"])).drop("again")
+    out.written_to = told.written_to
+    return out
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+def _similar(pairs: DataFrame, read: Callable[..., DataFrame], like: Likeness) -> DataFrame:
+    """The pairs that have the similarity."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = read(met, {"shingles": pa.list_(pa.int64())}, lambda t: (shingle_set(t, like.set_words, like.seed).view(np.int64),))
     a, b = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")) for side in ("a", "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     similarity = F.try_divide(common.cast("double"), (F.size("sa") + F.size("sb") - common).cast("double"))
-    return pairs.join(a, "a").join(b, "b").where(similarity >= like.similarity).select("a", "b")
+    good = materialise(pairs.join(a, "a").join(b, "b").where(similarity >= like.similarity).select("a", "b"), "simhash-verified")
+    release(sets)
+    return good
 
 
-def _apart_in_crowds(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all members (node, shingles, root) of different roots that can have the similarity: with shingles ordered by their
-    number of members, rare first, such a pair shares one among the first of each, and their sizes are near."""
-    each = members.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("x"))
-    often = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = each.join(often, "x", "left").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "x"))).alias("o"))
+def head_of(shingles: np.ndarray, late: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of their hash, those of ``late`` (sorted) behind all others by their rank: sets of the similarity have one of them in common."""
+    if len(late):
+        at = np.minimum(np.searchsorted(late, shingles), len(late) - 1)
+        known = late[at] == shingles
+        shingles = np.concatenate((shingles[~known], shingles[known][np.argsort(rank[at[known]])]))
+    n = len(shingles)
+    return shingles[: n - math.ceil((similarity - 1e-9) * n) + 1]
+
+
+def _heads(met: DataFrame, read: Callable[..., DataFrame], like: Likeness) -> tuple[DataFrame, ...]:
+    """Tables (node, size, head) of the nodes ``met``: only the first fifth of the shingles, by one order for all.
+
+    The order is that of the hashes; shingles that many of these heads hold come behind the
+    others, rare first, and only texts whose heads hold them are read again.
+    """
+    columns = {"size": pa.int64(), "head": pa.list_(pa.int64())}
+
+    def of(late: np.ndarray, rank: np.ndarray) -> Callable[[bytes], tuple]:
+        def head(text: bytes) -> tuple:
+            shingles = shingle_set(text, like.set_words, like.seed)
+            return len(shingles), head_of(shingles, late, rank, like.similarity).view(np.int64)
+
+        return head
+
+    none = np.zeros(0, np.uint64)
+    first = read(met, columns, of(none, none))
+    each = first.select("node", F.explode("head").alias("x"))
+    often = materialise(each.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") > LATE_MEMBERS).orderBy(F.desc("n"), "x").limit(MOST_LATE), "simhash-late")
+    behind = sorted((r.n, r.x) for r in often.collect())
+    if not behind:
+        release(often)
+        return (first,)
+    late = np.array([x for _, x in behind], np.int64).view(np.uint64)
+    rank = np.argsort(late)
+    again = materialise(each.join(F.broadcast(often.select("x")), "x").select("node").distinct(), "simhash-again")
+    second = read(again, columns, of(late[rank], rank))
+    rest = first.join(again, "node", "left_anti")
+    rest.written_to = first.written_to
+    return rest, second, often, again
+
+
+def _apart_in_crowds(heads: tuple[DataFrame, ...], root: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all nodes of different roots that can have the similarity: such a pair shares a shingle of its heads,
+    their sizes are near, and enough of them lies behind that shingle."""
+    whole = reduce(DataFrame.unionByName, heads[:2]).select("node", "size", F.posexplode("head").alias("at", "x"))
+    often = materialise(whole.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "simhash-shared")
+    met = whole.join(often, "x").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = materialise(met, "simhash-heads")
+    release(often)
+    met = met.join(met.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x"), "x", "left_semi")
     t = F.lit(similarity - 1e-9)
-    first = F.slice("o", F.lit(1), F.col("size") - F.ceil(t * F.col("size")).cast("int") + 1)
-    heads = ordered.select("node", "root", "size", F.explode(first).alias("e")).where("e.n > 1").select("node", "root", "size", "e.x")
-    a, b = heads.alias("a"), heads.alias("b")
-    able = (F.col("a.root") != F.col("b.root")) & (F.least("a.size", "b.size") >= t * F.greatest("a.size", "b.size"))
+    a, b = met.alias("a"), met.alias("b")
+    behind = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    near = (F.least("a.size", "b.size") >= t * F.greatest("a.size", "b.size")) & (behind >= t / (1 + t) * (F.col("a.size") + F.col("b.size")))
+    able = (F.col("a.root") != F.col("b.root")) & near
     return a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.node") < F.col("b.node")) & able).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
