@@ -432,3 +432,16 @@ def test_quality_over_time_of_nothing(spark):
     rows = [(i, None, None, dt.datetime(2024, 1, 1 + i), 500.0 if i == 9 else 10.0 + i % 2) for i in range(10)]
     got = [(r.check, r.entity, r.day, r.passed) for r in reports.quality_report_over_time(spark.createDataFrame(rows, schema), *args).collect()]
     assert ("anomalies", None, dt.date(2024, 1, 10), False) in got and ("freshness", None, None, False) in got
+
+
+def test_near_duplicates_with_frequent_shingles(spark, monkeypatch):
+    """Shingles in many heads come last and lose no pair; a text whose set isn't told apart stands for its copies."""
+    monkeypatch.setattr(text, "LATE_TEXTS", 2)
+    common = " ".join(f"o{i}" for i in range(40))
+    texts = [f"{common} " + " ".join(f"g{g}w{i}" for i in range(60 + g)) + f" last{k}" for g in range(6) for k in range(3)]
+    rows = docs(spark, *texts, texts[0])
+    got = {(r.a, r.b) for r in text.near_duplicates(rows, "doc_id", "text").collect()}
+    keys = [r.doc_id for r in rows.orderBy("doc_id").collect()]
+    assert got == {(keys[3 * g + i], keys[3 * g + j]) for g in range(6) for i in range(3) for j in range(i + 1, 3)}
+    firsts = text._shingled(rows, "doc_id", "text", 5).select(text._same_set()).distinct().count()
+    assert firsts == len(texts)
