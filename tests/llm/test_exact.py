@@ -762,6 +762,62 @@ def test_heads_of_crowds(spark, monkeypatch):
     assert simhash._apart_in_crowds(heads, one, 0.8).collect() == []
 
 
+def test_near_misses_of_a_crowd_are_no_rows(spark, monkeypatch):
+    """Ninety texts around one template, in pairs of 0.8 that are 0.6 or so from all others: told by blocks, without a row for each of the 4,000 pairs."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 2000)
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = [(2 * g + k, " ".join(words("base", 80) + words(f"own{g}x", 20) + [f"last{k}"])) for g in range(45) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def walked(nodes, like):
+        first = nodes.selectExpr("min(node) AS a")
+        return first.crossJoin(nodes.selectExpr("node AS b")).where("a <> b").unionByName(nodes.selectExpr("node AS a", "node AS b"))
+
+    written, pairs = simhash.materialise, []
+
+    def counted(df, kind):
+        out = written(df, kind)
+        if {"a", "b"} <= set(out.columns):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "links", walked)
+    monkeypatch.setattr(simhash, "materialise", counted)
+    root = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.SIMILAR).collect()}
+    assert root == {i: i // 2 * 2 for i, _ in rows} and max(pairs) <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_linked_sets(sides):
+    """Sets around three templates connect as all their similar pairs do; of two sides, as those across."""
+    rng = np.random.default_rng(sides)
+    sets = []
+    for k in range(90):
+        base = np.arange(100) + 1000 * (k % 3)
+        gone = rng.choice(100, rng.integers(0, 25), replace=False)
+        sets.append(np.concatenate((np.delete(base, gone), 10_000 + 100 * k + np.arange(rng.integers(0, 15)))))
+    side, root = rng.integers(0, sides, 90), np.where(np.arange(90) < 20, np.arange(90) % 3, np.arange(90) + 100)
+    same = {}
+
+    def find(x):
+        while same.setdefault(x, x) != x:
+            x = same[x]
+        return x
+
+    def parts(pairs):
+        same.clear()
+        for a, b in pairs:
+            same[find(root[a])] = find(root[b])
+        return {frozenset(i for i in range(90) if find(root[i]) == r) for r in {find(x) for x in root}}
+
+    size = np.array([len(s) for s in sets])
+    got = simhash.linked_sets(np.concatenate(sets), size, root, side, 0.8)
+    like = [(a, b) for a in range(90) for b in range(a) if jaccard(set(sets[a]), set(sets[b])) >= 0.8]
+    want = [(a, b) for a, b in like if sides == 1 or side[a] != side[b]]
+    assert set(got) <= {(b, a) for a, b in want} and len(got) < 90
+    assert parts(got) == parts(want) and 3 < len(parts(got)) < 73
+
+
 def test_only_dense_members_are_a_crowd():
     """A cell of one dense group, one near pair and others that only share their words: the group and the pair are told, the others aren't."""
     wide = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, (2, 300))

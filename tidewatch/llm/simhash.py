@@ -48,6 +48,8 @@ CROWDED, CHUNK_ROWS = 4, 1 << 17
 SALTS, HOT_ROWS = 16, 1 << 14
 #: Heads from which a shingle that so many hold comes behind the others, and the most such shingles (the order decides what is compared, never what is found).
 LATE_MEMBERS, MOST_LATE = 64, 1 << 16
+#: Shingles of the sets of a block, in which members of crowds are compared (8 bytes each; a task holds two blocks).
+BLOCK_SHINGLES = 1 << 20
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
@@ -350,11 +352,7 @@ def verified(edges: DataFrame, nodes: DataFrame, rows: DataFrame, key: str, text
     pairs, crowd = edges.where("a <> b"), edges.where("a = b").select(F.col("a").alias("node"))
     good = _similar(pairs, read, like)
     if not crowd.isEmpty():  # a crowd's own walk links each member once; what that left apart meets by shingles
-        heads = _heads(crowd, read, like)
-        apart = materialise(_apart_in_crowds(heads, components(good), like.similarity), "simhash-crowd-pairs")
-        release(*heads)
-        good = good.unionByName(_similar(apart, read, like))
-        release(apart)
+        good = good.unionByName(_linked_in_crowds(_heads(crowd, read, like), components(good), read, like))
     return good
 
 
@@ -434,15 +432,20 @@ def _heads(met: DataFrame, read: Callable[..., DataFrame], like: Likeness) -> tu
     return rest, second, often, again
 
 
-def _apart_in_crowds(heads: tuple[DataFrame, ...], root: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all nodes of different roots that can have the similarity: such a pair shares a shingle of its heads,
-    their sizes are near, and enough of them lies behind that shingle."""
+def _shared_heads(heads: tuple[DataFrame, ...], root: DataFrame) -> DataFrame:
+    """(x, node, size, at, root, weight) of the head shingles that nodes of different roots share; weight: shingles of all sets whose heads have x."""
     whole = reduce(DataFrame.unionByName, heads[:2]).select("node", "size", F.posexplode("head").alias("at", "x"))
-    often = materialise(whole.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "simhash-shared")
+    often = materialise(whole.groupBy("x").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1").select("x", "weight"), "simhash-shared")
     met = whole.join(often, "x").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     met = materialise(met, "simhash-heads")
     release(often)
-    met = met.join(met.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x"), "x", "left_semi")
+    return met.join(met.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("x"), "x", "left_semi")
+
+
+def _apart_in_crowds(heads: tuple[DataFrame, ...], root: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all nodes of different roots that can have the similarity: such a pair shares a shingle of its heads,
+    their sizes are near, and enough of them lies behind that shingle. ``_linked_in_crowds`` links them without a row for each pair."""
+    met = _shared_heads(heads, root)
     t = F.lit(similarity - 1e-9)
     a, b = met.alias("a"), met.alias("b")
     behind = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
@@ -451,6 +454,83 @@ def _apart_in_crowds(heads: tuple[DataFrame, ...], root: DataFrame, similarity:
     return a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.node") < F.col("b.node")) & able).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
+def linked_sets(flat: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of similar sets of different roots, as many as connect all that such pairs connect; of two sides, only pairs across.
+
+    Sets (none empty) lie one behind the other in ``flat``. Rare shingles come first, so that
+    few sets meet by their heads; those that meet and aren't connected yet are counted whole.
+    """
+    n, begin, t = len(size), np.cumsum(size) - size, similarity - 1e-9
+    _, ids, often = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.empty(len(often), np.int64)
+    place[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner = np.repeat(np.arange(n), size)
+    ids = place[ids]
+    ids = ids[np.lexsort((ids, owner))]
+    heads = size - np.ceil(t * size).astype(np.int64) + 1
+    there = np.arange(len(ids)) - begin[owner] < heads[owner]
+    order = np.argsort(ids[there], kind="stable")
+    who, first = owner[there][order], np.searchsorted(ids[there][order], np.arange(len(often) + 1))
+    group = np.unique(root, return_inverse=True)[1]
+    members: dict[int, list[int]] = {}
+    for i, g in enumerate(group.tolist()):
+        members.setdefault(g, []).append(i)
+    across, seen, mine, out = bool((side != side[0]).any()), np.zeros(n, bool), np.zeros(len(often), bool), []
+    for i in range(n):
+        own = ids[begin[i] : begin[i] + size[i]]
+        for x in own[: heads[i]].tolist():
+            seen[who[first[x] : first[x + 1]]] = True
+        j = np.flatnonzero(seen[i + 1 :]) + i + 1
+        seen[:] = False
+        j = j[(group[j] != group[i]) & (np.minimum(size[j], size[i]) >= t * np.maximum(size[j], size[i]))]
+        j = j[side[j] != side[i]] if across else j
+        if not len(j):
+            continue
+        ends = np.cumsum(size[j])
+        mine[own] = True
+        common = np.add.reduceat(mine[ids[np.repeat(begin[j] + size[j] - ends, size[j]) + np.arange(ends[-1])]], ends - size[j], dtype=np.int64)
+        mine[own] = False
+        for k in j[common / (size[i] + size[j] - common) >= similarity].tolist():
+            into, gone = sorted((int(group[i]), int(group[k])), key=lambda g: -len(members[g]))
+            if into != gone:
+                out.append((i, k))
+                group[members[gone]] = into
+                members[into] += members.pop(gone)
+    return out
+
+
+def _linked_in_crowds(heads: tuple[DataFrame, ...], root: DataFrame, read: Callable[..., DataFrame], like: Likeness) -> DataFrame:
+    """Verified pairs (a, b) that connect similar nodes of different roots; ``heads`` are deleted.
+
+    Near misses of a large crowd are too many to be rows. A node lies in the block of that shingle of its head that
+    most sets have, split by a hash into blocks of some ``BLOCK_SHINGLES``. Each two blocks that share a
+    shingle of heads meet in one group of a task, which counts its pairs in arrays and returns
+    what it connects: rows grow with the nodes, times the blocks of their own crowd.
+    """
+    met = materialise(_shared_heads(heads, root).select("x", "node", "root", "weight"), "simhash-met")
+    release(*heads)
+    most = F.max(F.struct("weight", "x")).alias("most")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("most.weight") / F.lit(BLOCK_SHINGLES)))
+    home = materialise(met.groupBy("node", "root").agg(most).select("node", "root", F.xxhash64("most.x", part).alias("block")), "simhash-blocks")
+    together = met.join(home.select("node", "block"), "node").groupBy("x").agg(F.array_sort(F.collect_set("block")).alias("blocks")).select("blocks").distinct()
+    mixed = home.groupBy(F.col("block").alias("p")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    cells = together.select("blocks", F.explode("blocks").alias("p")).select("p", F.explode("blocks").alias("q")).where("p <= q").distinct()
+    cells = materialise(cells.join(mixed, "p").where("p < q OR lo <> hi").select("p", "q"), "simhash-cells")
+    sets = read(home.select("node"), {"shingles": pa.list_(pa.int64())}, lambda t: (shingle_set(t, like.set_words, like.seed).view(np.int64),))
+    placed = home.join(cells, home["block"] == cells["p"]).select("node", "root", "p", "q", F.lit(0).alias("side"))
+    placed = placed.unionByName(home.join(cells.where("p < q"), home["block"] == cells["q"]).select("node", "root", "p", "q", F.lit(1).alias("side")))
+
+    def compared(rows: pa.Table) -> pa.Table:
+        shingles = rows["shingles"].combine_chunks()
+        node, of, side = (rows[c].to_numpy() for c in ("node", "root", "side"))
+        pairs = linked_sets(shingles.flatten().to_numpy(), np.diff(shingles.offsets.to_numpy()).astype(np.int64), of, side, like.similarity)
+        return pa.table({c: pa.array(node[[p[k] for p in pairs]] if pairs else node[:0]) for k, c in enumerate(("a", "b"))})
+
+    found = materialise(placed.join(sets, "node").groupBy("p", "q").applyInArrow(compared, "a long, b long"), "simhash-crowd-links")
+    release(met, home, cells, sets)
+    return found
+
+
 def _components_of(prints: DataFrame, rows: DataFrame, key: str, text: str, like: Likeness) -> DataFrame:
     """of (a node), root, component_id, copies (rows) for every node of ``prints``; only root is different for each component."""
     first = F.min(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("first")
