@@ -48,8 +48,8 @@ CROWDED, CHUNK_ROWS = 4, 1 << 17
 SALTS, HOT_ROWS = 16, 1 << 14
 #: Heads from which a shingle that so many hold comes behind the others, and the most such shingles (the order decides what is compared, never what is found).
 LATE_MEMBERS, MOST_LATE = 64, 1 << 16
-#: Shingles of the sets of a block, in which members of crowds are compared (8 bytes each; a task holds two blocks).
-BLOCK_SHINGLES = 1 << 20
+#: Shingles of the sets of a block, in which members of crowds are compared (8 bytes each; a task holds two blocks), and the fewest blocks.
+BLOCK_SHINGLES, LEAST_BLOCKS = 1 << 20, 4
 _SALTS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
@@ -503,15 +503,18 @@ def _linked_in_crowds(heads: tuple[DataFrame, ...], root: DataFrame, read: Calla
     """Verified pairs (a, b) that connect similar nodes of different roots; ``heads`` are deleted.
 
     Near misses of a large crowd are too many to be rows. A node lies in the block of that shingle of its head that
-    most sets have, split by a hash into blocks of some ``BLOCK_SHINGLES``. Each two blocks that share a
+    most sets have; large ones are split by a hash, small ones share blocks of some ``BLOCK_SHINGLES``. Each two blocks that share a
     shingle of heads meet in one group of a task, which counts its pairs in arrays and returns
-    what it connects: rows grow with the nodes, times the blocks of their own crowd.
+    what it connects: a set is sent once for each block that its own one meets.
     """
-    met = materialise(_shared_heads(heads, root).select("x", "node", "root", "weight"), "simhash-met")
+    met = materialise(_shared_heads(heads, root).select("x", "node", "root", "size", "weight"), "simhash-met")
     release(*heads)
     most = F.max(F.struct("weight", "x")).alias("most")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("most.weight") / F.lit(BLOCK_SHINGLES)))
-    home = materialise(met.groupBy("node", "root").agg(most).select("node", "root", F.xxhash64("most.x", part).alias("block")), "simhash-blocks")
+    homes = materialise(met.groupBy("node", "root", "size").agg(most).select("node", "root", "size", "most.*"), "simhash-homes")
+    total = homes.agg(F.sum("size")).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, math.ceil(total / BLOCK_SHINGLES))
+    part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("weight") * F.lit(blocks) / F.lit(total or 1))))
+    home = homes.select("node", "root", F.pmod(F.pmod(F.xxhash64("x"), F.lit(blocks)) + part, F.lit(blocks)).alias("block"))
     together = met.join(home.select("node", "block"), "node").groupBy("x").agg(F.array_sort(F.collect_set("block")).alias("blocks")).select("blocks").distinct()
     mixed = home.groupBy(F.col("block").alias("p")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     cells = together.select("blocks", F.explode("blocks").alias("p")).select("p", F.explode("blocks").alias("q")).where("p <= q").distinct()
@@ -527,7 +530,7 @@ def _linked_in_crowds(heads: tuple[DataFrame, ...], root: DataFrame, read: Calla
         return pa.table({c: pa.array(node[[p[k] for p in pairs]] if pairs else node[:0]) for k, c in enumerate(("a", "b"))})
 
     found = materialise(placed.join(sets, "node").groupBy("p", "q").applyInArrow(compared, "a long, b long"), "simhash-crowd-links")
-    release(met, home, cells, sets)
+    release(met, homes, cells, sets)
     return found
 
 
