@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,3 +447,66 @@ def test_near_duplicates_with_frequent_shingles(spark, monkeypatch):
     assert got == {(keys[3 * g + i], keys[3 * g + j]) for g in range(6) for i in range(3) for j in range(i + 1, 3)}
     firsts = text._shingled(rows, "doc_id", "text", 5).select(text._same_set()).distinct().count()
     assert firsts == len(texts)
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    told = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
+
+
+def crowd(rng, members, words):
+    """Near copies of one text, of which some pairs are a little below 0.8."""
+    base, out = [f"w{i}" for i in range(words)], []
+    for k in range(members):
+        own = list(base)
+        for _ in range(rng.randrange(words // 120, words // 75)):
+            own[rng.randrange(words)] = f"c{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def similar_pairs(texts):
+    sets_ = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    return {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets_[i] & sets_[j]) >= 0.8 * len(sets_[i] | sets_[j])}
+
+
+def test_near_duplicates_send_a_set_to_blocks_not_to_pairs(spark):
+    """1,770 pairs of sets of some 12 KB would be 21 MB; the 60 sets are below 1 MB."""
+    texts = crowd(random.Random(4), 60, 1500)
+    rows, before, broadcast = docs(spark, *texts), shuffled(spark), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(broadcast, "-1")  # as if the table were large
+    try:
+        got = {(r.a, r.b) for r in text.near_duplicates(rows, "doc_id", "text").collect()}
+    finally:
+        spark.conf.unset(broadcast)
+    want = similar_pairs(texts)
+    assert got == want and 0 < len(want) < 1770
+    assert shuffled(spark) - before < 6e6
+
+
+@pytest.mark.parametrize("marks", [0, 1 << 21])
+def test_near_duplicates_of_many_blocks(spark, monkeypatch, marks):
+    """A crowd that is cut into blocks, pairs between blocks, and no broadcasts: the same pairs."""
+    monkeypatch.setattr(text, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(text, "MEMBER_SHINGLES", 8)
+    monkeypatch.setattr(text, "MARKS", marks)
+    texts = crowd(random.Random(6), 40, 260) + crowd(random.Random(7), 5, 300) + [" ".join(f"x{k}y{i}" for i in range(40)) for k in range(5)]
+    texts += [texts[3].replace(" ", ", "), texts[-1]]
+    got = [(r.a, r.b) for r in text.near_duplicates_of_all(docs(spark, *texts), "doc_id", "text").collect()]
+    assert sorted(got) == sorted(similar_pairs(texts[:50]) | {(3, 50), (49, 51)})
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(2)
+    sets_ = []
+    for size in (1, 5, 64, 65, 300, 1024, 1025, 5000):
+        base = rng.integers(-(2**63), 2**63 - 1, size)
+        sets_ += [base, base[: max(1, int(size * 0.85))], np.concatenate([base, rng.integers(-(2**63), 2**63 - 1, size // 6)]), rng.integers(-(2**63), 2**63 - 1, size)]
+    batch = pa.RecordBatch.from_pydict({"node": list(range(len(sets_))), "s": [s.tolist() for s in sets_]})
+    members = pa.Table.from_batches(text._sketched([batch]))
+    pairs = [(i, j) for i in range(len(sets_)) for j in range(i + 1, len(sets_)) if 0.8 <= len(sets_[i]) / len(sets_[j]) <= 1.25]
+    kept = text._near(pa.table({"a": [i for i, _ in pairs], "b": [j for _, j in pairs]}), members, 0.2 / 1.8 + 1e-9).to_pydict()
+    similar = lambda i, j: len(np.intersect1d(sets_[i], sets_[j])) >= 0.8 * len(np.union1d(sets_[i], sets_[j]))
+    assert {p for p in pairs if similar(*p)} <= set(zip(kept["a"], kept["b"]))
+    assert not [p for p in zip(kept["a"], kept["b"]) if len(sets_[p[0]]) > 50 and not similar(*p)]

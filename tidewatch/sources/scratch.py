@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +33,29 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin in this block leave no shuffle files behind: for tables that are written, from which later reads go on."""
+    before = spark.conf.get(CLEANUP, "false")
+    if before == "true":
+        yield
+        return
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, kind: str, *partitions: str) -> DataFrame:
-    """``df`` from a table in a work folder: cuts lineage, survives lost executors, keeps sizes for the planner; ``release`` deletes it."""
+    """``df`` from a table in a work folder: cuts lineage, survives lost executors, keeps sizes for the planner; ``release`` deletes it. Its shuffle files go at once."""
     spark, path = df.sparkSession, work_folder(df.sparkSession, kind)
-    df.write.partitionBy(*partitions).parquet(path)
+    with shuffles_freed(spark):
+        df.write.partitionBy(*partitions).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
