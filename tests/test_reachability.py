@@ -72,6 +72,36 @@ def test_redundant_edges_of_random_graphs(spark):
     assert {tuple(r) for r in graph.redundant_edges(df).collect()} == want and want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_redundant_edges_with_repeats(spark, seed):
+    """Edges that come twice are one; leaves and roots with many edges change nothing."""
+    rng = random.Random(seed)
+    edges = random_edges(rng, 14, 30, True)
+    edges += [(rng.randrange(14), 100 + rng.randrange(4)) for _ in range(20)] + [(200 + rng.randrange(3), rng.randrange(14)) for _ in range(10)]
+    edges += rng.choices(edges, k=25)
+    reach = closure(edges)
+    want = {(a, b) for a, b in edges if any(x == a and y != b and (y, b) in reach for x, y in edges)}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert sorted(tuple(r) for r in graph.redundant_edges(df).collect()) == sorted(want) and want
+
+
+def test_edges_that_no_longer_path_takes_are_not_searched(spark, monkeypatch):
+    """Leaves below and roots above what is asked take no part in the search."""
+    searched = []
+    reaches = reachability.reaches
+    monkeypatch.setattr(reachability, "reaches", lambda edges, pairs, **more: searched.append({tuple(r) for r in edges.collect()}) or reaches(edges, pairs, **more))
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("a", "d"), ("d", "e"), ("z", "a")]
+    leaves = [(n, f"leaf{k % 5}") for n in "ce" for k in range(10)] + [(f"root{k}", "leaf0") for k in range(5)]
+    df = spark.createDataFrame(edges + leaves, "src string, dst string")
+    assert {tuple(r) for r in graph.redundant_edges(df).collect()} == {("a", "c")}
+    assert len(searched) == 1 and not searched[0] & set(leaves)
+
+
+def test_an_edge_to_itself_implies_no_other(spark):
+    df = spark.createDataFrame([(1, 1), (1, 2), (3, 2), (4, 3), (4, 1)], "src long, dst long")
+    assert graph.redundant_edges(df).collect() == []
+
+
 def test_what_one_edge_answers_needs_no_labels(spark, monkeypatch):
     """Shortcuts over one node, and orders between unconnected leaves, are told by joins alone."""
     monkeypatch.setattr(reachability, "labels", None)

@@ -202,16 +202,28 @@ def reaches(edges: DataFrame, pairs: DataFrame, orders: int = ORDERS, rounds: in
 def redundant_edges(edges: DataFrame, visits: list[int] | None = None) -> DataFrame:
     """Edges that a longer path implies: dst is reached from another successor of src, or what is the same, src reaches another predecessor of dst.
 
-    Each edge asks on the side where it has fewer neighbours, so a source or an end with many edges
-    doesn't ask for all pairs of them; what is asked is answered by ``reaches``. In a graph with cycles the
-    successor may lead to dst over the edge itself.
+    Such a path leaves src to another node that has successors and comes to dst from another one that has predecessors; edges
+    for which there are no such nodes, and those that no such path can take, are left out before anything is asked.
+    Each edge asks on the side where it has fewer of them, so a source or an end with many edges
+    doesn't ask for all pairs of them; what is asked is answered by ``reaches``. Edges from a node to itself lead
+    nowhere; in a graph with longer cycles the answer may lead over the edge itself.
     """
-    e = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
-    outs, ins = e.groupBy("src").agg(F.count("*").alias("outs")), e.groupBy("dst").agg(F.count("*").alias("ins"))
-    able = written(e.join(outs.where("outs > 1"), "src").join(ins.where("ins > 1"), "dst"), "able")
-    # a successor without successors leads nowhere, a predecessor without predecessors isn't reached
-    onward, back = e.join(outs.select(F.col("src").alias("dst")), "dst", "left_semi"), e.join(ins.select(F.col("dst").alias("src")), "src", "left_semi")
-    ahead = able.where("outs <= ins").select("src", "dst").join(onward.select("src", F.col("dst").alias("x")), "src").where("x <> dst").select("src", "dst", "x", F.col("dst").alias("y"))
-    behind = able.where("outs > ins").select("src", "dst").join(back.select(F.col("src").alias("y"), "dst"), "dst").where("y <> src").select("src", "dst", F.col("src").alias("x"), "y")
+    e = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"), "edges")
+    onward = written(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").where("src <> dst"), "onward")
+    ways = onward.groupBy("src").agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"), F.count("*").alias("outs"))
+    able = written(e.join(ways, "src").where("lo <> hi OR lo <> dst").select("src", "dst", "outs"), "able")
+    into = written(e.join(able.select("dst").distinct(), "dst", "left_semi").select("src", "dst").where("src <> dst"), "into")
+    back = written(into.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "back")
+    release(e)
+    ways = back.groupBy("dst").agg(F.min("src").alias("lo"), F.max("src").alias("hi"), F.count("*").alias("ins"))
+    left = written(able.join(ways, "dst").where("lo <> hi OR lo <> src").select("src", "dst", (F.col("outs") <= F.col("ins")).alias("ahead")).distinct(), "able")
+    release(able)
+    ahead = left.where("ahead").join(onward.select("src", F.col("dst").alias("x")), "src").where("x <> dst").select("src", "dst", "x", F.col("dst").alias("y"))
+    behind = left.where("NOT ahead").join(back.select(F.col("src").alias("y"), "dst"), "dst").where("y <> src").select("src", "dst", F.col("src").alias("x"), "y")
     asked = written(ahead.unionByName(behind), "asked")
-    return asked.join(reaches(e, asked.select("x", "y"), visits=visits), ["x", "y"]).select("src", "dst").distinct()
+    release(back)
+    # all nodes of a path but its end have successors
+    paths = onward.unionByName(into.join(left.where("ahead").select("dst").distinct(), "dst", "left_semi").select("src", "dst"))
+    found = written(reaches(paths, asked.select("x", "y"), visits=visits), "found")
+    release(onward, into, left)
+    return asked.join(found, ["x", "y"]).select("src", "dst").distinct()
